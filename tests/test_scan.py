@@ -29,6 +29,8 @@ def test_blocked_scan_equals_plain_window(spark):
             .lead("ld", "v")
             .last_valid("lv", "v")
             .next_valid("nv", "v")
+            .history("hs", "v", 3)
+            .future("ft", "v", 3)
             .total("tt", "t")
             .maximum("mx", "t")
             .columns()

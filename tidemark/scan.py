@@ -63,7 +63,7 @@ class _Step:
     name: str
     kind: str
     value: Column
-    offset: int = 1
+    size: int = 1
 
 
 class Scan:
@@ -110,6 +110,18 @@ class Scan:
         """Running maximum over the rows strictly before the row."""
         return self._add(name, "max_before", value)
 
+    def history(self, name: str, value: Column | str, size: int) -> Scan:
+        """Array of the values of up to ``size`` rows before the row, oldest first."""
+        v = F.col(value) if isinstance(value, str) else value
+        self._steps.append(_Step(name, "history", v, size))
+        return self
+
+    def future(self, name: str, value: Column | str, size: int) -> Scan:
+        """Array of the values of up to ``size`` rows after the row, nearest first."""
+        v = F.col(value) if isinstance(value, str) else value
+        self._steps.append(_Step(name, "future", v, size))
+        return self
+
     def total(self, name: str, value: Column | str) -> Scan:
         """Sum over the whole series."""
         return self._add(name, "total", value)
@@ -135,9 +147,13 @@ class Scan:
             )
 
         place = F.struct(*[F.col(c) for c in self._order])
+        large = self._df.filter(F.col(BLOCK).isNotNull())
+        if any(s.kind in ("history", "future") for s in self._steps):
+            large = large.withColumn("_from_start", F.row_number().over(ahead)).withColumn(
+                "_from_end", F.row_number().over(back)
+            )
         summary = (
-            self._df.filter(F.col(BLOCK).isNotNull())
-            .groupBy(*keys)
+            large.groupBy(*keys)
             .agg(*[self._summary(s, place).alias(f"_s{i}") for i, s in enumerate(self._steps)])
         )
         over = Window.partitionBy(*self._series)
@@ -162,6 +178,8 @@ class Scan:
             "max_before": lambda: F.max(v).over(ahead.rowsBetween(Window.unboundedPreceding, -1)),
             "lag": lambda: F.lag(F.struct(v.alias("v"))).over(ahead),
             "lead": lambda: F.lead(F.struct(v.alias("v"))).over(ahead),
+            "history": lambda: F.collect_list(F.struct(v.alias("v"))).over(ahead.rowsBetween(-step.size, -1)),
+            "future": lambda: F.collect_list(F.struct(v.alias("v"))).over(ahead.rowsBetween(1, step.size)),
             "last_valid": lambda: F.last(v, ignorenulls=True).over(so_far),
             "next_valid": lambda: F.last(v, ignorenulls=True).over(
                 back.rowsBetween(Window.unboundedPreceding, 0)
@@ -179,6 +197,8 @@ class Scan:
             "max_before": lambda: F.max(v),
             "lag": lambda: F.max_by(F.struct(v.alias("v")), place),
             "lead": lambda: F.min_by(F.struct(v.alias("v")), place),
+            "history": lambda: _edge(v, step.size),
+            "future": lambda: _edge(v, step.size, first=True),
             "last_valid": lambda: F.max_by(v, F.when(v.isNotNull(), place)),
             "next_valid": lambda: F.min_by(v, F.when(v.isNotNull(), place)),
             "total": lambda: F.sum(v),
@@ -196,6 +216,8 @@ class Scan:
             "max_before": lambda: F.max(s).over(before),
             "lag": lambda: F.lag(s).over(ahead),
             "lead": lambda: F.lead(s).over(ahead),
+            "history": lambda: F.flatten(F.collect_list(s).over(ahead.rowsBetween(-step.size, -1))),
+            "future": lambda: F.flatten(F.collect_list(s).over(ahead.rowsBetween(1, step.size))),
             "last_valid": lambda: F.last(s, ignorenulls=True).over(before),
             "next_valid": lambda: F.last(s, ignorenulls=True).over(after),
             "total": lambda: F.sum(s).over(over),
@@ -206,6 +228,14 @@ class Scan:
     def _finish(step: _Step, local: Column, carry: Column | None) -> Column:
         if step.kind in ("lag", "lead"):
             return (local if carry is None else F.coalesce(local, carry)).getField("v")
+        if step.kind in ("history", "future"):
+            both = local
+            if carry is not None:
+                beyond = F.coalesce(carry, F.slice(local, 1, 0))
+                both = F.concat(beyond, local) if step.kind == "history" else F.concat(local, beyond)
+                n = F.least(F.size(both), F.lit(step.size))
+                both = F.slice(both, F.size(both) - n + 1, n) if step.kind == "history" else F.slice(both, 1, n)
+            return F.transform(both, lambda x: x.getField("v"))
         if carry is None:
             return local
         if step.kind == "running_sum":
@@ -217,6 +247,13 @@ class Scan:
         return F.coalesce(local, carry)
 
 
+def _edge(value: Column, size: int, first: bool = False) -> Column:
+    """The values of the first or last ``size`` rows of a block, in order."""
+    near = F.col("_from_start") if first else F.col("_from_end")
+    kept = F.collect_list(F.when(near <= size, F.struct(F.col("_from_start").alias("i"), value.alias("v"))))
+    return F.transform(F.array_sort(kept), lambda x: F.struct(x.getField("v").alias("v")))
+
+
 def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: Sequence[str], salts: int = 16) -> DataFrame:
     """Equi join of a side with hot keys to a side with one row per key.
 
