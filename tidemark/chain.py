@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.scan import BLOCK
+from tidemark.session import stage
 
 
 def _followers(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
@@ -83,6 +84,7 @@ def greedy_chain(
     groups = keys
     if BLOCK in df.columns:
         groups = [*keys, BLOCK]
+        nodes = stage(nodes)
         k = [f"_k{i}" for i in range(len(keys))]
         large = nodes.filter(F.col(BLOCK).isNotNull()).select(
             *[F.col(c).alias(a) for c, a in zip(keys, k)],

@@ -119,7 +119,9 @@ def silence_segments(
     def quietest(condition: Column) -> Column:
         return F.min_by("frame", F.when(condition, loudness))
 
+    block = [F.min(BLOCK).alias(BLOCK)] if BLOCK in rows.columns else []
     silences = rows.groupBy(*keys, "_s", "_e").agg(
+        *block,
         F.first("_last").alias("_last"),
         F.first("samples").alias("samples"),
         F.first("_min").alias("_min"),
@@ -142,7 +144,7 @@ def silence_segments(
         .otherwise(F.col("_right"))
     )
     silences = silences.select(
-        *keys, "_s", "_last", "samples", "_min",
+        *keys, "_s", "_last", "samples", "_min", *([BLOCK] if block else []),
         i.alias("_i"),
         (~at_end & at_start & (i > max_kept)).alias("_leading"),
         (at_end & (F.col("_last") + 1 - s >= min_interval)).alias("_trailing"),
@@ -150,7 +152,6 @@ def silence_segments(
         F.when(at_end, F.col("_left")).otherwise(low).cast("bigint").alias("_low"),
         F.when(at_end, F.col("_last") + 2).otherwise(high).cast("bigint").alias("_high"),
     ).filter(F.col("_leading") | F.col("_trailing") | F.col("_cuts"))
-    silences = with_blocks(silences, keys, "_s", rows_per_block)
     silences = (
         Scan(silences, keys, ["_s"])
         .maximum("_lead_cut", F.when(F.col("_leading"), F.col("_high")))

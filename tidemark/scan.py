@@ -2,18 +2,16 @@
 
 A running value over a series is usually one window partitioned by the series
 key.  That puts a whole series in one task, so a series that holds a third of
-all rows decides the run time.  The scans here work in two levels instead:
-
-1. ``with_blocks`` finds the series above ``rows_per_block`` rows from exact
-   counts and cuts each of them into equal time blocks.  All other series keep
-   a NULL block.
-2. ``Scan`` runs each window inside ``(series, block)``, reduces every block of
-   a large series to one summary row, scans the summaries in block order and
-   adds the carried value to the rows of the block.
-
-Where no series is large the summary side is empty and adaptive execution
-drops it, which leaves the plain window.  Count, minimum and maximum are exact,
-so both sides of a plan always see the same blocks.
+all rows decides the run time.  The scans here treat such series apart:
+
+1. ``with_blocks`` counts the rows per series in one small job.  Where no series
+   is above ``rows_per_block`` it returns its input and every scan is a plain
+   window.  Otherwise the large series are cut into equal time blocks; all other
+   series keep a NULL block.
+2. ``Scan`` then runs each window inside ``(series, block)``, reduces every block
+   of a large series to one summary row, scans the summaries in block order and
+   adds the carried value to the rows of the block.  The block results are
+   written to the checkpoint folder once, so chained scans do not repeat work.
 """
 
 from __future__ import annotations
@@ -24,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import stage
+
 BLOCK = "_block"
 ROWS_PER_BLOCK = 500_000
 
@@ -34,7 +34,11 @@ def with_blocks(
     time: str,
     rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
-    """Add ``_block``: NULL for ordinary series, a time block for large ones."""
+    """Add ``_block`` where some series is large: its time block, NULL for the others.
+
+    Runs one job that counts rows per series; only the few large series, at most
+    one per ``rows_per_block`` rows, are kept from it.
+    """
     if BLOCK in df.columns:
         return df
     columns = df.columns
@@ -48,6 +52,9 @@ def with_blocks(
             ((F.col("_hi") - F.col("_lo")) / F.ceil(F.col("_n") / F.lit(rows_per_block / 2))).alias("_width"),
         )
     )
+    large = stage(large)
+    if large.isEmpty():
+        return df
     position = F.when(F.col("_width") > 0, F.floor((F.col(time) - F.col("_lo")) / F.col("_width"))).otherwise(0)
     return df.join(large, list(series), "left").select(
         *columns, F.when(F.col("_width").isNotNull(), position.cast("bigint")).alias(BLOCK)
@@ -146,8 +153,9 @@ class Scan:
                 *[self._finish(s, F.col(f"_l{i}"), None).alias(s.name) for i, s in enumerate(self._steps)],
             )
 
+        local = stage(local)
         place = F.struct(*[F.col(c) for c in self._order])
-        large = self._df.filter(F.col(BLOCK).isNotNull())
+        large = local.filter(F.col(BLOCK).isNotNull())
         if any(s.kind in ("history", "future") for s in self._steps):
             large = large.withColumn("_from_start", F.row_number().over(ahead)).withColumn(
                 "_from_end", F.row_number().over(back)
