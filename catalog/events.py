@@ -175,11 +175,11 @@ GAPS = "[0, 60, 120, 180, 240, 360, 480]"
   w AS (SELECT user_id, max(len) AS longest, max(gap) AS widest FROM x GROUP BY 1),
   g AS (SELECT user_id, greatest(1, CAST(round_even(len / 60.0::DOUBLE, 0) AS BIGINT)) AS length_multiple, CAST(round_even(gap / 60.0::DOUBLE, 0) AS BIGINT) AS gap_multiple, tie,
     count(*) AS n, median(len) AS ml, median(gap) AS mg, median(((a % 480) + 480) % 480) AS mp FROM x GROUP BY 1, 2, 3, 4 HAVING count(*) >= 3),
-  c AS (SELECT g.*, list_filter({LENGTHS}, v -> v <= greatest(60, ceil(longest / 60.0) * 60 + 120)) AS ls, list_filter({GAPS}, v -> v <= greatest(120, ceil(widest / 60.0) * 60 + 60)) AS gs FROM g JOIN w USING (user_id))
+  c AS (SELECT g.*, list_filter({LENGTHS}, lambda v: v <= greatest(60, ceil(longest / 60.0) * 60 + 120)) AS ls, list_filter({GAPS}, lambda v: v <= greatest(120, ceil(widest / 60.0) * 60 + 60)) AS gs FROM g JOIN w USING (user_id))
 SELECT user_id, length_multiple, gap_multiple, tie, n, round(least(0.65, 0.18 + 0.12 * (n - 3)), 6) AS strength,
-  CAST(list_min(list_transform(ls, v -> {{'d': abs(v - ml), 'v': v}})).v AS BIGINT) AS preferred_length,
-  CAST(list_min(list_transform(gs, v -> {{'d': abs(v - mg), 'v': v}})).v AS BIGINT) AS preferred_gap,
-  CAST(list_min(list_transform([0, 60, 120, 180, 240, 300, 360, 420], v -> {{'d': abs(v - mp), 'v': v}})).v AS BIGINT) AS preferred_phase FROM c""")
+  CAST(list_min(list_transform(ls, lambda v: {{'d': abs(v - ml), 'v': v}})).v AS BIGINT) AS preferred_length,
+  CAST(list_min(list_transform(gs, lambda v: {{'d': abs(v - mg), 'v': v}})).v AS BIGINT) AS preferred_gap,
+  CAST(list_min(list_transform([0, 60, 120, 180, 240, 300, 360, 420], lambda v: {{'d': abs(v - mp), 'v': v}})).v AS BIGINT) AS preferred_phase FROM c""")
 def frequent_pattern(spark, folder):
     n = notes(spark, folder).select(
         "user_id", "event_id", "onset", G.ticks("onset", 120.0).alias("a"), G.ticks("offset", 120.0).alias("b"), (F.col("lyric") == "-").alias("tie")

@@ -1 +1,272 @@
-"""Queries."""
+"""Queries over documents, pages, conversations and vectors."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog.base import query, table
+from tidemark.functions import arrays as A
+from tidemark.functions import checks as C
+from tidemark.functions import text as T
+from tidemark.operators import evaluate as E
+from tidemark.operators import islands as I
+from tidemark.operators import lookup as L
+from tidemark.operators import match as M
+from tidemark.operators.scoring import batched_scores
+from tidemark.plans.passages import match_pairs, match_summary, prepare_corpus, shared_shingles
+
+CLEAN = r"""trim(regexp_replace(regexp_replace(text, '[^a-zA-Z0-9\s,.!?;:"''\-]', '', 'g'), '\s+', ' ', 'g'))"""
+WORDS = rf"""regexp_extract_all(lower({CLEAN}), '[A-Za-z''\-’]+|[\p{{Nd}}]')"""
+
+
+def documents(spark, folder):
+    return table(spark, folder, "documents")
+
+
+@query(f"SELECT doc_id, {CLEAN} AS cleaned FROM documents")
+def clean_text(spark, folder):
+    return documents(spark, folder).select("doc_id", T.clean_text("text", "en").alias("cleaned"))
+
+
+@query("SELECT doc_id, translate(text, 'āáǎàōóǒòēéěèīíǐìūúǔùḿǹǖǘǚǜü', 'aaaaooooeeeeiiiiuuuumnvvvvv') AS folded FROM documents")
+def fold_diacritics(spark, folder):
+    return documents(spark, folder).select("doc_id", T.fold_tones("text").alias("folded"))
+
+
+@query(f"SELECT doc_id, array_to_string({WORDS}, ' ') AS tokens, CAST(len({WORDS}) AS INTEGER) AS n FROM documents")
+def tokenize_letters(spark, folder):
+    tokens = T.tokens_for("en")(F.col("text"))
+    return documents(spark, folder).select("doc_id", F.array_join(tokens, " ").alias("tokens"), F.size(tokens).alias("n"))
+
+
+@query(r"""SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS last_part, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '^(.+)\.[^.]*$', '\1') AS stem,
+  regexp_replace(url, '_[^_]*$', '') AS group_key FROM pages""")
+def strip_prefix(spark, folder):
+    return table(spark, folder, "pages").select(
+        "page_id", T.strip_prefix("url").alias("last_part"), T.stem("url").alias("stem"), T.group_key("url").alias("group_key")
+    )
+
+
+@query(r"""WITH x AS (SELECT page_id, regexp_replace(url, '://', '://user' || page_id || ':pw@') AS u FROM pages)
+SELECT page_id, regexp_extract(u, '^([a-z]+://)', 1) || '***@' || regexp_extract(u, '@([^@]*)$', 1) AS masked FROM x""")
+def mask_credentials(spark, folder):
+    u = F.regexp_replace(F.col("url"), F.lit("://"), F.concat(F.lit("://user"), F.col("page_id").cast("string"), F.lit(":pw@")))
+    return table(spark, folder, "pages").select("page_id", C.mask_credentials(u).alias("masked"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '[\r\n]')) AS line FROM documents), t AS (SELECT doc_id, trim(line, ' ') AS line FROM l)
+SELECT doc_id, CASE WHEN contains(lower(line), 'ready') OR contains(lower(line), 'already') THEN 'success' WHEN contains(lower(line), 'failed') OR contains(lower(line), 'error') THEN 'error' ELSE 'info' END AS level,
+  count(*) AS "lines", max(least(100, CAST(nullif(regexp_extract(line, '\b(\d{1,3})%\b', 1), '') AS INTEGER))) AS top_percent FROM t WHERE line <> '' GROUP BY 1, 2""")
+def log_classify(spark, folder):
+    from tidemark.streaming.windows import log_lines
+
+    lines = log_lines(documents(spark, folder).select("doc_id", "text"), "text")
+    return lines.groupBy("doc_id", "level").agg(F.count(F.lit(1)).alias("lines"), F.max("percent").alias("top_percent"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_type = 'PROMO' THEN 'offer' WHEN p_type = 'STANDARD' THEN 'plain' WHEN contains(lower(p_type || ' ' || p_name), 'ring') THEN 'ring'
+  WHEN contains(lower(p_type || ' ' || p_name), 'bolt') OR contains(lower(p_type || ' ' || p_name), 'gear') THEN 'machine' WHEN contains(lower(p_type || ' ' || p_name), 'small') THEN 'small' END AS category FROM part""")
+def category_canonical(spark, folder):
+    keywords = (("ring", ("ring",)), ("machine", ("bolt", "gear")), ("small", ("small",)))
+    exact = C.category("p_type", {"promo": "offer", "standard": "plain"}, ())
+    contained = C.category(F.concat_ws(" ", "p_type", "p_name"), {"-": "-"}, keywords)
+    return table(spark, folder, "part").select("p_partkey", F.coalesce(exact, contained).alias("category"))
+
+
+@query("SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS best, CAST(list_position(embedding, list_min(embedding)) - 1 AS INTEGER) AS worst FROM embeddings")
+def argmax_score(spark, folder):
+    return table(spark, folder, "embeddings").select("vec_id", A.argmax("embedding").alias("best"), A.argmin("embedding").alias("worst"))
+
+
+@query("""WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), m AS (SELECT vec_id, max(v) AS t FROM e GROUP BY 1),
+  p AS (SELECT e.vec_id, i, v - t AS d, exp(v - t) AS p FROM e JOIN m USING (vec_id)), s AS (SELECT vec_id, sum(p) AS s FROM p GROUP BY 1)
+SELECT p.vec_id, CAST(i AS INTEGER) AS i, round(p / s, 6) AS share, round(d - ln(s), 6) AS log_share, round(1 / (1 + exp(-(d))), 6) AS gate FROM p JOIN s USING (vec_id)""")
+def softmax_vector(spark, folder):
+    e = table(spark, folder, "embeddings").select("vec_id", "embedding", F.array_max("embedding").cast("double").alias("t"), A.softmax("embedding").alias("p"), A.log_softmax("embedding").alias("l"))
+    rows = e.select("vec_id", "t", F.posexplode(F.arrays_zip(F.col("embedding").alias("v"), F.col("p").alias("p"), F.col("l").alias("l"))).alias("i", "z"))
+    return rows.select(
+        "vec_id", "i", F.round("z.p", 6).alias("share"), F.round("z.l", 6).alias("log_share"),
+        F.round(A.sigmoid(F.col("z.v").cast("double") - F.col("t")), 6).alias("gate"),
+    )
+
+
+@query(f"""WITH w AS (SELECT doc_id, {WORDS} AS l FROM documents), t AS (SELECT doc_id, unnest(l) AS token, generate_subscripts(l, 1) AS pos FROM w),
+  x AS (SELECT *, list(token) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) AS seen FROM t)
+SELECT doc_id, count(*) AS "rows", min(pos) AS first_row FROM x WHERE pos > 15 AND len(list_distinct(seen)) <= 3 GROUP BY doc_id""")
+def degenerate_documents(spark, folder):
+    tokens = L.explode_tokens(documents(spark, folder).select("doc_id", T.tokens_for("en")(F.col("text")).alias("l")), ["doc_id"], "l")
+    rows = I.degenerate_rows(tokens, ["doc_id"], ["pos"], "token")
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("row_number").alias("first_row"))
+
+
+DICTIONARY = """d AS (SELECT word AS key, max_by(p_type, p_partkey) AS phones FROM (SELECT p_partkey, p_type, unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY 1)"""
+
+
+def _dictionary(spark, folder):
+    words = table(spark, folder, "part").select("p_partkey", "p_type", F.explode(F.split("p_name", " ")).alias("key"))
+    return words.groupBy("key").agg(F.array(F.max_by("p_type", "p_partkey")).alias("values"))
+
+
+def _part_tokens(spark, folder):
+    text = F.concat_ws(" ", F.lower("p_brand"), "p_name")
+    parts = table(spark, folder, "part").select("p_partkey", F.split(text, " ").alias("l"))
+    return L.explode_tokens(parts, ["p_partkey"], "l")
+
+
+@query(f"""WITH {DICTIONARY}, t AS (SELECT p_partkey, unnest(l) AS token, generate_subscripts(l, 1) AS pos FROM (SELECT p_partkey, string_split(lower(p_brand) || ' ' || p_name, ' ') AS l FROM part))
+SELECT p_partkey, string_agg(token, ' ' ORDER BY pos) AS words, 'SP ' || string_agg(phones, ' SP ' ORDER BY pos) || ' SP' AS labels FROM t JOIN d ON d.key = t.token GROUP BY 1""")
+def dictionary_lookup(spark, folder):
+    known, _ = L.dictionary_join(_part_tokens(spark, folder), _dictionary(spark, folder), ["p_partkey"])
+    words = L.dictionary_words(known, ["p_partkey"])
+    return words.select("p_partkey", F.array_join("words", " ").alias("words"), F.array_join("labels", " ").alias("labels"))
+
+
+@query(f"""WITH {DICTIONARY}, t AS (SELECT unnest({WORDS}) AS token FROM documents) SELECT token, count(*) AS n FROM t WHERE token NOT IN (SELECT key FROM d) GROUP BY 1""")
+def unknown_tokens(spark, folder):
+    tokens = L.explode_tokens(documents(spark, folder).select("doc_id", T.tokens_for("en")(F.col("text")).alias("l")), ["doc_id"], "l")
+    return L.dictionary_join(tokens, _dictionary(spark, folder), ["doc_id"])[1]
+
+
+def _prepared(spark, folder):
+    docs = prepare_corpus(documents(spark, folder).select("doc_id", "text"), "text", "en").select("doc_id", "tokens")
+    items = prepare_corpus(table(spark, folder, "benchmark").select("item_id", "text"), "text", "en").select("item_id", "tokens")
+    return items, docs
+
+
+def _passage_pairs(spark, folder):
+    items, docs = _prepared(spark, folder)
+    pairs = shared_shingles(items, docs, "item_id", "doc_id", "tokens")
+    full = pairs.join(items.withColumnRenamed("tokens", "input"), "item_id").join(docs.withColumnRenamed("tokens", "reference"), "doc_id")
+    return full.withColumn("text", F.col("reference"))
+
+
+PAIR = ["item_id", "doc_id"]
+TOKENS = f"""dt AS (SELECT doc_id, {WORDS} AS l FROM documents), bt AS (SELECT item_id, {WORDS} AS l FROM benchmark),
+  dr AS (SELECT DISTINCT doc_id, array_to_string(l[i:i+7], ' ') AS run FROM (SELECT doc_id, l, unnest(generate_series(1, len(l) - 7)) AS i FROM dt)),
+  br AS (SELECT DISTINCT item_id, array_to_string(l[i:i+7], ' ') AS run FROM (SELECT item_id, l, unnest(generate_series(1, len(l) - 7)) AS i FROM bt)),
+  pr AS (SELECT DISTINCT item_id, doc_id FROM dr JOIN br USING (run)),
+  pp AS (SELECT item_id, doc_id, bt.l AS a, dt.l AS b FROM pr JOIN bt USING (item_id) JOIN dt USING (doc_id))"""
+
+
+@query(f"""WITH {TOKENS} SELECT item_id, doc_id, CAST(len(a) AS INTEGER) AS n, CAST(len(b) AS INTEGER) AS m FROM pp""")
+def shared_runs(spark, folder):
+    return _passage_pairs(spark, folder).select(*PAIR, F.size("input").alias("n"), F.size("reference").alias("m"))
+
+
+@query(f"""WITH {TOKENS}, x AS (SELECT item_id, doc_id, ' ' || array_to_string(a, ' ') || ' ' AS a, ' ' || array_to_string(b, ' ') || ' ' AS b, len(a) AS n FROM pp),
+  y AS (SELECT *, instr(b, a) AS at FROM x WHERE contains(b, a))
+SELECT item_id, doc_id, CAST(length(substr(b, 1, at)) - length(replace(substr(b, 1, at), ' ', '')) - 1 AS INTEGER) AS "start", CAST(n AS INTEGER) AS n FROM y""")
+def exact_passage(spark, folder):
+    best = M.best_windows(_passage_pairs(spark, folder), PAIR).filter("exact")
+    return best.select(*PAIR, "start", (F.col("end") - F.col("start")).alias("n"))
+
+
+WINDOWS = f"""{TOKENS}, e AS (SELECT item_id, doc_id, a, b, len(a) AS n, least(len(a) + 8, CAST(floor(len(a) * 1.3::DOUBLE) AS BIGINT), len(b)) AS w FROM pp
+    WHERE NOT contains(' ' || array_to_string(b, ' ') || ' ', ' ' || array_to_string(a, ' ') || ' ')),
+  s AS (SELECT *, unnest(generate_series(0, len(b) - w)) AS start FROM e),
+  t AS (SELECT item_id, doc_id, start, n, unnest(b[start + 1:start + w]) AS token FROM s),
+  c AS (SELECT item_id, doc_id, start, n, token, count(*) AS k FROM t GROUP BY ALL),
+  ac AS (SELECT item_id, token, count(*) AS k FROM (SELECT item_id, unnest(l) AS token FROM bt) GROUP BY ALL),
+  o AS (SELECT c.item_id, doc_id, start, any_value(n) AS n, CAST(sum(least(c.k, ac.k)) AS INTEGER) AS overlap FROM c JOIN ac ON ac.item_id = c.item_id AND ac.token = c.token GROUP BY ALL)"""
+
+
+@query(f"""WITH {WINDOWS} SELECT item_id, doc_id, count(*) AS windows, max(overlap) AS best_overlap, CAST(sum(overlap) AS BIGINT) AS total FROM o WHERE overlap / n >= 0.3 GROUP BY 1, 2""")
+def coverage_candidates(spark, folder):
+    coded = M.code_pairs(_passage_pairs(spark, folder), PAIR).filter(F.instr("b", F.col("a")) == 0)
+    return M.candidate_windows(coded, PAIR).groupBy(*PAIR).agg(
+        F.count(F.lit(1)).alias("windows"), F.max("overlap").alias("best_overlap"), F.sum("overlap").alias("total")
+    )
+
+
+@query()
+def ranked_windows(spark, folder):
+    coded = M.code_pairs(_passage_pairs(spark, folder), PAIR).filter(F.instr("b", F.col("a")) == 0)
+    return M.rank_windows(M.candidate_windows(coded, PAIR), PAIR).select(*PAIR, "start", "overlap", "approx")
+
+
+@query()
+def best_passage_match(spark, folder):
+    out = match_pairs(_passage_pairs(spark, folder), PAIR)
+    return out.select(*PAIR, "start", "end", "distance", "exact", F.array_join("matched", " ").alias("matched"), "differences", "status", "reason")
+
+
+@query(f"""WITH {TOKENS} SELECT count(*) AS total, count(*) FILTER (contains(' ' || array_to_string(b, ' ') || ' ', ' ' || array_to_string(a, ' ') || ' ')) AS exact FROM pp""")
+def match_counts(spark, folder):
+    return match_summary(match_pairs(_passage_pairs(spark, folder), PAIR)).select("total", "exact")
+
+
+@query()
+def highlight_differences(spark, folder):
+    full = match_pairs(_passage_pairs(spark, folder), PAIR).select(*PAIR, "input", "matched")
+    out = M.highlight(full.withColumn("shown", F.col("matched")), "input", "matched", "shown")
+    return out.select(*PAIR, "heard_marked", "matched_marked", "edits")
+
+
+@query("""WITH q AS (SELECT conv_id, list(role ORDER BY turn) AS l, min(conv_id) AS first, count(*) AS turns FROM conversations GROUP BY conv_id),
+  g AS (SELECT turns, l, count(*) AS n, min(first) AS f FROM q GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY turns ORDER BY n DESC, len(l) DESC, f) AS k, sum(n) OVER (PARTITION BY turns) AS runs FROM g)
+SELECT turns, array_to_string(l, ' ') AS roles, n AS votes, CAST(runs AS BIGINT) AS runs FROM r WHERE k = 1 AND (n > 1 OR runs = 1)""")
+def majority_sequence(spark, folder):
+    c = table(spark, folder, "conversations").groupBy("conv_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("l"), F.count(F.lit(1)).alias("turns")
+    )
+    return E.majority_sequence(c, ["turns"], "conv_id", "l").select("turns", F.array_join("l", " ").alias("roles"), "votes", "runs")
+
+
+PAGE_KEY = r"CAST(regexp_extract(url, '/([a-z]{2})/(\d+)', 2) AS BIGINT)"
+
+
+def _pages(spark, folder):
+    key = F.regexp_extract("url", r"/([a-z]{2})/(\d+)", 2).cast("bigint")
+    return table(spark, folder, "pages").select("page_id", key.alias("doc_id"), F.regexp_extract("url", r"/([a-z]{2})/(\d+)", 1).alias("lang"))
+
+
+@query(f"SELECT page_id, d.doc_id, d.n_chars FROM pages JOIN documents d ON d.doc_id = {PAGE_KEY} AND d.lang = regexp_extract(url, '/([a-z]{{2}})/', 1)")
+def derived_key_join(spark, folder):
+    docs = documents(spark, folder).select("doc_id", "lang", "n_chars")
+    return _pages(spark, folder).join(docs, ["doc_id", "lang"]).select("page_id", "doc_id", "n_chars")
+
+
+@query(f"""WITH g AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT {PAGE_KEY} FROM pages))
+SELECT count(*) AS missing, (SELECT string_agg(doc_id, ',' ORDER BY doc_id) FROM (SELECT doc_id FROM g ORDER BY doc_id LIMIT 8)) AS preview FROM g""")
+def missing_keys(spark, folder):
+    out = L.missing_report(documents(spark, folder), _pages(spark, folder), "doc_id")
+    return out.select("missing", F.array_join(F.col("preview").cast("array<string>"), ",").alias("preview"))
+
+
+@query("""WITH f AS (SELECT md5(text) AS md5, min(doc_id) AS doc_id FROM documents GROUP BY 1), m AS (SELECT md5 FROM f JOIN labels USING (doc_id)) SELECT doc_id, md5 FROM f WHERE md5 NOT IN (SELECT md5 FROM m)""")
+def incremental_skip(spark, folder):
+    inputs = documents(spark, folder).groupBy(F.md5(F.col("text").cast("binary")).alias("md5")).agg(F.min("doc_id").alias("doc_id"))
+    manifest = inputs.withColumn("output_key", F.substring("md5", 1, 8))
+    outputs = manifest.join(table(spark, folder, "labels").select("doc_id"), "doc_id", "left_semi").select("output_key")
+    return L.new_inputs(inputs, manifest, outputs).select("doc_id", "md5")
+
+
+@query("""SELECT md5(text) AS md5, max(doc_id) AS seq, CAST(max_by(n_chars, doc_id) AS BIGINT) AS n_chars, max_by(lang, doc_id) AS lang FROM documents GROUP BY 1""")
+def manifest_upsert(spark, folder):
+    rows = documents(spark, folder).select(F.md5(F.col("text").cast("binary")).alias("md5"), F.col("doc_id").alias("seq"), "n_chars", "lang")
+    return L.upsert_latest(rows.filter("lang = 'en'"), rows.filter("lang <> 'en'"))
+
+
+@query("""SELECT doc_id, CASE WHEN quality = 1 THEN 'enriched' ELSE 'plain' END AS kind FROM labels UNION ALL SELECT doc_id, 'fallback' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+def complete_from_fallback(spark, folder):
+    enriched = table(spark, folder, "labels").select("doc_id", F.when(F.col("quality") == 1, "enriched").otherwise("plain").alias("kind"))
+    return L.complete_from(enriched, documents(spark, folder).select("doc_id", F.lit("fallback").alias("kind")), ["doc_id"])
+
+
+@query("""SELECT lang, CASE WHEN l.doc_id IS NULL THEN 'open' WHEN toxic = 1 THEN 'failed' ELSE 'done' END AS status, count(*) AS n FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1, 2""")
+def outcome_counts(spark, folder):
+    d = documents(spark, folder).select("doc_id", "lang").join(table(spark, folder, "labels"), "doc_id", "left")
+    status = F.when(F.col("quality").isNull(), "open").when(F.col("toxic") == 1, "failed").otherwise("done")
+    return E.outcome_counts(d.withColumn("status", status), "status", ["lang"])
+
+
+def word_lengths(batch):
+    """Small scorer for ``batched_scoring``: words per text."""
+    return [len(t.split()) for t in batch]
+
+
+@query()
+def batched_scoring(spark, folder):
+    return batched_scores(documents(spark, folder).select("doc_id", "text"), "text", word_lengths, "int").select("doc_id", "score", "error")
+
+

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.grid import _c
 from tidemark.operators.intervals import overlap_join
-from tidemark.scan import ROWS_PER_BLOCK, Scan, exact_median, salted_join, with_blocks
+from tidemark.scan import BLOCK, ROWS_PER_BLOCK, Scan, block_limit, exact_median, salted_join, with_blocks
 
 
 def tier_intervals(
@@ -185,11 +185,12 @@ def trimmed_mean(
     """
     keys = list(keys)
     v = F.col(value).cast("double")
-    counts = df.groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    middle = exact_median(counts, keys, "_v", "_n", "_median", rows_per_block)
-    off = salted_join(counts, middle, keys, ["_v"]).withColumn("_off", F.abs(F.col("_v") - F.col("_median")))
+    counts = with_blocks(df.groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n")), keys, "_v", rows_per_block)
+    limit = block_limit(counts, rows_per_block)
+    middle = exact_median(counts, keys, "_v", "_n", "_median", limit)
+    off = salted_join(counts.drop(BLOCK), middle, keys, ["_v"]).withColumn("_off", F.abs(F.col("_v") - F.col("_median")))
     off_counts = off.groupBy(*keys, "_off").agg(F.sum("_n").alias("_n"))
-    mad = exact_median(off_counts, keys, "_off", "_n", "_mad", rows_per_block)
+    mad = exact_median(off_counts, keys, "_off", "_n", "_mad", limit)
     rows = salted_join(off, mad, keys, ["_v"])
     kept = (F.col("_mad") != 0) & (F.col("_off") / (F.col("_mad") * 1.4826) <= threshold)
     return rows.groupBy(*keys).agg(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.checks import STOP_LABELS
 from tidemark.functions.grid import _c
-from tidemark.scan import ROWS_PER_BLOCK, Scan, with_blocks
+from tidemark.scan import BLOCK, ROWS_PER_BLOCK, Scan, block_limit, with_blocks
 
 # Fixed value: the smallest distance between two aligned boundaries.
 MIN_GAP = 1e-4
@@ -181,7 +181,7 @@ def align_boundaries(
     near = nearest_times(inner, marks, keys, "raw", "mark", rows_per_block=rows_per_block)
     snapped = F.when(F.abs(F.col("nearest") - F.col("raw")) <= tol, F.col("nearest")).otherwise(F.col("raw"))
     near = near.select(*keys, "idx", "raw", "_next", snapped.alias("_want"))
-    near = with_blocks(near, keys, "idx", rows_per_block)
+    near = with_blocks(near, keys, "idx", block_limit(rows, rows_per_block))
     free = (F.col("_want") >= F.col("raw")) & (F.col("_next") - F.col("raw") > 3 * MIN_GAP)
     near = Scan(near.withColumn("_free", free.cast("bigint")), keys, ["idx"]).running_sum("_stretch", "_free").lag(
         "_raw_before", "raw"
@@ -350,15 +350,18 @@ def repair_short(
     follows from the latest sure repair and the latest row that cannot be one.
     """
     keys = list(series)
-    lexical = df.filter(~F.coalesce(F.col(label).isin(*stop), F.lit(False)))
+    df = with_blocks(df, keys, index, rows_per_block)
+    limit = block_limit(df, rows_per_block)
+    kept = [c for c in df.columns if c != BLOCK]
+    lexical = df.select(*kept).filter(~F.coalesce(F.col(label).isin(*stop), F.lit(False)))
     d = F.greatest(F.lit(0.0), F.col(end) - F.col(start))
-    ranked = with_blocks(lexical.withColumn("_d", d), keys, "_d", rows_per_block)
+    ranked = with_blocks(lexical.withColumn("_d", d), keys, "_d", limit)
     ranked = Scan(ranked, keys, ["_d", index]).row_number("_rank").total("_n", F.lit(1)).columns()
     few = F.greatest(F.lit(at_least), F.floor(F.col("_n") * portion + 0.999999))
     rows = ranked.select(
         *keys, index, start, end, "_d", "_n", (F.col("_rank") <= few).alias("_shortest")
     )
-    rows = with_blocks(rows, keys, index, rows_per_block)
+    rows = with_blocks(rows, keys, index, limit)
     rows = (
         Scan(rows, keys, [index]).lag("_pd", "_d").lag("_ps", start).lead("_nd", "_d").lead("_ns", start).columns()
     )
@@ -382,13 +385,13 @@ def repair_short(
     )
     repaired = F.col("_last_sure").isNotNull() & (F.col("_last_sure") > F.coalesce("_last_no", F.lit(-1)))
     fixes = rows.select(*keys, index, F.when(repaired, F.col("_ns")).alias("_new_end"), F.lit(True).alias("_lexical"))
-    out = with_blocks(df, keys, index, rows_per_block).join(fixes, [*keys, index], "left")
+    out = df.join(fixes, [*keys, index], "left")
     out = Scan(out, keys, [index]).last_valid(
         "_covers", F.when(F.col("_lexical"), F.col("_new_end").isNotNull())
     ).columns()
     dropped = F.col("_lexical").isNull() & F.coalesce("_covers", F.lit(False))
     return out.filter(~dropped).select(
-        *[F.coalesce("_new_end", end).alias(end) if c == end else F.col(c) for c in df.columns]
+        *[F.coalesce("_new_end", end).alias(end) if c == end else F.col(c) for c in kept]
     )
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.chain import greedy_chain
 from tidemark.functions.grid import _c
-from tidemark.scan import BLOCK, ROWS_PER_BLOCK, Scan, salted_join, with_blocks
+from tidemark.scan import BLOCK, ROWS_PER_BLOCK, Scan, block_limit, salted_join, with_blocks
 
 
 def mix_channels(df: DataFrame, series: Sequence[str], pos: str, value: str) -> DataFrame:
@@ -308,7 +308,8 @@ def windowed_cuts(
     types = dict(table.dtypes)
     shape = ", ".join(f"{c} {types[c]}" for c in [*keys, "frame", "samples"]) + ", _cut bigint"
     nodes = table.groupBy(*keys, "_part").applyInPandas(follow, shape).withColumn("_zero", F.lit(0))
-    nodes = with_blocks(nodes, keys, "frame", rows_per_block)
+    checked = with_blocks(frames.select(*keys, "frame"), keys, "frame", rows_per_block)
+    nodes = with_blocks(nodes, keys, "frame", block_limit(checked, rows_per_block))
     chosen = greedy_chain(nodes, keys, "frame", "_cut", "_zero", span=float(ahead))
     # each chosen frame starts a piece that ends at its cut; the last cut starts the final piece
     chosen = Scan(chosen, keys, ["frame"]).lead("_more", "frame").columns()

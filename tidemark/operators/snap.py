@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import grid as G
 from tidemark.operators.islands import gap_or_cap_segments, tied_phrases
-from tidemark.scan import BLOCK, ROWS_PER_BLOCK, Scan, with_blocks
+from tidemark.scan import BLOCK, ROWS_PER_BLOCK, Scan, block_limit, with_blocks
+from tidemark.session import stage
 from tidemark.shortest import cheapest_states
 
 # Weights of the cost terms and of early and late moves.
@@ -223,9 +224,9 @@ def snap_phrases(
     shape = ", ".join(f"{c} {types[c]}" for c in [*keys, "seg_id", "_i"])
     shape += ", _s array<bigint>, _e array<bigint>, _costs array<double>"
     small = rows.select(*keys, "seg_id", "_i", "_on", "_off", (F.coalesce(F.col(label), F.lit("")) == "-").cast("int").alias("_tie"))
-    ways = small.groupBy(*keys, "seg_id").applyInPandas(decode, shape)
+    ways = stage(small.groupBy(*keys, "seg_id").applyInPandas(decode, shape))
     heads = ways.groupBy(*keys, "seg_id").agg(F.first("_costs").alias("_costs"))
-    heads = with_blocks(heads.withColumn("_n", F.col("seg_id") + 1), keys, "_n", rows_per_block)
+    heads = with_blocks(heads.withColumn("_n", F.col("seg_id") + 1), keys, "_n", block_limit(rows, rows_per_block))
 
     def moves(pdf: pd.DataFrame, i: int) -> np.ndarray:
         c = np.array(centres, dtype=float)
@@ -239,7 +240,6 @@ def snap_phrases(
     )
     rows = rows.drop("seg_id").join(placed, [*keys, "_i"])
     # all ticks lie on one grid, so repairing overlaps is a running maximum
-    rows = with_blocks(rows, keys, "onset", rows_per_block)
     least = F.greatest(F.col("_end"), F.col("_start") + grid) - F.col("_i") * grid
     rows = Scan(rows, keys, place).running_max("_m", least).columns().withColumn("_fixed", F.col("_m") + F.col("_i") * grid)
     rows = Scan(rows, keys, place).lag("_before", "_fixed").columns()
@@ -396,13 +396,16 @@ def snap_prior(
     types = dict(small.dtypes)
     shape = ", ".join(f"{c} {types[c]}" for c in [*keys, "_i"]) + ", _start bigint, _end bigint"
     placed = small.groupBy(*keys, "seg_id").applyInPandas(decode, shape)
-    fixed = repair_overlaps(placed, keys, "_i", "_start", "_end", step, rows_per_block)
+    limit = block_limit(rows, rows_per_block)
+    placed = placed if limit is None else stage(placed)
+    fixed = repair_overlaps(placed, keys, "_i", "_start", "_end", step, limit)
     rows = rows.join(fixed, [*keys, "_i"])
     return _back(rows, df, F.col("_start"), F.col("_end"), tempo)
 
 
 def repair_overlaps(
-    df: DataFrame, series: Sequence[str], index: str, start: str, end: str, step: int, rows_per_block: int = ROWS_PER_BLOCK
+    df: DataFrame, series: Sequence[str], index: str, start: str, end: str, step: int,
+    rows_per_block: int | None = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Move starts to the end before and give empty intervals one step.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.evaluate import majority_sequence, trimmed_mean
 from tidemark.operators.intervals import close_small_gaps, fill_complement
 from tidemark.scan import ROWS_PER_BLOCK, Scan, with_blocks
+from tidemark.session import stage
 
 # Fixed value: shortest interval of the rebuilt timeline.
 MIN_STEP = 1e-4
@@ -41,12 +42,12 @@ def consensus_timeline(
     label = F.transform(F.array_sort(F.collect_list(F.struct("idx", "label"))), lambda x: x["label"])
     sequences = runs.groupBy(*keys, "run").agg(label.alias("labels"))
     agreed = majority_sequence(sequences, keys, "run", "labels").select(*keys, "labels")
-    kept = runs.join(sequences.join(agreed, [*keys, "labels"]).select(*keys, "run"), [*keys, "run"])
+    kept = stage(runs.join(sequences.join(agreed, [*keys, "labels"]).select(*keys, "run"), [*keys, "run"]))
     place = [*keys, "idx"]
     starts = trimmed_mean(kept, place, "start", name="start", rows_per_block=rows_per_block).select(*place, "start")
     ends = trimmed_mean(kept, place, "end", name="end", rows_per_block=rows_per_block).select(*place, "end")
     labels = kept.groupBy(*place).agg(F.first("label").alias("label"))
-    timeline = starts.join(ends, place).join(labels, place)
+    timeline = stage(starts.join(ends, place).join(labels, place))
     timeline = rebuild_increasing(timeline, keys, "idx", "start", "end", rows_per_block=rows_per_block)
     timeline = timeline.join(length.select(*keys, "length"), keys)
     closed = close_small_gaps(timeline, keys, ["idx"], "start", "end", "length", gap, rows_per_block)

@@ -12,6 +12,7 @@ from tidemark.functions.pitch import cents
 from tidemark.operators.intervals import away_from_edges, points_in_intervals
 from tidemark.operators.series import despike, fill_short_gaps, moving_upper_median
 from tidemark.scan import ROWS_PER_BLOCK
+from tidemark.session import stage
 
 # Fixed value: distance of curve points in ticks.
 CURVE_STEP = 5
@@ -36,7 +37,7 @@ def pitch_curve(
         cents("pitch", "note_pitch").cast("bigint").alias("y"),
     )
     run = [*keys, "idx"]
-    single = hit.groupBy(*run, "x").agg(F.max_by("y", "frame").alias("y"))
+    single = stage(hit.groupBy(*run, "x").agg(F.max_by("y", "frame").alias("y")))
     filled = fill_short_gaps(single, run, "x", "y", CURVE_STEP, rows_per_block=rows_per_block)
     calm = moving_upper_median(filled, run, ["x"], "y", name="_y", rows_per_block=rows_per_block)
     smooth = despike(calm.select(*run, "x", "_y"), run, ["x"], "_y", name="_z")

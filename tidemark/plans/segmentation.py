@@ -26,7 +26,7 @@ def silence_plan(
 ) -> DataFrame:
     """Energy per hop, then the silence split; ``milliseconds`` as in ``silence_parameters``."""
     p = S.silence_parameters(rate, **milliseconds)
-    frames = S.hopping_rms(samples, series, pos, value, p["frame_length"], p["hop"])
+    frames = stage(S.hopping_rms(samples, series, pos, value, p["frame_length"], p["hop"]))
     return S.silence_segments(
         frames, series, p["hop"], p["threshold"], p["min_length"], p["min_interval"], p["max_kept"], rows_per_block
     )
@@ -56,6 +56,7 @@ def three_stage(
     if voiced is not None:
         time = F.col("frame") * (HOP / rate) + F.col("start") / rate
         frames = S.nearest_flags(frames, voiced, keys, time, voiced_step, "index", "voiced")
+    frames = stage(frames)
     cuts = S.windowed_cuts(
         frames.withColumnRenamed("start", "_segment"), [*keys, "_segment"], rate, HOP, min_len, max_len,
         limit_db=split_db, voiced="voiced" if voiced is not None else None, rows_per_block=rows_per_block,

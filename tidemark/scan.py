@@ -32,14 +32,15 @@ def with_blocks(
     df: DataFrame,
     series: Sequence[str],
     time: str,
-    rows_per_block: int = ROWS_PER_BLOCK,
+    rows_per_block: int | None = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Add ``_block`` where some series is large: its time block, NULL for the others.
 
     Runs one job that counts rows per series; only the few large series, at most
-    one per ``rows_per_block`` rows, are kept from it.
+    one per ``rows_per_block`` rows, are kept from it.  ``None`` skips the job
+    where the caller knows that no series is large.
     """
-    if BLOCK in df.columns:
+    if BLOCK in df.columns or rows_per_block is None:
         return df
     columns = df.columns
     large = (
@@ -61,8 +62,9 @@ def with_blocks(
     )
 
 
-def drop_blocks(df: DataFrame) -> DataFrame:
-    return df.drop(BLOCK)
+def block_limit(checked: DataFrame, rows_per_block: int | None) -> int | None:
+    """Limit for tables with no more rows per series than one already checked."""
+    return rows_per_block if BLOCK in checked.columns else None
 
 
 @dataclass(frozen=True)
@@ -274,14 +276,15 @@ def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], spread: S
 
 
 def exact_median(
-    counts: DataFrame, keys: Sequence[str], value: str, weight: str, name: str, rows_per_block: int = ROWS_PER_BLOCK
+    counts: DataFrame, keys: Sequence[str], value: str, weight: str, name: str, rows_per_block: int | None = ROWS_PER_BLOCK
 ) -> DataFrame:
     """Median per key from ``(keys, value, weight)`` rows with distinct values.
 
     The position of a value comes from a blocked running count, so no key
     gathers its values in one task.
     """
-    rows = with_blocks(counts.select(*keys, value, weight), keys, value, rows_per_block)
+    known = [BLOCK] if BLOCK in counts.columns else []
+    rows = with_blocks(counts.select(*keys, *known, value, weight), keys, value, rows_per_block)
     ranked = Scan(rows, keys, [value]).running_sum("_upto", weight).total("_all", weight).columns()
     low = F.floor((F.col("_all") + 1) / 2)
     high = F.floor(F.col("_all") / 2) + 1
