@@ -1 +1,78 @@
-"""Queries."""
+"""Segmentation of event values as sample series."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog.base import query
+from catalog.events import INDEXED, indexed
+from tidemark.operators import segments as S
+from tidemark.plans import segmentation as P
+
+U = ["user_id"]
+# one event is one sample; four samples are one second
+RATE = 4
+
+
+def samples(spark, folder):
+    return indexed(spark, folder).select("user_id", F.col("idx").alias("pos"), (F.col("value") / 500).alias("v"))
+
+
+@query(f"""WITH {INDEXED}, n AS (SELECT user_id, max(idx) + 1 AS n FROM ix GROUP BY 1), f AS (SELECT user_id, n, unnest(generate_series(0, (n + 8 - 8) // 2)) AS frame FROM n)
+SELECT f.user_id, f.frame, n AS samples, round(sqrt(coalesce(sum((value / 500) * (value / 500)), 0) / 8), 6) AS rms,
+  round(20 * log10(greatest(sqrt(coalesce(sum((value / 500) * (value / 500)), 0) / 8), 1e-10)), 4) AS db
+FROM f LEFT JOIN ix ON ix.user_id = f.user_id AND ix.idx + 4 >= frame * 2 AND ix.idx + 4 < frame * 2 + 8 GROUP BY 1, 2, 3""")
+def hopping_rms_db(spark, folder):
+    out = S.hopping_rms(samples(spark, folder), U, "pos", "v", 8, 2)
+    return out.select("user_id", "frame", "samples", F.round("rms", 6).alias("rms"), F.round(S.decibels("rms"), 4).alias("db"))
+
+
+@query(f"""WITH {INDEXED} SELECT user_id, idx // 2 AS pos, round(avg(value), 6) AS v FROM ix GROUP BY 1, 2""")
+def mix_channels(spark, folder):
+    two = indexed(spark, folder).select("user_id", F.floor(F.col("idx") / 2).alias("pos"), F.col("value").alias("v"))
+    return S.mix_channels(two, U, "pos", "v").withColumn("v", F.round("v", 6))
+
+
+MS = dict(threshold_db=-22.0, min_length_ms=4000, min_interval_ms=500, hop_ms=250, max_kept_ms=1000)
+
+
+@query()
+def silence_segments(spark, folder):
+    return P.silence_plan(samples(spark, folder), U, "pos", "v", RATE, **MS)
+
+
+@query()
+def windowed_cut(spark, folder):
+    frames = S.hopping_rms(samples(spark, folder), U, "pos", "v", 8, 2).filter(F.col("samples") / RATE > 6.0)
+    return S.windowed_cuts(frames, U, RATE, 2, 2.0, 6.0, limit_db=-22.0)
+
+
+@query()
+def unvoiced_cut(spark, folder):
+    frames = S.hopping_rms(samples(spark, folder), U, "pos", "v", 8, 2).filter(F.col("samples") / RATE > 6.0)
+    return S.windowed_cuts(frames.withColumn("voiced", F.col("rms") > 0.1), U, RATE, 2, 2.0, 6.0, voiced="voiced")
+
+
+@query()
+def short_merge(spark, folder):
+    cut = P.silence_plan(samples(spark, folder), U, "pos", "v", RATE, **MS)
+    return S.merge_short(cut, U, RATE, 4.0, 9.0)
+
+
+@query()
+def grid_search_segments(spark, folder):
+    return P.grid_search(samples(spark, folder), U, "pos", "v", 100, 0.1, 0.5, min_interval_ms=40, max_kept_ms=40)
+
+
+@query()
+def three_stage(spark, folder):
+    return P.three_stage(samples(spark, folder), U, "pos", "v", 100, 0.2, 0.5)
+
+
+@query(f"""WITH {INDEXED}, s AS (SELECT user_id, idx // 20 AS seg, min(idx) AS a, max(idx) + 1 AS b FROM ix GROUP BY 1, 2), n AS (SELECT user_id, max(idx) + 1 AS n FROM ix GROUP BY 1)
+SELECT user_id, count(*) AS segments, round(sum(CASE WHEN (b - a) / 4.0 < 4 THEN (4 - (b - a) / 4.0) * 1.5 WHEN (b - a) / 4.0 > 4.5 THEN (b - a) / 4.0 - 4.5 ELSE 0 END) + abs(count(*) - any_value(n) / 4.0 / 4.25) * 0.5, 6)::DOUBLE AS score FROM s JOIN n USING (user_id) GROUP BY 1""")
+def segmentation_score(spark, folder):
+    ix = samples(spark, folder)
+    seg = ix.groupBy("user_id", F.floor(F.col("pos") / 20).alias("seg")).agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"))
+    lengths = ix.groupBy("user_id").agg((F.max("pos") + 1).alias("samples"))
+    return S.segmentation_score(seg, lengths, U, RATE, 4.0, 4.5).withColumn("score", F.round("score", 6))

@@ -1 +1,80 @@
-"""Queries."""
+"""Streaming queries: the events are fed as a file stream in time order and run to the end."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from catalog.base import EVENTS, query, table
+from tidemark.session import checkpoint_dir
+from tidemark.streaming import state, windows
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+FEED = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+
+
+def _feed(spark: SparkSession, folder: str) -> tuple[DataFrame, str]:
+    """The events table as a stream, and a shared folder for its checkpoint and result."""
+    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    ts = F.expr("timestampadd(MICROSECOND, timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts), timestamp'1970-01-01 00:00:00+00:00')")
+    rows = table(spark, folder, "events").withColumn("ts", ts)
+    rows.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(f"{base}/feed")
+    stream = spark.readStream.schema(FEED).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{base}/feed")
+    return stream, base
+
+
+def _finish(result: DataFrame, base: str, mode: str) -> DataFrame:
+    """Run a stream to its end; every batch goes to its own folder, so a repeated one replaces itself."""
+    spark = result.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+
+    def write(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    q = result.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+def _as_jobs(stream: DataFrame) -> DataFrame:
+    return stream.select(
+        F.col("user_id").cast("string").alias("task_id"), "ts", F.col("event_id").alias("seq"), F.lit("log").alias("kind"),
+        F.round(F.col("value") / 5).cast("int").alias("progress"), F.lit("").alias("stage"), F.col("event_type").alias("message"),
+    )
+
+
+@query()
+def stream_sessions(spark, folder):
+    stream, base = _feed(spark, folder)
+    out = _finish(windows.gap_sessions(stream, ["user_id"], "ts", "value", "12 hours", "10 days"), base, "append")
+    return out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("last").alias("last_us"), "n", F.round("energy", 6).alias("energy"))
+
+
+@query()
+def stream_rms(spark, folder):
+    stream, base = _feed(spark, folder)
+    out = _finish(windows.hopping_energy(stream, ["user_id"], "ts", "value", "6 hours", "3 hours", "10 days"), base, "append")
+    return out.select("user_id", F.unix_micros("window_start").alias("window_us"), "n", F.round("rms", 6).alias("rms"))
+
+
+@query(f"""WITH {EVENTS} SELECT CAST(user_id AS VARCHAR) AS task_id, CAST(least(99, max(CAST(value / 5 AS INTEGER))) AS INTEGER) AS progress FROM ev GROUP BY 1""")
+def stream_monotone_max(spark, folder):
+    stream, base = _feed(spark, folder)
+    out = _finish(state.monotone_progress(_as_jobs(stream)), base, "update")
+    return out.groupBy("task_id").agg(F.max("progress").alias("progress"))
+
+
+@query(f"""WITH {EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us DESC, event_id DESC) AS k FROM ev) SELECT CAST(user_id AS VARCHAR) AS task_id, event_id AS seq FROM r WHERE k > 3""")
+def stream_hold_back(spark, folder):
+    stream, base = _feed(spark, folder)
+    return _finish(state.hold_back(_as_jobs(stream), 3), base, "append").select("task_id", "seq")
+
+
+@query(f"""WITH {EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us DESC, event_id DESC) AS k FROM ev) SELECT CAST(user_id AS VARCHAR) AS task_id, event_id AS seq, event_type AS message FROM r WHERE k <= 20""")
+def stream_last_n(spark, folder):
+    stream, base = _feed(spark, folder)
+    out = _finish(state.backlog(_as_jobs(stream), 20), base, "update")
+    newest = out.groupBy("task_id").agg(F.max("batch").alias("batch"))
+    return out.join(newest, ["task_id", "batch"]).select("task_id", "seq", "message")

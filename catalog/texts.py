@@ -55,8 +55,8 @@ def mask_credentials(spark, folder):
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '[\r\n]')) AS line FROM documents), t AS (SELECT doc_id, trim(line, ' ') AS line FROM l)
-SELECT doc_id, CASE WHEN contains(lower(line), 'ready') OR contains(lower(line), 'already') THEN 'success' WHEN contains(lower(line), 'failed') OR contains(lower(line), 'error') THEN 'error' ELSE 'info' END AS level,
-  count(*) AS "lines", max(least(100, CAST(nullif(regexp_extract(line, '\b(\d{1,3})%\b', 1), '') AS INTEGER))) AS top_percent FROM t WHERE line <> '' GROUP BY 1, 2""")
+SELECT doc_id, level, "lines", CASE WHEN top IS NOT NULL THEN least(100, top) END AS top_percent FROM (SELECT doc_id, CASE WHEN contains(lower(line), 'ready') OR contains(lower(line), 'already') THEN 'success' WHEN contains(lower(line), 'failed') OR contains(lower(line), 'error') THEN 'error' ELSE 'info' END AS level,
+  count(*) AS "lines", max(CAST(nullif(regexp_extract(line, '\b(\d{1,3})%\b', 1), '') AS INTEGER)) AS top FROM t WHERE line <> '' GROUP BY 1, 2)""")
 def log_classify(spark, folder):
     from tidemark.streaming.windows import log_lines
 
@@ -135,15 +135,15 @@ def _prepared(spark, folder):
 
 def _passage_pairs(spark, folder):
     items, docs = _prepared(spark, folder)
-    pairs = shared_shingles(items, docs, "item_id", "doc_id", "tokens")
+    pairs = shared_shingles(items, docs, "item_id", "doc_id", "tokens", size=3)
     full = pairs.join(items.withColumnRenamed("tokens", "input"), "item_id").join(docs.withColumnRenamed("tokens", "reference"), "doc_id")
     return full.withColumn("text", F.col("reference"))
 
 
 PAIR = ["item_id", "doc_id"]
 TOKENS = f"""dt AS (SELECT doc_id, {WORDS} AS l FROM documents), bt AS (SELECT item_id, {WORDS} AS l FROM benchmark),
-  dr AS (SELECT DISTINCT doc_id, array_to_string(l[i:i+7], ' ') AS run FROM (SELECT doc_id, l, unnest(generate_series(1, len(l) - 7)) AS i FROM dt)),
-  br AS (SELECT DISTINCT item_id, array_to_string(l[i:i+7], ' ') AS run FROM (SELECT item_id, l, unnest(generate_series(1, len(l) - 7)) AS i FROM bt)),
+  dr AS (SELECT DISTINCT doc_id, array_to_string(l[i:i+2], ' ') AS run FROM (SELECT doc_id, l, unnest(generate_series(1, len(l) - 2)) AS i FROM dt)),
+  br AS (SELECT DISTINCT item_id, array_to_string(l[i:i+2], ' ') AS run FROM (SELECT item_id, l, unnest(generate_series(1, len(l) - 2)) AS i FROM bt)),
   pr AS (SELECT DISTINCT item_id, doc_id FROM dr JOIN br USING (run)),
   pp AS (SELECT item_id, doc_id, bt.l AS a, dt.l AS b FROM pr JOIN bt USING (item_id) JOIN dt USING (doc_id))"""
 
@@ -154,8 +154,8 @@ def shared_runs(spark, folder):
 
 
 @query(f"""WITH {TOKENS}, x AS (SELECT item_id, doc_id, ' ' || array_to_string(a, ' ') || ' ' AS a, ' ' || array_to_string(b, ' ') || ' ' AS b, len(a) AS n FROM pp),
-  y AS (SELECT *, instr(b, a) AS at FROM x WHERE contains(b, a))
-SELECT item_id, doc_id, CAST(length(substr(b, 1, at)) - length(replace(substr(b, 1, at), ' ', '')) - 1 AS INTEGER) AS "start", CAST(n AS INTEGER) AS n FROM y""")
+  y AS (SELECT *, instr(b, a) AS place FROM x WHERE contains(b, a))
+SELECT item_id, doc_id, CAST(length(substr(b, 1, place)) - length(replace(substr(b, 1, place), ' ', '')) - 1 AS INTEGER) AS "start", CAST(n AS INTEGER) AS n FROM y""")
 def exact_passage(spark, folder):
     best = M.best_windows(_passage_pairs(spark, folder), PAIR).filter("exact")
     return best.select(*PAIR, "start", (F.col("end") - F.col("start")).alias("n"))

@@ -63,6 +63,11 @@ def _edit_cost(pred: pd.DataFrame, target: pd.DataFrame, low: float, high: float
     return int(row[n])
 
 
+def _fresh(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Columns under new identities, so that a table can meet one derived from it."""
+    return df.select(*[F.col(c).alias(c) for c in columns])
+
+
 def label_edits(
     predicted: DataFrame, target: DataFrame, series: Sequence[str], low: float = 1, high: float = 2
 ) -> DataFrame:
@@ -79,6 +84,7 @@ def label_edits(
 
     types = dict(target.dtypes)
     shape = ", ".join(f"{c} {types[c]}" for c in keys) + ", edits bigint, total bigint"
+    predicted, target = (_fresh(df, [*keys, "idx", "time", "mark"]) for df in (predicted, target))
     counted = predicted.groupBy(*keys).cogroup(target.groupBy(*keys)).applyInPandas(compare, shape)
     return counted.withColumn("edit_ratio", edit_ratio("edits", "total"))
 
@@ -146,8 +152,10 @@ def boundary_displacement(predicted: DataFrame, target: DataFrame, series: Seque
 
     types = dict(target.dtypes)
     shape = ", ".join(f"{c} {types[c]}" for c in keys) + ", distance double, points bigint, errors bigint, rejected boolean"
-    left = predicted.join(other, keys, "left_semi").groupBy(*keys)
-    by_label = left.cogroup(target.join(other, keys, "left_semi").groupBy(*keys)).applyInPandas(align, shape)
+    columns = [*keys, "idx", "time", "mark"]
+    left = _fresh(predicted.join(other, keys, "left_semi"), columns).groupBy(*keys)
+    right = _fresh(target.join(other, keys, "left_semi"), columns).groupBy(*keys)
+    by_label = left.cogroup(right).applyInPandas(align, shape)
     return by_place.unionByName(by_label).join(spans.select(*keys, "span"), keys)
 
 
