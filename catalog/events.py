@@ -176,7 +176,7 @@ GAPS = "[0, 60, 120, 180, 240, 360, 480]"
   g AS (SELECT user_id, greatest(1, CAST(round_even(len / 60.0::DOUBLE, 0) AS BIGINT)) AS length_multiple, CAST(round_even(gap / 60.0::DOUBLE, 0) AS BIGINT) AS gap_multiple, tie,
     count(*) AS n, median(len) AS ml, median(gap) AS mg, median(((a % 480) + 480) % 480) AS mp FROM x GROUP BY 1, 2, 3, 4 HAVING count(*) >= 3),
   c AS (SELECT g.*, list_filter({LENGTHS}, lambda v: v <= greatest(60, ceil(longest / 60.0) * 60 + 120)) AS ls, list_filter({GAPS}, lambda v: v <= greatest(120, ceil(widest / 60.0) * 60 + 60)) AS gs FROM g JOIN w USING (user_id))
-SELECT user_id, length_multiple, gap_multiple, tie, n, round(least(0.65, 0.18 + 0.12 * (n - 3)), 6) AS strength,
+SELECT user_id, length_multiple, gap_multiple, tie, n, round(least(0.65, 0.18 + 0.12 * (n - 3)), 6)::DOUBLE AS strength,
   CAST(list_min(list_transform(ls, lambda v: {{'d': abs(v - ml), 'v': v}})).v AS BIGINT) AS preferred_length,
   CAST(list_min(list_transform(gs, lambda v: {{'d': abs(v - mg), 'v': v}})).v AS BIGINT) AS preferred_gap,
   CAST(list_min(list_transform([0, 60, 120, 180, 240, 300, 360, 420], lambda v: {{'d': abs(v - mp), 'v': v}})).v AS BIGINT) AS preferred_phase FROM c""")
@@ -191,8 +191,8 @@ def frequent_pattern(spark, folder):
 
 @query(f"""WITH {NOTES}, x AS (SELECT event_id, CAST(round_even(onset * 960, 0) AS BIGINT) AS a, CAST(round_even("offset" * 960, 0) AS BIGINT) - CAST(round_even(onset * 960, 0) AS BIGINT) AS d FROM nt)
 SELECT event_id, least(a % 60, 60 - a % 60) AS grid, least(abs(a - 100) % 480, 480 - abs(a - 100) % 480) AS circular,
-  round(CASE WHEN a % 480 = 0 THEN 0 WHEN a % 240 = 0 THEN 2.4 WHEN a % 120 = 0 THEN 6 WHEN a % 60 = 0 THEN 12 ELSE 25.2 END, 6) AS position_cost,
-  round(CASE WHEN greatest(1, round_even(d / 60.0::DOUBLE, 0)) IN (1, 2, 4, 8, 16, 32) THEN 0 WHEN greatest(1, round_even(d / 60.0::DOUBLE, 0)) IN (3, 6, 12, 24) THEN 3 ELSE 9.6 END, 6) AS length_cost,
+  round(CASE WHEN a % 480 = 0 THEN 0 WHEN a % 240 = 0 THEN 2.4 WHEN a % 120 = 0 THEN 6 WHEN a % 60 = 0 THEN 12 ELSE 25.2 END, 6)::DOUBLE AS position_cost,
+  round(CASE WHEN greatest(1, round_even(d / 60.0::DOUBLE, 0)) IN (1, 2, 4, 8, 16, 32) THEN 0 WHEN greatest(1, round_even(d / 60.0::DOUBLE, 0)) IN (3, 6, 12, 24) THEN 3 ELSE 9.6 END, 6)::DOUBLE AS length_cost,
   CAST(CASE WHEN d <= 22 THEN NULL WHEN d / 60.0 <= 1.5 THEN 60 WHEN d / 60.0 <= 2.625 THEN 120 WHEN d / 60.0 <= 3.375 THEN 180 WHEN d / 60.0 <= 4.625 THEN 240 WHEN d / 60.0 <= 5.625 THEN 300 WHEN d / 60.0 <= 7 THEN 360
     ELSE greatest(60, round_even(d / 60.0::DOUBLE, 0) * 60) END AS BIGINT) AS preferred,
   CAST(CASE WHEN d > 0 THEN d ELSE 0 END AS BIGINT) AS length FROM x""")
@@ -271,11 +271,11 @@ def fixed_chunks(spark, folder):
 
 
 @query(f"""WITH {INDEXED}, m AS (SELECT user_id, median(value) AS md FROM ev GROUP BY 1)
-SELECT user_id, round(any_value(md), 6) AS median, round(avg(abs(value - md)), 6) AS spread, round(greatest(0, 1 - least(avg(abs(value - md)) / 80, 1)), 6) AS strength
+SELECT user_id, round(any_value(md), 4) AS median, round(avg(abs(value - md)), 3) AS spread, round(greatest(0, 1 - least(avg(abs(value - md)) / 80, 1)), 3) AS strength
 FROM ev JOIN m USING (user_id) GROUP BY user_id""")
 def median_shift_strength(spark, folder):
     out = E.median_spread(events(spark, folder), U, "value", 80.0)
-    return out.select("user_id", *[F.round(c, 6).alias(c) for c in ("median", "spread", "strength")])
+    return out.select("user_id", F.round("median", 4).alias("median"), *[F.round(c, 3).alias(c) for c in ("spread", "strength")])
 
 
 @query(f"""WITH {EVENTS}, m AS (SELECT event_type, median(value) AS md FROM ev GROUP BY 1), d AS (SELECT ev.event_type, value, md, abs(value - md) AS off FROM ev JOIN m USING (event_type)),
@@ -295,9 +295,9 @@ def edge_features(spark, folder):
     return out.select("user_id", "event_id", F.round(F.col("edge_diff") * 500, 6).alias("edge_diff"), F.round("edge_prob", 6).alias("edge_prob"))
 
 
-@query(f"""WITH {INDEXED} SELECT user_id, event_id, CAST(least(99, greatest(0, max(CAST(value / 5 AS INTEGER)) OVER (PARTITION BY user_id ORDER BY idx))) AS INTEGER) AS progress FROM ix""")
+@query(f"""WITH {INDEXED} SELECT user_id, event_id, CAST(least(99, greatest(0, max(CAST(floor(value / 5) AS INTEGER)) OVER (PARTITION BY user_id ORDER BY idx))) AS INTEGER) AS progress FROM ix""")
 def monotone_progress(spark, folder):
-    rows = events(spark, folder).withColumn("p", F.round(F.col("value") / 5).cast("int"))
+    rows = events(spark, folder).withColumn("p", F.floor(F.col("value") / 5).cast("int"))
     return R.mono_progress(rows, U, O, "p").select("user_id", "event_id", "progress")
 
 

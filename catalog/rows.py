@@ -158,8 +158,8 @@ def label_lines(spark, folder):
     return out.select("user_id", "event_id", "line")
 
 
-@query(f"""WITH {_segments(12 * HOUR, 48)}, g AS (SELECT user_id, seg_id, {SEGMENT_COLUMNS} FROM s GROUP BY ALL)
-SELECT user_id, printf('user_%d_chunk%04d_off%08.2fs_dur%07.2fs', user_id, CAST(seg_id AS BIGINT), (start_us - 1704067200000000) / 1e6 / 3600, (end_us - start_us) / 1e6 / 3600) AS key FROM g""")
+@query(f"""WITH {_segments(12 * HOUR, 48)}, gg AS (SELECT user_id, seg_id, {SEGMENT_COLUMNS} FROM s GROUP BY ALL)
+SELECT user_id, printf('user_%d_chunk%04d_off%08.2fs_dur%07.2fs', user_id, CAST(seg_id AS BIGINT), (start_us - 1704067200000000) / 1e6 / 3600, (end_us - start_us) / 1e6 / 3600) AS key FROM gg""")
 def segment_keys(spark, folder):
     s = segmented(spark, folder).groupBy("user_id", "seg_id").agg(F.min("us").alias("a"), F.max("us").alias("b"))
     stem = F.concat(F.lit("user_"), F.col("user_id").cast("string"))
@@ -167,8 +167,8 @@ def segment_keys(spark, folder):
     return s.select("user_id", K.segment_key(stem, F.col("seg_id"), off, dur).alias("key"))
 
 
-@query(f"""WITH {_segments(12 * HOUR, 48)}, g AS (SELECT user_id, seg_id, min(us) AS a, max(us) AS b FROM s GROUP BY ALL)
-SELECT user_id, count(*) AS chunks, round(min(a) / 1e6, 6) AS first_offset, round(max(a) / 1e6, 6) AS last_offset, round(sum((b - a) / 1e6), 4) AS total FROM g GROUP BY 1""")
+@query(f"""WITH {_segments(12 * HOUR, 48)}, gg AS (SELECT user_id, seg_id, min(us) AS a, max(us) AS b FROM s GROUP BY ALL)
+SELECT user_id, count(*) AS chunks, round(min(a) / 1e6, 6) AS first_offset, round(max(a) / 1e6, 6) AS last_offset, round(sum((b - a) / 1e6), 4) AS total FROM gg GROUP BY 1""")
 def timing_documents(spark, folder):
     s = segmented(spark, folder).groupBy("user_id", "seg_id").agg(F.min("us").alias("a"), F.max("us").alias("b"))
     chunks = s.select(

@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.base import EVENTS, query, table
+from catalog.base import EVENTS, HOUR, query, table
 from tidemark.session import checkpoint_dir
 from tidemark.streaming import state, windows
 
+SLICES = 4
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FEED = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
@@ -20,8 +21,13 @@ def _feed(spark: SparkSession, folder: str) -> tuple[DataFrame, str]:
     base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     ts = F.expr("timestampadd(MICROSECOND, timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts), timestamp'1970-01-01 00:00:00+00:00')")
     rows = table(spark, folder, "events").withColumn("ts", ts)
-    rows.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(f"{base}/feed")
-    stream = spark.readStream.schema(FEED).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{base}/feed")
+    # written slice by slice, as a file stream reads files in the order they were written
+    us = F.unix_micros("ts")
+    low, high = rows.agg(F.min(us), F.max(us)).first()
+    place = F.least(F.lit(SLICES - 1), F.floor((us - low) * SLICES / (high - low + 1)))
+    for k in range(SLICES):
+        rows.filter(place == k).write.parquet(f"{base}/feed/slice={k}")
+    stream = spark.readStream.schema(FEED).option("maxFilesPerTrigger", 1000).parquet(f"{base}/feed/slice=*")
     return stream, base
 
 
@@ -41,25 +47,29 @@ def _finish(result: DataFrame, base: str, mode: str) -> DataFrame:
 def _as_jobs(stream: DataFrame) -> DataFrame:
     return stream.select(
         F.col("user_id").cast("string").alias("task_id"), "ts", F.col("event_id").alias("seq"), F.lit("log").alias("kind"),
-        F.round(F.col("value") / 5).cast("int").alias("progress"), F.lit("").alias("stage"), F.col("event_type").alias("message"),
+        F.floor(F.col("value") / 5).cast("int").alias("progress"), F.lit("").alias("stage"), F.col("event_type").alias("message"),
     )
 
 
-@query()
+@query(f"""WITH {EVENTS}, x AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us) <= {12 * HOUR} THEN 0 ELSE 1 END AS new FROM ev),
+  s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us) AS k FROM x)
+SELECT user_id, min(us) AS start_us, max(us) AS last_us, count(*) AS n, round(sqrt(avg(value * value)), 6) AS energy FROM s GROUP BY user_id, k
+HAVING max(us) + {12 * HOUR} <= (SELECT max(us) FROM ev) - {240 * HOUR}""")
 def stream_sessions(spark, folder):
     stream, base = _feed(spark, folder)
     out = _finish(windows.gap_sessions(stream, ["user_id"], "ts", "value", "12 hours", "10 days"), base, "append")
     return out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("last").alias("last_us"), "n", F.round("energy", 6).alias("energy"))
 
 
-@query()
+@query(f"""WITH {EVENTS}, x AS (SELECT user_id, value, unnest([us // {3 * HOUR} * {3 * HOUR}, us // {3 * HOUR} * {3 * HOUR} - {3 * HOUR}]) AS window_us FROM ev)
+SELECT user_id, window_us, count(*) AS n, round(sqrt(avg(value * value)), 6) AS rms FROM x GROUP BY 1, 2 HAVING window_us + {6 * HOUR} <= (SELECT max(us) FROM ev) - {240 * HOUR}""")
 def stream_rms(spark, folder):
     stream, base = _feed(spark, folder)
     out = _finish(windows.hopping_energy(stream, ["user_id"], "ts", "value", "6 hours", "3 hours", "10 days"), base, "append")
     return out.select("user_id", F.unix_micros("window_start").alias("window_us"), "n", F.round("rms", 6).alias("rms"))
 
 
-@query(f"""WITH {EVENTS} SELECT CAST(user_id AS VARCHAR) AS task_id, CAST(least(99, max(CAST(value / 5 AS INTEGER))) AS INTEGER) AS progress FROM ev GROUP BY 1""")
+@query(f"""WITH {EVENTS} SELECT CAST(user_id AS VARCHAR) AS task_id, CAST(least(99, max(CAST(floor(value / 5) AS INTEGER))) AS INTEGER) AS progress FROM ev GROUP BY 1""")
 def stream_monotone_max(spark, folder):
     stream, base = _feed(spark, folder)
     out = _finish(state.monotone_progress(_as_jobs(stream)), base, "update")

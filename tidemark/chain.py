@@ -13,13 +13,28 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.scan import BLOCK
 from tidemark.session import stage
 
 
+# Groups of consecutive runs that share one call; a run has a small fixed bound.
+RUNS_PER_CALL = 256
+
+
+def run_slices(ids: np.ndarray) -> list[slice]:
+    """Slices of equal neighbours in a sorted array."""
+    edges = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+    return [slice(a, b) for a, b in zip(edges, edges[1:])]
+
+
+def call_bucket(run: str) -> Column:
+    """Number of the call that works a run."""
+    return F.floor(F.col(run) / RUNS_PER_CALL)
+
+
 def _followers(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
     pdf = pdf.sort_values("_pos", kind="stable", ignore_index=True)
     at = pdf["_pos"].to_numpy()

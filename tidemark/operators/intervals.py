@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.chain import call_bucket, run_slices
 from tidemark.functions.checks import STOP_LABELS
 from tidemark.functions.grid import _c
 from tidemark.scan import BLOCK, ROWS_PER_BLOCK, Scan, block_limit, with_blocks
@@ -191,17 +192,20 @@ def align_boundaries(
 
     def clamp(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx", ignore_index=True)
-        before, out = pdf["_low"].iat[0], []
-        for raw, nxt, want in zip(pdf["raw"], pdf["_next"], pdf["_want"]):
-            low, high = before + MIN_GAP, nxt - MIN_GAP
-            before = min(max(want, low), high) if low < high else raw
-            out.append(before)
+        raws, nexts, wants, lows = (pdf[c].tolist() for c in ("raw", "_next", "_want", "_low"))
+        out = []
+        for stretch in run_slices(pdf["_stretch"].to_numpy()):
+            before = lows[stretch.start]
+            for i in range(stretch.start, stretch.stop):
+                low, high = before + MIN_GAP, nexts[i] - MIN_GAP
+                before = min(max(wants[i], low), high) if low < high else raws[i]
+                out.append(before)
         pdf["end"] = out
         return pdf[[*keys, "idx", "end"]]
 
     types = dict(near.dtypes)
     shape = ", ".join(f"{c} {types[c]}" for c in [*keys, "idx"]) + ", end double"
-    moved = near.groupBy(*keys, "_stretch").applyInPandas(clamp, shape).withColumnRenamed("end", "_moved")
+    moved = near.groupBy(*keys, call_bucket("_stretch")).applyInPandas(clamp, shape).withColumnRenamed("end", "_moved")
     rows = rows.drop("_next").join(moved, [*keys, "idx"], "left").withColumn("_end", F.coalesce("_moved", "end"))
     rows = Scan(rows, keys, ["idx"]).lag("_start", "_end").columns()
     others = [c for c in words.columns if c not in (*keys, "idx", "start", "end")]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.chain import greedy_chain
+from tidemark.chain import call_bucket, greedy_chain, run_slices
 from tidemark.functions.grid import _c
 from tidemark.scan import BLOCK, ROWS_PER_BLOCK, Scan, with_blocks
 
@@ -67,9 +67,9 @@ def tied_phrases(
         F.coalesce(gap >= 0, F.lit(True)).alias("_open"),
     )
     rows = Scan(rows, series, order).last_valid("_first", F.when(F.col("_hard"), F.col("_row"))).columns()
-    rows = rows.withColumn("_root", F.col("_first"))
-    # rows on which a phrase can start; the chain of each island starts at its first row
-    nodes = rows.filter(F.col("_open") | F.col("_hard")).select(
+    # the first row of an island starts a phrase; only rows beyond the cap need the chain
+    rows = rows.withColumn("_root", F.col("_first") + cap)
+    nodes = rows.filter(F.col("_open") & (F.col("_row") >= F.col("_root"))).select(
         *series, *([BLOCK] if BLOCK in rows.columns else []), "_first", "_root", "_row",
         (F.col("_row") + cap).alias("_reach"),
     )
@@ -79,7 +79,7 @@ def tied_phrases(
     marked = rows.join(starts, [*series, "_row"], "left")
     return (
         Scan(marked, series, order)
-        .running_sum("_seg", F.coalesce("_start", F.lit(0)).cast("bigint"))
+        .running_sum("_seg", (F.col("_hard") | F.col("_start").isNotNull()).cast("bigint"))
         .columns()
         .select(*df.columns, (F.col("_seg") - 1).alias("seg_id"))
     )
@@ -210,21 +210,22 @@ def anchored_runs(
     rows = Scan(rows, series, order).lag("_end", end).columns()
     cut = F.col("_end").isNull() | (F.abs(F.col("_end") - F.col(start)) >= max_gap) | (F.col(label) != continuation)
     rows = Scan(rows.withColumn("_cut", cut.cast("bigint")), series, order).running_sum("_run", "_cut").columns()
-    # neighbours nearer than the tolerance never leave a run of equal values
     rows = rows.select(*df.columns, "_run")
 
     def anchor(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), kind="stable", ignore_index=True)
-        base, part, parts = None, -1, []
-        for v in pdf[value].to_numpy():
-            if base is None or not abs(base - v) < tolerance:
-                base, part = v, part + 1
-            parts.append(part)
+        pdf = pdf.sort_values(["_run", *order], kind="stable", ignore_index=True)
+        values, parts = pdf[value].to_numpy(), []
+        for run in run_slices(pdf["_run"].to_numpy()):
+            base, part = None, -1
+            for v in values[run]:
+                if base is None or not abs(base - v) < tolerance:
+                    base, part = v, part + 1
+                parts.append(part)
         pdf["_part"] = pd.Series(parts, dtype="int64")
         return pdf
 
     schema = rows.schema.simpleString()[7:-1] + ",_part:bigint"
-    parts = rows.groupBy(*series, "_run").applyInPandas(anchor, schema)
+    parts = rows.groupBy(*series, call_bucket("_run")).applyInPandas(anchor, schema)
     place = F.struct(*order)
     return parts.groupBy(*series, "_run", "_part").agg(
         F.min(start).alias(start),

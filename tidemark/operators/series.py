@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.chain import call_bucket, run_slices
 from tidemark.functions.grid import _c
 from tidemark.scan import ROWS_PER_BLOCK, Scan, with_blocks
 
@@ -32,21 +33,24 @@ def despike(
     """Pull values more than ``limit`` off their neighbours towards them, left to right.
 
     The left neighbour counts with its new value, so this is a fold; ``run``
-    must name a bounded group such as the points of one interval.
+    must name a bounded group such as the points of one interval, its last
+    column an integer number.
     """
+    number = run[-1]
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order), ignore_index=True)
+        pdf = pdf.sort_values([number, *order], ignore_index=True)
         v = pdf[value].to_numpy(dtype=float)
-        for i in range(1, len(v) - 1):
-            off = v[i] - (v[i - 1] + v[i + 1]) / 2.0
-            if abs(off) > limit:
-                v[i] = np.rint(v[i] - off * blend)
+        for run_slice in run_slices(pdf[number].to_numpy()):
+            for i in range(run_slice.start + 1, run_slice.stop - 1):
+                off = v[i] - (v[i - 1] + v[i + 1]) / 2.0
+                if abs(off) > limit:
+                    v[i] = np.rint(v[i] - off * blend)
         pdf[name] = v.astype("int64")
         return pdf
 
     schema = df.schema.simpleString()[7:-1] + f",{name}:bigint"
-    return df.groupBy(*run).applyInPandas(fold, schema)
+    return df.groupBy(*run[:-1], call_bucket(number)).applyInPandas(fold, schema)
 
 
 def fill_short_gaps(

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.chain import call_bucket, run_slices
 from tidemark.functions import grid as G
 from tidemark.operators.islands import gap_or_cap_segments, tied_phrases
 from tidemark.scan import BLOCK, ROWS_PER_BLOCK, Scan, block_limit, with_blocks
@@ -196,6 +197,13 @@ def snap_phrases(
         pdf = pdf.sort_values("_i", ignore_index=True)
         raw = list(zip(pdf["_on"].tolist(), pdf["_off"].tolist()))
         tied = (pdf["_tie"] != 0).tolist()
+        out = pdf[[*keys, "seg_id", "_i"]].copy()
+        done = [decode_one(raw[s], tied[s]) for s in run_slices(pdf["seg_id"].to_numpy())]
+        for k, c in enumerate(("_s", "_e", "_costs")):
+            out[c] = [row for part in done for row in part[k]]
+        return out
+
+    def decode_one(raw: list, tied: list):
         cands = [_Candidates(a, b, grid) for a, b in raw]
         ways, costs = [], []
         for centre in centres:
@@ -214,17 +222,14 @@ def snap_phrases(
             way, cost = _decode(cands, local, own)
             ways.append(way)
             costs.append(cost)
-        out = pdf[[*keys, "seg_id", "_i"]].copy()
-        out["_s"] = [[w[i][0] for w in ways] for i in range(len(raw))]
-        out["_e"] = [[w[i][1] for w in ways] for i in range(len(raw))]
-        out["_costs"] = [costs] * len(raw)
-        return out
+        n = range(len(raw))
+        return [[w[i][0] for w in ways] for i in n], [[w[i][1] for w in ways] for i in n], [costs for _ in n]
 
     types = dict(rows.dtypes)
     shape = ", ".join(f"{c} {types[c]}" for c in [*keys, "seg_id", "_i"])
     shape += ", _s array<bigint>, _e array<bigint>, _costs array<double>"
     small = rows.select(*keys, "seg_id", "_i", "_on", "_off", (F.coalesce(F.col(label), F.lit("")) == "-").cast("int").alias("_tie"))
-    ways = stage(small.groupBy(*keys, "seg_id").applyInPandas(decode, shape))
+    ways = stage(small.groupBy(*keys, call_bucket("seg_id")).applyInPandas(decode, shape))
     heads = ways.groupBy(*keys, "seg_id").agg(F.first("_costs").alias("_costs"))
     heads = with_blocks(heads.withColumn("_n", F.col("seg_id") + 1), keys, "_n", block_limit(rows, rows_per_block))
 
@@ -368,9 +373,18 @@ def snap_prior(
 
     def decode(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_i", ignore_index=True)
-        cands = [_prior_candidates(a, b, step) for a, b in zip(pdf["_on"].tolist(), pdf["_off"].tolist())]
-        centre, weight = pdf["centre"].iat[0], pdf["weight"].iat[0]
-        usual, strength, wanted = (pdf[c].to_numpy(dtype=float) for c in ("_usual", "strength", "preferred_length"))
+        columns = [pdf[c].to_numpy(dtype=float) for c in ("centre", "weight", "_usual", "strength", "preferred_length")]
+        on, off = pdf["_on"].tolist(), pdf["_off"].tolist()
+        way = []
+        for s in run_slices(pdf["seg_id"].to_numpy()):
+            way += decode_one(on[s], off[s], *[c[s] for c in columns])
+        out = pdf[[*keys, "_i"]].copy()
+        out["_start"], out["_end"] = [w[0] for w in way], [w[1] for w in way]
+        return out
+
+    def decode_one(on, off, centres, weights, usual, strength, wanted):
+        cands = [_prior_candidates(a, b, step) for a, b in zip(on, off)]
+        centre, weight = centres[0], weights[0]
 
         def local(i, before):
             c = cands[i]
@@ -388,14 +402,11 @@ def snap_prior(
                 cost = np.where(after | ~after.any(axis=0), cost, np.inf)
             return cost
 
-        way, _ = _decode(cands, local)
-        out = pdf[[*keys, "_i"]].copy()
-        out["_start"], out["_end"] = [w[0] for w in way], [w[1] for w in way]
-        return out
+        return _decode(cands, local)[0]
 
     types = dict(small.dtypes)
     shape = ", ".join(f"{c} {types[c]}" for c in [*keys, "_i"]) + ", _start bigint, _end bigint"
-    placed = small.groupBy(*keys, "seg_id").applyInPandas(decode, shape)
+    placed = small.groupBy(*keys, call_bucket("seg_id")).applyInPandas(decode, shape)
     limit = block_limit(rows, rows_per_block)
     placed = placed if limit is None else stage(placed)
     fixed = repair_overlaps(placed, keys, "_i", "_start", "_end", step, limit)
@@ -423,16 +434,18 @@ def repair_overlaps(
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(index, ignore_index=True)
-        before, starts, ends = None, [], []
-        for s, e in zip(pdf[start], pdf[end]):
-            s = s if before is None else max(s, before)
-            before = e if e > s else s + step
-            starts.append(s)
-            ends.append(before)
+        olds, starts, ends = list(zip(pdf[start].tolist(), pdf[end].tolist())), [], []
+        for part in run_slices(pdf["_part"].to_numpy()):
+            before = None
+            for s, e in olds[part]:
+                s = s if before is None else max(s, before)
+                before = e if e > s else s + step
+                starts.append(s)
+                ends.append(before)
         pdf[start], pdf[end] = starts, ends
         return pdf[names]
 
-    return rows.select(*names, "_part").groupBy(*keys, "_part").applyInPandas(fold, df.schema)
+    return rows.select(*names, "_part").groupBy(*keys, call_bucket("_part")).applyInPandas(fold, df.schema)
 
 
 def snap_timeline(
