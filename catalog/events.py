@@ -271,11 +271,11 @@ def fixed_chunks(spark, folder):
 
 
 @query(f"""WITH {INDEXED}, m AS (SELECT user_id, median(value) AS md FROM ev GROUP BY 1)
-SELECT user_id, round(any_value(md), 4) AS median, round(avg(abs(value - md)), 3) AS spread, round(greatest(0, 1 - least(avg(abs(value - md)) / 80, 1)), 3) AS strength
+SELECT user_id, round(any_value(md), 9) AS median, round(avg(abs(value - md)), 9) AS spread, round(greatest(0, 1 - least(avg(abs(value - md)) / 80, 1)), 9) AS strength
 FROM ev JOIN m USING (user_id) GROUP BY user_id""")
 def median_shift_strength(spark, folder):
     out = E.median_spread(events(spark, folder), U, "value", 80.0)
-    return out.select("user_id", F.round("median", 4).alias("median"), *[F.round(c, 3).alias(c) for c in ("spread", "strength")])
+    return out.select("user_id", *[F.round(c, 9).alias(c) for c in ("median", "spread", "strength")])
 
 
 @query(f"""WITH {EVENTS}, m AS (SELECT event_type, median(value) AS md FROM ev GROUP BY 1), d AS (SELECT ev.event_type, value, md, abs(value - md) AS off FROM ev JOIN m USING (event_type)),

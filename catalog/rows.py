@@ -168,7 +168,7 @@ def segment_keys(spark, folder):
 
 
 @query(f"""WITH {_segments(12 * HOUR, 48)}, gg AS (SELECT user_id, seg_id, min(us) AS a, max(us) AS b FROM s GROUP BY ALL)
-SELECT user_id, count(*) AS chunks, round(min(a) / 1e6, 6) AS first_offset, round(max(a) / 1e6, 6) AS last_offset, round(sum((b - a) / 1e6), 4) AS total FROM gg GROUP BY 1""")
+SELECT user_id, count(*) AS chunks, round(min(a) / 1e6, 6) AS first_offset, round(max(a) / 1e6, 6) AS last_offset, round(sum((b - a) / 1e6), 6) AS total FROM gg GROUP BY 1""")
 def timing_documents(spark, folder):
     s = segmented(spark, folder).groupBy("user_id", "seg_id").agg(F.min("us").alias("a"), F.max("us").alias("b"))
     chunks = s.select(
@@ -179,7 +179,7 @@ def timing_documents(spark, folder):
     back = B.timing_rows(docs)
     return back.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("chunks"), F.round(F.min("offset"), 6).alias("first_offset"), F.round(F.max("offset"), 6).alias("last_offset"),
-        F.round(F.sum("duration"), 4).alias("total"),
+        F.round(F.sum("duration"), 6).alias("total"),
     )
 
 
