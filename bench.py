@@ -13,7 +13,7 @@ HEADLINE = (
     "point_in_interval", "nearest_asof", "subtract_intervals", "fill_gaps_complement", "derived_key_join",
     "manifest_upsert", "clean_text", "tokenize_letters", "unknown_tokens", "majority_sequence",
 )
-RUNS = 3
+RUNS = 2
 
 
 def main() -> None:
@@ -32,6 +32,7 @@ def main() -> None:
             QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - at)
         # the first run also compiles
+        print(name, [round(t, 2) for t in times], file=sys.stderr, flush=True)
         seconds[name] = round(min(times[1:]), 3)
     spark.stop()
     sf = os.path.basename(folder.rstrip("/")).removeprefix("sf")
