@@ -1,6 +1,24 @@
 """Operators of a training-data pipeline and their registered queries."""
 
-from tidemark.llm import language_id, line_dedup, packing, quality_rules, token_counts, toxicity
+from tidemark.llm import (
+    language_id,
+    line_dedup,
+    ngram_join,
+    packing,
+    quality_rules,
+    token_counts,
+    toxicity,
+)
 from tidemark.llm.base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "language_id", "line_dedup", "packing", "quality_rules", "token_counts", "toxicity"]
+__all__ = [
+    "QUERIES",
+    "SQL",
+    "language_id",
+    "line_dedup",
+    "ngram_join",
+    "packing",
+    "quality_rules",
+    "token_counts",
+    "toxicity",
+]
