@@ -6,6 +6,7 @@ from tidemark.llm import (
     ngram_join,
     packing,
     quality_rules,
+    substring_dedup,
     token_counts,
     toxicity,
 )
@@ -19,6 +20,7 @@ __all__ = [
     "ngram_join",
     "packing",
     "quality_rules",
+    "substring_dedup",
     "token_counts",
     "toxicity",
 ]
