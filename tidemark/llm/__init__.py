@@ -1,6 +1,7 @@
 """Operators of a training-data pipeline and their registered queries."""
 
 from tidemark.llm import (
+    decontamination,
     language_id,
     line_dedup,
     ngram_join,
@@ -15,6 +16,7 @@ from tidemark.llm.base import QUERIES, SQL
 __all__ = [
     "QUERIES",
     "SQL",
+    "decontamination",
     "language_id",
     "line_dedup",
     "ngram_join",
