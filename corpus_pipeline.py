@@ -1,10 +1,58 @@
-"""Corpus pipeline: stages over ``documents``, each written as Parquet and read by the next."""
+"""Corpus pipeline: stages over ``documents``, each written as Parquet and read by the next.
+
+A stage takes (spark, docs, sf_dir) and returns the columns of ``docs`` with its decisions in effect; the last one
+returns packed pieces. Rows without doc_id are linked with nothing and stay; a text that a stage leaves empty stays as an
+empty document.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import decontamination, line_dedup, ngram_join, packing, token_counts, toxicity
+from tidemark.llm.tables import written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not scored as toxic, by labels of the corpus."""
+    index = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, index).where("predicted = 0").select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines that many documents share; ``n_chars`` follows the text."""
+    rows = line_dedup.drop_lines(docs)
+    text = F.when(F.col("n_dropped") > 0, F.col("kept")).otherwise(F.col("text"))
+    length = F.when(F.col("n_dropped") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
+    return rows.withColumns({"n_chars": length, "text": text}).select(*docs.columns)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of the smallest id."""
+    copies = ngram_join.near_duplicates(docs).where("doc_id != component_id").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontamination.without_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of what is left, packed into sequences."""
+    return packing.pack_documents(docs, token_counts.vocabulary_path())
+
+
+STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("near_duplicates", drop_copies), ("decontamination", drop_leaks), ("packing", pack)]
+
+#: Nearest examples, fingerprints and packing are not expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,6 +6,7 @@ from tidemark.llm import (
     line_dedup,
     ngram_join,
     packing,
+    pii,
     quality_rules,
     substring_dedup,
     token_counts,
@@ -21,6 +22,7 @@ __all__ = [
     "line_dedup",
     "ngram_join",
     "packing",
+    "pii",
     "quality_rules",
     "substring_dedup",
     "token_counts",
