@@ -57,10 +57,14 @@ class Runs:
         return [self.spark.table(n) for level in self.levels for n in level]
 
     def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        rows = runs[0]
-        for r in runs[1:]:
-            rows = rows.unionByName(r)
-        return rows.groupBy(*self.KEY).agg(F.sum("docs").alias("docs"), F.max("last").alias("last"), F.max("fresh").alias("fresh"))
+        """Runs merged two by two along their buckets, without an exchange."""
+        while len(runs) > 1:
+            left, right = runs[0], runs[1].select(*self.KEY, *[F.col(c).alias(f"_{c}") for c in ("docs", "last", "fresh")])
+            both = left.join(right, list(self.KEY), "full_outer")
+            docs = F.coalesce("docs", F.lit(0)) + F.coalesce("_docs", F.lit(0))
+            fresh = F.coalesce("fresh", F.lit(False)) | F.coalesce("_fresh", F.lit(False))
+            runs = [both.select(*self.KEY, docs.alias("docs"), F.greatest("last", "_last").alias("last"), fresh.alias("fresh")), *runs[2:]]
+        return runs[0]
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Add the (h1, h2, docs, last) of one batch, a row per hash; returns its run with ``fresh`` for hashes no run had.
