@@ -21,7 +21,7 @@ from tidemark.llm.base import WordIds, documents, map_rows, mixed, query, texts_
 
 #: Largest distance of fingerprints; with four blocks it lets one block differ in two bits.
 RADIUS, BLOCKS, BLOCK_BITS = 11, 4, 16
-#: Least similarity, words of a shingle, places between windows, and places around a candidate that are verified.
+#: Least similarity, words of a shingle, most places between windows, and places around a candidate that are verified.
 LEAST, SIZE, STRIDE, AROUND = 0.75, 5, 3, 3
 #: Items looked up at a time; a larger benchmark is taken in blocks of so many.
 MOST_ITEMS = 5_000
@@ -151,8 +151,9 @@ class Items:
         begin = end - np.repeat([len(part) for _, _, part in batch], [len(part) for _, _, part in batch])
         total, every = signed_bits(self.names.of(words), words, self.kind), np.arange(len(words))
         for size, group in self.groups.items():
-            # every third place of a text, and its last window
-            at = every[(((every - begin) % STRIDE == 0) | (every + size == end)) & (every + size <= end)]
+            # every few places of a text, and its last window
+            stride = max(1, min(STRIDE, size // 6))
+            at = every[(((every - begin) % stride == 0) | (every + size == end)) & (every + size <= end)]
             if not len(at):
                 continue
             tried: dict[tuple[int, int], int] = {}

@@ -2,7 +2,7 @@
 
 Detected entities get a keyed replacement of their type: letters stand for letters of their script and case (vowels for
 vowels), digits for digits, addresses stay addresses, card numbers keep a valid check digit, titled names keep their title
-and last letter and with them their gender. All mentions of one entity, in any layout or case, get one surrogate. A
+and the last letter of each part and with them their gender. All mentions of one entity, in any layout or case, get one surrogate. A
 surrogate that is another entity's, or is itself found in the texts, is drawn again until all are distinct.
 """
 
@@ -87,7 +87,8 @@ def surrogate(secret: str, kind: Column, entity: Column, attempt: Column) -> Col
         for letters in ALPHABETS:
             out = F.when(F.instr(F.lit(letters), c) > 0, F.substring(F.lit(letters), F.pmod(n, F.lit(len(letters))).cast("int") + 1, 1)).otherwise(out)
         out = F.when(hexes, F.substring(F.lit("0123456789abcdef"), F.pmod(n, F.lit(16)).cast("int") + 1, 1)).otherwise(out)
-        last = i == F.length(entity) - 1
+        # the end of each part of a name
+        last = ~F.substring(entity, i + 2, F.lit(1)).rlike(r"\p{L}")
         fixed = (
             ((kind == "access_key") & (i < 4))
             | (kind.startswith("name_") & last)

@@ -147,7 +147,9 @@ def quality(docs: DataFrame, share: float = SHARE, steps: int = 3, cut: float =
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", "kept"]
     carried = [c for c in docs.columns if c not in (*made, "text")]
-    rows = base_statistics(docs.select(*carried, "text")).drop("text")
+    # other columns travel together, so that no name of theirs can clash
+    rows = docs.select(F.struct(*[F.col(c) for c in carried]).alias("_carried") if carried else F.lit(0).alias("_carried"), "text", "lang", "source")
+    rows = base_statistics(rows).drop("text")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     lang, source = F.coalesce(F.concat(F.lit("l"), F.col("lang")), F.lit("")), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit(""))
     rows = written(rows.withColumns({"base_failed": failed, "_lang": lang, "_source": source} | transformed()))
@@ -169,7 +171,7 @@ def quality(docs: DataFrame, share: float = SHARE, steps: int = 3, cut: float =
     out = with_distance(rows.join(written(final), ["_lang", "_source"], "left"))
     out = out.withColumn("d2", F.col("d2") / F.col("_scale"))
     verdict = sound & F.coalesce(F.col("d2") <= cut, F.lit(True))
-    return out.withColumn("kept", verdict).select(*carried, *made)
+    return out.withColumn("kept", verdict).select(*[F.col("_carried")[c].alias(c) for c in carried], *made)
 
 
 def first_estimates(vectors: DataFrame) -> DataFrame:
