@@ -8,8 +8,11 @@ kept where it needs fewer bins.
 
 from __future__ import annotations
 
+import json
 import os
+import sys
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -21,14 +24,20 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.base import documents, map_rows, query, texts_of
 from tidemark.llm.tables import written
-from tidemark.llm.token_counts import BESIDE, MOST_PIECES, vocabulary_path
+from tidemark.llm.token_counts import PIECES, byte_symbols, vocabulary_path
 
+#: Words whose ids a task remembers.
+MOST_WORDS = 1_200_000
 PIECE = "doc_id {kind}, piece int, start long, length long, ids_crc32 long"
 PACKED = "id long, length long, round int, part long, bin long, offset long, fill long, bins long, bound long"
 
 
 class Encoder:
-    """Ids of whole texts as little-endian 32-bit numbers; ids between blanks are remembered."""
+    """Ids of whole texts as little-endian 32-bit numbers; ids between blanks are remembered.
+
+    Where the file's ids follow the order of its merges, ids of single words come from the rank form of the same
+    vocabulary, which gives the same ids.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -37,27 +46,69 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.whole = regex.compile("|".join(map(regex.escape, added))) if added else None
-        self.words: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        self.words: dict[str, bytes | bool] = {}
+        self.ranked = self._ranked(path)
+        self.stops = {c: self.stretch(c) for c in ",."}
+        if array("I").itemsize != 4 or sys.byteorder != "little":
+            raise ValueError("ids are kept in the byte order of the machine")
+
+    @staticmethod
+    def _ranked(path: str):
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        ids, merges = spec["model"]["vocab"], [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        made = [ids[a + b] for a, b in merges]
+        if made != sorted(set(made)) or (made and min(made) < 256):
+            return None
+        import tiktoken
+
+        back = {c: b for b, c in byte_symbols().items()}
+        ranks = {bytes(back[c] for c in t): i for t, i in ids.items() if all(c in back for c in t)}
+        return tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> bytes:
         """The library's ids, without begin, end or added special tokens."""
-        found = self.library.encode_batch(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
-
-    def ids(self, text: str) -> bytes:
-        if (self.whole is not None and self.whole.search(text)) or BESIDE.search(text):
-            return self.encode([text])[0]
-        # no piece of the byte-level rule crosses a blank that stands alone
-        first, *rest = text.split(" ")
-        known = self.words
-        lacking = [w for w in dict.fromkeys(rest) if w not in known]
-        if len(known) + len(lacking) > MOST_PIECES:
-            known.clear()
-            lacking = list(dict.fromkeys(rest))
-        if lacking:
-            known.update(zip(lacking, self.encode([" " + w for w in lacking])))
-        head = self.encode([first])[0] if first else b""
-        return head + b"".join(map(known.__getitem__, rest))
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def stretch(self, text: str) -> bytes:
+        """Ids of a stretch without added tokens."""
+        return array("I", self.ranked.encode_ordinary(text)).tobytes() if self.ranked else self.encode(text)
+
+    def word(self, word: str) -> bytes | bool:
+        """Ids of a blank and a word; False where the blank stands beside other white space."""
+        if not word or word[0].isspace() or word[-1].isspace():
+            return False
+        if word[-1] in self.stops and word[:-1].isalpha():
+            # letters and what follows them are pieces of their own
+            core = self.words.get(word[:-1])
+            if core is None:
+                core = self.words[word[:-1]] = self.stretch(" " + word[:-1])
+            return core + self.stops[word[-1]]
+        return self.stretch(" " + word)
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        out, known = [], self.words
+        for text in texts:
+            c = [] if self.whole is not None and self.whole.search(text) else text.split(" ")
+            # no piece of the byte-level rule crosses a blank that stands alone
+            if not c or (len(c) > 1 and (c[0][-1:].isspace() or c[-1][:1].isspace() or (not c[-1] and not c[-2]))):
+                out.append(self.encode(text))
+                continue
+            inner = c[1:-1]
+            found = list(map(known.get, inner))
+            if None in found:
+                if len(known) > MOST_WORDS:
+                    known.clear()
+                for i, ids in enumerate(found):
+                    if ids is None:
+                        found[i] = known[inner[i]] = self.word(inner[i])
+            if False in found:
+                out.append(self.encode(text))
+                continue
+            head = self.stretch(c[0]) if c[0] else b""
+            tail = self.stretch(" " + c[-1]) if len(c) > 1 else b""
+            out.append(b"".join([head, *found, tail]))
+        return out
 
 
 @lru_cache(maxsize=4)
@@ -74,10 +125,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) ->
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         e, tail = encoder(path), np.asarray([end_id], "<u4").tobytes()
-        keys, texts = batch.column(0).to_pylist(), texts_of(batch)
+        keys, all_ids = batch.column(0).to_pylist(), e.ids([t.decode("utf-8", "replace") for t in texts_of(batch)])
         out = []
-        for key, text in zip(keys, texts):
-            ids = e.ids(text.decode("utf-8", "replace")) + tail
+        for key, ids in zip(keys, all_ids):
+            ids += tail
             n = len(ids) // 4
             at, i = 0, 0
             while at < n:
