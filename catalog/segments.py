@@ -43,13 +43,13 @@ def silence_segments(spark, folder):
 
 @query()
 def windowed_cut(spark, folder):
-    frames = S.hopping_rms(samples(spark, folder), U, "pos", "v", 8, 2).filter(F.col("samples") / RATE > 6.0)
+    frames = S.hopping_rms(samples(spark, folder), U, "pos", "v", 8, 2)
     return S.windowed_cuts(frames, U, RATE, 2, 2.0, 6.0, limit_db=-22.0)
 
 
 @query()
 def unvoiced_cut(spark, folder):
-    frames = S.hopping_rms(samples(spark, folder), U, "pos", "v", 8, 2).filter(F.col("samples") / RATE > 6.0)
+    frames = S.hopping_rms(samples(spark, folder), U, "pos", "v", 8, 2)
     return S.windowed_cuts(frames.withColumn("voiced", F.col("rms") > 0.1), U, RATE, 2, 2.0, 6.0, voiced="voiced")
 
 

@@ -12,12 +12,18 @@ from tidemark.session import checkpoint_dir
 from tidemark.streaming import state, windows
 
 SLICES = 4
+# user of the rows that close a stream, and how long after the last event they come
+CLOSING, AFTER = -1, ("400 days", "401 days")
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FEED = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
 
 def _feed(spark: SparkSession, folder: str) -> tuple[DataFrame, str]:
-    """The events table as a stream, and a shared folder for its checkpoint and result."""
+    """The events table as a stream of one batch per slice, and a shared folder for its checkpoint and result.
+
+    Two late rows at the end move the watermark, so that all windows of the table are closed, and one row of type
+    ``end`` per user tells that no more will come.
+    """
     base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     ts = F.expr("timestampadd(MICROSECOND, timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts), timestamp'1970-01-01 00:00:00+00:00')")
     rows = table(spark, folder, "events").withColumn("ts", ts)
@@ -25,12 +31,24 @@ def _feed(spark: SparkSession, folder: str) -> tuple[DataFrame, str]:
     us = F.unix_micros("ts")
     low, high = rows.agg(F.min(us), F.max(us)).first()
     place = F.least(F.lit(SLICES - 1), F.floor((us - low) * SLICES / (high - low + 1)))
+    names = rows.columns
     for k in range(SLICES):
-        rows.filter(place == k).write.parquet(f"{base}/feed/slice={k}")
-    stream = spark.readStream.schema(FEED).option("maxFilesPerTrigger", 1000).parquet(f"{base}/feed/slice=*")
+        rows.filter(place == k).coalesce(1).write.parquet(f"{base}/feed/slice={k}")
+    ends = rows.groupBy("user_id").agg(F.max("ts").alias("ts")).withColumns({"event_id": F.lit(-1).cast("bigint"), "event_type": F.lit("end"), "value": F.lit(0.0), "props": F.lit("")})
+    ends.select(*names).coalesce(1).write.parquet(f"{base}/feed/slice={SLICES}")
+    last = spark.range(1).select(F.timestamp_micros(F.lit(high)).alias("ts"))
+    for k, after in enumerate(AFTER):
+        late = last.select((F.col("ts") + F.expr(f"interval {after}")).alias("ts"), F.lit(CLOSING).cast("bigint").alias("user_id"), F.lit(-1).cast("bigint").alias("event_id"), F.lit("close").alias("event_type"), F.lit(0.0).alias("value"), F.lit("").alias("props"))
+        late.select(*names).coalesce(1).write.parquet(f"{base}/feed/slice={SLICES + 1 + k}")
+    stream = spark.readStream.schema(FEED).option("maxFilesPerTrigger", 1).parquet(f"{base}/feed/slice=*")
     return stream, base
 
 
+def _events_only(stream: DataFrame) -> DataFrame:
+    """Without the rows that end a user; those that move the watermark stay."""
+    return stream.filter("event_type != 'end'")
+
+
 def _finish(result: DataFrame, base: str, mode: str) -> DataFrame:
     """Run a stream to its end; every batch goes to its own folder, so a repeated one replaces itself."""
     spark = result.sparkSession
@@ -46,45 +64,44 @@ def _finish(result: DataFrame, base: str, mode: str) -> DataFrame:
 
 def _as_jobs(stream: DataFrame) -> DataFrame:
     return stream.select(
-        F.col("user_id").cast("string").alias("task_id"), "ts", F.col("event_id").alias("seq"), F.lit("log").alias("kind"),
+        F.col("user_id").cast("string").alias("task_id"), "ts", F.col("event_id").alias("seq"), F.when(F.col("event_type") == "end", "end").otherwise("log").alias("kind"),
         F.floor(F.col("value") / 5).cast("int").alias("progress"), F.lit("").alias("stage"), F.col("event_type").alias("message"),
     )
 
 
 @query(f"""WITH {EVENTS}, x AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us) <= {12 * HOUR} THEN 0 ELSE 1 END AS new FROM ev),
   s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us) AS k FROM x)
-SELECT user_id, min(us) AS start_us, max(us) AS last_us, count(*) AS n, round(sqrt(avg(value * value)), 6) AS energy FROM s GROUP BY user_id, k
-HAVING max(us) + {12 * HOUR} <= (SELECT max(us) FROM ev) - {240 * HOUR}""")
+SELECT user_id, min(us) AS start_us, max(us) AS last_us, count(*) AS n, round(sqrt(avg(value * value)), 6) AS energy FROM s GROUP BY user_id, k""")
 def stream_sessions(spark, folder):
     stream, base = _feed(spark, folder)
-    out = _finish(windows.gap_sessions(stream, ["user_id"], "ts", "value", "12 hours", "10 days"), base, "append")
+    out = _finish(windows.gap_sessions(_events_only(stream), ["user_id"], "ts", "value", "12 hours", "10 days"), base, "append").filter(F.col("user_id") != CLOSING)
     return out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("last").alias("last_us"), "n", F.round("energy", 6).alias("energy"))
 
 
 @query(f"""WITH {EVENTS}, x AS (SELECT user_id, value, unnest([us // {3 * HOUR} * {3 * HOUR}, us // {3 * HOUR} * {3 * HOUR} - {3 * HOUR}]) AS window_us FROM ev)
-SELECT user_id, window_us, count(*) AS n, round(sqrt(avg(value * value)), 6) AS rms FROM x GROUP BY 1, 2 HAVING window_us + {6 * HOUR} <= (SELECT max(us) FROM ev) - {240 * HOUR}""")
+SELECT user_id, window_us, count(*) AS n, round(sqrt(avg(value * value)), 6) AS rms FROM x GROUP BY 1, 2""")
 def stream_rms(spark, folder):
     stream, base = _feed(spark, folder)
-    out = _finish(windows.hopping_energy(stream, ["user_id"], "ts", "value", "6 hours", "3 hours", "10 days"), base, "append")
+    out = _finish(windows.hopping_energy(_events_only(stream), ["user_id"], "ts", "value", "6 hours", "3 hours", "10 days"), base, "append").filter(F.col("user_id") != CLOSING)
     return out.select("user_id", F.unix_micros("window_start").alias("window_us"), "n", F.round("rms", 6).alias("rms"))
 
 
 @query(f"""WITH {EVENTS} SELECT CAST(user_id AS VARCHAR) AS task_id, CAST(least(99, max(CAST(floor(value / 5) AS INTEGER))) AS INTEGER) AS progress FROM ev GROUP BY 1""")
 def stream_monotone_max(spark, folder):
     stream, base = _feed(spark, folder)
-    out = _finish(state.monotone_progress(_as_jobs(stream)), base, "update")
+    out = _finish(state.monotone_progress(_as_jobs(_events_only(stream))), base, "update").filter(F.col("task_id") != str(CLOSING))
     return out.groupBy("task_id").agg(F.max("progress").alias("progress"))
 
 
-@query(f"""WITH {EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us DESC, event_id DESC) AS k FROM ev) SELECT CAST(user_id AS VARCHAR) AS task_id, event_id AS seq FROM r WHERE k > 3""")
+@query(f"""WITH {EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us DESC, event_id DESC) AS k FROM ev) SELECT CAST(user_id AS VARCHAR) AS task_id, event_id AS seq FROM r""")
 def stream_hold_back(spark, folder):
     stream, base = _feed(spark, folder)
-    return _finish(state.hold_back(_as_jobs(stream), 3), base, "append").select("task_id", "seq")
+    return _finish(state.hold_back(_as_jobs(stream), 3), base, "append").filter(F.col("task_id") != str(CLOSING)).select("task_id", "seq")
 
 
 @query(f"""WITH {EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us DESC, event_id DESC) AS k FROM ev) SELECT CAST(user_id AS VARCHAR) AS task_id, event_id AS seq, event_type AS message FROM r WHERE k <= 20""")
 def stream_last_n(spark, folder):
     stream, base = _feed(spark, folder)
-    out = _finish(state.backlog(_as_jobs(stream), 20), base, "update")
+    out = _finish(state.backlog(_as_jobs(_events_only(stream)), 20), base, "update").filter(F.col("task_id") != str(CLOSING))
     newest = out.groupBy("task_id").agg(F.max("batch").alias("batch"))
     return out.join(newest, ["task_id", "batch"]).select("task_id", "seq", "message")

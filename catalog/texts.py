@@ -23,9 +23,9 @@ def documents(spark, folder):
     return table(spark, folder, "documents")
 
 
-@query(f"SELECT doc_id, {CLEAN} AS cleaned FROM documents")
+@query(rf"""SELECT doc_id, CASE WHEN lang = 'en' THEN {CLEAN} ELSE trim(regexp_replace(regexp_replace(text, '[^\p{{L}}\p{{M}}\p{{Nd}}\s,.!?;:"''\-]', '', 'g'), '\s+', ' ', 'g')) END AS cleaned FROM documents""")
 def clean_text(spark, folder):
-    return documents(spark, folder).select("doc_id", T.clean_text("text", "en").alias("cleaned"))
+    return documents(spark, folder).select("doc_id", T.clean_by_language("text", "lang").alias("cleaned"))
 
 
 @query("SELECT doc_id, translate(text, 'āáǎàōóǒòēéěèīíǐìūúǔùḿǹǖǘǚǜü', 'aaaaooooeeeeiiiiuuuumnvvvvv') AS folded FROM documents")

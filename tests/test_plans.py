@@ -99,8 +99,7 @@ def test_scoring(spark):
     assert got[2] == (2, None) and got[6] == (None, "RuntimeError: bad batch") and got[9] == (9, None)
     s = spark.createDataFrame([(1, 100, i, 0.0) for i in range(6)], "s int, seg bigint, at bigint, v double")
     halves = lambda v: [(0, len(v) // 2), (len(v) // 2, len(v))]
-    assert sorted((r.start, r.end) for r in split_segments(s, ["s"], "seg", "at", "v", 10.0, halves, 10).collect()) == [(100, 103), (103, 106)]
-    assert split_segments(s, ["s"], "seg", "at", "v", 10.0, halves, 5).count() == 1
+    assert sorted((r.start, r.end) for r in split_segments(s, ["s"], "seg", "at", "v", 10.0, halves).collect()) == [(100, 103), (103, 106)]
 
 
 def test_batch_plan(spark):

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.scan import BLOCK
+from tidemark.scan import BLOCK, null_safe_left
 from tidemark.session import stage
 
 
@@ -39,6 +39,8 @@ def _followers(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]
     pdf = pdf.sort_values("_pos", kind="stable", ignore_index=True)
     at = pdf["_pos"].to_numpy()
     reach = pdf["_jump"].to_numpy()
+    if "_span" in pdf and len(at) and (reach - at > pdf["_span"].iat[0]).any():
+        raise ValueError(f"a row reaches further than the span of {pdf['_span'].iat[0]}")
     return pdf, at, np.maximum(np.searchsorted(at, reach), np.arange(1, len(at) + 1))
 
 
@@ -118,7 +120,7 @@ def greedy_chain(
         entries = entries.select(
             *[F.col(a).alias(c) for c, a in zip(keys, k)], BLOCK, F.col("_enter").alias("_block_enter")
         )
-        nodes = nodes.join(entries, groups, "left").select(
+        nodes = null_safe_left(nodes, entries, groups).select(
             *df.columns, "_pos", "_jump", F.coalesce("_block_enter", "_enter").alias("_enter")
         )
     return nodes.groupBy(*groups).applyInPandas(_mark, nodes.schema).select(*df.columns)

@@ -121,8 +121,17 @@ def lcs_length(a, b) -> Column:
 CODE_BASE = 0x4E00
 
 
+def code_point(number) -> Column:
+    """One character for a number from 0 to about a million; the range of surrogates is left out."""
+    n = _c(number) + CODE_BASE
+    n = F.when(n >= 0xD800, n + 0x800).otherwise(n)
+    # a byte order mark would be taken as one
+    n = F.when(n >= 0xFEFF, n + 1).otherwise(n)
+    return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+
+
 def edit_distance(a, b) -> Column:
-    """Edit distance of two token arrays of up to 35,000 distinct tokens per pair.
+    """Edit distance of two token arrays.
 
     Each distinct token of the pair stands for one code point, so the built-in
     string distance counts whole tokens.
@@ -134,9 +143,7 @@ def edit_distance(a, b) -> Column:
         return F.array_join(
             F.transform(
                 arr,
-                lambda t: F.decode(
-                    F.unhex(F.lpad(F.hex(F.array_position(tokens, t) + (CODE_BASE - 1)), 4, "0")), "UTF-16BE"
-                ),
+                lambda t: code_point(F.array_position(tokens, t) - 1),
             ),
             "",
         )

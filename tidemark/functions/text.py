@@ -101,6 +101,19 @@ def clean_text(text, language: str) -> Column:
     return squeeze(t if pattern is None else F.regexp_replace(t, pattern, ""))
 
 
+#: Languages written in Latin letters with marks: every letter stays, and the marks of the English rule.
+LETTER_PATTERN = r"""[^\p{L}\p{M}\p{Nd}\s,.!?;:"'\-]"""
+
+
+def clean_by_language(text, language) -> Column:
+    """As ``clean_text`` with the language of each row; a language without a rule of its own keeps all letters."""
+    lang = F.lower(F.trim(_c(language)))
+    out = squeeze(F.regexp_replace(_c(text), LETTER_PATTERN, ""))
+    for name in CLEAN_PATTERNS:
+        out = F.when(lang == name, clean_text(text, name)).otherwise(out)
+    return out
+
+
 def script_filter(text, language) -> Column:
     """For zh and ja, drop ASCII words and marks and rejoin CJK across spaces."""
     from tidemark.functions.checks import language_code

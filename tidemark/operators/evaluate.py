@@ -115,7 +115,8 @@ def boundary_displacement(predicted: DataFrame, target: DataFrame, series: Seque
     """Distance between matching boundaries per series of points ``idx, time, mark``.
 
     Series of equal length match by position and are rejected when a label
-    differs; the others match along a longest common subsequence.  Returns
+    differs; the others match along a longest common subsequence.  A target
+    series without predictions counts all its points as errors.  Returns
     ``distance, points, errors, rejected, span``.
     """
     keys = list(series)
@@ -127,7 +128,7 @@ def boundary_displacement(predicted: DataFrame, target: DataFrame, series: Seque
         F.count(F.lit(1)).alias("_t"),
         (F.max_by("time", "idx") - F.min_by("time", "idx")).alias("span"),
     )
-    sizes = spans.join(sized(predicted, "_p"), keys)
+    sizes = spans.join(sized(predicted, "_p"), keys, "left")
     places = target.select(*keys, "idx", F.col("time").alias("_time"), F.col("mark").alias("_mark"))
     equal = sizes.filter("_p = _t").select(*keys)
     by_place = (
@@ -156,7 +157,10 @@ def boundary_displacement(predicted: DataFrame, target: DataFrame, series: Seque
     left = _fresh(predicted.join(other, keys, "left_semi"), columns).groupBy(*keys)
     right = _fresh(target.join(other, keys, "left_semi"), columns).groupBy(*keys)
     by_label = left.cogroup(right).applyInPandas(align, shape)
-    return by_place.unionByName(by_label).join(spans.select(*keys, "span"), keys)
+    nothing = sizes.filter("_p IS NULL").select(
+        *keys, F.lit(0.0).alias("distance"), F.lit(0).cast("bigint").alias("points"), F.col("_t").alias("errors"), F.lit(False).alias("rejected")
+    )
+    return by_place.unionByName(by_label).unionByName(nothing).join(spans.select(*keys, "span"), keys)
 
 
 def displacement_totals(per_series: DataFrame) -> DataFrame:

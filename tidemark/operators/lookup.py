@@ -13,7 +13,8 @@ from tidemark.scan import ROWS_PER_BLOCK, Scan, salted_join, with_blocks
 
 
 def explode_tokens(df: DataFrame, keys: Sequence[str], tokens: str) -> DataFrame:
-    return df.select(*keys, F.posexplode(tokens).alias("pos", "token"))
+    # the outer form: else the optimiser filters on the array first and so computes it again
+    return df.select(*keys, F.posexplode_outer(tokens).alias("pos", "token")).filter(F.col("pos").isNotNull())
 
 
 def dictionary_join(

@@ -38,26 +38,24 @@ def batched_scores(
 
 def split_segments(
     samples: DataFrame, keys: Sequence[str], segment: str, at: str, value: str, rate: float,
-    splitter: Callable[[list], list], max_samples: int,
+    splitter: Callable[[list], list],
 ) -> DataFrame:
-    """User splitter per segment of at most ``max_samples``: ``(keys, start, end)`` on the series.
+    """User splitter on every segment: ``(keys, start, end)`` on the series.
 
     ``splitter`` gets the values of a segment and returns ``(start, end)`` sample
-    pairs inside it; the segment start is added here.  Longer segments stay whole.
+    pairs inside it; the segment start is added here.  A segment is one call, as
+    the splitter needs it whole: cut series to a greatest length before
+    (``windowed_cuts``).
     """
     group = [*keys, segment]
     types = dict(samples.dtypes)
-    sizes = samples.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    small = samples.join(sizes.filter(F.col("_n") <= max_samples).select(*group), group, "left_semi")
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         values = pdf.sort_values(at)[value].tolist()
         return pd.DataFrame([[*key, a, b] for a, b in splitter(values)])
 
     shape = ", ".join(f"{c} {types[c]}" for c in group) + ", _a bigint, _b bigint"
-    pieces = small.groupBy(*group).applyInPandas(run, shape).unionByName(
-        sizes.filter(F.col("_n") > max_samples).select(*group, F.lit(0).cast("bigint").alias("_a"), F.col("_n").alias("_b"))
-    )
+    pieces = samples.groupBy(*group).applyInPandas(run, shape)
     begin = F.col(segment)
     return pieces.select(
         *keys, (begin + F.col("_a")).alias("start"), (begin + F.col("_b")).alias("end"), ((begin + F.col("_a")) / rate).alias("offset")

@@ -271,8 +271,8 @@ def windowed_cuts(
 ) -> DataFrame:
     """Cut long series so that every piece is between ``min_len`` and ``max_len`` seconds.
 
-    ``frames`` holds ``frame``, ``rms`` and ``samples`` of series longer than
-    ``max_len``.  With ``voiced`` the cut goes to the middle of the longest run
+    ``frames`` holds ``frame``, ``rms`` and ``samples``; a series not longer than
+    ``max_len`` is one piece.  With ``voiced`` the cut goes to the middle of the longest run
     of false frames in the window, else to the last frame below ``limit_db``;
     both fall back to the quietest frame.  Returns ``(series, start, end)`` in
     samples.  The cut that follows a frame depends on the frames of one window
@@ -320,7 +320,8 @@ def windowed_cuts(
     piece = F.struct(sample(F.col("frame")).alias("start"), sample(F.col("_cut")).alias("end"))
     tail = F.struct(sample(F.col("_cut")).alias("start"), F.col("samples").cast("bigint").alias("end"))
     pieces = F.when(F.col("_more").isNull(), F.array(piece, tail)).otherwise(F.array(piece))
-    return chosen.select(*keys, F.inline(pieces))
+    whole = frames.groupBy(*keys).agg(F.max("samples").cast("bigint").alias("end")).filter(F.col("end") / rate <= max_len)
+    return chosen.select(*keys, F.inline(pieces)).unionByName(whole.select(*keys, F.lit(0).cast("bigint").alias("start"), "end"))
 
 
 def nearest_flags(

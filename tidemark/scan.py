@@ -18,6 +18,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,17 +53,26 @@ def with_blocks(
             *series,
             "_lo",
             ((F.col("_hi") - F.col("_lo")) / F.ceil(F.col("_n") / F.lit(rows_per_block / 2))).alias("_width"),
+            F.lit(True).alias("_large"),
         )
     )
     large = stage(large)
     if large.isEmpty():
         return df
-    position = F.when(F.col("_width") > 0, F.floor((F.col(time) - F.col("_lo")) / F.col("_width"))).otherwise(0)
-    return df.join(large, list(series), "left").select(
-        *columns, F.when(F.col("_width").isNotNull(), position.cast("bigint")).alias(BLOCK)
+    # rows without a time come first in any order, so they go to the lowest block
+    position = F.when(F.col("_width") > 0, F.coalesce(F.floor((F.col(time) - F.col("_lo")) / F.col("_width")), F.lit(0))).otherwise(0)
+    return null_safe_left(df, large, series).select(
+        *columns, F.when(F.col("_large"), position.cast("bigint")).alias(BLOCK)
     )
 
 
+def null_safe_left(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on keys of which NULL is a value like any other; the right keys are dropped."""
+    named = right.select(*[F.col(k).alias(f"_j{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_j{i}")) for i, k in enumerate(keys)])
+    return left.join(named, same, "left").drop(*[f"_j{i}" for i in range(len(keys))])
+
+
 def block_limit(checked: DataFrame, rows_per_block: int | None) -> int | None:
     """Limit for tables with no more rows per series than one already checked."""
     return rows_per_block if BLOCK in checked.columns else None
@@ -170,7 +181,7 @@ class Scan:
         carry = summary.select(
             *keys, *[self._carry(s, F.col(f"_s{i}"), over).alias(f"_c{i}") for i, s in enumerate(self._steps)]
         )
-        return local.join(carry, keys, "left").select(
+        return null_safe_left(local, carry, keys).select(
             *kept,
             *[
                 self._finish(s, F.col(f"_l{i}"), F.col(f"_c{i}")).alias(s.name)

@@ -76,7 +76,8 @@ class _Progress(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         best = self._best.get()[0] if self._best.exists() else 0
         top = max(int(frame["progress"].max()) for frame in rows)
-        best = max(best, min(99, top))
+        done = any((frame["kind"] == "complete").any() for frame in rows if "kind" in frame)
+        best = max(best, 100 if done else min(99, top))
         self._best.update((best,))
         yield pd.DataFrame({"task_id": [key[0]], "progress": [best]})
 
@@ -136,7 +137,7 @@ class _Timeout(StatefulProcessor):
 
 
 class _HoldBack(StatefulProcessor):
-    """Releases a row once ``size`` later rows of its key have arrived."""
+    """Releases a row once ``size`` later rows of its key have arrived, and all at the row of kind ``end``."""
 
     def __init__(self, size: int):
         self._size = size
@@ -146,9 +147,12 @@ class _HoldBack(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         held = [tuple(r) for r in self._rows.get()]
-        held += [(r.ts, int(r.seq), r.message) for r in _in_order(rows).itertuples()]
-        ready, held = (held[: -self._size], held[-self._size :]) if self._size else (held, [])
-        self._rows.put(held)
+        new = _in_order(rows)
+        ends = "kind" in new and bool((new["kind"] == "end").any())
+        held += [(r.ts, int(r.seq), r.message) for r in new.itertuples() if getattr(r, "kind", None) != "end"]
+        ready, held = (held[: -self._size], held[-self._size :]) if self._size and not ends else (held, [])
+        # a list in state is never empty
+        self._rows.put(held) if held else self._rows.clear()
         if ready:
             out = pd.DataFrame(ready, columns=["ts", "seq", "message"])
             out.insert(0, "task_id", key[0])
@@ -186,5 +190,5 @@ def silence_timeouts(events: DataFrame, seconds: int = TIMEOUT_SECONDS, delay: s
 
 
 def hold_back(events: DataFrame, size: int) -> DataFrame:
-    """Events in order, each after ``size`` later ones of its key."""
+    """Events in order, each after ``size`` later ones of its key; a row of kind ``end`` releases what is held."""
     return _apply(events, _HoldBack(size), "task_id string, ts timestamp, seq bigint, message string", "Append")
