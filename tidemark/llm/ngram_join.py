@@ -2,10 +2,10 @@
 
 Documents with the same set are one node. A node lists its n-grams by an order in which frequent ones come last (a
 sketch of fixed size tells them), and only the first part enters the incidence, which is as long as the bound on the
-overlap of a linked pair leaves necessary. The product then goes column by column: first each node against the least
-node of its columns, which joins large groups of near copies without their pairs; what is left are columns that hold
-several components, and their products are taken in blocks. Overlap counts are added up, pairs below the bound
-that their sizes give are discarded, and the rest are verified on whole sets.
+overlap of a linked pair leaves necessary. The product then goes column by column: in large columns first each node against the
+least one, which joins groups of near copies without their pairs; what is left are columns that hold several
+components, and their products are taken in blocks. Overlap counts are added up, pairs below the bound that their
+sizes and places in the lists give are discarded, and the rest are verified on whole sets.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ NUM, DEN = 75, 100
 SKETCH_BITS, SKETCH_PARTS = 20, 64
 #: Rows of a column that one task multiplies with the column.
 BLOCK = 256
+#: Rows from which a column is large.
+LARGE = 16
 #: Sets remembered in a task, so that copies are listed once.
 MOST_SEEN = 200_000
 _UPPER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -92,7 +94,7 @@ def added_up(rows: DataFrame) -> np.ndarray:
 
 
 def incidence(docs: DataFrame, sketch: np.ndarray, size: int) -> DataFrame:
-    """(gram, node, n) of the first part of each node's list."""
+    """(gram, node, n, pos) of the first part of each node's list; ``pos`` counts from 1."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,9 +120,11 @@ def incidence(docs: DataFrame, sketch: np.ndarray, size: int) -> DataFrame:
                 long = [len(p) for p in parts]
                 gram = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
                 node = np.repeat(np.asarray(nodes, np.uint64), long)
-                yield pa.record_batch([pa.array(signed(gram)), pa.array(signed(node)), pa.array(np.repeat(np.asarray(sizes, np.int32), long))], ["gram", "node", "n"])
+                pos = np.concatenate([np.arange(1, k + 1, dtype=np.int32) for k in long]) if long else np.zeros(0, np.int32)
+                sized = np.repeat(np.asarray(sizes, np.int32), long)
+                yield pa.record_batch([pa.array(signed(gram)), pa.array(signed(node)), pa.array(sized), pa.array(pos)], ["gram", "node", "n", "pos"])
 
-    return docs.mapInArrow(run, "gram long, node long, n int")
+    return docs.mapInArrow(run, "gram long, node long, n int, pos int")
 
 
 def whole_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -204,34 +208,36 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     table = incidence(sound.select("text"), sketch, size).repartition("gram")
     column = Window.partitionBy("gram")
     lead = F.min(F.struct("node", "n")).over(column)
-    shared = table.select("gram", "node", "n", lead.alias("lead"), F.max("node").over(column).alias("last")).where(F.col("lead.node") != F.col("last"))
-    shared = written(shared.select("gram", "node", "n", F.col("lead.node").alias("b"), F.col("lead.n").alias("nb")).distinct())
-
-    # each node against the least node of its columns, the one it has most columns with
-    counted = shared.where((F.col("node") != F.col("b")) & compatible(F.col("n"), F.col("nb"))).groupBy("node", "b").agg(F.count("*").alias("c"))
-    first = counted.groupBy("node").agg(F.max_by("b", F.struct("c", "b")).alias("b")).select(F.col("node").alias("a"), "b")
-    texts = sound.join(reps, sound["key"] == reps["rep"]).join(shared.select("node").distinct(), "node").select("node", "text").dropDuplicates(["node"])
-    sets = written(whole_sets(texts, size))
-    links = written(linked(written(first), sets))
+    shared = table.select("gram", "node", "n", "pos", lead.alias("lead"), F.max("node").over(column).alias("last"), F.count("*").over(column).alias("c"))
+    shared = shared.where(F.col("lead.node") != F.col("last"))
+    shared = written(shared.select("gram", "node", "n", "pos", "c", F.col("lead.node").alias("b"), F.col("lead.n").alias("nb")).distinct())
+
+    def sets(pairs: DataFrame) -> DataFrame:
+        """Whole sets of the nodes of some pairs."""
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        texts = sound.join(ends.join(reps, "node").select("node", F.col("rep").alias("key")), "key").dropDuplicates(["node"])
+        return written(whole_sets(texts, size))
+
+    # in large columns each node against the least one, of those the one it has most columns with
+    large = shared.where((F.col("c") >= LARGE) & (F.col("node") != F.col("b")) & compatible(F.col("n"), F.col("nb")))
+    counted = large.groupBy("node", "b").agg(F.count("*").alias("c")).where("c > 1")
+    first = written(counted.groupBy("node").agg(F.max_by("b", F.struct("c", "b")).alias("b")).select(F.col("node").alias("a"), "b"))
+    links = written(linked(first, sets(first)))
 
     # columns that hold several components, multiplied in blocks
     joined = components(links)
-    held = shared.select("gram", "node", "n").join(joined, "node", "left").select("gram", "node", "n", F.coalesce("root", "node").alias("root"))
+    held = shared.select("gram", "node", "n", "pos").join(joined, "node", "left").select("gram", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
     per_gram = held.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("c")).where("low != high")
     mixed = held.join(per_gram.select("gram", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "gram")
     mixed = written(mixed)
-    left = mixed.select("gram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    right = mixed.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    left = mixed.select("gram", *[F.col(c).alias(d) for c, d in (("node", "a"), ("n", "na"), ("root", "ra"), ("pos", "pa"))], F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    right = mixed.select("gram", *[F.col(c).alias(d) for c, d in (("node", "b"), ("n", "nb"), ("root", "rb"), ("pos", "pb"))], F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     products = left.join(right, ["gram", "block"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & compatible(F.col("na"), F.col("nb")))
-    overlap = products.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-
-    def rest(n: str) -> Column:
-        return F.ceil(F.col(n) * NUM / F.lit(DEN)) - 1
-
-    # common members outside the lists are at most what one of the two has left
+    overlap = products.groupBy("a", "b").agg(F.count("*").alias("c"), *[F.max(x).alias(x) for x in ("na", "nb", "pa", "pb")])
+    # lists have one order: all common members up to the last one found are counted, and behind it one set has no more than is left
     wanted = F.ceil((F.col("na") + F.col("nb")) * NUM / F.lit(NUM + DEN))
-    more = overlap.where(F.col("c") + F.greatest(rest("na"), rest("nb")) >= wanted)
-    links = links.unionByName(linked(more, sets))
+    more = written(overlap.where(F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= wanted).select("a", "b"))
+    links = links.unionByName(linked(more, sets(more)))
 
     named = links.join(reps.select(F.col("node").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("node").alias("b"), F.col("rep").alias("rb")), "b")
     roots = components(named.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).withColumnRenamed("node", "rep")
