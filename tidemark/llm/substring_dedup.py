@@ -3,8 +3,8 @@
 Rounds rename a text's words: first runs of one symbol, then pairs of a left and a right symbol, get a name made from the
 names they hold. Names depend on content alone, so all texts are named alike without an exchange, and equal passages
 get equal symbols but near their ends. How far a symbol's name depends on its surroundings is carried along (its
-support); a window takes as anchor the least name among the highest-level symbols whose support lies in it, so equal
-windows have equal anchors. Consecutive windows of one anchor are a stretch, the unit of exchange: an anchor of one
+support); a window takes as anchor the least name among the highest-level symbols whose support lies in it, together with
+the words that such a support may cover, so equal windows have equal anchors. Consecutive windows of one anchor are a stretch, the unit of exchange: an anchor of one
 stretch is unique, stretches of one name that are all alike repeat as a whole, and only where stretches differ
 are their windows compared one by one.
 """
@@ -97,13 +97,13 @@ def least_places(value: np.ndarray, width: int, n: int) -> np.ndarray:
     return np.where(value[right] < value[left], right, left)
 
 
-def stretches(ids: np.ndarray, window: int, rounds: int, support: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def stretches(ids: np.ndarray, window: int, rounds: int, support: int, known: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchor, first window and number of windows of each stretch of a text."""
     n = len(ids) - window + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     width = window - support + 1
-    anchor, place = np.full(n, _NONE), np.full(n, -1, np.int64)
+    anchor, place, first = np.full(n, _NONE), np.full(n, -1, np.int64), np.zeros(n, np.int64)
     for depth, s in reversed(list(enumerate(levels(ids, rounds)))):
         lack = anchor == _NONE
         if not lack.any():
@@ -115,8 +115,10 @@ def stretches(ids: np.ndarray, window: int, rounds: int, support: int) -> tuple[
         found = lack & (value[at] != _NONE)
         anchor[found] = value[at][found]
         place[found] = at[found] * (rounds + 1) + depth
+        first[found] = at[found]
     head = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    return anchor[head], head, np.diff(np.append(head, n))
+    # all windows of a stretch hold the words that the support may cover; short symbols meet by chance, these words hardly do
+    return rolled(ids, first[head], first[head] + support, known), head, np.diff(np.append(head, n))
 
 
 class Reader:
@@ -147,7 +149,7 @@ def all_stretches(rows: DataFrame, window: int, rounds: int, support: int) -> Da
         anchors, names, starts, sizes, long = [], [], [], [], []
         for text in texts_of(batch):
             _, ids = reader.ids(text)
-            anchor, start, size = stretches(ids, window, rounds, support)
+            anchor, start, size = stretches(ids, window, rounds, support, reader.known)
             anchors.append(anchor)
             names.append(rolled(ids, start, start + size + window - 1, reader.known) if len(start) else anchor)
             starts.append(start)
