@@ -249,7 +249,13 @@ def fill_short_gaps(spark, folder):
     return R.fill_short_gaps(h, U, "x", "y")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_segments(12 * HOUR, 48)},
+  y AS (SELECT user_id, seg_id, us, event_id, CAST(round_even(value, 0) AS BIGINT) AS y, row_number() OVER (PARTITION BY user_id, seg_id ORDER BY us, event_id) AS k FROM s),
+  p AS (SELECT *, lead(y) OVER (PARTITION BY user_id, seg_id ORDER BY k) AS n FROM y),
+  f AS (SELECT *, CAST(y AS DOUBLE) AS v FROM p WHERE k = 1
+    UNION ALL SELECT p.*, CASE WHEN abs(p.y - (f.v + p.n) / 2.0) > 75 THEN round_even(p.y - (p.y - (f.v + p.n) / 2.0) * 0.7, 0) ELSE CAST(p.y AS DOUBLE) END
+    FROM f JOIN p ON p.user_id = f.user_id AND p.seg_id = f.seg_id AND p.k = f.k + 1)
+SELECT user_id, CAST(seg_id AS BIGINT) AS seg_id, us, event_id, y, CAST(v AS BIGINT) AS smoothed FROM f""")
 def despike(spark, folder):
     rows = segmented(spark, folder).withColumn("y", F.rint("value").cast("bigint"))
     return R.despike(rows.select("user_id", "seg_id", "us", "event_id", "y"), ["user_id", "seg_id"], O, "y")
@@ -318,12 +324,23 @@ def rebuild_increasing_intervals(spark, folder):
     return out.select("user_id", "event_id", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {NOTES}, o AS (SELECT *, row_number() OVER w AS rn, lag("offset") OVER w AS before FROM nt WINDOW w AS (PARTITION BY user_id ORDER BY onset, event_id)),
+  x AS (SELECT *, before IS NULL OR abs(before - onset) >= 6.0 OR lyric <> '-' AS cut FROM o),
+  r AS (SELECT user_id, rn, pitch AS base, rn AS g FROM x WHERE rn = 1
+    UNION ALL SELECT x.user_id, x.rn, CASE WHEN cut OR NOT abs(base - pitch) < 8 THEN pitch ELSE base END, CASE WHEN cut OR NOT abs(base - pitch) < 8 THEN x.rn ELSE g END
+    FROM r JOIN x ON x.user_id = r.user_id AND x.rn = r.rn + 1)
+SELECT user_id, min(onset) AS onset, arg_max("offset", rn) AS "offset", arg_min(pitch, rn) AS pitch, arg_min(lyric, rn) AS lyric, count(*) AS "rows" FROM x JOIN r USING (user_id, rn) GROUP BY user_id, g""")
 def anchored_runs(spark, folder):
     return I.anchored_runs(notes(spark, folder), U, "onset", "offset", "pitch", "lyric", ["onset", "event_id"], max_gap=6.0, tolerance=8.0)
 
 
-@query()
+@query(f"""WITH RECURSIVE {NOTES}, t AS (SELECT user_id, event_id, onset, lyric, CAST(round_even(onset * 120 * 480 / 60, 0) AS BIGINT) AS a, CAST(round_even("offset" * 120 * 480 / 60, 0) AS BIGINT) AS b FROM nt),
+  o AS (SELECT *, row_number() OVER w AS rn, a - lag(b) OVER w AS gap, lag(lyric) OVER w AS before FROM t WINDOW w AS (PARTITION BY user_id ORDER BY onset, event_id)),
+  r AS (SELECT user_id, rn, a, b, rn AS first, 0 AS seg_id FROM o WHERE rn = 1
+    UNION ALL SELECT user_id, rn, a, b, CASE WHEN h THEN rn ELSE first END, CASE WHEN h THEN seg_id + 1 ELSE seg_id END FROM (
+      SELECT o.user_id, o.rn, o.a, o.b, r.first, r.seg_id, o.gap >= 60 OR (o.gap > 0 AND o.before <> '-' AND o.lyric <> '-') OR (o.rn - r.first >= 16 AND o.gap >= 0) AS h
+      FROM r JOIN o ON o.user_id = r.user_id AND o.rn = r.rn + 1))
+SELECT user_id, CAST(seg_id AS BIGINT) AS seg_id, count(*) AS n, min(a) AS start, max(b) AS "end" FROM r GROUP BY 1, 2""")
 def tied_phrases(spark, folder):
     n = notes(spark, folder).withColumn("a", G.ticks("onset", 120.0)).withColumn("b", G.ticks("offset", 120.0))
     out = I.tied_phrases(n, U, "a", "b", "lyric", ["onset", "event_id"], 60)
