@@ -47,8 +47,9 @@ def near_rows(seed, docs=90):
     return [*rows, (900, None), (901, ""), (902, " \n"), (903, "one two"), (904, "ONE\ttwo"), (905, "one three"), (906, "long " * 4000), (907, "long " * 4000)]
 
 
-@pytest.mark.parametrize("seed,large", [(1, 16), (2, 2)])
-def test_classes(spark, seed, large, monkeypatch):
+@pytest.mark.parametrize("seed,large,often", [(1, 16, 1000), (2, 2, -1000)])
+def test_classes(spark, seed, large, often, monkeypatch):
+    monkeypatch.setattr(ngram_join, "OFTEN_LEAST", often)
     monkeypatch.setattr(ngram_join, "LARGE", large)
     monkeypatch.setattr(ngram_join, "BLOCK", 3)
     rows = near_rows(seed)

@@ -65,7 +65,7 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
 class WordIds(dict):
     """64-bit names of words, remembered up to ``most`` words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 

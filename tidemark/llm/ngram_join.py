@@ -29,6 +29,8 @@ NUM, DEN = 75, 100
 SKETCH_BITS, SKETCH_PARTS = 20, 64
 #: Rows of a column that one task multiplies with the column.
 BLOCK = 256
+#: A column may be very large if its cell of the sketch holds this many times the mean and this much more; tasks it is dealt to.
+OFTEN, OFTEN_LEAST, SALTS = 8, 1_000, 64
 #: Rows from which a column is large.
 LARGE = 16
 #: Sets remembered in a task, so that copies are listed once.
@@ -94,14 +96,18 @@ def added_up(rows: DataFrame) -> np.ndarray:
 
 
 def incidence(docs: DataFrame, sketch: np.ndarray, size: int) -> DataFrame:
-    """(gram, node, n, pos) of the first part of each node's list; ``pos`` counts from 1."""
+    """(gram, node, n, pos, often) of the first part of each node's list.
+
+    ``pos`` counts from 1; ``often`` marks columns that may have very many rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    limit = OFTEN * sketch.mean() + OFTEN_LEAST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen, often = WordIds(), set(), shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
-                parts, nodes, sizes = [], [], []
+                parts, nodes, sizes, many = [], [], [], []
                 for text in texts_of(whole.slice(at, SLICE)):
                     grams, own = gram_set(words, text, size)
                     if not len(grams):
@@ -114,7 +120,9 @@ def incidence(docs: DataFrame, sketch: np.ndarray, size: int) -> DataFrame:
                     seen.add(node)
                     first = len(grams) - least_overlap(len(grams)) + 1
                     count = often[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                    parts.append(grams[np.lexsort((grams, count))[:first]])
+                    order = np.lexsort((grams, count))[:first]
+                    parts.append(grams[order])
+                    many.append(count[order] > limit)
                     nodes.append(node)
                     sizes.append(len(grams))
                 long = [len(p) for p in parts]
@@ -122,9 +130,9 @@ def incidence(docs: DataFrame, sketch: np.ndarray, size: int) -> DataFrame:
                 node = np.repeat(np.asarray(nodes, np.uint64), long)
                 pos = np.concatenate([np.arange(1, k + 1, dtype=np.int32) for k in long]) if long else np.zeros(0, np.int32)
                 sized = np.repeat(np.asarray(sizes, np.int32), long)
-                yield pa.record_batch([pa.array(signed(gram)), pa.array(signed(node)), pa.array(sized), pa.array(pos)], ["gram", "node", "n", "pos"])
+                yield pa.record_batch([pa.array(signed(gram)), pa.array(signed(node)), pa.array(sized), pa.array(pos), pa.array(np.concatenate(many) if many else np.zeros(0, bool))], ["gram", "node", "n", "pos", "often"])
 
-    return docs.mapInArrow(run, "gram long, node long, n int, pos int")
+    return docs.mapInArrow(run, "gram long, node long, n int, pos int, often boolean")
 
 
 def whole_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -205,12 +213,18 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     reps = reps.select(F.col("s1").alias("node"), "rep")
     sound = rows.where("key IS NOT NULL")
 
-    table = incidence(sound.select("text"), sketch, size).repartition("gram")
-    column = Window.partitionBy("gram")
+    # columns that may be very large are dealt to several tasks by node, and what each found is put together
+    table = incidence(sound.select("text"), sketch, size)
+    table = table.withColumn("salt", F.when(F.col("often"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(0)).repartition("gram", "salt")
+    column = Window.partitionBy("gram", "salt")
     lead = F.min(F.struct("node", "n")).over(column)
-    shared = table.select("gram", "node", "n", "pos", lead.alias("lead"), F.max("node").over(column).alias("last"), F.count("*").over(column).alias("c"))
-    shared = shared.where(F.col("lead.node") != F.col("last"))
-    shared = written(shared.select("gram", "node", "n", "pos", "c", F.col("lead.node").alias("b"), F.col("lead.n").alias("nb")).distinct())
+    found = table.select("gram", "node", "n", "pos", "often", lead.alias("lead"), F.max("node").over(column).alias("last"), F.count("*").over(column).alias("c"))
+    found = written(found.where(F.col("often") | (F.col("lead.node") != F.col("last"))))
+    often = found.where("often")
+    whole = often.groupBy("gram").agg(F.min("lead").alias("lead"), F.max("last").alias("last"), F.count("*").alias("c")).where(F.col("lead.node") != F.col("last"))
+    kept = ("gram", "node", "n", "pos", "c", F.col("lead.node").alias("b"), F.col("lead.n").alias("nb"))
+    shared = found.where("NOT often").select(*kept).unionByName(often.drop("lead", "last", "c").join(whole, "gram").select(*kept))
+    shared = written(shared.distinct())
 
     def sets(pairs: DataFrame) -> DataFrame:
         """Whole sets of the nodes of some pairs."""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.base import SPACE, documents, query
 from tidemark.llm.line_dedup import lines_of
 from tidemark.llm.tables import written
+from tidemark.scan import salted_join
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -157,15 +158,20 @@ def quality(docs: DataFrame, share: float = SHARE, steps: int = 3, cut: float =
     sizes = rows.where(sound).groupBy("_lang", "_source").agg(F.count("*").alias("_size"))
     named = sizes.select("_lang", "_source", F.when(F.col("_size") >= least_group, F.struct("_lang", "_source")).otherwise(F.struct("_lang", F.lit(None).cast("string").alias("_source"))).alias("_g"))
     groups = named.select("_lang", "_source", F.to_json("_g").alias("g"))
-    vectors = rows.where(sound).join(groups, ["_lang", "_source"]).select("g", *NAMES)
+    # rows of a large group are spread over salts wherever they meet the figures of their group
+    vectors = salted_join(rows.where(sound).withColumn("_r", F.monotonically_increasing_id()), groups, ["_lang", "_source"], ["_r"]).select("g", "_r", *NAMES)
+
+    def beside(table: DataFrame, figures: DataFrame) -> DataFrame:
+        return salted_join(table, figures, ["g"], ["_r"])
+
     # medians and deviations from counts of values on a fixed grid
     now = first_estimates(vectors)
     for _ in range(steps):
-        far = with_distance(vectors.join(now, "g")).withColumn("bin", binned()).select("g", *NAMES, "bin")
+        far = with_distance(beside(vectors, now)).withColumn("bin", binned()).select("g", "_r", *NAMES, "bin")
         limits = nearest_share(bin_counts(far), share)
-        now = written(precision(estimates(far.join(limits, "g").where(F.col("bin") <= F.col("limit"))), "g"))
+        now = written(precision(estimates(beside(far, limits).where(F.col("bin") <= F.col("limit"))), "g"))
     # scale so that the median distance is that of the chi-square law
-    far = with_distance(vectors.join(now, "g")).withColumn("bin", binned())
+    far = with_distance(beside(vectors, now)).withColumn("bin", binned())
     middle = nearest_share(bin_counts(far), 0.5).select("g", F.greatest(F.lit(1.0), F.pow(F.lit(2.0), (F.col("limit") + 1) / BINS) / CHI_MEDIAN).alias("_scale"))
     final = groups.join(now, "g", "left").join(middle, "g", "left")
     out = with_distance(rows.join(written(final), ["_lang", "_source"], "left"))
