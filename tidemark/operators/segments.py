@@ -6,7 +6,7 @@ Positions are whole samples; a segment holds the samples ``[start, end)``.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import ceil, gcd
+from math import ceil, floor, gcd
 
 import numpy as np
 import pandas as pd
@@ -357,32 +357,23 @@ def merge_short(
         (run >= F.col("_all") - 1).alias("_tail"),
     )
 
+    # lengths in samples that are long enough, and that are still allowed
+    enough, most = ceil(min_len * rate), floor(max_len * rate)
+
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["start", "end"], ignore_index=True)
-        parts = list(zip(pdf["start"].tolist(), pdf["end"].tolist()))
-        tail = bool(pdf["_tail"].iat[-1])
-
-        def length(a, b):
-            return (b - a) / rate
-
-        while True:
-            joined = []
-            for a, b in parts:
-                if joined and length(*joined[-1]) < min_len and length(joined[-1][0], b) <= max_len:
-                    joined[-1] = (joined[-1][0], b)
-                else:
-                    joined.append((a, b))
-            if tail and len(joined) > 1 and length(*joined[-1]) < min_len - 2.0:
-                if length(joined[-2][0], joined[-1][1]) <= max_len:
-                    joined[-2:] = [(joined[-2][0], joined[-1][1])]
-            settled = len(joined) == len(parts) or all(length(*p) >= min_len for p in joined)
-            parts = joined
-            if settled:
-                break
-        out = pd.DataFrame(parts, columns=["start", "end"])
-        for c in keys:
-            out.insert(0, c, pdf[c].iat[0])
-        return out[[*keys, "start", "end"]]
+        begin, end = pdf["start"].to_numpy(), pdf["end"].cummax().to_numpy()
+        # what follows a piece depends on its first row: the row after it is long enough, or the one that makes it too long
+        after = np.minimum(np.searchsorted(end, begin + enough) + 1, np.searchsorted(end, begin + most, side="right"))
+        after = np.maximum(after, np.arange(1, len(end) + 1))
+        heads = [0]
+        while (following := int(after[heads[-1]])) < len(end):
+            heads.append(following)
+        # a last piece that is far too short goes back into the piece before
+        while pdf["_tail"].iat[-1] and len(heads) > 1 and (end[-1] - begin[heads[-1]]) / rate < min_len - 2.0 and end[-1] - begin[heads[-2]] <= most:
+            heads.pop()
+        out = pd.DataFrame({c: pdf[c].iat[0] for c in keys}, index=range(len(heads)))
+        return out.assign(start=begin[heads], end=end[np.append(heads[1:], len(end)) - 1])[[*keys, "start", "end"]]
 
     shape = rows.select(*keys, "start", "end").schema
     return rows.groupBy(*keys, "_run").applyInPandas(settle, shape)
