@@ -44,9 +44,21 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
+#: Rows of an Arrow batch of whole texts; the session's default of 10,000 would hold too much of long texts.
+BATCH = 1_000
+
+
+def prepare(spark: SparkSession) -> None:
+    """This package on the executors, and Arrow batches of a size that long texts bear."""
+    ship(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, BATCH)
+
+
 def map_rows(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """``fn`` over small slices of the Arrow batches of ``columns``; other columns are not read."""
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -19,9 +19,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import SLICE, WordIds, documents, list_array, query, shingles, signed, texts_of
+from tidemark.llm.base import SLICE, WordIds, documents, list_array, prepare, query, shingles, signed, texts_of
 from tidemark.llm.tables import written
-from tidemark.session import ship
 
 #: Least similarity, as a fraction.
 NUM, DEN = 75, 100
@@ -200,7 +199,7 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     class of its own text. A null doc_id gives a null component and links nothing. Other columns are not read.
     """
     spark: SparkSession = docs.sparkSession
-    ship(spark)
+    prepare(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text"))
     known = written(sets_and_sketch(rows, size))
     sketch = added_up(known)
