@@ -373,7 +373,7 @@ def merge_short(
         while pdf["_tail"].iat[-1] and len(heads) > 1 and (end[-1] - begin[heads[-1]]) / rate < min_len - 2.0 and end[-1] - begin[heads[-2]] <= most:
             heads.pop()
         out = pd.DataFrame({c: pdf[c].iat[0] for c in keys}, index=range(len(heads)))
-        return out.assign(start=begin[heads], end=end[np.append(heads[1:], len(end)) - 1])[[*keys, "start", "end"]]
+        return out.assign(start=begin[heads], end=end[np.array([*heads[1:], len(end)]) - 1])[[*keys, "start", "end"]]
 
     shape = rows.select(*keys, "start", "end").schema
     return rows.groupBy(*keys, "_run").applyInPandas(settle, shape)
