@@ -350,3 +350,22 @@ def tied_phrases(spark, folder):
 @query(f"""WITH {INDEXED} SELECT user_id, event_id, CAST(floor(idx / 8) AS BIGINT) AS batch FROM ix""")
 def number_batches(spark, folder):
     return I.number_batches(events(spark, folder), U, O, 8).select("user_id", "event_id", "batch")
+
+
+@query("""SELECT event_id, greatest(0.0, 0.02 * (event_id % 100 + least(0.5, greatest(-0.5, value / 1000 / 2)))) AS at, CAST(floor(floor(value / 7 * 16000) / 320) AS BIGINT) AS frame,
+  CAST(least(60, greatest(10, round_even(value % 480 * 0.25, 0))) AS BIGINT) AS shift, list_transform(range(4), lambda i: round(value / 1000 + i * (1 - value / 1000) / 4, 9)) AS schedule FROM events""")
+def frame_times(spark, folder):
+    e = events(spark, folder)
+    schedule = F.transform(G.time_schedule(F.col("value") / 1000, 4), lambda x: F.round(x, 9))
+    return e.select(
+        "event_id", G.frame_to_seconds(F.col("event_id") % 100, F.lit(0.02), F.col("value") / 1000).alias("at"),
+        G.seconds_to_frame(F.col("value") / 7, F.lit(16000), F.lit(320)).alias("frame"), G.shift_limit(F.col("value") % 480, 0.25, 10, 60).alias("shift"), schedule.alias("schedule"),
+    )
+
+
+@query("""SELECT event_id, CAST(event_id % 120 AS DOUBLE) AS back, CASE WHEN value > 0 THEN round(69.0 + 12.0 * log2(value / 440.0), 6) END AS semitone FROM events""")
+def note_inverse(spark, folder):
+    from tidemark.functions import pitch as N
+
+    e = events(spark, folder)
+    return e.select("event_id", N.pitch_from_name(N.pitch_name((F.col("event_id") % 120).cast("double"))).alias("back"), F.round(N.semitone("value"), 6).alias("semitone"))

@@ -9,6 +9,7 @@ from catalog.events import SEGMENT_COLUMNS, _segments, segmented
 from tidemark.functions import arrays as A
 from tidemark.functions import checks as C
 from tidemark.functions import grid as G
+from tidemark.functions import text as T
 from tidemark.operators import evaluate as E
 from tidemark.operators import islands as I
 from tidemark.operators import lookup as L
@@ -203,3 +204,16 @@ def dictionary_lines(spark, folder):
     words = table(spark, folder, "part").select(F.col("p_partkey").alias("line_no"), "p_type", F.explode(F.split("p_name", " ")).alias("key"))
     lines = words.select("line_no", F.concat_ws(":", "key", "p_type").alias("line"))
     return B.parse_dictionary(lines).select("key", F.array_join("values", ",").alias("value"))
+
+
+@query("""SELECT p_partkey, NOT (p_type IN ('PROMO', 'sil')) AS lexical, CASE WHEN p_size % 2 = 0 THEN string_split(p_name, ' ') ELSE list_transform(string_split(p_name, ' '), lambda x: upper(x)) END AS shown,
+  CASE WHEN p_size % 2 = 0 THEN replace(p_name, ' ', '') ELSE upper(p_name) END AS joined, list_transform(range(1, 7), lambda i: CAST(i <= len(string_split(p_name, ' ')) AS INTEGER)) AS mask,
+  CAST(least(99, floor((p_partkey % 7 + p_size / 100.0) / 7 * 100)) AS INTEGER) AS progress FROM part""")
+def display_tokens(spark, folder):
+    words = F.split("p_name", " ")
+    mode = F.when(F.col("p_size") % 2 == 0, "hanzi").otherwise("romaji")
+    shown = T.display(words, F.transform(words, lambda w: F.upper(w)), F.lit("ja"), mode)
+    return table(spark, folder, "part").select(
+        "p_partkey", C.is_lexical("p_type", ("PROMO", "sil")).alias("lexical"), shown.alias("shown"), T.join_display(shown, mode).alias("joined"), A.pad_mask(words, F.lit(6)).alias("mask"),
+        C.overall_progress(F.col("p_partkey") % 7, F.col("p_size"), F.lit(7)).alias("progress"),
+    )

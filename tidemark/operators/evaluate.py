@@ -200,10 +200,15 @@ def trimmed_mean(
     counts = with_blocks(df.groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n")), keys, "_v", rows_per_block)
     limit = block_limit(counts, rows_per_block)
     middle = exact_median(counts, keys, "_v", "_n", "_median", limit)
-    off = salted_join(counts.drop(BLOCK), middle, keys, ["_v"]).withColumn("_off", F.abs(F.col("_v") - F.col("_median")))
+
+    def beside(rows: DataFrame, figures: DataFrame) -> DataFrame:
+        """Rows with the figures of their key; salted only where some key is large."""
+        return rows.join(figures, keys) if limit is None else salted_join(rows, figures, keys, ["_v"])
+
+    off = beside(counts.drop(BLOCK), middle).withColumn("_off", F.abs(F.col("_v") - F.col("_median")))
     off_counts = off.groupBy(*keys, "_off").agg(F.sum("_n").alias("_n"))
     mad = exact_median(off_counts, keys, "_off", "_n", "_mad", limit)
-    rows = salted_join(off, mad, keys, ["_v"])
+    rows = beside(off, mad)
     kept = (F.col("_mad") != 0) & (F.col("_off") / (F.col("_mad") * 1.4826) <= threshold)
     return rows.groupBy(*keys).agg(
         F.coalesce(
