@@ -2,8 +2,8 @@
 
 Documents with the same set are one node. A node lists its n-grams by an order in which frequent ones come last (a
 sketch of fixed size tells them), and only the first part enters the incidence, which is as long as the bound on the
-overlap of a linked pair leaves necessary. The product then goes column by column: in large columns first each node against the
-least one, which joins groups of near copies without their pairs; what is left are columns that hold several
+overlap of a linked pair leaves necessary. The product then goes column by column: in large columns first each node against a
+few leaders, which joins groups of near copies without their pairs; what is left are columns that hold several
 components, and their products are taken in blocks. Overlap counts are added up, pairs below the bound that their
 sizes and places in the lists give are discarded, and the rest are verified on whole sets.
 """
@@ -30,6 +30,8 @@ SKETCH_BITS, SKETCH_PARTS = 20, 64
 BLOCK = 256
 #: A column may be very large if its cell of the sketch holds this many times the mean and this much more; tasks it is dealt to.
 OFTEN, OFTEN_LEAST, SALTS = 8, 1_000, 64
+#: Turns of leaders in large columns, and leaders that a node is compared with in each.
+TURNS, LEADERS = 3, 3
 #: Rows from which a column is large.
 LARGE = 16
 #: Sets remembered in a task, so that copies are listed once.
@@ -216,29 +218,36 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     table = incidence(sound.select("text"), sketch, size)
     table = table.withColumn("salt", F.when(F.col("often"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(0)).repartition("gram", "salt")
     column = Window.partitionBy("gram", "salt")
-    lead = F.min(F.struct("node", "n")).over(column)
+    lead = F.min("node").over(column)
     found = table.select("gram", "node", "n", "pos", "often", lead.alias("lead"), F.max("node").over(column).alias("last"), F.count("*").over(column).alias("c"))
-    found = written(found.where(F.col("often") | (F.col("lead.node") != F.col("last"))))
+    found = written(found.where(F.col("often") | (F.col("lead") != F.col("last"))))
     often = found.where("often")
-    whole = often.groupBy("gram").agg(F.min("lead").alias("lead"), F.max("last").alias("last"), F.count("*").alias("c")).where(F.col("lead.node") != F.col("last"))
-    kept = ("gram", "node", "n", "pos", "c", F.col("lead.node").alias("b"), F.col("lead.n").alias("nb"))
+    whole = often.groupBy("gram").agg(F.min("lead").alias("lead"), F.max("last").alias("last"), F.count("*").alias("c")).where(F.col("lead") != F.col("last"))
+    kept = ("gram", "node", "n", "pos", "c")
     shared = found.where("NOT often").select(*kept).unionByName(often.drop("lead", "last", "c").join(whole, "gram").select(*kept))
     shared = written(shared.distinct())
 
-    def sets(pairs: DataFrame) -> DataFrame:
-        """Whole sets of the nodes of some pairs."""
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        texts = sound.join(ends.join(reps, "node").select("node", F.col("rep").alias("key")), "key").dropDuplicates(["node"])
+    def sets(wanted: DataFrame) -> DataFrame:
+        """Whole sets of some nodes."""
+        texts = sound.join(wanted.distinct().join(reps, "node").select("node", F.col("rep").alias("key")), "key").dropDuplicates(["node"])
         return written(whole_sets(texts, size))
 
-    # in large columns each node against the least one, of those the one it has most columns with
-    large = shared.where((F.col("c") >= LARGE) & (F.col("node") != F.col("b")) & compatible(F.col("n"), F.col("nb")))
-    counted = large.groupBy("node", "b").agg(F.count("*").alias("c")).where("c > 1")
-    first = written(counted.groupBy("node").agg(F.max_by("b", F.struct("c", "b")).alias("b")).select(F.col("node").alias("a"), "b"))
-    links = written(linked(first, sets(first)))
+    # in large columns each node against a few leaders, again and again with other leaders for the nodes that are left
+    large = written(shared.where(F.col("c") >= LARGE).select("gram", "node", "n"))
+    pool, links, joined = sets(large.select("node")), None, None
+    for turn in range(TURNS):
+        rooted = large.select("*", F.col("node").alias("root")) if joined is None else large.join(joined, "node", "left").select("gram", "node", "n", F.coalesce("root", "node").alias("root"))
+        leader = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb")))
+        per_gram = rooted.groupBy("gram").agg(leader.alias("l"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("gram", "l.b", "l.nb", "l.rb")
+        met = rooted.join(per_gram, "gram").where((F.col("root") != F.col("rb")) & compatible(F.col("n"), F.col("nb"))).groupBy("node", "b").agg(F.count("*").alias("c"))
+        # a node has no more leaders than columns; it is compared with those it meets most often
+        most = met.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "b")), asc=False), 1, LEADERS).alias("l"))
+        pairs = written(most.select(F.col("node").alias("a"), F.explode("l.b").alias("b")))
+        new = written(linked(pairs, pool))
+        links = new if links is None else links.unionByName(new)
+        joined = components(links)
 
     # columns that hold several components, multiplied in blocks
-    joined = components(links)
     held = shared.select("gram", "node", "n", "pos").join(joined, "node", "left").select("gram", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
     per_gram = held.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("c")).where("low != high")
     mixed = held.join(per_gram.select("gram", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "gram")
@@ -250,7 +259,7 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     # lists have one order: all common members up to the last one found are counted, and behind it one set has no more than is left
     wanted = F.ceil((F.col("na") + F.col("nb")) * NUM / F.lit(NUM + DEN))
     more = written(overlap.where(F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= wanted).select("a", "b"))
-    links = links.unionByName(linked(more, sets(more)))
+    links = links.unionByName(linked(more, sets(more.select(F.col("a").alias("node")).distinct().unionByName(more.select(F.col("b").alias("node")).distinct()))))
 
     named = links.join(reps.select(F.col("node").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("node").alias("b"), F.col("rep").alias("rb")), "b")
     roots = components(named.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).withColumnRenamed("node", "rep")
