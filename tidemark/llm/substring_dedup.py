@@ -20,7 +20,9 @@ from tidemark.llm.base import WORD, WordIds, documents, factors, map_rows, mixed
 from tidemark.llm.tables import written
 
 #: Words of a window, rounds of renaming and the widest support of an anchor in words.
-WINDOW, ROUNDS, SUPPORT = 35, 2, 16
+WINDOW, ROUNDS, SUPPORT = 35, 2, 10
+#: Kinds of stretches that share their anchor: repeated as a whole, to be compared by window, and repeated but compared for its like.
+REPEATS, DIFFERS, SPEAKS = 0, 1, 2
 _NONE = np.uint64(2**64 - 1)
 _FAR = np.int64(2**40)
 _ROLL = factors(1, 35)[0]
@@ -199,11 +201,18 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, su
     parts = written(all_stretches(rows, window, rounds, support))
     # an anchor of several stretches: all alike, or of more than one kind
     held = parts.groupBy("anchor").agg(F.count("*").alias("n"), F.min("name").alias("low"), F.max("name").alias("high")).where("n > 1")
-    shared = parts.join(held.select("anchor", (F.col("low") != F.col("high")).alias("differ")), "anchor")
     # a document's id may be null, so it goes by id and hash with null as a value
-    found = shared.select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), "hash", F.struct("start", "size", "differ").alias("s"))
+    shared = parts.join(held.select("anchor", (F.col("low") != F.col("high")).alias("differ")), "anchor")
+    shared = shared.select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), "hash", "start", "size", "anchor", "name", "differ")
+    # of stretches of one name the first speaks for all of them where windows are compared
+    place = F.struct("_id", "hash", "start")
+    alike = shared.where("differ").groupBy("anchor", "name").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
+    named = shared.where("differ").join(alike, ["anchor", "name"], "left")
+    kind = F.when(F.col("n").isNull(), DIFFERS).when(F.col("first") == place, SPEAKS).otherwise(REPEATS)
+    found = named.select("_id", "hash", F.struct("start", "size", kind.alias("kind")).alias("s"))
+    found = found.unionByName(shared.where("NOT differ").select("_id", "hash", F.struct("start", "size", F.lit(REPEATS).alias("kind")).alias("s")))
     lists = found.groupBy("_id", "hash").agg(F.collect_set("s").alias("found"))
-    lists = lists.select("_id", "hash", *[F.col(f"found.{c}").alias(c) for c in ("start", "size", "differ")])
+    lists = lists.select("_id", "hash", *[F.col(f"found.{c}").alias(c) for c in ("start", "size", "kind")])
     both = rows.withColumn("_id", F.coalesce("doc_id", F.lit(-1))).join(lists, ["_id", "hash"], "left")
 
     def first(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -211,37 +220,37 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, su
         out = []
         for text, s, z, d in zip(texts_of(batch), *(batch.column(i).to_pylist() for i in (3, 4, 5))):
             words = text.split()
-            if s and any(d):
+            if s and any(x != REPEATS for x in d):
                 out.append((None, None, text, None, s, z, d))
                 continue
             gone = covered(len(words), np.asarray(s or [], np.int64), np.asarray(z or [], np.int64), window)
             out.append((*finished(words, gone), None, None, None))
         columns = list(zip(*out)) or [[]] * 7
-        kinds = [pa.int64(), pa.int64(), pa.large_binary(), SPAN, pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_())]
+        kinds = [pa.int64(), pa.int64(), pa.large_binary(), SPAN, pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32())]
         made = [pa.array(c, k) for c, k in zip(columns, kinds)]
         made[2] = made[2].cast(pa.large_string()).cast(pa.string())
-        return pa.record_batch([batch.column(0), batch.column(1), *made], ["doc_id", "hash", "n_words", "n_removed", "kept", "spans", "start", "size", "differ"])
+        return pa.record_batch([batch.column(0), batch.column(1), *made], ["doc_id", "hash", "n_words", "n_removed", "kept", "spans", "start", "size", "kind"])
 
-    shape = OUT.replace("doc_id long", "doc_id long, hash long") + ", start array<int>, size array<int>, differ array<boolean>"
-    state = written(map_rows(both, ["doc_id", "hash", "text", "start", "size", "differ"], first, shape))
+    shape = OUT.replace("doc_id long", "doc_id long, hash long") + ", start array<int>, size array<int>, kind array<int>"
+    state = written(map_rows(both, ["doc_id", "hash", "text", "start", "size", "kind"], first, shape))
     done = state.where("start IS NULL").select("doc_id", "n_words", "n_removed", "kept", "spans")
-    open_ = state.where("start IS NOT NULL").select("doc_id", "hash", F.col("kept").alias("text"), "start", "size", "differ")
+    open_ = state.where("start IS NOT NULL").select("doc_id", "hash", F.col("kept").alias("text"), "start", "size", "kind")
     made: dict[str, Reader] = {}
 
     def one_by_one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """Names of the windows of stretches that differ."""
+        """Names of the windows of stretches that differ, and of those that speak for their like."""
         reader = made.setdefault("reader", Reader())
         names, places, long = [], [], []
         for text, s, z, d in zip(texts_of(batch), *(batch.column(i).to_pylist() for i in (3, 4, 5))):
             _, ids = reader.ids(text)
-            at = np.concatenate([np.arange(a, a + b) for a, b, c in zip(s, z, d) if c])
+            at = np.concatenate([np.arange(a, a + b) for a, b, c in zip(s, z, d) if c != REPEATS])
             names.append(rolled(ids, at, at + window, reader.known))
             places.append(at)
             long.append(len(at))
         pick = pa.array(np.repeat(np.arange(batch.num_rows), long))
         return pa.record_batch([batch.column(0).take(pick), batch.column(1).take(pick), signed_list(flat(names, np.uint64)), pa.array(flat(places, np.int64).astype(np.int32))], ["doc_id", "hash", "name", "at"])
 
-    windows = map_rows(open_, ["doc_id", "hash", "text", "start", "size", "differ"], one_by_one, "doc_id long, hash long, name long, at int")
+    windows = map_rows(open_, ["doc_id", "hash", "text", "start", "size", "kind"], one_by_one, "doc_id long, hash long, name long, at int")
     again = windows.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
     hits = windows.join(again, "name").select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), "hash", "at").groupBy("_id", "hash").agg(F.collect_set("at").alias("at"))
 
@@ -250,8 +259,8 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, su
         for text, s, z, d, at in zip(texts_of(batch), *(batch.column(i).to_pylist() for i in (2, 3, 4, 5))):
             words = text.split()
             at = np.asarray(at or [], np.int64)
-            s = np.concatenate([np.asarray([a for a, c in zip(s, d) if not c], np.int64), at])
-            z = np.concatenate([np.asarray([b for b, c in zip(z, d) if not c], np.int64), np.ones(len(at), np.int64)])
+            s = np.concatenate([np.asarray([a for a, c in zip(s, d) if c != DIFFERS], np.int64), at])
+            z = np.concatenate([np.asarray([b for b, c in zip(z, d) if c != DIFFERS], np.int64), np.ones(len(at), np.int64)])
             out.append(finished(words, covered(len(words), s, z, window)))
         columns = list(zip(*out)) or [[]] * 4
         made = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.large_binary(), SPAN))]
@@ -259,7 +268,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, su
         return pa.record_batch([batch.column(0), *made], ["doc_id", "n_words", "n_removed", "kept", "spans"])
 
     rest = open_.withColumn("_id", F.coalesce("doc_id", F.lit(-1))).join(hits, ["_id", "hash"], "left")
-    return done.unionByName(map_rows(rest, ["doc_id", "text", "start", "size", "differ", "at"], last, OUT))
+    return done.unionByName(map_rows(rest, ["doc_id", "text", "start", "size", "kind", "at"], last, OUT))
 
 
 REPEATS_SQL = f"""WITH wd AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),

@@ -13,5 +13,5 @@ def written(df: DataFrame, *by: str) -> DataFrame:
     """``df`` as a table written to the shared folder, so that what follows starts from stored rows."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
