@@ -47,26 +47,22 @@ def terms(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.asarray(names, np.uint64), return_counts=True)
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts with a label, one row per text and label, of the rows that may be learned from."""
-    known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).where(F.col("_toxic").isin(0, 1))
-    rows = docs.where(~held_out()).select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(known, "_id").select("text", "_toxic").where(F.col("text").isNotNull())
+def labelled(labels: DataFrame) -> DataFrame:
+    """Ids and labels that may be learned from."""
+    rows = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic"))
+    return rows.where(F.col("_id").isNotNull() & F.col("_toxic").isin(0, 1) & ~held_out("_id")).distinct()
 
 
-def sample(rows: DataFrame, most: int) -> DataFrame:
-    """At most ``most`` rows of each class, those of the smallest hash of their text."""
+def sample(rows: DataFrame, most: int) -> tuple[DataFrame, float]:
+    """At most ``most`` rows of each class, those of the smallest hash of their id, and the share of toxic rows."""
     counts = {r["_toxic"]: r["n"] for r in rows.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    parts = []
-    for label, n in counts.items():
+    place = F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(1 << 30))
+    out = rows.limit(0)
+    for label, n in sorted(counts.items()):
         # a little above the share wanted, then cut to the bound
         limit = int(min(1.0, 1.1 * most / n + 0.001) * (1 << 30))
-        parts.append(rows.where((F.col("_toxic") == label) & (place < limit)).orderBy(F.xxhash64("text"), "text").limit(most))
-    out = parts[0] if parts else rows.limit(0)
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        out = out.unionByName(rows.where((F.col("_toxic") == label) & (place < limit)).orderBy(place, "_id").limit(most))
+    return out, counts.get(1, 0) / max(1, sum(counts.values()))
 
 
 def spans(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -163,15 +159,17 @@ class Index:
 def fit(docs: DataFrame, labels: DataFrame) -> Index:
     """Index of a bounded sample; the rate and document frequencies cover all rows."""
     spark = docs.sparkSession
-    rows = labelled(docs, labels)
-    share = rows.agg(F.avg("_toxic")).first()[0] or 0.0
+    ids, share = sample(labelled(labels), MOST_EXAMPLES)
+    # the ids are bounded, so the texts need no exchange
+    texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    rows = texts.join(F.broadcast(written(ids)), "_id").select("text", "_toxic")
 
     def vectors(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [terms(t.decode("utf-8", "replace")) for t in texts_of(batch)]
         return pa.record_batch([list_array([signed(n) for n, _ in found]), list_array([c for _, c in found]), batch.column(1)], ["names", "counts", "label"])
 
     shape = "names array<long>, counts array<long>, label int"
-    chosen = written(map_rows(sample(rows, MOST_EXAMPLES), ["text", "_toxic"], vectors, shape))
+    chosen = written(map_rows(rows, ["text", "_toxic"], vectors, shape))
     sizes = {r["label"]: r["n"] for r in chosen.groupBy("label").agg(F.count("*").alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     held = chosen.select("label", F.explode("names").alias("name")).groupBy("name").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good"))
@@ -203,7 +201,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
             out = [np.isin(np.asarray(n, np.int64).view(np.uint64), kept.value) for n in pdf["names"]]
             yield pd.DataFrame({"names": [np.asarray(n)[m] for n, m in zip(pdf["names"], out)], "counts": [np.asarray(c)[m] for c, m in zip(pdf["counts"], out)], "label": pdf["label"]})
 
-    examples = chosen.mapInPandas(reduce, shape).orderBy("label", F.xxhash64("names", "counts")).collect()
+    examples = chosen.mapInPandas(reduce, shape).collect()
+    examples.sort(key=lambda r: (r["label"], r["names"], r["counts"]))
     found = [(np.asarray(r["names"], np.int64).view(np.uint64), np.asarray(r["counts"], np.int64)) for r in examples]
     return Index(names, idf, found, np.asarray([r["label"] for r in examples]), float(share))
 
