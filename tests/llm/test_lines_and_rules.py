@@ -106,6 +106,24 @@ def test_statistics_and_verdicts(spark):
     assert quality_rules.quality(docs.limit(0)).count() == 0
 
 
+def test_each_statistic_decides_alone(spark):
+    rng = random.Random(6)
+    rows = corpus()[:400]
+    vocabulary = rows[0][1].split() + rows[3][1].split() + rows[6][1].split()
+
+    def words(n):
+        return rng.choices(vocabulary, k=n)
+
+    symbols = " ".join(w + "#" * (i % 2) for i, w in enumerate(words(60)))
+    line = " ".join(words(3))
+    lines = "\n".join([*[" ".join(words(20)) for _ in range(6)], *[line] * 4])
+    rows += [(3000, symbols, "en", "s0"), (3001, lines, "en", "s0"), (3002, " ".join(w * 3 for w in words(40)), "en", "s0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    verdict = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality_rules.quality(docs).collect()}
+    assert [verdict[i] for i in (3000, 3001, 3002)] == [(False, False)] * 3
+    assert all(verdict[i] == (False, True) for i in range(400))
+
+
 def test_precision_is_the_inverse(spark):
     rng = np.random.default_rng(4)
     names = quality_rules.NAMES

@@ -22,9 +22,9 @@ SYMBOLS = "#*$%&|<>"
 SHARE = 0.75
 #: Median of the chi-square law with four degrees of freedom; the estimates are scaled to it.
 CHI_MEDIAN = 3.356694
-#: Squared distance beyond which a document goes: far beyond any quantile of the chi-square law, as clean texts have long tails.
-CUT = 60.0
-#: Least standard deviation of each transformed statistic; keeps a statistic that hardly varies from deciding alone.
+#: Squared distance beyond which a document goes: the 0.99 quantile of the chi-square law with four degrees of freedom.
+CUT = 13.2767
+#: Added standard deviation of each transformed statistic, as most are 0 in clean texts; with ``CUT`` each can still decide alone.
 FLOORS = {"x1": 0.15, "x2": 0.35, "x3": 0.12, "x4": 0.12}
 NAMES = tuple(FLOORS)
 #: Steps of distance bins for each doubling of the squared distance.
