@@ -58,6 +58,21 @@ def test_surrogates_are_distinct(spark):
     assert len({r["new"] for r in got}) == len(names) and not {r["new"] for r in got} & set(names)
 
 
+def test_entities_without_free_surrogates(spark):
+    # nothing to draw, and more names of one ending than letters
+    names = [c + "u" for c in "bcdfghjklmnpqrstvwxyz"]
+    entities = [("name_m", n) for n in names] + [("name_m", "ło"), ("secret", "******"), ("secret", "......"), ("secret", "密码密码密码"), ("email", "_@a.com")]
+    got = {(r["kind"], r["entity"]): r["new"] for r in pii.dictionary(spark.createDataFrame(entities, "kind string, entity string"), "key").collect()}
+    assert set(got) == set(entities) and len({(k, v) for (k, _), v in got.items()}) == len(entities)
+    assert not {(k, v) for (k, _), v in got.items()} & set(entities)
+    assert all(v.endswith(e[-1]) for (k, e), v in got.items() if k == "name_m")
+    assert not set(got["secret", "密码密码密码"]) & set("密码")
+    docs = spark.createDataFrame([(1, "password=****** and Mr Ło, Herr Ło"), (2, "password=****** too")], "doc_id long, text string")
+    new = {r["doc_id"]: r["replaced"] for r in pii.replace_entities(docs, "key").collect()}
+    mask = re.match(r"password=(\S+) and Mr ([A-Z]\w+o), Herr \2$", new[1]).group(1)
+    assert "*" not in mask and new[2] == f"password={mask} too"
+
+
 def test_check_digits(spark):
     rows = spark.createDataFrame([("4041894974608795", True), ("4041894974608796", False), ("79927398713", False)], "s string, ok boolean")
     assert rows.where(pii.luhn(F.col("s")) != F.col("ok")).count() == 0

@@ -3,7 +3,8 @@
 Detected entities get a keyed replacement of their type: letters stand for letters of their script and case (vowels for
 vowels), digits for digits, addresses stay addresses, card numbers keep a valid check digit, titled names keep their title
 and the last letter of each part and with them their gender. All mentions of one entity, in any layout or case, get one surrogate. A
-surrogate that is another entity's, or is itself found in the texts, is drawn again until all are distinct.
+surrogate that is another entity's, or is itself found in the texts, is drawn again until all are distinct; after ``PLAIN``
+attempts from wider alphabets and with letters or digits added, one more at each attempt, so that the draws come to an end.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ ALPHABETS = (
     "аеиоуэюя", "бвгджзклмнпрстфхцчш", "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШ",
     "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ", "áéíóúàèùâêîôûäöüñç",
 )
+#: Attempts within the length and the alphabets of an entity, and letters or digits that the next one adds.
+PLAIN, ADDED = 6, 4
 
 
 def kind_of(mention: Column) -> Column:
@@ -77,15 +80,25 @@ def drawn(secret: str, kind: Column, entity: Column, attempt: Column, i: Column)
 
 
 def surrogate(secret: str, kind: Column, entity: Column, attempt: Column) -> Column:
-    """Replacement of a canonical entity, of its length but for addresses."""
+    """Replacement of a canonical entity, of its length but for addresses and for what has no free surrogate of its length."""
     places = F.filter(F.split(entity, ""), lambda c: c != "")
     hexes = entity.rlike("^[0-9a-f]+$") & (kind == "secret")
+    wide = attempt >= PLAIN
+    numbers = kind.isin("phone", "card", "ssn", "ip")
+    letters = F.when(numbers, "0123456789").when(hexes, "0123456789abcdef").when(kind == "access_key", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    letters = letters.when(entity.rlike(r"\p{IsCyrillic}"), "абвгдежзиклмнопрстуфхцчшэюя").when(entity.rlike(r"\p{IsGreek}"), "αβγδεζηθικλμνξοπρτυφχψω").otherwise("abcdefghijklmnopqrstuvwxyz")
+
+    def letter(i: Column) -> Column:
+        return F.substring(letters, F.pmod(drawn(secret, kind, entity, attempt, i), F.length(letters)).cast("int") + 1, F.lit(1))
 
     def place(c: Column, i: Column) -> Column:
         n = drawn(secret, kind, entity, attempt, i)
         out = c
         for letters in ALPHABETS:
             out = F.when(F.instr(F.lit(letters), c) > 0, F.substring(F.lit(letters), F.pmod(n, F.lit(len(letters))).cast("int") + 1, 1)).otherwise(out)
+        # characters of no alphabet stay at first; layout stays
+        other = (out == c) & ~F.lit("".join(ALPHABETS)).contains(c) & ((kind == "secret") | (kind.startswith("name_") & c.rlike(r"\p{L}")) | ((kind == "email") & ~c.isin("@", ".")))
+        out = F.when(wide & other, letter(i)).otherwise(out)
         out = F.when(hexes, F.substring(F.lit("0123456789abcdef"), F.pmod(n, F.lit(16)).cast("int") + 1, 1)).otherwise(out)
         # the end of each part of a name
         last = ~F.substring(entity, i + 2, F.lit(1)).rlike(r"\p{L}")
@@ -93,14 +106,17 @@ def surrogate(secret: str, kind: Column, entity: Column, attempt: Column) -> Col
             ((kind == "access_key") & (i < 4))
             | (kind.startswith("name_") & last)
             # country code and the exchange kept for fiction; the network of a card; the end of a mail domain
-            | ((kind == "phone") & ((i < F.length(entity) - 10) | ((F.substring(entity, -7, 3) == "555") & (i >= F.length(entity) - 7) & (i < F.length(entity) - 4))))
+            | ((kind == "phone") & ~wide & ((i < F.length(entity) - 10) | ((F.substring(entity, -7, 3) == "555") & (i >= F.length(entity) - 7) & (i < F.length(entity) - 4))))
             | ((kind == "card") & (i == 0))
             | ((kind == "email") & (i >= F.length(entity) - F.length(F.substring_index(entity, ".", -1)) - 1))
         )
         return F.when(fixed, c).otherwise(out)
 
     plain = F.array_join(F.transform(places, place), "")
-    body = F.substring(plain, F.lit(1), F.length(plain) - 1)
+    # phone numbers have a second round of their length, without fixed digits
+    extra = attempt - F.when(kind == "phone", 2 * PLAIN).otherwise(PLAIN)
+    more = F.when(extra >= 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(extra, F.lit(0)) + ADDED), lambda j: letter(j + 1_000_000)), "")).otherwise("")
+    body = F.concat(F.substring(plain, F.lit(1), F.length(plain) - 1), more)
     check = F.pmod(F.lit(10) - luhn_sum(body, 0) % 10, F.lit(10)).cast("string")
 
     def octet(k: int) -> Column:
@@ -108,11 +124,14 @@ def surrogate(secret: str, kind: Column, entity: Column, attempt: Column) -> Col
 
     # private addresses first; beyond a few draws any address
     lead = F.when(attempt < 4, F.lit("10")).otherwise((F.pmod(drawn(secret, kind, entity, attempt, F.lit(0)), F.lit(223)) + 1).cast("string"))
-    return F.when(kind == "ip", F.concat_ws(".", lead, octet(1), octet(2), octet(3))).when(kind == "card", F.concat(body, check)).otherwise(plain)
+    ip = F.concat_ws(".", lead, octet(1), octet(2), octet(3), F.when(more != "", more))
+    # the last letter of a name stays the last, the domain of an address its end
+    name = F.concat(body, F.substring(plain, -1, 1))
+    return F.when(kind == "ip", ip).when(kind == "card", F.concat(body, check)).when(kind.startswith("name_"), name).when(kind == "email", F.concat(more, plain)).otherwise(F.concat(plain, more))
 
 
 def laid_out(kind: Column, mention: Column, new: Column) -> Column:
-    """A surrogate in the layout and case of a mention."""
+    """A surrogate in the layout and case of a mention; what it has beyond the mention's places follows."""
     places = F.filter(F.split(mention, ""), lambda c: c != "")
 
     def step(acc: Column, c: Column) -> Column:
@@ -122,10 +141,14 @@ def laid_out(kind: Column, mention: Column, new: Column) -> Column:
         return F.struct(F.concat(acc["s"], F.when(hit, cased).otherwise(c)).alias("s"), (acc["k"] + F.when(hit, 1).otherwise(0)).cast("int").alias("k"))
 
     start = F.struct(F.lit("").alias("s"), F.lit(1).alias("k"))
-    walked = F.aggregate(places, start, step, lambda a: a["s"])
+
+    def whole(a: Column) -> Column:
+        return F.concat(a["s"], F.substring(new, a["k"], F.length(new)))
+
+    walked = F.aggregate(places, start, step, whole)
     title = F.regexp_extract(mention, r"^(\S+\s)", 1)
     name = F.regexp_replace(mention, r"^\S+\s", "")
-    named = F.aggregate(F.filter(F.split(name, ""), lambda c: c != ""), start, step, lambda a: a["s"])
+    named = F.aggregate(F.filter(F.split(name, ""), lambda c: c != ""), start, step, whole)
     same_case = F.when(kind.isin("secret", "access_key", "ip"), new)
     return F.coalesce(same_case, F.when(kind.startswith("name_"), F.concat(title, named)).otherwise(walked))
 
