@@ -31,8 +31,8 @@ KINDS = {
     "secret": rf"(?<=password=)[^\s\"']{{6,}}|(?<=[=:] ?\")[0-9A-Za-z_/+-]{{20,}}(?=\")|{_IN}[0-9a-f]{{32,64}}{_OUT}",
 } | {k: rf"(?<!\w){t}{_NAME}" for k, t in TITLES.items()}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
-#: Whether a text can hold an entity at all; cheap.
-SOME = r"[0-9@]|password=|=\s?\"|(?<!\w)(?:" + "|".join(TITLES.values()) + r")\s"
+#: Whether a text can hold an entity at all; cheap, and true of every text with a match of ``ANY``.
+SOME = r"[0-9@]|password=|[=:] ?\"|A(?:KIA|SIA)[A-Z]{16}|[a-f]{32}|(?<!\w)(?:" + "|".join(TITLES.values()) + r")\s"
 #: Letters drawn from, by class: vowels and others, lower and upper case, by script; plain text in alphabetical order.
 ALPHABETS = (
     "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "0123456789",
