@@ -133,3 +133,30 @@ def test_leaks(spark):
         assert r["similarity"] == decontamination.similarity(decontamination.weighed_shingles(part), decontamination.weighed_shingles(item)) >= 0.75
     kept = decontamination.without_benchmark(docs, table)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, _ in rows} - {i for i, _ in want}
+
+
+def test_cut_off_items():
+    rng = random.Random(12)
+    word = [f"{k}" + "".join(rng.choices("abcdefgh", k=4)) for k in range(2000)]
+    items = [(k, " ".join(rng.choices(word, k=n)).encode()) for k, n in enumerate([9, 22, 38, 59, 120, 400])]
+    index = decontamination.Items(items)
+    other = " ".join(rng.choices(word, k=60)).encode()
+    texts, want = [], []
+    for item, text in items:
+        words = text.split()
+        n, whole = len(words), decontamination.weighed_shingles(words)
+        for m in range(n * 3 // 4, n):
+            for at in {0, (n - m) // 2, n - m}:
+                part = words[at : at + m]
+                held = {item} if decontamination.similarity(decontamination.weighed_shingles(part), whole) >= 0.75 else set()
+                texts.append(b" ".join(part))
+                want.append(held)
+                # a start lost before other words, an end lost after them
+                if held and at in (0, n - m):
+                    texts.append(b" ".join([other, *part] if at == 0 else [*part, other]))
+                    want.append(held)
+    got = index.matches(texts)
+    assert all(w <= set(g) for g, w in zip(got, want)) and sum(map(len, want)) > 100
+    for g, t in zip(got, texts):
+        for value, start, n in g.values():
+            assert 0 <= start and start + n <= len(t.split()) and value >= 0.75

@@ -4,7 +4,8 @@ Sizes form a ladder, so that items of about one size share their windows: an ite
 of its words, at its start, in its middle and at its end, and every window of a text of that many words gets a
 64-bit SimHash of its words, weighed by their length. An edit or a lost word near one end then leaves a cut untouched. Four blocks of sixteen bits are looked up in tables that list the items whose block differs in two bits at
 most: fingerprints that differ in up to eleven bits agree that far in one block at least, so none within the radius is missed.
-Candidates are verified by the exact weighted similarity of their five-word shingles.
+Candidates are verified by the exact weighted similarity of their five-word shingles. Where a text's start or end cuts an item off,
+and in texts shorter than a cut, candidates are the items of whose shingles the text has enough, so none is missed there by size.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import WordIds, documents, map_rows, mixed, query, texts_of
+from tidemark.llm.base import WordIds, documents, map_rows, mixed, query, shingles as shingle_names, texts_of
 
 #: Largest distance of fingerprints; with four blocks it lets one block differ in two bits.
 RADIUS, BLOCKS, BLOCK_BITS = 11, 4, 16
@@ -83,15 +84,34 @@ class Items:
         self.groups: dict[int, list[tuple[int, Counter, int, int]]] = {}
         self.longest = 0
         prints: dict[int, list[np.uint64]] = {}
+        # items of a shingle or more: item, shingles, words, places of each shingle; all their shingles by name
+        self.whole: list[tuple[int, Counter, int, dict[int, list[int]]]] = []
+        names, owner, weight = [], [], []
         for item, text in items:
             words = words_of(text)
             if words:
                 n, size, shingles = len(words), ladder(len(words)), weighed_shingles(words)
                 self.longest = max(self.longest, n)
-                total = signed_bits(self.names.of(words), words, np.int64)
+                ids = self.names.of(words)
+                if n > SIZE:
+                    own = shingle_names(ids, SIZE)
+                    places: dict[int, list[int]] = {}
+                    for at, name in enumerate(own.tolist()):
+                        places.setdefault(name, []).append(at)
+                    names.append(own)
+                    owner.append(np.full(len(own), len(self.whole)))
+                    weight += [sum(map(len, words[i : i + SIZE])) for i in range(len(own))]
+                    self.whole.append((item, shingles, n, places))
+                total = signed_bits(ids, words, np.int64)
                 for at in sorted({0, (n - size) // 2, n - size}):
                     self.groups.setdefault(size, []).append((item, shingles, n, at))
                     prints.setdefault(size, []).append(fingerprints(total, size, np.asarray([at]))[0])
+        if self.whole:
+            order = np.argsort(np.concatenate(names), kind="stable")
+            self.owner, self.weight = np.concatenate(owner)[order], np.asarray(weight, np.float64)[order]
+            self.held, first = np.unique(np.concatenate(names)[order], return_index=True)
+            self.first = np.append(first, len(order))
+            self.least = LEAST * np.bincount(self.owner, self.weight)
         self.kind = np.int16 if max(self.groups, default=0) * 12 < 2**15 else np.int64
         self.prints = {n: np.asarray(p, np.uint64) for n, p in prints.items()}
         self.tables = {n: self._tables(p) for n, p in self.prints.items()}
@@ -149,7 +169,20 @@ class Items:
         ends = np.cumsum([len(part) for _, _, part in batch])
         end = np.repeat(ends, [len(part) for _, _, part in batch])
         begin = end - np.repeat([len(part) for _, _, part in batch], [len(part) for _, _, part in batch])
-        total, every = signed_bits(self.names.of(words), words, self.kind), np.arange(len(words))
+        ids, every = self.names.of(words), np.arange(len(words))
+        total = signed_bits(ids, words, self.kind)
+
+        def verify(item: int, shingles: Counter, place: int, n: int) -> None:
+            value = similarity(weighed_shingles(words[place : place + n]), shingles) if n > 0 else 0.0
+            if value >= LEAST:
+                b = int(np.searchsorted(ends, place, side="right"))
+                d, start = batch[b][0], batch[b][1] + place - int(begin[place])
+                best = found[d].get(item)
+                if best is None or (value, -start) > (best[0], -best[1]):
+                    found[d][item] = (value, start, n)
+
+        for item, shingles, place, n in self._cut_off(ids, ends, begin, end):
+            verify(item, shingles, place, n)
         for size, group in self.groups.items():
             # every few places of a text, and its last window
             stride = max(1, min(STRIDE, size // 6))
@@ -162,16 +195,37 @@ class Items:
                 lo, hi = int(begin[place]), int(end[place])
                 for p in range(place - cut - AROUND, place - cut + AROUND + 1):
                     # at the ends of a text its window is what there is of it
-                    tried.setdefault((max(lo, min(p, hi - 1)), i), min(n, n + p - lo if p < lo else n, hi - p))
+                    tried.setdefault((max(lo, min(p, hi - 1)), i), min(n, n + p - lo if p < lo else n, hi - max(lo, p)))
             for (place, i), n in tried.items():
                 item, shingles, _, _ = group[i]
-                value = similarity(weighed_shingles(words[place : place + n]), shingles) if n > 0 else 0.0
-                if value >= LEAST:
-                    b = int(np.searchsorted(ends, place, side="right"))
-                    d, start = batch[b][0], batch[b][1] + place - int(begin[place])
-                    best = found[d].get(item)
-                    if best is None or (value, -start) > (best[0], -best[1]):
-                        found[d][item] = (value, start, n)
+                verify(item, shingles, place, n)
+
+    def _cut_off(self, ids: np.ndarray, ends: np.ndarray, begin: np.ndarray, end: np.ndarray):
+        """(item, its shingles, place, words) of windows that a text's start or end cuts off, where the text has enough of the item.
+
+        A similarity of ``LEAST`` needs that share of the item's weight at least.
+        """
+        if not self.whole or len(ids) < SIZE:
+            return
+        names = shingle_names(ids, SIZE)
+        at = np.minimum(np.searchsorted(self.held, names), len(self.held) - 1)
+        some = np.flatnonzero((self.held[at] == names) & (np.arange(len(names)) + SIZE <= end[: len(names)]))
+        # each shingle once a text, with all its places in items
+        text, shingle = np.divmod(np.unique(np.searchsorted(ends, some, side="right") * len(self.held) + at[some]), len(self.held))
+        size = self.first[shingle + 1] - self.first[shingle]
+        entry = np.repeat(self.first[shingle] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        pair, where = np.unique(np.repeat(text, size) * len(self.whole) + self.owner[entry], return_inverse=True)
+        weight = np.bincount(where, self.weight[entry], len(pair))
+        for key in pair[weight >= self.least[pair % len(self.whole)] - 1e-6].tolist():
+            t, k = divmod(key, len(self.whole))
+            item, shingles, n, places = self.whole[k]
+            hi = int(ends[t])
+            lo = int(begin[hi - 1])
+            near = {*range(lo, min(lo + n + AROUND, hi - SIZE + 1)), *range(max(lo, hi - n - AROUND), hi - SIZE + 1)}
+            starts = {a - b + s for a in near for b in places.get(int(names[a]), ()) for s in range(-AROUND, AROUND + 1)}
+            for p in sorted(starts):
+                if p < lo or p + n > hi:
+                    yield item, shingles, max(lo, p), min(hi, p + n) - max(lo, p)
 
 
 def item_blocks(items: DataFrame) -> list[Items]:
