@@ -8,6 +8,7 @@ from tidemark.llm import (
     packing,
     pii,
     quality_rules,
+    sharding,
     substring_dedup,
     token_counts,
     toxicity,
@@ -24,6 +25,7 @@ __all__ = [
     "packing",
     "pii",
     "quality_rules",
+    "sharding",
     "substring_dedup",
     "token_counts",
     "toxicity",
