@@ -1,6 +1,8 @@
 """Operators of a training-data pipeline and their registered queries."""
 
 from tidemark.llm import (
+    alignment,
+    conversations,
     decontamination,
     language_id,
     line_dedup,
@@ -18,6 +20,8 @@ from tidemark.llm.base import QUERIES, SQL
 __all__ = [
     "QUERIES",
     "SQL",
+    "alignment",
+    "conversations",
     "decontamination",
     "language_id",
     "line_dedup",

@@ -123,7 +123,6 @@ def communication_matrix(chunks: DataFrame, shards: int, seed: int) -> DataFrame
     Row sums are the chunks' sizes, column sums the shards' sizes (equal but for one). A node of the tree has about
     64 children; the tree's depth grows with the logarithm of the chunks.
     """
-    spark = chunks.sparkSession
     n_chunks, n_rows = chunks.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     groups = [max(1, math.ceil(n_chunks / FAN))]
     while groups[-1] > 1:
@@ -134,7 +133,8 @@ def communication_matrix(chunks: DataFrame, shards: int, seed: int) -> DataFrame
         below = levels[-1].groupBy(F.col("above").alias("node")).agg(F.sum("n").alias("n"))
         levels.append(below.select("node", F.pmod("node", F.lit(size)).alias("above"), "n"))
     sizes = [n_rows // shards + (j < n_rows % shards) for j in range(shards)]
-    tree = spark.range(1).select(F.lit(0).cast("long").alias("above"), F.array(*[F.lit(s).cast("long") for s in sizes]).alias("counts"))
+    counts = F.array(*[F.lit(s).cast("long") for s in sizes])
+    tree = None
 
     def deal(at: Column, child: Column) -> Column:
         """Give one child its rows out of what is left of the counts."""
@@ -150,7 +150,9 @@ def communication_matrix(chunks: DataFrame, shards: int, seed: int) -> DataFrame
     for level in reversed(levels):
         children = level.groupBy("above").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("children"))
         start = F.struct(F.col("counts").alias("left"), F.expr("cast(array() as array<struct<node: long, counts: array<long>>>)").alias("out"))
-        dealt = tree.join(children, "above").select(F.explode(F.aggregate("children", start, deal, lambda at: at["out"])).alias("x"))
+        # above the top level there is one node, the whole table
+        children = children.withColumn("counts", counts) if tree is None else tree.join(children, "above")
+        dealt = children.select(F.explode(F.aggregate("children", start, deal, lambda at: at["out"])).alias("x"))
         tree = dealt.select(F.col("x.node").alias("above"), F.col("x.counts").alias("counts"))
     return tree.select(F.col("above").alias("chunk"), F.col("counts").alias("sent"))
 
