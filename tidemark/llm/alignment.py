@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import os
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.base import documents, prepare, query
+from tidemark.llm.packing import encoder
 from tidemark.llm.tables import written
 from tidemark.llm.token_counts import byte_symbols, vocabulary_path
 
@@ -71,7 +73,7 @@ def pieces_library(path: str):
 def lists_of(parts: list[list[int]]) -> pa.ListArray:
     ends = np.zeros(len(parts) + 1, np.int32)
     np.cumsum([len(p) for p in parts], out=ends[1:])
-    flat = np.fromiter((i for p in parts for i in p), np.int32, int(ends[-1]))
+    flat = np.fromiter(chain.from_iterable(parts), np.int32, int(ends[-1]))
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
@@ -107,12 +109,20 @@ class Aligner:
 
     def __init__(self, vocabulary: str, model: str):
         self.level, self.pieces = level_library(vocabulary), pieces_library(model)
+        # the rank form of the same file gives the same ids for less work, and takes special strings as plain text
+        self.ranked = encoder(vocabulary).ranked
         self.a, self.b = Side(byte_entries(vocabulary)), Side(byte_pieces(model))
 
+    def level_ids(self, texts: list[str]) -> list[list[int]]:
+        """Ids of the byte-level vocabulary, by its rank form where its ids follow the order of its merges."""
+        if self.ranked is not None:
+            return list(map(self.ranked.encode_ordinary, texts))
+        return [e.ids for e in self.level.encode_batch_fast(texts, add_special_tokens=False)]
+
     def tokens(self, texts: list[str]) -> tuple[pa.ListArray, pa.ListArray]:
         """Ids of both tokenizers; none for empty texts and for texts that a tokenizer does not keep byte for byte."""
         spaced = [" " + t for t in texts]
-        a = lists_of([e.ids for e in self.level.encode_batch_fast(spaced, add_special_tokens=False)])
+        a = lists_of(self.level_ids(spaced))
         b = lists_of(self.pieces.encode(texts, num_threads=1))
         want = pa.array(spaced, pa.string()).cast(pa.binary())
         same = pc.and_(pc.equal(self.a.joined(a), want), pc.equal(self.b.joined(b), want))
