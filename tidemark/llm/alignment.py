@@ -29,7 +29,7 @@ from tidemark.llm.tables import written
 from tidemark.llm.token_counts import byte_symbols, vocabulary_path
 
 #: Bytes of text handled at once; a longer text is a slice of its own.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 #: A link is named by the id of the first tokenizer times this, and the id of the second.
 WIDTH = 1 << 32
 ALIGNED = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links array<long>"
