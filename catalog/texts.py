@@ -13,7 +13,8 @@ from tidemark.operators import islands as I
 from tidemark.operators import lookup as L
 from tidemark.operators import match as M
 from tidemark.operators.scoring import batched_scores
-from tidemark.plans.passages import match_pairs, match_summary, prepare_corpus, shared_shingles
+from tidemark.plans.passages import match_pairs, match_summary, shared_shingles
+from tidemark.session import stage
 
 CLEAN = r"""trim(regexp_replace(regexp_replace(text, '[^a-zA-Z0-9\s,.!?;:"''\-]', '', 'g'), '\s+', ' ', 'g'))"""
 WORDS = rf"""regexp_extract_all(lower({CLEAN}), '[A-Za-z''\-’]+|[\p{{Nd}}]')"""
@@ -127,77 +128,120 @@ def unknown_tokens(spark, folder):
     return L.dictionary_join(tokens, _dictionary(spark, folder), ["doc_id"])[1]
 
 
+LETTERS = r"""regexp_extract_all(lower(trim(regexp_replace(regexp_replace(text, '[^\p{L}\p{M}\p{Nd}\s,.!?;:"''\-]', '', 'g'), '[\s\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g'))), '[\p{L}\p{M}''\-’]+|[\p{Nd}]')"""
+
+
 def _prepared(spark, folder):
-    docs = prepare_corpus(documents(spark, folder).select("doc_id", "text"), "text", "en").select("doc_id", "tokens")
-    items = prepare_corpus(table(spark, folder, "benchmark").select("item_id", "text"), "text", "en").select("item_id", "tokens")
-    return items, docs
+    """Items and documents with their tokens; items have no language, so both go by the rule that keeps all letters."""
+    docs = documents(spark, folder).select("doc_id", T.letter_tokens("text").alias("tokens"))
+    items = table(spark, folder, "benchmark").select("item_id", T.letter_tokens("text").alias("tokens"))
+    return stage(items), stage(docs)
 
 
-def _passage_pairs(spark, folder):
+def _passages(spark, folder):
+    """Items paired with every document that has a window on them: the pairs and the windows."""
     items, docs = _prepared(spark, folder)
-    pairs = shared_shingles(items, docs, "item_id", "doc_id", "tokens", size=3)
-    full = pairs.join(items.withColumnRenamed("tokens", "input"), "item_id").join(docs.withColumnRenamed("tokens", "reference"), "doc_id")
-    return full.withColumn("text", F.col("reference"))
+    windows = stage(M.passage_windows(items, docs, "item_id", "doc_id"))
+    pairs = windows.select(*PAIR).distinct().join(items.withColumnRenamed("tokens", "input"), "item_id")
+    pairs = pairs.join(docs.withColumnRenamed("tokens", "reference"), "doc_id")
+    return pairs.withColumn("text", F.col("reference")), windows
 
 
 PAIR = ["item_id", "doc_id"]
-TOKENS = f"""dt AS (SELECT doc_id, {WORDS} AS l FROM documents), bt AS (SELECT item_id, {WORDS} AS l FROM benchmark),
-  dr AS (SELECT DISTINCT doc_id, array_to_string(l[i:i+2], ' ') AS run FROM (SELECT doc_id, l, unnest(generate_series(1, len(l) - 2)) AS i FROM dt)),
+TOKENS = f"""dt AS (SELECT doc_id, {LETTERS} AS l FROM documents), bt AS (SELECT item_id, {LETTERS} AS l FROM benchmark)"""
+#: Every window of a document that covers 0.3 of an item: each place of a shared token counts for the starts around it.
+WINDOWS = f"""{TOKENS}, bq AS (SELECT item_id, len(l) AS n FROM bt WHERE len(l) > 0),
+  bc AS (SELECT item_id, token, count(*) AS c FROM (SELECT item_id, unnest(l) AS token FROM bt) GROUP BY ALL),
+  dp AS (SELECT doc_id, len(l) AS m, unnest(l) AS token, generate_subscripts(l, 1) - 1 AS pos FROM dt),
+  hit AS (SELECT item_id, doc_id, n, m, least(n + 8, CAST(floor(n * 1.3::DOUBLE) AS BIGINT), m) AS w, token, c, pos FROM dp JOIN bc USING (token) JOIN bq USING (item_id)),
+  big AS (SELECT item_id, doc_id FROM (SELECT item_id, doc_id, n, least(c, count(*)) AS k FROM hit GROUP BY item_id, doc_id, n, token, c) GROUP BY item_id, doc_id, n HAVING sum(k) / n >= 0.3),
+  st AS (SELECT item_id, doc_id, n, m, w, token, c, unnest(generate_series(greatest(pos - w + 1, 0), least(pos, m - w))) AS start FROM hit SEMI JOIN big USING (item_id, doc_id)),
+  o AS (SELECT item_id, doc_id, n, m, w, start, CAST(sum(k) AS INTEGER) AS overlap FROM (SELECT item_id, doc_id, n, m, w, start, token, least(c, count(*)) AS k FROM st GROUP BY item_id, doc_id, n, m, w, start, token, c)
+    GROUP BY item_id, doc_id, n, m, w, start HAVING sum(k) / n >= 0.3)"""
+
+
+@query(f"""WITH {TOKENS}, dr AS (SELECT DISTINCT doc_id, array_to_string(l[i:i+2], ' ') AS run FROM (SELECT doc_id, l, unnest(generate_series(1, len(l) - 2)) AS i FROM dt)),
   br AS (SELECT DISTINCT item_id, array_to_string(l[i:i+2], ' ') AS run FROM (SELECT item_id, l, unnest(generate_series(1, len(l) - 2)) AS i FROM bt)),
-  pr AS (SELECT DISTINCT item_id, doc_id FROM dr JOIN br USING (run)),
-  pp AS (SELECT item_id, doc_id, bt.l AS a, dt.l AS b FROM pr JOIN bt USING (item_id) JOIN dt USING (doc_id))"""
+  pr AS (SELECT DISTINCT item_id, doc_id FROM dr JOIN br USING (run))
+SELECT item_id, doc_id, CAST(len(bt.l) AS INTEGER) AS n, CAST(len(dt.l) AS INTEGER) AS m FROM pr JOIN bt USING (item_id) JOIN dt USING (doc_id)""")
+def shared_runs(spark, folder):
+    items, docs = _prepared(spark, folder)
+    pairs = shared_shingles(items, docs, "item_id", "doc_id", "tokens", size=3)
+    sizes = [df.select(key, F.size("tokens").alias(n)) for df, key, n in ((items, "item_id", "n"), (docs, "doc_id", "m"))]
+    return pairs.join(sizes[0], "item_id").join(sizes[1], "doc_id").select(*PAIR, "n", "m")
 
 
-@query(f"""WITH {TOKENS} SELECT item_id, doc_id, CAST(len(a) AS INTEGER) AS n, CAST(len(b) AS INTEGER) AS m FROM pp""")
-def shared_runs(spark, folder):
-    return _passage_pairs(spark, folder).select(*PAIR, F.size("input").alias("n"), F.size("reference").alias("m"))
+EXACT = f"""x AS (SELECT item_id, doc_id, ' ' || array_to_string(bt.l, ' ') || ' ' AS a, ' ' || array_to_string(dt.l, ' ') || ' ' AS b, len(bt.l) AS n FROM bt JOIN dt ON contains(' ' || array_to_string(dt.l, ' ') || ' ', ' ' || array_to_string(bt.l, ' ') || ' ') WHERE len(bt.l) > 0)"""
 
 
-@query(f"""WITH {TOKENS}, x AS (SELECT item_id, doc_id, ' ' || array_to_string(a, ' ') || ' ' AS a, ' ' || array_to_string(b, ' ') || ' ' AS b, len(a) AS n FROM pp),
-  y AS (SELECT *, instr(b, a) AS place FROM x WHERE contains(b, a))
+@query(f"""WITH {TOKENS}, {EXACT}, y AS (SELECT *, instr(b, a) AS place FROM x)
 SELECT item_id, doc_id, CAST(length(substr(b, 1, place)) - length(replace(substr(b, 1, place), ' ', '')) - 1 AS INTEGER) AS "start", CAST(n AS INTEGER) AS n FROM y""")
 def exact_passage(spark, folder):
-    best = M.best_windows(_passage_pairs(spark, folder), PAIR).filter("exact")
+    pairs, windows = _passages(spark, folder)
+    best = M.best_windows(pairs, PAIR, windows=windows).filter("exact")
     return best.select(*PAIR, "start", (F.col("end") - F.col("start")).alias("n"))
 
 
-WINDOWS = f"""{TOKENS}, e AS (SELECT item_id, doc_id, a, b, len(a) AS n, least(len(a) + 8, CAST(floor(len(a) * 1.3::DOUBLE) AS BIGINT), len(b)) AS w FROM pp
-    WHERE NOT contains(' ' || array_to_string(b, ' ') || ' ', ' ' || array_to_string(a, ' ') || ' ')),
-  s AS (SELECT *, unnest(generate_series(0, len(b) - w)) AS start FROM e),
-  t AS (SELECT item_id, doc_id, start, n, unnest(b[start + 1:start + w]) AS token FROM s),
-  c AS (SELECT item_id, doc_id, start, n, token, count(*) AS k FROM t GROUP BY ALL),
-  ac AS (SELECT item_id, token, count(*) AS k FROM (SELECT item_id, unnest(l) AS token FROM bt) GROUP BY ALL),
-  o AS (SELECT c.item_id, doc_id, start, any_value(n) AS n, CAST(sum(least(c.k, ac.k)) AS INTEGER) AS overlap FROM c JOIN ac ON ac.item_id = c.item_id AND ac.token = c.token GROUP BY ALL)"""
-
-
-@query(f"""WITH {WINDOWS} SELECT item_id, doc_id, count(*) AS windows, max(overlap) AS best_overlap, CAST(sum(overlap) AS BIGINT) AS total FROM o WHERE overlap / n >= 0.3 GROUP BY 1, 2""")
+@query(f"""WITH {WINDOWS} SELECT item_id, doc_id, count(*) AS windows, max(overlap) AS best_overlap, CAST(sum(overlap) AS BIGINT) AS total FROM o GROUP BY 1, 2""")
 def coverage_candidates(spark, folder):
-    coded = M.code_pairs(_passage_pairs(spark, folder), PAIR).filter(F.instr("b", F.col("a")) == 0)
-    return M.candidate_windows(coded, PAIR).groupBy(*PAIR).agg(
+    return M.passage_windows(*_prepared(spark, folder), *PAIR).groupBy(*PAIR).agg(
         F.count(F.lit(1)).alias("windows"), F.max("overlap").alias("best_overlap"), F.sum("overlap").alias("total")
     )
 
 
-@query()
+#: Common subsequences of all windows of pairs without a verbatim occurrence: one bit per token of the item, one step
+#: per token of the window.
+RANKED = f"""{WINDOWS}, {EXACT}, q AS (SELECT o.* FROM o ANTI JOIN x USING (item_id, doc_id)),
+  bm AS (SELECT item_id, token, bit_or(1::HUGEINT << CAST(i - 1 AS INTEGER)) AS mask FROM (SELECT item_id, unnest(l) AS token, generate_subscripts(l, 1) AS i FROM bt) GROUP BY ALL),
+  dm AS (SELECT item_id, doc_id, list(coalesce(mask, 0) ORDER BY pos) AS masks FROM (SELECT DISTINCT item_id, doc_id FROM q) JOIN dp USING (doc_id) LEFT JOIN bm USING (item_id, token) GROUP BY ALL),
+  v AS (SELECT item_id, doc_id, start, w, n, overlap, masks[start + 1:start + w] AS masks FROM q JOIN dm USING (item_id, doc_id)),
+  r AS (SELECT item_id, doc_id, start, n, w, masks, 0 AS k, (1::HUGEINT << CAST(n AS INTEGER)) - 1 AS bits FROM v UNION ALL
+    SELECT item_id, doc_id, start, n, w, masks, k + 1, ((bits + (bits & masks[k + 1])) | (bits - (bits & masks[k + 1]))) & ((1::HUGEINT << CAST(n AS INTEGER)) - 1) FROM r WHERE k < w),
+  lc AS (SELECT item_id, doc_id, start, n + w - 2 * (n - bit_count(bits)) AS approx FROM r WHERE k = w),
+  rk AS (SELECT item_id, doc_id, start, w, n, m, overlap, CAST(approx AS INTEGER) AS approx, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY approx, start) AS k, count(*) OVER (PARTITION BY item_id, doc_id) AS all_windows FROM lc JOIN q USING (item_id, doc_id, start)),
+  kp AS (SELECT * FROM rk WHERE k <= greatest(10, floor(all_windows * 0.3::DOUBLE)))"""
+
+
+@query(f"""WITH RECURSIVE {RANKED} SELECT item_id, doc_id, CAST(start AS INTEGER) AS "start", overlap, approx FROM kp""")
 def ranked_windows(spark, folder):
-    coded = M.code_pairs(_passage_pairs(spark, folder), PAIR).filter(F.instr("b", F.col("a")) == 0)
-    return M.rank_windows(M.candidate_windows(coded, PAIR), PAIR).select(*PAIR, "start", "overlap", "approx")
+    pairs, windows = _passages(spark, folder)
+    coded = M.code_pairs(pairs, PAIR).filter(F.instr("b", F.col("a")) == 0)
+    return M.rank_windows(M.cut_windows(coded, windows, PAIR), PAIR).select(*PAIR, "start", "overlap", "approx")
+
+
+#: Edit distance of the kept windows, over one character per token of the item and one for all others.
+BEST = f"""{RANKED}, al AS (SELECT item_id, list_distinct(l) AS letters, l FROM bt),
+  cd AS (SELECT item_id, doc_id, array_to_string([chr(CAST(40 + list_position(letters, t) AS INTEGER)) for t in al.l], '') AS a, array_to_string([chr(CAST(40 + coalesce(list_position(letters, t), 0) AS INTEGER)) for t in dt.l], '') AS b
+    FROM (SELECT DISTINCT item_id, doc_id FROM kp) JOIN al USING (item_id) JOIN dt USING (doc_id)),
+  ed AS (SELECT item_id, doc_id, start, w, n, m, k, levenshtein(a, substr(b, CAST(start + 1 AS BIGINT), CAST(w AS BIGINT))) AS d FROM kp JOIN cd USING (item_id, doc_id)),
+  bp AS (SELECT item_id, doc_id, start, start + w AS "end", d AS distance, FALSE AS exact, n, m FROM ed QUALIFY row_number() OVER (PARTITION BY item_id, doc_id ORDER BY d, k) = 1
+    UNION ALL SELECT item_id, doc_id, length(substr(b, 1, instr(b, a))) - length(replace(substr(b, 1, instr(b, a)), ' ', '')) - 1, length(substr(b, 1, instr(b, a))) - length(replace(substr(b, 1, instr(b, a)), ' ', '')) - 1 + n, 0, TRUE, n, NULL FROM x)"""
+
+
+@query(f"""WITH RECURSIVE {BEST} SELECT item_id, doc_id, CAST("start" AS INTEGER) AS "start", CAST("end" AS INTEGER) AS "end", CAST(distance AS INTEGER) AS distance, exact,
+  CASE WHEN n > m THEN 'Input longer than reference; attempted approximate alignment' ELSE '' END AS reason FROM bp""")
+def best_passages(spark, folder):
+    pairs, windows = _passages(spark, folder)
+    return M.best_windows(pairs, PAIR, windows=windows).select(*PAIR, "start", "end", "distance", "exact", "reason")
 
 
 @query()
 def best_passage_match(spark, folder):
-    out = match_pairs(_passage_pairs(spark, folder), PAIR)
+    pairs, windows = _passages(spark, folder)
+    out = match_pairs(pairs, PAIR, windows=windows)
     return out.select(*PAIR, "start", "end", "distance", "exact", F.array_join("matched", " ").alias("matched"), "differences", "status", "reason")
 
 
-@query(f"""WITH {TOKENS} SELECT count(*) AS total, count(*) FILTER (contains(' ' || array_to_string(b, ' ') || ' ', ' ' || array_to_string(a, ' ') || ' ')) AS exact FROM pp""")
+@query(f"""WITH {WINDOWS}, {EXACT} SELECT (SELECT count(*) FROM (SELECT DISTINCT item_id, doc_id FROM o)) AS total, (SELECT count(*) FROM x) AS exact""")
 def match_counts(spark, folder):
-    return match_summary(match_pairs(_passage_pairs(spark, folder), PAIR)).select("total", "exact")
+    pairs, windows = _passages(spark, folder)
+    return match_summary(match_pairs(pairs, PAIR, windows=windows)).select("total", "exact")
 
 
 @query()
 def highlight_differences(spark, folder):
-    full = match_pairs(_passage_pairs(spark, folder), PAIR).select(*PAIR, "input", "matched")
+    pairs, windows = _passages(spark, folder)
+    full = match_pairs(pairs, PAIR, windows=windows).select(*PAIR, "input", "matched")
     out = M.highlight(full.withColumn("shown", F.col("matched")), "input", "matched", "shown")
     return out.select(*PAIR, "heard_marked", "matched_marked", "edits")
 

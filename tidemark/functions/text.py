@@ -114,6 +114,25 @@ def clean_by_language(text, language) -> Column:
     return out
 
 
+#: Tokens of languages without a rule of their own: runs of letters with their marks, and single digits.
+LETTER_TOKEN = r"[\p{L}\p{M}'\-’]+|[\p{Nd}]"
+
+
+def letter_tokens(text) -> Column:
+    """Lower-case tokens of a text in any language written in letters."""
+    cleaned = squeeze(F.regexp_replace(_c(text), LETTER_PATTERN, ""))
+    return F.regexp_extract_all(F.lower(cleaned), F.lit(LETTER_TOKEN), F.lit(0))
+
+
+def tokens_by_language(text, language) -> Column:
+    """Tokens by the rule of each row's language; a language without a rule keeps all letters."""
+    lang = F.lower(F.trim(_c(language)))
+    out = letter_tokens(text)
+    for name, tokens in PROCESSORS.items():
+        out = F.when(lang == name, tokens(_c(text))).otherwise(out)
+    return out
+
+
 def script_filter(text, language) -> Column:
     """For zh and ja, drop ASCII words and marks and rejoin CJK across spaces."""
     from tidemark.functions.checks import language_code

@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.grid import _c
+from tidemark.operators.align import BLOCK_SIDE, COMMON, BlockAlignment, Costs, codes, cut_series
+from tidemark.operators.align import path as aligned_path
 from tidemark.operators.intervals import overlap_join
 from tidemark.scan import BLOCK, ROWS_PER_BLOCK, Scan, block_limit, exact_median, salted_join, with_blocks
+from tidemark.session import stage
 
 
 def tier_intervals(
@@ -68,13 +71,45 @@ def _fresh(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in columns])
 
 
+def _coded(left: dict, right: dict) -> tuple[dict, dict]:
+    """Points of two blocks with numbers for their labels."""
+    a, b = codes(left["mark"], right["mark"])
+    sides = [dict(code=c, **{k: np.asarray(v) for k, v in x.items() if k != "mark"}) for c, x in ((a, left), (b, right))]
+    return sides[0], sides[1]
+
+
+def _edit_costs(low: float, high: float) -> Costs:
+    """As ``_edit_cost``, for blocks; ``change`` marks points whose label differs from the one before."""
+
+    def move(a: dict, i: int, b: dict) -> np.ndarray:
+        apart = np.abs(a["time"][i] - b["time"])
+        return ((apart >= low) & (apart < high)).astype(np.int64) + (b["code"] != a["code"][i])
+
+    return Costs(move, 1, lambda right: 1 + np.asarray(right["change"], np.int64))
+
+
+def _ranked(points: DataFrame, keys: Sequence[str], rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """Points with their place in the series as ``idx``, from 1, and whether their label is a new one."""
+    rows = with_blocks(points.select(*keys, "idx", "time", "mark"), keys, "idx", rows_per_block)
+    rows = Scan(rows, keys, ["idx"]).row_number("_at").lag("_before", "mark").columns()
+    change = F.col("_before").isNull() | (F.col("mark") != F.col("_before"))
+    return rows.select(*keys, F.col("_at").alias("idx"), "time", "mark", change.cast("int").alias("change"))
+
+
+def _sizes(predicted: DataFrame, target: DataFrame, keys: Sequence[str], side: int) -> DataFrame:
+    """Points of each series on both sides, and whether one of them is too long for one call."""
+    counts = [df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)) for df, n in ((predicted, "_p"), (target, "_t"))]
+    both = counts[0].join(counts[1], list(keys), "full")
+    return both.withColumn("_large", F.coalesce(F.greatest("_p", "_t") > side, F.lit(False)))
+
+
 def label_edits(
-    predicted: DataFrame, target: DataFrame, series: Sequence[str], low: float = 1, high: float = 2
+    predicted: DataFrame, target: DataFrame, series: Sequence[str], low: float = 1, high: float = 2, side: int = BLOCK_SIDE
 ) -> DataFrame:
     """Edit count and its share of twice the target length, per series of points.
 
-    The alignment needs both sequences of one series, so ``series`` must name a
-    bounded unit such as one recording or document.
+    Series of up to ``side`` points are compared in one call, longer ones in
+    blocks of ``side`` by ``side`` points.
     """
     keys = list(series)
 
@@ -85,8 +120,22 @@ def label_edits(
     types = dict(target.dtypes)
     shape = ", ".join(f"{c} {types[c]}" for c in keys) + ", edits bigint, total bigint"
     predicted, target = (_fresh(df, [*keys, "idx", "time", "mark"]) for df in (predicted, target))
-    counted = predicted.groupBy(*keys).cogroup(target.groupBy(*keys)).applyInPandas(compare, shape)
-    return counted.withColumn("edit_ratio", edit_ratio("edits", "total"))
+    sizes = stage(_sizes(predicted, target, keys, side))
+    long = sizes.filter("_large")
+    if long.isEmpty():
+        counted = predicted.groupBy(*keys).cogroup(target.groupBy(*keys)).applyInPandas(compare, shape)
+        return counted.withColumn("edit_ratio", edit_ratio("edits", "total"))
+    short = [_fresh(df.join(long, keys, "left_anti"), [*keys, "idx", "time", "mark"]) for df in (predicted, target)]
+    counted = short[0].groupBy(*keys).cogroup(short[1].groupBy(*keys)).applyInPandas(compare, shape)
+    # the longer side is cut to the shorter one
+    common = long.select(*keys, F.least(F.coalesce("_p", F.lit(0)), F.coalesce("_t", F.lit(0))).alias("_n"))
+    cut = [
+        cut_series(_ranked(_fresh(df.join(long, keys, "left_semi"), [*keys, "idx", "time", "mark"]), keys).join(common, keys).filter("idx <= _n").drop("_n"), keys, "idx", ["time", "mark", "change"], side)
+        for df in (predicted, target)
+    ]
+    costs = BlockAlignment(*cut, keys, _edit_costs(low, high), _coded, follow=False).cost("edits")
+    blocked = long.join(costs, keys, "left").select(*keys, F.coalesce("edits", F.lit(0)).alias("edits"), (2 * F.coalesce("_t", F.lit(0))).alias("total"))
+    return counted.unionByName(blocked).withColumn("edit_ratio", edit_ratio("edits", "total"))
 
 
 def edit_ratio(edits, total) -> Column:
@@ -95,40 +144,33 @@ def edit_ratio(edits, total) -> Column:
 
 def _lcs_pairs(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """Aligned positions of a longest common subsequence; ties step back in ``b`` first."""
-    table = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
-    for i in range(1, len(a) + 1):
-        hit = table[i - 1, :-1] + (a[i - 1] == b)
-        table[i, 1:] = np.maximum.accumulate(np.maximum(hit, table[i - 1, 1:]))
-    i, j, out = len(a), len(b), []
-    while i and j:
-        if a[i - 1] == b[j - 1]:
-            i, j = i - 1, j - 1
-            out.append((i, j))
-        elif table[i - 1, j] > table[i, j - 1]:
-            i -= 1
-        else:
-            j -= 1
-    return out[::-1]
+    x, y = codes(a, b)
+    rows, columns = aligned_path({"code": x}, {"code": y}, COMMON)
+    both = (np.diff(rows) == 1) & (np.diff(columns) == 1)
+    return list(zip(rows[:-1][both].tolist(), columns[:-1][both].tolist()))
+
+
+def _matched_distance(left: dict, right: dict, rows: np.ndarray, columns: np.ndarray) -> list[tuple]:
+    """Distance and number of the matched points of one block."""
+    far = np.abs(np.asarray(left["time"])[rows] - np.asarray(right["time"])[columns])
+    return [(float(far.sum()), len(rows))]
 
 
-def boundary_displacement(predicted: DataFrame, target: DataFrame, series: Sequence[str]) -> DataFrame:
+def boundary_displacement(predicted: DataFrame, target: DataFrame, series: Sequence[str], side: int = BLOCK_SIDE) -> DataFrame:
     """Distance between matching boundaries per series of points ``idx, time, mark``.
 
     Series of equal length match by position and are rejected when a label
     differs; the others match along a longest common subsequence.  A target
-    series without predictions counts all its points as errors.  Returns
+    series without predictions counts all its points as errors, a predicted
+    series without target counts as a series without points.  Returns
     ``distance, points, errors, rejected, span``.
+
+    Series of up to ``side`` points are matched in one call, longer ones in
+    blocks of ``side`` by ``side`` points.
     """
     keys = list(series)
-
-    def sized(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-
-    spans = target.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_t"),
-        (F.max_by("time", "idx") - F.min_by("time", "idx")).alias("span"),
-    )
-    sizes = spans.join(sized(predicted, "_p"), keys, "left")
+    spans = target.groupBy(*keys).agg((F.max_by("time", "idx") - F.min_by("time", "idx")).alias("span"))
+    sizes = stage(_sizes(predicted, target, keys, side))
     places = target.select(*keys, "idx", F.col("time").alias("_time"), F.col("mark").alias("_mark"))
     equal = sizes.filter("_p = _t").select(*keys)
     by_place = (
@@ -143,7 +185,6 @@ def boundary_displacement(predicted: DataFrame, target: DataFrame, series: Seque
             F.max((F.col("mark") != F.col("_mark")).cast("int")).cast("boolean").alias("rejected"),
         )
     )
-    other = sizes.filter("_p != _t").select(*keys)
 
     def align(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.sort_values("idx", ignore_index=True), b.sort_values("idx", ignore_index=True)
@@ -154,13 +195,30 @@ def boundary_displacement(predicted: DataFrame, target: DataFrame, series: Seque
     types = dict(target.dtypes)
     shape = ", ".join(f"{c} {types[c]}" for c in keys) + ", distance double, points bigint, errors bigint, rejected boolean"
     columns = [*keys, "idx", "time", "mark"]
-    left = _fresh(predicted.join(other, keys, "left_semi"), columns).groupBy(*keys)
-    right = _fresh(target.join(other, keys, "left_semi"), columns).groupBy(*keys)
-    by_label = left.cogroup(right).applyInPandas(align, shape)
-    nothing = sizes.filter("_p IS NULL").select(
-        *keys, F.lit(0.0).alias("distance"), F.lit(0).cast("bigint").alias("points"), F.col("_t").alias("errors"), F.lit(False).alias("rejected")
+
+    def chosen(condition: str) -> list[DataFrame]:
+        other = sizes.filter(condition).select(*keys)
+        return [_fresh(df.join(other, keys, "left_semi"), columns) for df in (predicted, target)]
+
+    left, right = chosen("_p != _t AND NOT _large")
+    by_label = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(align, shape)
+    long = sizes.filter("_p != _t AND _large")
+    if not long.isEmpty():
+        cut = [cut_series(df, keys, "idx", ["time", "mark"], side) for df in chosen("_p != _t AND _large")]
+        parts = BlockAlignment(*cut, keys, COMMON, _coded).along(_matched_distance, "distance double, points bigint")
+        sums = parts.groupBy(*keys).agg(F.sum("distance").alias("distance"), F.sum("points").alias("points"))
+        matched = F.coalesce("points", F.lit(0))
+        by_label = by_label.unionByName(
+            long.join(sums, keys, "left").select(
+                *keys, F.coalesce("distance", F.lit(0.0)).alias("distance"), matched.alias("points"),
+                F.abs(matched - F.col("_t")).alias("errors"), F.lit(False).alias("rejected"),
+            )
+        )
+    nothing = sizes.filter("_p IS NULL OR _t IS NULL").select(
+        *keys, F.lit(0.0).alias("distance"), F.lit(0).cast("bigint").alias("points"), F.coalesce("_t", F.lit(0)).alias("errors"), F.lit(False).alias("rejected")
     )
-    return by_place.unionByName(by_label).unionByName(nothing).join(spans.select(*keys, "span"), keys)
+    out = by_place.unionByName(by_label).unionByName(nothing).join(spans, keys, "left")
+    return out.withColumn("span", F.coalesce("span", F.lit(0.0)))
 
 
 def displacement_totals(per_series: DataFrame) -> DataFrame:

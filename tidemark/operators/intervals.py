@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.chain import call_bucket, run_slices
+from tidemark.fold import Fold, Ride
 from tidemark.functions.checks import STOP_LABELS
 from tidemark.functions.grid import _c
 from tidemark.scan import BLOCK, ROWS_PER_BLOCK, Scan, block_limit, with_blocks
@@ -164,15 +166,37 @@ def reslice(
     return cut, placed.filter(~fine).select(*ranges.columns, F.lit("empty range").alias("rule"))
 
 
+class _Clamp(Ride):
+    """A boundary wanted at one place, at least ``MIN_GAP`` behind the one before and ahead of the next."""
+
+    step = MIN_GAP
+
+    def fresh(self, want, following, raw, low):
+        return self.next(low, want, following, raw, low)
+
+    def next(self, state, want, following, raw, low):
+        least, most = state + MIN_GAP, following - MIN_GAP
+        return min(max(want, least), most) if least < most else raw
+
+    def limits(self, want, following, raw, low):
+        return want - MIN_GAP, following - 2 * MIN_GAP
+
+    def sides(self, states, want, following, raw, low):
+        least, most = states + MIN_GAP, following - MIN_GAP
+        return np.where(~(least < most), 1, np.where(least < want, -1, 0))
+
+    def broken(self, side, want, following, raw, low):
+        return raw if side > 0 else min(want, following - MIN_GAP)
+
+
 def align_boundaries(
     words: DataFrame, notes: DataFrame, series: Sequence[str], tol: float = 0.01, rows_per_block: int = ROWS_PER_BLOCK
 ) -> DataFrame:
     """Word intervals with inner boundaries snapped to note boundaries within ``tol``.
 
     ``words`` and ``notes`` hold ``idx, start, end``.  Snapped boundaries stay
-    strictly increasing.  A boundary that is not moved down cannot run into the
-    one before, so the left-to-right clamp only runs inside stretches of
-    boundaries that move down.
+    strictly increasing: each is clamped between the one before and the next
+    raw one.  A boundary that is not moved down cannot run into the one before.
     """
     keys = list(series)
     rows = with_blocks(words, keys, "idx", rows_per_block)
@@ -184,28 +208,12 @@ def align_boundaries(
     near = near.select(*keys, "idx", "raw", "_next", snapped.alias("_want"))
     near = with_blocks(near, keys, "idx", block_limit(rows, rows_per_block))
     free = (F.col("_want") >= F.col("raw")) & (F.col("_next") - F.col("raw") > 3 * MIN_GAP)
-    near = Scan(near.withColumn("_free", free.cast("bigint")), keys, ["idx"]).running_sum("_stretch", "_free").lag(
-        "_raw_before", "raw"
-    ).columns()
-    # the first stretch starts at the start of the series
-    near = near.select(*keys, "idx", "raw", "_next", "_want", "_stretch", F.coalesce("_raw_before", F.lit(0.0)).alias("_low"))
-
-    def clamp(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx", ignore_index=True)
-        raws, nexts, wants, lows = (pdf[c].tolist() for c in ("raw", "_next", "_want", "_low"))
-        out = []
-        for stretch in run_slices(pdf["_stretch"].to_numpy()):
-            before = lows[stretch.start]
-            for i in range(stretch.start, stretch.stop):
-                low, high = before + MIN_GAP, nexts[i] - MIN_GAP
-                before = min(max(wants[i], low), high) if low < high else raws[i]
-                out.append(before)
-        pdf["end"] = out
-        return pdf[[*keys, "idx", "end"]]
-
-    types = dict(near.dtypes)
-    shape = ", ".join(f"{c} {types[c]}" for c in [*keys, "idx"]) + ", end double"
-    moved = near.groupBy(*keys, call_bucket("_stretch")).applyInPandas(clamp, shape).withColumnRenamed("end", "_moved")
+    near = Scan(near, keys, ["idx"]).lag("_raw_before", "raw").columns()
+    # the first boundary comes after the start of the series
+    near = near.withColumn("_low", F.coalesce("_raw_before", F.lit(0.0)))
+    near = near.withColumn("_start", free)
+    limit = block_limit(near, rows_per_block)
+    moved = Fold(_Clamp(), keys, ["idx"], ["_want", "_next", "raw", "_low"], "_start").states(near, "_moved", limit).select(*keys, "idx", "_moved")
     rows = rows.drop("_next").join(moved, [*keys, "idx"], "left").withColumn("_end", F.coalesce("_moved", "end"))
     rows = Scan(rows, keys, ["idx"]).lag("_start", "_end").columns()
     others = [c for c in words.columns if c not in (*keys, "idx", "start", "end")]

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.chain import call_bucket, greedy_chain, run_slices
+from tidemark.chain import greedy_chain
+from tidemark.fold import Fold, Ride
 from tidemark.functions.grid import _c
-from tidemark.scan import BLOCK, ROWS_PER_BLOCK, Scan, with_blocks
+from tidemark.scan import BLOCK, ROWS_PER_BLOCK, Scan, block_limit, with_blocks
+from tidemark.session import stage
 
 
 def previous_gap(
@@ -201,36 +204,46 @@ def anchored_runs(
 ) -> DataFrame:
     """Merge touching continuation rows whose value stays near the first row of the run.
 
-    Runs are first cut at gaps and at rows that carry a label of their own; the
-    anchor rule then only runs inside such a run.
+    A run ends at gaps, at rows that carry a label of their own and at rows whose
+    value leaves the run's first one; the first value is carried over blocks.
     """
-    import pandas as pd
-
     rows = with_blocks(df, series, order[0], rows_per_block)
     rows = Scan(rows, series, order).lag("_end", end).columns()
     cut = F.col("_end").isNull() | (F.abs(F.col("_end") - F.col(start)) >= max_gap) | (F.col(label) != continuation)
-    rows = Scan(rows.withColumn("_cut", cut.cast("bigint")), series, order).running_sum("_run", "_cut").columns()
-    rows = rows.select(*df.columns, "_run")
-
-    def anchor(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_run", *order], kind="stable", ignore_index=True)
-        values, parts = pdf[value].to_numpy(), []
-        for run in run_slices(pdf["_run"].to_numpy()):
-            base, part = None, -1
-            for v in values[run]:
-                if base is None or not abs(base - v) < tolerance:
-                    base, part = v, part + 1
-                parts.append(part)
-        pdf["_part"] = pd.Series(parts, dtype="int64")
-        return pdf
-
-    schema = rows.schema.simpleString()[7:-1] + ",_part:bigint"
-    parts = rows.groupBy(*series, call_bucket("_run")).applyInPandas(anchor, schema)
+    rows = rows.withColumns({"_cut": cut, "_value": F.col(value).cast("double")})
+    limit = block_limit(rows, rows_per_block)
+    based = Fold(_Anchor(tolerance), series, order, ["_value"], "_cut").states(rows, "_base", limit)
+    based = based if limit is None else stage(based)
+    based = Scan(based, series, order).lag("_before", "_base").columns()
+    new = F.col("_cut") | ~(F.abs(F.col("_before") - F.col("_value")) < tolerance)
+    based = Scan(based.withColumn("_new", new.cast("bigint")), series, order).running_sum("_part", "_new").columns()
     place = F.struct(*order)
-    return parts.groupBy(*series, "_run", "_part").agg(
+    return based.groupBy(*series, "_part").agg(
         F.min(start).alias(start),
         F.max_by(end, place).alias(end),
         F.min_by(value, place).alias(value),
         F.min_by(label, place).alias(label),
         F.count(F.lit(1)).alias("rows"),
-    ).drop("_run", "_part")
+    ).drop("_part")
+
+
+class _Anchor(Ride):
+    """The first value of a run, until a value is ``tolerance`` or more off."""
+
+    def __init__(self, tolerance: float):
+        self.tolerance = tolerance
+
+    def fresh(self, value):
+        return value
+
+    def next(self, state, value):
+        return state if abs(state - value) < self.tolerance else value
+
+    def limits(self, value):
+        return value - self.tolerance, value + self.tolerance
+
+    def sides(self, states, value):
+        return np.where(np.abs(states - value) < self.tolerance, 0, np.where(states < value, -1, 1))
+
+    def broken(self, side, value):
+        return value

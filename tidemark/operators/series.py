@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.chain import call_bucket, run_slices
+from tidemark.fold import Fold, Settling
 from tidemark.functions.grid import _c
-from tidemark.scan import ROWS_PER_BLOCK, Scan, with_blocks
+from tidemark.scan import ROWS_PER_BLOCK, Scan, block_limit, with_blocks
 
 
 def moving_upper_median(
@@ -28,29 +27,39 @@ def moving_upper_median(
 
 def despike(
     df: DataFrame, run: Sequence[str], order: Sequence[str], value: str, name: str = "smoothed", limit: float = 75.0,
-    blend: float = 0.7,
+    blend: float = 0.7, rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
     """Pull values more than ``limit`` off their neighbours towards them, left to right.
 
-    The left neighbour counts with its new value, so this is a fold; ``run``
-    must name a bounded group such as the points of one interval, its last
-    column an integer number.
+    The left neighbour counts with its new value, so this is a fold over each
+    ``run``, whose last column is an integer number.  The first and the last
+    row of a run stay.
     """
-    number = run[-1]
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([number, *order], ignore_index=True)
-        v = pdf[value].to_numpy(dtype=float)
-        for run_slice in run_slices(pdf[number].to_numpy()):
-            for i in range(run_slice.start + 1, run_slice.stop - 1):
-                off = v[i] - (v[i - 1] + v[i + 1]) / 2.0
-                if abs(off) > limit:
-                    v[i] = np.rint(v[i] - off * blend)
-        pdf[name] = v.astype("int64")
-        return pdf
-
-    schema = df.schema.simpleString()[7:-1] + f",{name}:bigint"
-    return df.groupBy(*run[:-1], call_bucket(number)).applyInPandas(fold, schema)
+    rows = with_blocks(df, run, order[0], rows_per_block)
+    rows = rows.withColumn("_value", F.col(value).cast("double"))
+    rows = Scan(rows, run, order).lag("_left", "_value").lead("_right", "_value").columns()
+    ends = F.col("_left").isNull() | F.col("_right").isNull()
+    rows = rows.withColumns({"_end": ends, "_right": F.coalesce("_right", "_value")})
+    fold = Fold(_Despike(limit, blend), run, order, ["_value", "_right"], "_end", numbered=True)
+    return fold.states(rows, "_state", block_limit(rows, rows_per_block)).select(*df.columns, F.col("_state").cast("bigint").alias(name))
+
+
+class _Despike(Settling):
+    """A value drawn towards the mean of its new left and its old right neighbour where it is far off."""
+
+    def __init__(self, limit: float, blend: float):
+        self.limit, self.blend = limit, blend
+
+    def fresh(self, value, right):
+        return value
+
+    def next(self, state, value, right):
+        off = value - (state + right) / 2.0
+        return float(np.rint(value - off * self.blend)) if abs(off) > self.limit else value
+
+    def together(self, states, value, right):
+        off = value - (states + right) / 2.0
+        return np.where(np.abs(off) > self.limit, np.rint(value - off * self.blend), value)
 
 
 def fill_short_gaps(

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.chain import call_bucket, run_slices
+from tidemark.fold import Fold, Ride
 from tidemark.functions import grid as G
 from tidemark.operators.islands import gap_or_cap_segments, tied_phrases
 from tidemark.scan import BLOCK, ROWS_PER_BLOCK, Scan, block_limit, with_blocks
@@ -418,34 +419,39 @@ def repair_overlaps(
     df: DataFrame, series: Sequence[str], index: str, start: str, end: str, step: int,
     rows_per_block: int | None = ROWS_PER_BLOCK,
 ) -> DataFrame:
-    """Move starts to the end before and give empty intervals one step.
-
-    The fold runs between rows that no repair before them can reach.
-    """
+    """Move starts to the end before and give empty intervals one step."""
     keys, names = list(series), df.columns
     rows = with_blocks(df, keys, index, rows_per_block)
-    rows = Scan(rows, keys, [index]).row_number("_n").columns()
-    farthest = F.greatest(F.col(end), F.col(start) + step) - F.col("_n") * step
-    rows = Scan(rows, keys, [index]).running_max("_m", farthest).columns()
-    rows = rows.withColumn("_bound", F.col("_m") + F.col("_n") * step)
-    rows = Scan(rows, keys, [index]).lag("_reach", "_bound").columns()
-    free = F.coalesce(F.col(start) >= F.col("_reach"), F.lit(True)).cast("bigint")
-    rows = Scan(rows.withColumn("_free", free), keys, [index]).running_sum("_part", "_free").columns()
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(index, ignore_index=True)
-        olds, starts, ends = list(zip(pdf[start].tolist(), pdf[end].tolist())), [], []
-        for part in run_slices(pdf["_part"].to_numpy()):
-            before = None
-            for s, e in olds[part]:
-                s = s if before is None else max(s, before)
-                before = e if e > s else s + step
-                starts.append(s)
-                ends.append(before)
-        pdf[start], pdf[end] = starts, ends
-        return pdf[names]
-
-    return rows.select(*names, "_part").groupBy(*keys, call_bucket("_part")).applyInPandas(fold, df.schema)
+    seen = {"_s": F.col(start).cast("double"), "_e": F.col(end).cast("double"), "_first": F.lit(False)}
+    rows = Fold(_Push(step), keys, [index], ["_s", "_e"], "_first").states(rows.withColumns(seen), "_after", block_limit(rows, rows_per_block))
+    rows = rows if BLOCK not in rows.columns else stage(rows)
+    rows = Scan(rows, keys, [index]).lag("_before", "_after").columns()
+    types = dict(df.dtypes)
+    new = {start: F.greatest("_s", "_before"), end: F.col("_after")}
+    return rows.select(*[new[c].cast(types[c]).alias(c) if c in new else F.col(c) for c in names])
+
+
+class _Push(Ride):
+    """The end of an interval that starts no earlier than the one before ended and lasts one step at least."""
+
+    def __init__(self, step: float):
+        self.step = step
+
+    def fresh(self, start, end):
+        return end if end > start else start + self.step
+
+    def next(self, state, start, end):
+        start = max(start, state)
+        return end if end > start else start + self.step
+
+    def limits(self, start, end):
+        return np.maximum(start, end), np.full(len(start), np.inf)
+
+    def sides(self, states, start, end):
+        return np.where((states < start) | (end > states), -1, 0)
+
+    def broken(self, side, start, end):
+        return self.fresh(start, end)
 
 
 def snap_timeline(

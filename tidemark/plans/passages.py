@@ -11,6 +11,7 @@ from tidemark.functions.arrays import difference_count
 from tidemark.functions.text import tokens_for
 from tidemark.operators.lookup import keyed_join
 from tidemark.operators.match import best_windows, match_status, matched_tokens
+from tidemark.session import stage
 
 
 def prepare_corpus(documents: DataFrame, text: str, language: str) -> DataFrame:
@@ -40,12 +41,13 @@ def shared_shingles(
     return right.join(left, ["_run", "_salt"]).select(passage, document).distinct()
 
 
-def match_pairs(pairs: DataFrame, keys: Sequence[str], threshold: int = 5) -> DataFrame:
+def match_pairs(pairs: DataFrame, keys: Sequence[str], threshold: int = 5, windows: DataFrame | None = None) -> DataFrame:
     """Best match of each pair with its matched tokens, difference count and status.
 
-    ``pairs`` holds ``input``, ``reference`` and display ``text`` token arrays.
+    ``pairs`` holds ``input``, ``reference`` and display ``text`` token arrays, ``windows`` the windows of
+    ``passage_windows`` where they are known.
     """
-    best = best_windows(pairs, keys)
+    best = stage(best_windows(pairs, keys, windows=windows))
     full = matched_tokens(best, pairs, keys).join(pairs.select(*keys, "input"), list(keys))
     return full.withColumn("differences", difference_count("input", "matched")).withColumn(
         "status", match_status("matched", "input", threshold)
