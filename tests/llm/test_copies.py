@@ -47,6 +47,21 @@ def near_rows(seed, docs=90):
     return [*rows, (900, None), (901, ""), (902, " \n"), (903, "one two"), (904, "ONE\ttwo"), (905, "one three"), (906, "long " * 4000), (907, "long " * 4000)]
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_two_texts_of_one_id_lose_no_link(spark, turned):
+    rng = random.Random(6)
+    rows, want = [], {}
+    for k in range(0, 40, 4):
+        a, b = ([f"w{rng.randrange(500)}" for _ in range(40)] for _ in range(2))
+        near = [*a[:39], "other"]
+        two = [(k, " ".join(b)), (k, " ".join(a))]
+        rows += [*(two[::-1] if turned else two), (k + 1, " ".join(near)), (k, " ".join(a))]
+        want |= {k: k, k + 1: k}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.near_duplicates(docs).collect()
+    assert len(got) == len(rows) and all(r["component_id"] == want[r["doc_id"]] for r in got)
+
+
 @pytest.mark.parametrize("seed,large,often", [(1, 16, 1000), (2, 2, -1000)])
 def test_classes(spark, seed, large, often, monkeypatch):
     monkeypatch.setattr(ngram_join, "OFTEN_LEAST", often)

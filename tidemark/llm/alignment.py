@@ -13,6 +13,7 @@ at most as many pairs as both vocabularies have bytes: that bound is checked bef
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from functools import lru_cache
 from itertools import chain
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.base import documents, prepare, query
-from tidemark.llm.packing import encoder
+from tidemark.llm.packing import Encoder
 from tidemark.llm.tables import written
 from tidemark.llm.token_counts import byte_symbols, vocabulary_path
 
@@ -45,10 +46,14 @@ def byte_pieces(model: str) -> list[bytes]:
 
 
 def byte_entries(vocabulary: str) -> list[bytes]:
-    """The bytes of each id of a byte-level vocabulary."""
+    """The bytes of each id of a byte-level vocabulary file."""
     back = {c: b for b, c in byte_symbols().items()}
-    library = level_library(vocabulary)
-    names = [library.id_to_token(i) or "" for i in range(library.get_vocab_size(with_added_tokens=True))]
+    with open(vocabulary, encoding="utf-8") as file:
+        spec = json.load(file)
+    ids = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
+    names = [""] * (max(ids.values()) + 1)
+    for name, i in ids.items():
+        names[i] = name
     return [bytes(back[c] for c in n) if all(c in back for c in n) else n.encode() for n in names]
 
 
@@ -108,9 +113,10 @@ class Aligner:
     """Both tokenizers and their tables."""
 
     def __init__(self, vocabulary: str, model: str):
-        self.level, self.pieces = level_library(vocabulary), pieces_library(model)
+        self.pieces = pieces_library(model)
         # the rank form of the same file gives the same ids for less work, and takes special strings as plain text
-        self.ranked = encoder(vocabulary).ranked
+        self.ranked = Encoder._ranked(vocabulary)
+        self.level = level_library(vocabulary) if self.ranked is None else None
         self.a, self.b = Side(byte_entries(vocabulary)), Side(byte_pieces(model))
 
     def level_ids(self, texts: list[str]) -> list[list[int]]:

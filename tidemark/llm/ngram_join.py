@@ -137,15 +137,17 @@ def incidence(docs: DataFrame, sketch: np.ndarray, size: int) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, size: int) -> DataFrame:
-    """(node, n, grams) of the texts of (node, text)."""
+    """(node, n, grams) of the texts of (node, text) that have the node's set; an id may have other texts beside."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordIds()
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(at, SLICE)
-                sets = [gram_set(words, t, size)[0] for t in texts_of(batch)]
-                yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), list_array([signed(s) for s in sets])], ["node", "n", "grams"])
+                own = [(node, gram_set(words, t, size)) for node, t in zip(batch.column(0).to_pylist(), texts_of(batch))]
+                own = [(node, grams) for node, (grams, text) in own if len(grams) and names_of_set(grams, text)[0] == node % (1 << 64)]
+                sets = [signed(grams) for _, grams in own]
+                yield pa.record_batch([pa.array([node for node, _ in own], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), list_array(sets)], ["node", "n", "grams"])
 
     return docs.select("node", "text").mapInArrow(run, "node long, n int, grams array<long>")
 
@@ -229,8 +231,8 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
 
     def sets(wanted: DataFrame) -> DataFrame:
         """Whole sets of some nodes."""
-        texts = sound.join(wanted.distinct().join(reps, "node").select("node", F.col("rep").alias("key")), "key").dropDuplicates(["node"])
-        return written(whole_sets(texts, size))
+        texts = sound.join(wanted.distinct().join(reps, "node").select("node", F.col("rep").alias("key")), "key")
+        return written(whole_sets(texts, size).dropDuplicates(["node"]))
 
     # in large columns each node against a few leaders, again and again with other leaders for the nodes that are left
     large = written(shared.where(F.col("c") >= LARGE).select("gram", "node", "n"))
