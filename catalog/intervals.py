@@ -113,13 +113,24 @@ def boundary_displacement(spark, folder):
     return out.select("user_id", F.round("distance", 4).alias("distance"), "points", "errors", "rejected", F.round("span", 4).alias("span"))
 
 
-@query()
+@query(f"""WITH {INDEXED}, d AS (SELECT user_id, event_type, us / {HOUR} AS p, round_even(us / {HOUR}, 0) AS t FROM ix),
+  s AS (SELECT user_id, coalesce(sum(abs(p - t)) FILTER (event_type <> 'view'), 0) AS d, count(*) FILTER (event_type <> 'view') AS n, count(*) FILTER (event_type = 'view') AS e, max(t) - min(t) AS span FROM d GROUP BY 1),
+  a AS (SELECT round(sum(d), 6) AS d, sum(n) AS n, sum(e) AS e, sum(span) AS s FROM s)
+SELECT round(d, 3) AS distance, round(d / s, 6) AS ratio, round(d / s / (1 - e / n), 6) AS weighted_ratio FROM a""")
 def displacement_totals(spark, folder):
     pred, target = _tiers(spark, folder)
-    return E.displacement_totals(E.boundary_displacement(pred.filter("mark <> 'view'"), target, U))
-
-
-@query()
+    out = E.displacement_totals(E.boundary_displacement(pred.filter("mark <> 'view'"), target, U))
+    return out.withColumn("distance", F.round("distance", 3))
+
+
+#: The table of costs row by row: a step right costs a fixed sum, so a row is a running minimum without it.
+@query(f"""WITH RECURSIVE {INDEXED}, ch AS (SELECT *, CASE WHEN lag(event_type) OVER w = event_type THEN 1 ELSE 2 END AS step FROM ix WINDOW w AS (PARTITION BY user_id ORDER BY idx)),
+  su AS (SELECT *, sum(step) OVER (PARTITION BY user_id ORDER BY idx) AS upto FROM ch),
+  li AS (SELECT user_id, list(us / {HOUR} ORDER BY idx) AS p, list(round_even(us / {HOUR}, 0) ORDER BY idx) AS t, list(event_type ORDER BY idx) AS m, list_prepend(0, list(CAST(upto AS INTEGER) ORDER BY idx)) AS r, count(*) AS n FROM su GROUP BY 1),
+  dp AS (SELECT user_id, p, t, m, r, n, 0 AS i, [CAST(2 * j AS INTEGER) for j in range(0, n + 1)] AS c FROM li
+    UNION ALL SELECT user_id, p, t, m, r, n, i + 1, [CAST(r[j] + list_min(g[1:j]) AS INTEGER) for j in range(1, n + 2)] FROM (
+      SELECT user_id, p, t, m, r, n, i, c, [(CASE WHEN j = 0 THEN i + 1 ELSE least(c[j] + (CASE WHEN abs(p[i + 1] - t[j]) >= 0.2 AND abs(p[i + 1] - t[j]) < 0.4 THEN 1 ELSE 0 END) + (CASE WHEN m[i + 1] <> m[j] THEN 1 ELSE 0 END), c[j + 1] + 1) END) - r[j + 1] for j in range(0, n + 1)] AS g FROM dp WHERE i < n))
+SELECT user_id, CAST(c[n + 1] AS BIGINT) AS edits, CAST(2 * n AS BIGINT) AS total, round(c[n + 1] / (2 * n), 6) AS edit_ratio FROM dp WHERE i = n""")
 def label_edit_count(spark, folder):
     return E.label_edits(*_tiers(spark, folder), U, 0.2, 0.4)
 
@@ -222,22 +233,43 @@ def notes_to_words(spark, folder):
     return out.withColumn("duration", F.round("duration", 4))
 
 
-@query()
+@query(f"""WITH {TIMELINE}, mk AS (SELECT DISTINCT user_id, unnest([a, b]) AS m FROM nn),
+  wn AS (SELECT *, lead(b) OVER (PARTITION BY user_id ORDER BY word) AS nx FROM ww),
+  sn AS (SELECT w.user_id, word, arg_min(m, (abs(m - w.b), m)) AS s FROM wn w JOIN mk ON mk.user_id = w.user_id AND m BETWEEN w.b - 2 AND w.b + 2 WHERE nx IS NOT NULL GROUP BY 1, 2),
+  e AS (SELECT w.user_id, w.word, w.a, coalesce(s, w.b) AS b FROM wn w LEFT JOIN sn USING (user_id, word))
+SELECT user_id, word AS idx, round(coalesce(lag(b) OVER (PARTITION BY user_id ORDER BY word), a), 6) AS "start", round(b, 6) AS "end" FROM e""")
 def aligned_boundaries(spark, folder):
     words, notes = _words_and_notes(spark, folder)
-    return V.align_boundaries(words, notes, U, 2.0)
+    out = V.align_boundaries(words, notes, U, 2.0)
+    return out.select("user_id", "idx", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"))
 
 
-@query(name="consensus_timeline")
+#: Four labellings of each user's events, the last with other labels where there are views; it has no vote then.
+RUNS = f"""{INDEXED}, rn AS (SELECT user_id, idx, event_type AS label, us / {HOUR} - 473352 AS h FROM ix),
+  kr AS (SELECT user_id, unnest(CASE WHEN bool_or(label = 'view') THEN [0, 1, 2] ELSE [0, 1, 2, 3] END) AS run FROM rn GROUP BY 1)"""
+
+
+@query(f"""WITH {RUNS}, t AS (SELECT user_id, idx, label, avg(h + run * 0.01) AS a, avg(h + 0.5 + run * 0.02) AS b FROM rn JOIN kr USING (user_id) GROUP BY 1, 2, 3),
+  m AS (SELECT *, row_number() OVER w AS n, max(greatest(b, a + 1e-4) - (idx + 1) * 1e-4) OVER w AS top FROM t WINDOW w AS (PARTITION BY user_id ORDER BY idx)),
+  e AS (SELECT user_id, idx, label, a, n * 1e-4 + greatest(0, top) AS b FROM m),
+  r AS (SELECT user_id, idx, label, greatest(a, coalesce(lag(b) OVER (PARTITION BY user_id ORDER BY idx), 0)) AS a, b FROM e),
+  w AS (SELECT *, lead(a) OVER (PARTITION BY user_id ORDER BY idx) AS nx, lag(b) OVER (PARTITION BY user_id ORDER BY idx) AS pv FROM r),
+  c AS (SELECT user_id, idx, label, CASE WHEN pv IS NULL AND (a < 0 OR (a > 0 AND a < 0.1 AND b - a > 0.1)) THEN 0 ELSE a END AS a,
+    CASE WHEN nx IS NULL AND b >= 800 - 0.1 THEN 800 WHEN nx - b > 0 AND nx - b <= 0.1 THEN nx ELSE b END AS b FROM w),
+  g AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY user_id ORDER BY idx), 0) AS pv, lead(a) OVER (PARTITION BY user_id ORDER BY idx) AS nx FROM c),
+  u AS (SELECT user_id, pv AS a, a AS b, 'SP' AS label FROM g WHERE a > pv UNION ALL SELECT user_id, a, b, label FROM g UNION ALL SELECT user_id, b, 800, 'SP' FROM g WHERE nx IS NULL AND b < 800)
+SELECT user_id, round(a, 3) AS "start", round(b, 3) AS "end", label FROM u""", name="consensus_timeline")
 def consensus(spark, folder):
     ix = indexed(spark, folder)
-    runs = ix.select(
-        "user_id", F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("run"), "idx", "us", F.col("event_type").alias("label")
-    )
+    last = (F.col("run") == 3) & (F.col("event_type") == "view")
+    runs = ix.select("user_id", F.explode(F.array(*[F.lit(k) for k in range(4)])).alias("run"), "idx", "us", "event_type")
     start = F.col("us") / HOUR - 473_352 + F.col("run") * 0.01
-    runs = runs.select("user_id", "run", "idx", start.alias("start"), (start + 0.5 + F.col("run") * 0.01).alias("end"), "label")
+    runs = runs.select(
+        "user_id", "run", "idx", start.alias("start"), (start + 0.5 + F.col("run") * 0.01).alias("end"), F.when(last, "other").otherwise(F.col("event_type")).alias("label")
+    )
     length = ix.select("user_id").distinct().withColumn("length", F.lit(800.0))
-    return consensus_timeline(runs, U, length)
+    out = consensus_timeline(runs, U, length)
+    return out.select("user_id", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "label")
 
 
 @query()

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import query
+from catalog.base import EVENTS, events, query
 from catalog.events import INDEXED, indexed
 from tidemark.operators import segments as S
 from tidemark.plans import segmentation as P
+from tidemark.scan import Scan, with_blocks
 
 U = ["user_id"]
 # one event is one sample; four samples are one second
@@ -33,12 +34,48 @@ def mix_channels(spark, folder):
     return S.mix_channels(two, U, "pos", "v").withColumn("v", F.round("v", 6))
 
 
+VOICE = ["voice"]
+VOICES = f"{EVENTS}, vx AS (SELECT user_id % 7 AS voice, value / 500 AS v, row_number() OVER (PARTITION BY user_id % 7 ORDER BY us, event_id) - 1 AS pos FROM ev)"
+
+
+def voices(spark, folder):
+    """Events of several users as one series each, so that series hold many silences."""
+    e = events(spark, folder).select((F.col("user_id") % 7).alias("voice"), "us", "event_id", (F.col("value") / 500).alias("v"))
+    rows = Scan(with_blocks(e, VOICE, "us"), VOICE, ["us", "event_id"]).row_number("_n").columns()
+    return rows.select("voice", (F.col("_n") - 1).alias("pos"), "v")
+
+
+def silences_sql(hop, kept, interval, settings):
+    """Pieces between silences by the rules of a pass over the frames: relation ``pc`` (voice, setting, start, end, n).
+
+    Frames are two hops long. ``settings`` gives (setting, thr, mf): threshold and least frames from cut to cut.
+    """
+    return f"""{VOICES}, st(setting, thr, mf) AS (VALUES {settings}), nv AS (SELECT voice, max(pos) + 1 AS n FROM vx GROUP BY 1),
+  ce AS (SELECT voice, (pos + {hop}) // {hop} AS cell, sum(v * v) AS p FROM vx GROUP BY 1, 2),
+  fr AS (SELECT voice, n, frame, sqrt(sum(p) / {2 * hop}) AS rms FROM (SELECT voice, n, unnest(generate_series(0, n // {hop})) AS frame FROM nv) f JOIN ce USING (voice) WHERE cell IN (frame, frame + 1) AND frame * {hop} + {2 * hop} <= n + {2 * hop} GROUP BY 1, 2, 3),
+  la AS (SELECT voice, max(frame) AS last FROM fr GROUP BY 1),
+  si AS (SELECT voice, setting, mf, n, frame, rms, frame - row_number() OVER (PARTITION BY voice, setting ORDER BY frame) AS g FROM fr JOIN st ON rms < thr),
+  ru AS (SELECT voice, setting, mf, n, g, min(frame) AS s, max(frame) + 1 AS i FROM si GROUP BY ALL),
+  cu AS (SELECT r.*, last, arg_min(frame, (rms, frame)) AS anyw, arg_min(frame, (rms, frame)) FILTER (frame <= s + {kept}) AS lft, arg_min(frame, (rms, frame)) FILTER (frame >= i - {kept}) AS rgt,
+    arg_min(frame, (rms, frame)) FILTER (frame <= s + {kept} AND frame >= i - {kept}) AS mid FROM ru r JOIN si USING (voice, setting, g) JOIN la USING (voice) GROUP BY ALL),
+  ta AS (SELECT voice, setting, mf, n, last, s, i, s = 0 AND i > {kept} AND i <= last AS at_head, i > last AND last + 1 - s >= {interval} AS at_tail, i <= last AND i - s >= {interval} AS cuts,
+    CASE WHEN i > last THEN lft WHEN s = 0 THEN 0 WHEN i - s <= {kept} THEN anyw WHEN i - s <= {2 * kept} THEN least(lft, mid) ELSE lft END AS low,
+    CASE WHEN i > last THEN last + 2 WHEN i - s <= {kept} THEN anyw WHEN i - s <= {2 * kept} AND s > 0 THEN greatest(rgt, mid) ELSE rgt END AS high FROM cu WHERE (n + {hop - 1}) // {hop} > mf),
+  nu AS (SELECT *, row_number() OVER (PARTITION BY voice, setting ORDER BY s) AS rn FROM ta WHERE at_head OR at_tail OR cuts),
+  ch AS (SELECT voice, setting, rn, at_head OR at_tail OR i >= mf AS tag, CASE WHEN at_head OR (NOT at_tail AND i >= mf) THEN high ELSE 0 END AS clip FROM nu WHERE rn = 1
+    UNION ALL SELECT u.voice, u.setting, u.rn, u.at_head OR u.at_tail OR u.i - c.clip >= u.mf, CASE WHEN u.at_head OR (NOT u.at_tail AND u.i - c.clip >= u.mf) THEN u.high ELSE c.clip END FROM ch c JOIN nu u ON u.voice = c.voice AND u.setting = c.setting AND u.rn = c.rn + 1),
+  tg AS (SELECT u.*, lag(high) OVER w AS before, lead(low) OVER w AS following FROM nu u JOIN ch USING (voice, setting, rn) WHERE tag WINDOW w AS (PARTITION BY voice, setting ORDER BY rn)),
+  pc AS (SELECT voice, setting, coalesce(before, 0) * {hop} AS "start", least(n, low * {hop}) AS "end", n FROM tg WHERE before IS NOT NULL OR low > 0
+    UNION ALL SELECT voice, setting, high * {hop}, least(n, (last + 1) * {hop}), n FROM tg WHERE following IS NULL AND high < last + 1
+    UNION ALL SELECT voice, setting, 0, n, n FROM nv CROSS JOIN st WHERE (voice, setting) NOT IN (SELECT voice, setting FROM tg))"""
+
+
 MS = dict(threshold_db=-22.0, min_length_ms=4000, min_interval_ms=500, hop_ms=250, max_kept_ms=1000)
 
 
-@query()
+@query(f"""WITH RECURSIVE {silences_sql(1, 4, 2, "(0, 10 ** (-22 / 20.0::DOUBLE), 16)")} SELECT voice, CAST("start" AS BIGINT) AS "start", CAST("end" AS BIGINT) AS "end" FROM pc""")
 def silence_segments(spark, folder):
-    return P.silence_plan(samples(spark, folder), U, "pos", "v", RATE, **MS)
+    return P.silence_plan(voices(spark, folder), VOICE, "pos", "v", RATE, **MS)
 
 
 @query()
@@ -59,9 +96,16 @@ def short_merge(spark, folder):
     return S.merge_short(cut, U, RATE, 4.0, 9.0)
 
 
-@query()
+GRID = ", ".join(f"({5 * k + j}, 10 ** ({t} / 20.0::DOUBLE), {round(100 * m / 1000 / 2)})" for k, t in enumerate(P.GRID_THRESHOLDS) for j, m in enumerate(P.GRID_MIN_LENGTHS_MS))
+
+
+@query(f"""WITH RECURSIVE {silences_sql(2, 2, 2, GRID)},
+  sc AS (SELECT voice, setting, round(sum(CASE WHEN d < 1 THEN (1 - d) * 1.5 WHEN d > 3 THEN d - 3 ELSE 0 END) + abs(count(*) - any_value(n) / 100.0::DOUBLE / 2.0::DOUBLE) * 0.5::DOUBLE, 9) AS score FROM (SELECT *, ("end" - "start") / 100.0::DOUBLE AS d FROM pc) GROUP BY 1, 2),
+  bt AS (SELECT voice, arg_min(setting, (score, setting)) AS setting, min(score) AS score FROM sc GROUP BY 1)
+SELECT voice, CAST("start" AS BIGINT) AS "start", CAST("end" AS BIGINT) AS "end", ({list(P.GRID_THRESHOLDS)})[setting // 5 + 1]::INTEGER AS threshold_db, ({list(P.GRID_MIN_LENGTHS_MS)})[setting % 5 + 1]::INTEGER AS min_length_ms, round(score, 6) AS score FROM pc JOIN bt USING (voice, setting)""")
 def grid_search_segments(spark, folder):
-    return P.grid_search(samples(spark, folder), U, "pos", "v", 100, 0.1, 0.5, min_interval_ms=40, max_kept_ms=40)
+    out = P.grid_search(voices(spark, folder), VOICE, "pos", "v", 100, 1.0, 3.0, min_interval_ms=40, max_kept_ms=40)
+    return out.withColumn("score", F.round("score", 6))
 
 
 @query()

@@ -18,11 +18,12 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 FEED = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
 
-def _feed(spark: SparkSession, folder: str) -> tuple[DataFrame, str]:
+def _feed(spark: SparkSession, folder: str, stop_after: int | None = None) -> tuple[DataFrame, str]:
     """The events table as a stream of one batch per slice, and a shared folder for its checkpoint and result.
 
     Two late rows at the end move the watermark, so that all windows of the table are closed, and one row of type
-    ``end`` per user tells that no more will come.
+    ``end`` per user tells that no more will come.  With ``stop_after`` the slices from that number on wait aside until
+    ``_resume``.
     """
     base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     ts = F.expr("timestampadd(MICROSECOND, timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts), timestamp'1970-01-01 00:00:00+00:00')")
@@ -32,16 +33,33 @@ def _feed(spark: SparkSession, folder: str) -> tuple[DataFrame, str]:
     low, high = rows.agg(F.min(us), F.max(us)).first()
     place = F.least(F.lit(SLICES - 1), F.floor((us - low) * SLICES / (high - low + 1)))
     names = rows.columns
+
+    def slice_of(k: int) -> str:
+        return f"{base}/{'feed' if stop_after is None or k < stop_after else 'later'}/slice={k}"
+
     for k in range(SLICES):
-        rows.filter(place == k).coalesce(1).write.parquet(f"{base}/feed/slice={k}")
+        rows.filter(place == k).coalesce(1).write.parquet(slice_of(k))
     ends = rows.groupBy("user_id").agg(F.max("ts").alias("ts")).withColumns({"event_id": F.lit(-1).cast("bigint"), "event_type": F.lit("end"), "value": F.lit(0.0), "props": F.lit("")})
-    ends.select(*names).coalesce(1).write.parquet(f"{base}/feed/slice={SLICES}")
+    ends.select(*names).coalesce(1).write.parquet(slice_of(SLICES))
     last = spark.range(1).select(F.timestamp_micros(F.lit(high)).alias("ts"))
     for k, after in enumerate(AFTER):
         late = last.select((F.col("ts") + F.expr(f"interval {after}")).alias("ts"), F.lit(CLOSING).cast("bigint").alias("user_id"), F.lit(-1).cast("bigint").alias("event_id"), F.lit("close").alias("event_type"), F.lit(0.0).alias("value"), F.lit("").alias("props"))
-        late.select(*names).coalesce(1).write.parquet(f"{base}/feed/slice={SLICES + 1 + k}")
-    stream = spark.readStream.schema(FEED).option("maxFilesPerTrigger", 1).parquet(f"{base}/feed/slice=*")
-    return stream, base
+        late.select(*names).coalesce(1).write.parquet(slice_of(SLICES + 1 + k))
+    return _stream(spark, base), base
+
+
+def _stream(spark: SparkSession, base: str) -> DataFrame:
+    return spark.readStream.schema(FEED).option("maxFilesPerTrigger", 1).parquet(f"{base}/feed/slice=*")
+
+
+def _resume(spark: SparkSession, base: str) -> DataFrame:
+    """The stream once more, with the slices that waited."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    for k in range(SLICES + 1 + len(AFTER)):
+        if files.exists(path(f"{base}/later/slice={k}")):
+            files.rename(path(f"{base}/later/slice={k}"), path(f"{base}/feed/slice={k}"))
+    return _stream(spark, base)
 
 
 def _events_only(stream: DataFrame) -> DataFrame:
@@ -105,3 +123,73 @@ def stream_last_n(spark, folder):
     out = _finish(state.backlog(_as_jobs(_events_only(stream)), 20), base, "update").filter(F.col("task_id") != str(CLOSING))
     newest = out.groupBy("task_id").agg(F.max("batch").alias("batch"))
     return out.join(newest, ["task_id", "batch"]).select("task_id", "seq", "message")
+
+
+@query(f"""WITH {EVENTS} SELECT CAST(user_id AS VARCHAR) AS task_id, event_id AS seq, event_type AS message FROM ev""")
+def stream_hold_back_timer(spark, folder):
+    """No row tells the end here: the last rows of a user come when the user has been silent for two days."""
+    stream, base = _feed(spark, folder)
+    out = _finish(state.hold_back(_as_jobs(_events_only(stream)), 3, 2 * 86_400), base, "append")
+    return out.filter(F.col("task_id") != str(CLOSING)).select("task_id", "seq", "message")
+
+
+@query(f"""WITH {EVENTS} SELECT CAST(user_id AS VARCHAR) AS task_id, max(us) AS last_us, 'timed_out' AS status FROM ev GROUP BY 1""")
+def stream_silence(spark, folder):
+    stream, base = _feed(spark, folder)
+    out = _finish(state.silence_timeouts(_as_jobs(_events_only(stream)), 2 * 86_400), base, "append")
+    out = out.filter(F.col("task_id") != str(CLOSING))
+    # a user who comes back after a silence is reported again; the last report is the end
+    return out.groupBy("task_id").agg(F.max(F.unix_micros("last")).alias("last_us"), F.first("status").alias("status"))
+
+
+KINDS = {"signup": "start", "purchase": "done", "error": "error"}
+
+
+def _as_lifecycle(stream: DataFrame) -> DataFrame:
+    """A user's first signup starts a job, a purchase or an error ends it."""
+    kind = F.coalesce(*[F.when(F.col("message") == m, k) for m, k in KINDS.items()], F.lit("progress"))
+    return _as_jobs(_events_only(stream)).withColumn("kind", kind)
+
+
+#: Place of the start and of the first end after it decide the status; only what lies between counts as progress.
+LIFE = f"""{EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS k FROM ev),
+  s AS (SELECT user_id, min(k) FILTER (event_type = 'signup') AS s, count(*) AS n FROM r GROUP BY 1),
+  e AS (SELECT user_id, min(k) FILTER (event_type IN ('purchase', 'error') AND k > s) AS e FROM r JOIN s USING (user_id) GROUP BY 1),
+  p AS (SELECT user_id, max(least(99, CAST(floor(value / 5) AS INTEGER))) AS p FROM r JOIN s USING (user_id) JOIN e USING (user_id) WHERE k > s AND k < coalesce(e, n + 1) AND event_type NOT IN ('signup', 'purchase', 'error') GROUP BY 1),
+  l AS (SELECT s.user_id, n, s, e.e, coalesce(p, 0) AS p, r.event_type FROM s JOIN e USING (user_id) LEFT JOIN p USING (user_id) LEFT JOIN r ON r.user_id = s.user_id AND r.k = e.e),
+  st AS (SELECT user_id, n, p, CASE WHEN s IS NULL THEN 'pending' WHEN e IS NULL THEN 'running' WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END AS status FROM l)"""
+
+
+@query(f"""WITH {LIFE}, b AS (SELECT user_id, count(*) AS held, min(event_id) AS least_seq, max(event_id) AS most_seq FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us DESC, event_id DESC) AS d FROM ev) WHERE d <= 20 GROUP BY 1)
+SELECT CAST(user_id AS VARCHAR) AS task_id, status, CASE WHEN status = 'completed' THEN 100 ELSE p END::INTEGER AS progress, n AS events, held, least_seq, most_seq FROM st JOIN b USING (user_id)""")
+def stream_snapshot(spark, folder):
+    """Status and last rows of every job after the stream was stopped half way and started again."""
+    stream, base = _feed(spark, folder, stop_after=2)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    for more in (False, True):
+        stream = _resume(spark, base) if more else stream
+        state.publish_snapshots(_as_lifecycle(stream), f"{base}/out", f"{base}/state", 20).awaitTermination()
+    status, rows = state.read_snapshot(spark, f"{base}/out")
+    held = rows.groupBy("task_id").agg(F.count(F.lit(1)).alias("held"), F.min("seq").alias("least_seq"), F.max("seq").alias("most_seq"))
+    return status.join(held, "task_id").filter(F.col("task_id") != str(CLOSING)).select("task_id", "status", "progress", "events", "held", "least_seq", "most_seq")
+
+
+@query(f"""WITH {LIFE} SELECT CAST(user_id AS VARCHAR) AS task_id, status FROM st WHERE status <> 'pending'""")
+def stream_lifecycle(spark, folder):
+    stream, base = _feed(spark, folder)
+    out = _finish(state.job_lifecycle(_as_lifecycle(stream)), base, "append").filter(F.col("task_id") != str(CLOSING))
+    # changes of one time count in the order of the states
+    rank = F.when(F.col("status") == "running", 0).otherwise(1)
+    return out.groupBy("task_id").agg(F.max_by("status", F.struct(rank, "ts")).alias("status"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '[\r\n]')) AS line FROM documents), t AS (SELECT doc_id, trim(line, ' ') AS line FROM l)
+SELECT doc_id, level, "lines", CASE WHEN top IS NOT NULL THEN least(100, top) END AS top_percent FROM (SELECT doc_id, CASE WHEN contains(lower(line), 'ready') OR contains(lower(line), 'already') THEN 'success' WHEN contains(lower(line), 'failed') OR contains(lower(line), 'error') THEN 'error' ELSE 'info' END AS level,
+  count(*) AS "lines", max(CAST(nullif(regexp_extract(line, '\b(\d{1,3})%\b', 1), '') AS INTEGER)) AS top FROM t WHERE line <> '' GROUP BY 1, 2)""")
+def stream_log_lines(spark, folder):
+    """Lines of all documents as a stream, classified as they come."""
+    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    # the pattern takes the table for a folder of files, whether it is one file or several
+    stream = spark.readStream.schema("doc_id bigint, text string").parquet(f"{folder}/documents.parque[t]")
+    lines = _finish(windows.log_lines(stream, "text"), base, "append")
+    return lines.groupBy("doc_id", "level").agg(F.count(F.lit(1)).alias("lines"), F.max("percent").alias("top_percent"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog.base import query, table
@@ -13,13 +15,19 @@ from tidemark.operators import islands as I
 from tidemark.operators import lookup as L
 from tidemark.operators import match as M
 from tidemark.operators.scoring import batched_scores
-from tidemark.plans.passages import match_pairs, match_summary, shared_shingles
-from tidemark.session import stage
+from tidemark.plans.passages import match_by_name, match_pairs, match_summary, shared_shingles
+from tidemark.session import checkpoint_dir, stage
+from tidemark.sinks.versioned import VersionedTable
 
 CLEAN = r"""trim(regexp_replace(regexp_replace(text, '[^a-zA-Z0-9\s,.!?;:"''\-]', '', 'g'), '\s+', ' ', 'g'))"""
 WORDS = rf"""regexp_extract_all(lower({CLEAN}), '[A-Za-z''\-’]+|[\p{{Nd}}]')"""
 
 
+#: Tokens of languages without a rule of their own, and tokens by the language of the row.
+LETTERS = r"""regexp_extract_all(lower(trim(regexp_replace(regexp_replace(text, '[^\p{L}\p{M}\p{Nd}\s,.!?;:"''\-]', '', 'g'), '[\s\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g'))), '[\p{L}\p{M}''\-’]+|[\p{Nd}]')"""
+BY_LANGUAGE = f"CASE WHEN lang = 'en' THEN {WORDS} ELSE {LETTERS} END"
+
+
 def documents(spark, folder):
     return table(spark, folder, "documents")
 
@@ -34,10 +42,12 @@ def fold_diacritics(spark, folder):
     return documents(spark, folder).select("doc_id", T.fold_tones("text").alias("folded"))
 
 
-@query(f"SELECT doc_id, array_to_string({WORDS}, ' ') AS tokens, CAST(len({WORDS}) AS INTEGER) AS n FROM documents")
+@query(f"SELECT doc_id, array_to_string(l, ' ') AS tokens, CAST(len(l) AS INTEGER) AS n FROM (SELECT doc_id, {BY_LANGUAGE} AS l FROM documents)")
 def tokenize_letters(spark, folder):
-    tokens = T.tokens_for("en")(F.col("text"))
-    return documents(spark, folder).select("doc_id", F.array_join(tokens, " ").alias("tokens"), F.size(tokens).alias("n"))
+    docs = documents(spark, folder).select("doc_id", T.tokens_by_language("text", "lang").alias("l"))
+    # one row of the generator, so that the tokens are taken from the text once
+    docs = docs.select("doc_id", F.explode(F.array("l")).alias("l"))
+    return docs.select("doc_id", F.array_join("l", " ").alias("tokens"), F.size("l").alias("n"))
 
 
 @query(r"""SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS last_part, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '^(.+)\.[^.]*$', '\1') AS stem,
@@ -91,11 +101,11 @@ def softmax_vector(spark, folder):
     )
 
 
-@query(f"""WITH w AS (SELECT doc_id, {WORDS} AS l FROM documents), t AS (SELECT doc_id, unnest(l) AS token, generate_subscripts(l, 1) AS pos FROM w),
+@query(f"""WITH w AS (SELECT doc_id, {BY_LANGUAGE} AS l FROM documents), t AS (SELECT doc_id, unnest(l) AS token, generate_subscripts(l, 1) AS pos FROM w),
   x AS (SELECT *, list(token) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) AS seen FROM t)
 SELECT doc_id, count(*) AS "rows", min(pos) AS first_row FROM x WHERE pos > 15 AND len(list_distinct(seen)) <= 3 GROUP BY doc_id""")
 def degenerate_documents(spark, folder):
-    tokens = L.explode_tokens(documents(spark, folder).select("doc_id", T.tokens_for("en")(F.col("text")).alias("l")), ["doc_id"], "l")
+    tokens = L.explode_tokens(documents(spark, folder).select("doc_id", T.tokens_by_language("text", "lang").alias("l")), ["doc_id"], "l")
     rows = I.degenerate_rows(tokens, ["doc_id"], ["pos"], "token")
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("row_number").alias("first_row"))
 
@@ -122,13 +132,12 @@ def dictionary_lookup(spark, folder):
     return words.select("p_partkey", F.array_join("words", " ").alias("words"), F.array_join("labels", " ").alias("labels"))
 
 
-@query(f"""WITH {DICTIONARY}, t AS (SELECT unnest({WORDS}) AS token FROM documents) SELECT token, count(*) AS n FROM t WHERE token NOT IN (SELECT key FROM d) GROUP BY 1""")
+@query(f"""WITH {DICTIONARY}, t AS (SELECT unnest({BY_LANGUAGE}) AS token FROM documents) SELECT token, count(*) AS n FROM t WHERE token NOT IN (SELECT key FROM d) GROUP BY 1""")
 def unknown_tokens(spark, folder):
-    tokens = L.explode_tokens(documents(spark, folder).select("doc_id", T.tokens_for("en")(F.col("text")).alias("l")), ["doc_id"], "l")
+    tokens = L.explode_tokens(documents(spark, folder).select("doc_id", T.tokens_by_language("text", "lang").alias("l")), ["doc_id"], "l")
     return L.dictionary_join(tokens, _dictionary(spark, folder), ["doc_id"])[1]
 
 
-LETTERS = r"""regexp_extract_all(lower(trim(regexp_replace(regexp_replace(text, '[^\p{L}\p{M}\p{Nd}\s,.!?;:"''\-]', '', 'g'), '[\s\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g'))), '[\p{L}\p{M}''\-’]+|[\p{Nd}]')"""
 
 
 def _prepared(spark, folder):
@@ -149,17 +158,26 @@ def _passages(spark, folder):
 
 PAIR = ["item_id", "doc_id"]
 TOKENS = f"""dt AS (SELECT doc_id, {LETTERS} AS l FROM documents), bt AS (SELECT item_id, {LETTERS} AS l FROM benchmark)"""
-#: Every window of a document that covers 0.3 of an item: each place of a shared token counts for the starts around it.
-WINDOWS = f"""{TOKENS}, bq AS (SELECT item_id, len(l) AS n FROM bt WHERE len(l) > 0),
+
+
+def windows_sql(tokens=TOKENS, named=False):
+    """Every window of a document that covers 0.3 of an item: each place of a shared token counts for the starts around it.
+
+    With ``named`` a relation ``nm`` (item_id, doc_id) names the pairs that are compared.
+    """
+    return f"""{tokens}, bq AS (SELECT item_id, len(l) AS n FROM bt WHERE len(l) > 0),
   bc AS (SELECT item_id, token, count(*) AS c FROM (SELECT item_id, unnest(l) AS token FROM bt) GROUP BY ALL),
   dp AS (SELECT doc_id, len(l) AS m, unnest(l) AS token, generate_subscripts(l, 1) - 1 AS pos FROM dt),
-  hit AS (SELECT item_id, doc_id, n, m, least(n + 8, CAST(floor(n * 1.3::DOUBLE) AS BIGINT), m) AS w, token, c, pos FROM dp JOIN bc USING (token) JOIN bq USING (item_id)),
+  hit AS (SELECT item_id, doc_id, n, m, least(n + 8, CAST(floor(n * 1.3::DOUBLE) AS BIGINT), m) AS w, token, c, pos FROM dp JOIN bc USING (token) JOIN bq USING (item_id) {"JOIN nm USING (item_id, doc_id)" if named else ""}),
   big AS (SELECT item_id, doc_id FROM (SELECT item_id, doc_id, n, least(c, count(*)) AS k FROM hit GROUP BY item_id, doc_id, n, token, c) GROUP BY item_id, doc_id, n HAVING sum(k) / n >= 0.3),
   st AS (SELECT item_id, doc_id, n, m, w, token, c, unnest(generate_series(greatest(pos - w + 1, 0), least(pos, m - w))) AS start FROM hit SEMI JOIN big USING (item_id, doc_id)),
   o AS (SELECT item_id, doc_id, n, m, w, start, CAST(sum(k) AS INTEGER) AS overlap FROM (SELECT item_id, doc_id, n, m, w, start, token, least(c, count(*)) AS k FROM st GROUP BY item_id, doc_id, n, m, w, start, token, c)
     GROUP BY item_id, doc_id, n, m, w, start HAVING sum(k) / n >= 0.3)"""
 
 
+WINDOWS = windows_sql()
+
+
 @query(f"""WITH {TOKENS}, dr AS (SELECT DISTINCT doc_id, array_to_string(l[i:i+2], ' ') AS run FROM (SELECT doc_id, l, unnest(generate_series(1, len(l) - 2)) AS i FROM dt)),
   br AS (SELECT DISTINCT item_id, array_to_string(l[i:i+2], ' ') AS run FROM (SELECT item_id, l, unnest(generate_series(1, len(l) - 2)) AS i FROM bt)),
   pr AS (SELECT DISTINCT item_id, doc_id FROM dr JOIN br USING (run))
@@ -171,7 +189,13 @@ def shared_runs(spark, folder):
     return pairs.join(sizes[0], "item_id").join(sizes[1], "doc_id").select(*PAIR, "n", "m")
 
 
-EXACT = f"""x AS (SELECT item_id, doc_id, ' ' || array_to_string(bt.l, ' ') || ' ' AS a, ' ' || array_to_string(dt.l, ' ') || ' ' AS b, len(bt.l) AS n FROM bt JOIN dt ON contains(' ' || array_to_string(dt.l, ' ') || ' ', ' ' || array_to_string(bt.l, ' ') || ' ') WHERE len(bt.l) > 0)"""
+def exact_sql(named=False):
+    pairs = "bt JOIN nm USING (item_id) JOIN dt USING (doc_id)" if named else "bt CROSS JOIN dt"
+    return f"""x AS (SELECT item_id, doc_id, ' ' || array_to_string(bt.l, ' ') || ' ' AS a, ' ' || array_to_string(dt.l, ' ') || ' ' AS b, len(bt.l) AS n FROM {pairs}
+    WHERE len(bt.l) > 0 AND contains(' ' || array_to_string(dt.l, ' ') || ' ', ' ' || array_to_string(bt.l, ' ') || ' '))"""
+
+
+EXACT = exact_sql()
 
 
 @query(f"""WITH {TOKENS}, {EXACT}, y AS (SELECT *, instr(b, a) AS place FROM x)
@@ -189,9 +213,10 @@ def coverage_candidates(spark, folder):
     )
 
 
-#: Common subsequences of all windows of pairs without a verbatim occurrence: one bit per token of the item, one step
-#: per token of the window.
-RANKED = f"""{WINDOWS}, {EXACT}, q AS (SELECT o.* FROM o ANTI JOIN x USING (item_id, doc_id)),
+def ranked_sql(tokens=TOKENS, named=False):
+    """Common subsequences of all windows of pairs without a verbatim occurrence: one bit per token of the item, one
+    step per token of the window."""
+    return f"""{windows_sql(tokens, named)}, {exact_sql(named)}, q AS (SELECT o.* FROM o ANTI JOIN x USING (item_id, doc_id)),
   bm AS (SELECT item_id, token, bit_or(1::HUGEINT << CAST(i - 1 AS INTEGER)) AS mask FROM (SELECT item_id, unnest(l) AS token, generate_subscripts(l, 1) AS i FROM bt) GROUP BY ALL),
   dm AS (SELECT item_id, doc_id, list(coalesce(mask, 0) ORDER BY pos) AS masks FROM (SELECT DISTINCT item_id, doc_id FROM q) JOIN dp USING (doc_id) LEFT JOIN bm USING (item_id, token) GROUP BY ALL),
   v AS (SELECT item_id, doc_id, start, w, n, overlap, masks[start + 1:start + w] AS masks FROM q JOIN dm USING (item_id, doc_id)),
@@ -202,6 +227,9 @@ RANKED = f"""{WINDOWS}, {EXACT}, q AS (SELECT o.* FROM o ANTI JOIN x USING (item
   kp AS (SELECT * FROM rk WHERE k <= greatest(10, floor(all_windows * 0.3::DOUBLE)))"""
 
 
+RANKED = ranked_sql()
+
+
 @query(f"""WITH RECURSIVE {RANKED} SELECT item_id, doc_id, CAST(start AS INTEGER) AS "start", overlap, approx FROM kp""")
 def ranked_windows(spark, folder):
     pairs, windows = _passages(spark, folder)
@@ -209,8 +237,9 @@ def ranked_windows(spark, folder):
     return M.rank_windows(M.cut_windows(coded, windows, PAIR), PAIR).select(*PAIR, "start", "overlap", "approx")
 
 
-#: Edit distance of the kept windows, over one character per token of the item and one for all others.
-BEST = f"""{RANKED}, al AS (SELECT item_id, list_distinct(l) AS letters, l FROM bt),
+def best_sql(tokens=TOKENS, named=False):
+    """Edit distance of the kept windows, over one character per token of the item and one for all others."""
+    return f"""{ranked_sql(tokens, named)}, al AS (SELECT item_id, list_distinct(l) AS letters, l FROM bt),
   cd AS (SELECT item_id, doc_id, array_to_string([chr(CAST(40 + list_position(letters, t) AS INTEGER)) for t in al.l], '') AS a, array_to_string([chr(CAST(40 + coalesce(list_position(letters, t), 0) AS INTEGER)) for t in dt.l], '') AS b
     FROM (SELECT DISTINCT item_id, doc_id FROM kp) JOIN al USING (item_id) JOIN dt USING (doc_id)),
   ed AS (SELECT item_id, doc_id, start, w, n, m, k, levenshtein(a, substr(b, CAST(start + 1 AS BIGINT), CAST(w AS BIGINT))) AS d FROM kp JOIN cd USING (item_id, doc_id)),
@@ -218,6 +247,9 @@ BEST = f"""{RANKED}, al AS (SELECT item_id, list_distinct(l) AS letters, l FROM
     UNION ALL SELECT item_id, doc_id, length(substr(b, 1, instr(b, a))) - length(replace(substr(b, 1, instr(b, a)), ' ', '')) - 1, length(substr(b, 1, instr(b, a))) - length(replace(substr(b, 1, instr(b, a)), ' ', '')) - 1 + n, 0, TRUE, n, NULL FROM x)"""
 
 
+BEST = best_sql()
+
+
 @query(f"""WITH RECURSIVE {BEST} SELECT item_id, doc_id, CAST("start" AS INTEGER) AS "start", CAST("end" AS INTEGER) AS "end", CAST(distance AS INTEGER) AS distance, exact,
   CASE WHEN n > m THEN 'Input longer than reference; attempted approximate alignment' ELSE '' END AS reason FROM bp""")
 def best_passages(spark, folder):
@@ -238,6 +270,38 @@ def match_counts(spark, folder):
     return match_summary(match_pairs(pairs, PAIR, windows=windows)).select("total", "exact")
 
 
+#: Titles and side texts of pages, named by the document their address points to.
+NAMED = rf"""pt AS (SELECT page_id, regexp_extract(url, '/([a-z]{{2}})/(\d+)', 2) AS d, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<div class="ad">([^<]*)</div>', 1) AS ad FROM pages),
+  inp AS (SELECT d || '_t' || page_id AS item_id, CAST(d AS BIGINT) AS doc_id, title AS text FROM pt UNION ALL SELECT d || '_a' || page_id, CAST(d AS BIGINT), ad FROM pt),
+  bt AS (SELECT item_id, {LETTERS} AS l FROM inp), nm AS (SELECT item_id, doc_id FROM inp), dt AS (SELECT doc_id, {LETTERS} AS l FROM documents SEMI JOIN nm USING (doc_id))"""
+
+
+def _named_inputs(spark, folder):
+    doc = F.regexp_extract("url", r"/([a-z]{2})/(\d+)", 2)
+    parts = F.array(*[
+        F.struct(F.concat(doc, F.lit(f"_{kind}"), F.col("page_id")).alias("name"), F.regexp_extract("html", pattern, 1).alias("text"))
+        for kind, pattern in (("t", "<title>([^<]*)</title>"), ("a", '<div class="ad">([^<]*)</div>'))
+    ])
+    return table(spark, folder, "pages").select(F.inline(parts))
+
+
+@query(f"""WITH RECURSIVE {best_sql(NAMED, True)}
+SELECT item_id AS name, CAST(coalesce("start", -1) AS INTEGER) AS "start", CAST(coalesce("end", -1) AS INTEGER) AS "end", CAST(distance AS INTEGER) AS distance, coalesce(exact, FALSE) AS exact,
+  CASE WHEN bt_n > doc_n THEN 'Input longer than reference; ' || (CASE WHEN "start" IS NULL THEN 'no matching window found' ELSE 'attempted approximate alignment' END) WHEN "start" IS NULL THEN 'No matching window found' ELSE '' END AS reason
+FROM (SELECT item_id, doc_id, len(bt.l) AS bt_n, len(dt.l) AS doc_n FROM bt JOIN nm USING (item_id) JOIN dt USING (doc_id) WHERE len(bt.l) > 0) LEFT JOIN bp USING (item_id, doc_id)""")
+def named_passages(spark, folder):
+    references = documents(spark, folder).select(F.col("doc_id").cast("string").alias("song"), "text")
+    found, _ = match_by_name(_named_inputs(spark, folder), references, None)
+    reason = F.when(F.col("reason") == f"{M.LONG_INPUT}; no matching window found", "Input longer than reference; no matching window found").otherwise(F.col("reason"))
+    return found.select("name", "start", "end", "distance", "exact", reason.alias("reason"))
+
+
+@query()
+def named_match_counts(spark, folder):
+    references = documents(spark, folder).select(F.col("doc_id").cast("string").alias("song"), "text")
+    return match_summary(match_by_name(_named_inputs(spark, folder), references, None)[0])
+
+
 @query()
 def highlight_differences(spark, folder):
     pairs, windows = _passages(spark, folder)
@@ -291,6 +355,18 @@ def manifest_upsert(spark, folder):
     return L.upsert_latest(rows.filter("lang = 'en'"), rows.filter("lang <> 'en'"))
 
 
+@query("""SELECT md5(text) AS md5, max(doc_id) AS seq, CAST(max_by(n_chars, doc_id) AS BIGINT) AS n_chars, max_by(lang, doc_id) AS lang FROM documents GROUP BY 1""")
+def stored_manifest(spark, folder):
+    """The manifest of each language put into a stored table in turn; a last write that is never published is not seen."""
+    rows = documents(spark, folder).select(F.md5(F.col("text").cast("binary")).alias("md5"), F.col("doc_id").alias("seq"), "n_chars", "lang")
+    stored = VersionedTable(spark, f"{checkpoint_dir(spark)}/manifest-{uuid.uuid4().hex}", "md5 string, seq bigint, n_chars bigint, lang string")
+    for part in (F.col("lang") == "en", (F.col("lang") != "en") | F.col("lang").isNull()):
+        stored.replace(lambda old, part=part: L.upsert_latest(old, rows.filter(part)))
+    stored.write(rows.withColumn("lang", F.lit("cut off")), stored.version() + 1)
+    stored.clean()
+    return stored.read()
+
+
 @query("""SELECT doc_id, CASE WHEN quality = 1 THEN 'enriched' ELSE 'plain' END AS kind FROM labels UNION ALL SELECT doc_id, 'fallback' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def complete_from_fallback(spark, folder):
     enriched = table(spark, folder, "labels").select("doc_id", F.when(F.col("quality") == 1, "enriched").otherwise("plain").alias("kind"))

@@ -305,6 +305,57 @@ def majority_sequence(df: DataFrame, group: Sequence[str], index: str, sequence:
     )
 
 
+def agreeing_runs(
+    rows: DataFrame, group: Sequence[str], run: str, index: str, label: str, rows_per_block: int | None = ROWS_PER_BLOCK
+) -> DataFrame:
+    """Runs with the most frequent label sequence of each group: ``(group, run, votes, runs, points)``.
+
+    As ``majority_sequence``, for sequences of any length: a run is known by its
+    number of points and two sums of hashes of each label at its place, which are
+    added up in any order, and no sequence is gathered.  Winners are held
+    against the first of them label by label, so that equal sums alone decide
+    nothing.
+    """
+    keys = list(group)
+    placed = with_blocks(rows.select(*keys, run, index, label), [*keys, run], index, rows_per_block)
+    placed = Scan(placed, [*keys, run], [index]).row_number("_place").columns().select(*keys, run, "_place", label)
+    named = F.coalesce(F.col(label).cast("string"), F.lit("\0"))
+    sums = [F.sum(F.xxhash64("_place", named, F.lit(seed)).cast("decimal(20,0)")).alias(f"_sum{seed}") for seed in (1, 2)]
+    digests = stage(placed.groupBy(*keys, run).agg(F.count(F.lit(1)).alias("points"), *sums))
+    kinds = digests.groupBy(*keys, "points", "_sum1", "_sum2").agg(F.count(F.lit(1)).alias("votes"), F.min(run).alias("_lead"))
+    place = F.struct("votes", "points", (-F.col("_lead")).alias("_f"))
+    best = kinds.groupBy(*keys).agg(F.max_by(F.struct("points", "_sum1", "_sum2", "votes", "_lead"), place).alias("_b"), F.sum("votes").alias("runs"))
+    best = best.select(*keys, "_b.*", "runs").filter("votes > 1 OR runs = 1")
+    winners = stage(digests.join(best, [*keys, "points", "_sum1", "_sum2"]).select(*keys, run, "votes", "runs", "points", "_lead"))
+    lead = placed.join(winners.filter(F.col(run) == F.col("_lead")).select(*keys, run), [*keys, run], "left_semi")
+    lead = lead.select(*keys, "_place", F.col(label).alias("_want"))
+    others = placed.join(winners.filter(F.col(run) != F.col("_lead")).select(*keys, run), [*keys, run], "left_semi")
+    unlike = others.join(lead, [*keys, "_place"]).filter(~F.col(label).eqNullSafe(F.col("_want"))).select(*keys, run).distinct()
+    return winners.join(unlike, [*keys, run], "left_anti").drop("_lead")
+
+
+def trimmed_mean_of(values: Column, threshold: float = 1.5) -> Column:
+    """As ``trimmed_mean``, of the numbers of a short array."""
+
+    def middle(v: Column) -> Column:
+        s = F.array_sort(v)
+        n = F.size(s)
+        return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
+
+    def bound(value: Column, use) -> Column:
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def mean(median: Column) -> Column:
+        def kept(mad: Column) -> Column:
+            near = F.filter(values, lambda v: F.abs(v - median) / (mad * 1.4826) <= threshold)
+            total = F.aggregate(near, F.lit(0.0), lambda s, v: s + v)
+            return F.when((mad == 0) | (F.size(near) == 0), median).otherwise(total / F.size(near))
+
+        return bound(middle(F.transform(values, lambda v: F.abs(v - median))), kept)
+
+    return bound(middle(values), mean)
+
+
 def group_durations(
     df: DataFrame, labels: str, durations: str, spans: str, unvoiced: Sequence[str] | None = None, condition: str = "all"
 ) -> DataFrame:

@@ -79,39 +79,29 @@ def silence_parameters(
     }
 
 
-def silence_segments(
-    frames: DataFrame, series: Sequence[str], hop: int, threshold, min_length, min_interval: int, max_kept: int,
-    rows_per_block: int = ROWS_PER_BLOCK, max_min_length: int | None = None,
+def silences(
+    frames: DataFrame, series: Sequence[str], thresholds: Sequence[float], min_interval: int, max_kept: int,
+    rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
-    """Split series at silences; returns ``(series, start, end)`` in samples.
+    """Silences of each series at several thresholds, one row each with the places where it would be cut.
 
-    ``frames`` comes from ``hopping_rms``.  ``threshold`` and ``min_length`` may
-    be columns of ``frames`` that are constant within a series;
-    ``max_min_length`` then bounds the latter.  Each silence is reduced to one
-    row of places to cut; which silences cut is a greedy chain.
+    Returns ``(series, level, samples, _s, _i, _last, _leading, _trailing, _cuts, _low, _high)``; ``level`` is the place
+    of the threshold.  Frames are put in order once for all thresholds, and only silent frames go on, once for each
+    threshold they are below.
     """
-    span = max_min_length if max_min_length is not None else min_length
-    keys = list(series)
-    table = frames.select(*keys, "frame", "rms", "samples", _c(threshold).alias("_thr"), _c(min_length).alias("_min"))
-    heads = table.filter(F.col("frame") == 0)
-    short = F.floor((F.col("samples") + hop - 1) / hop) <= F.col("_min")
-    rows = with_blocks(table.filter(~short), keys, "frame", rows_per_block)
-    rows = rows.withColumn("_silent", F.col("rms") < F.col("_thr"))
+    keys, part = list(series), [*series, "level"]
+    rows = with_blocks(frames.select(*keys, "frame", "rms", "samples"), keys, "frame", rows_per_block)
+    rows = Scan(rows, keys, ["frame"]).lag("_before", "rms").lead("_after", "rms").maximum("_last", "frame").columns()
+    levels = F.array(*[F.struct(F.lit(k).alias("level"), F.lit(float(t)).alias("_thr")) for k, t in enumerate(thresholds)])
+    rows = rows.filter(F.col("rms") < float(max(thresholds)))
+    rows = rows.select("*", F.inline(F.filter(levels, lambda t: F.col("rms") < t["_thr"])))
+    begins = ~F.coalesce(F.col("_before") < F.col("_thr"), F.lit(False))
+    ends = ~F.coalesce(F.col("_after") < F.col("_thr"), F.lit(False))
     rows = (
-        Scan(rows, keys, ["frame"])
-        .lag("_before", "_silent")
-        .lead("_after", "_silent")
-        .maximum("_last", "frame")
-        .columns()
-    )
-    begins = F.col("_silent") & ~F.coalesce("_before", F.lit(False))
-    ends = F.col("_silent") & ~F.coalesce("_after", F.lit(False))
-    rows = (
-        Scan(rows, keys, ["frame"])
+        Scan(rows, part, ["frame"])
         .last_valid("_s", F.when(begins, F.col("frame")))
         .next_valid("_e", F.when(ends, F.col("frame")))
         .columns()
-        .filter("_silent")
     )
     frame, s, i = F.col("frame"), F.col("_s"), F.col("_e") + 1
     loudness = F.struct("rms", "frame")
@@ -120,11 +110,10 @@ def silence_segments(
         return F.min_by("frame", F.when(condition, loudness))
 
     block = [F.min(BLOCK).alias(BLOCK)] if BLOCK in rows.columns else []
-    silences = rows.groupBy(*keys, "_s", "_e").agg(
+    found = rows.groupBy(*part, "_s", "_e").agg(
         *block,
         F.first("_last").alias("_last"),
         F.first("samples").alias("samples"),
-        F.first("_min").alias("_min"),
         quietest(F.lit(True)).alias("_any"),
         quietest(frame <= s + max_kept).alias("_left"),
         quietest(frame >= i - max_kept).alias("_right"),
@@ -143,8 +132,8 @@ def silence_segments(
         .when((length <= 2 * max_kept) & ~at_start, F.greatest("_right", "_mid"))
         .otherwise(F.col("_right"))
     )
-    silences = silences.select(
-        *keys, "_s", "_last", "samples", "_min", *([BLOCK] if block else []),
+    return found.select(
+        *part, "_s", "_last", "samples", *([BLOCK] if block else []),
         i.alias("_i"),
         (~at_end & at_start & (i > max_kept)).alias("_leading"),
         (at_end & (F.col("_last") + 1 - s >= min_interval)).alias("_trailing"),
@@ -152,16 +141,26 @@ def silence_segments(
         F.when(at_end, F.col("_left")).otherwise(low).cast("bigint").alias("_low"),
         F.when(at_end, F.col("_last") + 2).otherwise(high).cast("bigint").alias("_high"),
     ).filter(F.col("_leading") | F.col("_trailing") | F.col("_cuts"))
-    silences = (
-        Scan(silences, keys, ["_s"])
+
+
+def cut_at_silences(found: DataFrame, heads: DataFrame, series: Sequence[str], hop: int, span: int) -> DataFrame:
+    """Pieces between silences; which silences cut is a greedy chain: ``(series, start, end)`` in samples.
+
+    ``found`` comes from ``silences``, ``heads`` has a row per series with its ``samples``; both hold ``_min``, the
+    frames from one cut to the next at least, and ``span`` bounds it.
+    """
+    keys = list(series)
+    short = F.floor((F.col("samples") + hop - 1) / hop) <= F.col("_min")
+    found = (
+        Scan(found.filter(~short), keys, ["_s"])
         .maximum("_lead_cut", F.when(F.col("_leading"), F.col("_high")))
         .columns()
         .withColumn("_from", F.coalesce(F.col("_lead_cut"), F.lit(0)) + F.col("_min"))
         .withColumn("_next", F.col("_high") + F.col("_min"))
     )
-    inner = silences.filter(F.col("_cuts") & ~F.col("_leading") & ~F.col("_trailing"))
+    inner = found.filter(F.col("_cuts") & ~F.col("_leading") & ~F.col("_trailing"))
     tags = greedy_chain(inner, keys, "_i", "_next", "_from", span=float(span)).unionByName(
-        silences.filter(F.col("_leading") | F.col("_trailing"))
+        found.filter(F.col("_leading") | F.col("_trailing"))
     )
     tags = Scan(tags, keys, ["_s"]).lag("_prev_high", "_high").lead("_next_low", "_low").columns()
     frames_total = F.col("_last") + 1
@@ -191,6 +190,20 @@ def silence_segments(
     return cut.unionByName(whole)
 
 
+def silence_segments(
+    frames: DataFrame, series: Sequence[str], hop: int, threshold: float, min_length: int, min_interval: int, max_kept: int,
+    rows_per_block: int = ROWS_PER_BLOCK,
+) -> DataFrame:
+    """Split series at silences; returns ``(series, start, end)`` in samples.
+
+    ``frames`` comes from ``hopping_rms``.  Each silence is reduced to one row
+    of places to cut; which silences cut is a greedy chain.
+    """
+    heads = frames.filter(F.col("frame") == 0).select(*series, "samples", F.lit(min_length).alias("_min"))
+    found = silences(frames, series, [threshold], min_interval, max_kept, rows_per_block).drop("level")
+    return cut_at_silences(found.withColumn("_min", F.lit(min_length)), heads, series, hop, min_length)
+
+
 def segment_samples(
     samples: DataFrame, segments: DataFrame, series: Sequence[str], pos: str, width: int
 ) -> DataFrame:
@@ -404,6 +417,6 @@ def segmentation_score(
 
 
 __all__ = [
-    "BLOCK", "decibels", "hopping_rms", "length_statistics", "merge_short", "mix_channels", "nearest_flags",
-    "segment_samples", "segmentation_score", "silence_parameters", "silence_segments", "windowed_cuts",
+    "BLOCK", "cut_at_silences", "decibels", "hopping_rms", "length_statistics", "merge_short", "mix_channels", "nearest_flags",
+    "segment_samples", "segmentation_score", "silence_parameters", "silence_segments", "silences", "windowed_cuts",
 ]

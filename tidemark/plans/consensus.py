@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.evaluate import majority_sequence, trimmed_mean
+from tidemark.operators.evaluate import agreeing_runs, trimmed_mean, trimmed_mean_of
 from tidemark.operators.intervals import close_small_gaps, fill_complement
 from tidemark.scan import ROWS_PER_BLOCK, Scan, with_blocks
 from tidemark.session import stage
@@ -30,6 +30,10 @@ def rebuild_increasing(
     return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in df.columns])
 
 
+#: Runs of a group up to which the times of one place are averaged as a short array.
+MOST_RUNS = 10_000
+
+
 def consensus_timeline(
     runs: DataFrame, group: Sequence[str], length: DataFrame, gap: float = 0.1, rows_per_block: int = ROWS_PER_BLOCK
 ) -> DataFrame:
@@ -39,16 +43,22 @@ def consensus_timeline(
     without outliers, and fills small and large gaps up to ``length``.
     """
     keys = list(group)
-    label = F.transform(F.array_sort(F.collect_list(F.struct("idx", "label"))), lambda x: x["label"])
-    sequences = runs.groupBy(*keys, "run").agg(label.alias("labels"))
-    agreed = majority_sequence(sequences, keys, "run", "labels").select(*keys, "labels")
-    kept = stage(runs.join(sequences.join(agreed, [*keys, "labels"]).select(*keys, "run"), [*keys, "run"]))
+    winners = stage(agreeing_runs(runs, keys, "run", "idx", "label", rows_per_block))
+    most_runs, most_points = winners.agg(F.max("votes"), F.max("points")).first()
+    # known from the vote: where no timeline is large, no later step has to count
+    limit = None if (most_points or 0) <= rows_per_block else rows_per_block
+    kept = runs.join(winners.select(*keys, "run"), [*keys, "run"])
     place = [*keys, "idx"]
-    starts = trimmed_mean(kept, place, "start", name="start", rows_per_block=rows_per_block).select(*place, "start")
-    ends = trimmed_mean(kept, place, "end", name="end", rows_per_block=rows_per_block).select(*place, "end")
-    labels = kept.groupBy(*place).agg(F.first("label").alias("label"))
-    timeline = stage(starts.join(ends, place).join(labels, place))
-    timeline = rebuild_increasing(timeline, keys, "idx", "start", "end", rows_per_block=rows_per_block)
+    if (most_runs or 0) <= MOST_RUNS:
+        times = kept.groupBy(*place).agg(
+            *[F.collect_list(F.col(c).cast("double")).alias(f"_{c}") for c in ("start", "end")], F.first("label").alias("label")
+        )
+        timeline = times.select(*place, trimmed_mean_of(F.col("_start")).alias("start"), trimmed_mean_of(F.col("_end")).alias("end"), "label")
+    else:
+        starts = trimmed_mean(kept, place, "start", name="start", rows_per_block=rows_per_block).select(*place, "start")
+        ends = trimmed_mean(kept, place, "end", name="end", rows_per_block=rows_per_block).select(*place, "end")
+        timeline = starts.join(ends, place).join(kept.groupBy(*place).agg(F.first("label").alias("label")), place)
+    timeline = rebuild_increasing(stage(timeline), keys, "idx", "start", "end", rows_per_block=limit)
     timeline = timeline.join(length.select(*keys, "length"), keys)
-    closed = close_small_gaps(timeline, keys, ["idx"], "start", "end", "length", gap, rows_per_block)
-    return fill_complement(closed, keys, ["idx"], "start", "end", "label", "length", rows_per_block=rows_per_block)
+    closed = close_small_gaps(timeline, keys, ["idx"], "start", "end", "length", gap, limit)
+    return fill_complement(closed, keys, ["idx"], "start", "end", "label", "length", rows_per_block=limit)

@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.arrays import difference_count
-from tidemark.functions.text import tokens_for
+from tidemark.functions.text import letter_tokens, tokens_for
 from tidemark.operators.lookup import keyed_join
 from tidemark.operators.match import best_windows, match_status, matched_tokens
 from tidemark.session import stage
 
 
-def prepare_corpus(documents: DataFrame, text: str, language: str) -> DataFrame:
-    """Add cleaned display tokens ``text_tokens`` and the tokens to match, ``tokens``."""
-    tokens = tokens_for(language)(F.col(text))
+def prepare_corpus(documents: DataFrame, text: str, language: str | None) -> DataFrame:
+    """Add cleaned display tokens ``text_tokens`` and the tokens to match, ``tokens``; all letters where no language is given."""
+    tokens = letter_tokens(text) if language is None else tokens_for(language)(F.col(text))
     return documents.withColumn("text_tokens", tokens).withColumn("tokens", tokens)
 
 
@@ -55,7 +55,7 @@ def match_pairs(pairs: DataFrame, keys: Sequence[str], threshold: int = 5, windo
 
 
 def match_by_name(
-    inputs: DataFrame, references: DataFrame, language: str, threshold: int = 5
+    inputs: DataFrame, references: DataFrame, language: str | None, threshold: int = 5
 ) -> tuple[DataFrame, DataFrame]:
     """Match inputs ``name, text`` to the reference ``song, text`` their name points to.
 

@@ -72,41 +72,35 @@ def grid_search(
 ) -> DataFrame:
     """Silence split with the best scoring parameters of a fixed grid, per series.
 
-    The grid becomes part of the series key, so all settings run in one plan.
-    Adds the chosen ``threshold_db``, ``min_length_ms`` and the ``score``.
+    Silences are found in one pass over the frames for all thresholds; the
+    lengths of the grid are tried on silences alone.  Of equal scores, to nine
+    places, the first setting counts.  Adds the chosen ``threshold_db``,
+    ``min_length_ms`` and the ``score``.
     """
-    keys = list(series)
+    keys, part = list(series), [*series, "setting"]
     p = S.silence_parameters(rate, -30.0, 8000, min_interval_ms, 20, max_kept_ms)
     frames = stage(S.hopping_rms(samples, keys, pos, value, p["frame_length"], p["hop"]))
-    settings = F.array(
-        *[
-            F.struct(
-                F.lit(i * len(GRID_MIN_LENGTHS_MS) + j).alias("setting"),
-                F.lit(t).alias("threshold_db"),
-                F.lit(m).alias("min_length_ms"),
-                F.lit(10 ** (t / 20.0)).alias("_threshold"),
-                F.lit(round(rate * m / 1000 / p["hop"])).alias("_min_frames"),
-            )
-            for i, t in enumerate(GRID_THRESHOLDS)
-            for j, m in enumerate(GRID_MIN_LENGTHS_MS)
-        ]
-    )
-    tried = frames.select("*", F.inline(settings))
-    part = [*keys, "setting"]
-    pieces = S.silence_segments(
-        tried, part, p["hop"], "_threshold", "_min_frames", p["min_interval"], p["max_kept"], rows_per_block,
-        max_min_length=round(rate * max(GRID_MIN_LENGTHS_MS) / 1000 / p["hop"]),
-    )
-    pieces = stage(pieces)
-    lengths = tried.filter(F.col("frame") == 0).select(*part, "samples", "threshold_db", "min_length_ms")
-    scores = S.segmentation_score(pieces, lengths.select(*part, "samples"), part, rate, min_len, max_len)
-    best = scores.groupBy(*keys).agg(F.min(F.struct("score", "setting")).alias("_best"))
+    found = stage(S.silences(frames, keys, [10 ** (t / 20.0) for t in GRID_THRESHOLDS], p["min_interval"], p["max_kept"], rows_per_block))
+    count = len(GRID_MIN_LENGTHS_MS)
+    least = [round(rate * m / 1000 / p["hop"]) for m in GRID_MIN_LENGTHS_MS]
+    tried = F.array(*[F.struct(F.lit(j).alias("_length"), F.lit(m).alias("_min")) for j, m in enumerate(least)])
+
+    def with_settings(rows: DataFrame) -> DataFrame:
+        rows = rows.select("*", F.inline(tried))
+        return rows.withColumn("setting", F.col("level") * count + F.col("_length")).drop("level", "_length")
+
+    levels = F.explode(F.sequence(F.lit(0), F.lit(len(GRID_THRESHOLDS) - 1))).alias("level")
+    heads = with_settings(frames.filter(F.col("frame") == 0).select(*keys, "samples", levels))
+    pieces = stage(S.cut_at_silences(with_settings(found), heads, part, p["hop"], max(least)))
+    scores = S.segmentation_score(pieces, heads.select(*part, "samples"), part, rate, min_len, max_len)
+    best = scores.withColumn("score", F.round("score", 9)).groupBy(*keys).agg(F.min(F.struct("score", "setting")).alias("_best"))
     best = best.select(*keys, F.col("_best.setting").alias("setting"), F.col("_best.score").alias("score"))
-    return (
-        pieces.join(best, part)
-        .join(lengths.drop("samples"), part)
-        .select(*keys, "start", "end", "threshold_db", "min_length_ms", "score")
+    level, length = F.floor(F.col("setting") / count).cast("int"), (F.col("setting") % count).cast("int")
+    named = best.select(
+        *part, "score", F.get(F.array(*map(F.lit, GRID_THRESHOLDS)), level).alias("threshold_db"),
+        F.get(F.array(*map(F.lit, GRID_MIN_LENGTHS_MS)), length).alias("min_length_ms"),
     )
+    return pieces.join(named, part).select(*keys, "start", "end", "threshold_db", "min_length_ms", "score")
 
 
 def segment_series(

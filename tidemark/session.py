@@ -56,9 +56,9 @@ def stage(df: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per session, unless they run in this process."""
+    """Send this package to the Python workers, once per session; those of a local session do not share its path."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or getattr(sc, "_tidemark_shipped", False):
+    if getattr(sc, "_tidemark_shipped", False):
         return
     top = os.path.dirname(os.path.abspath(__file__))
     archive = os.path.join(tempfile.mkdtemp(prefix="ship-"), "tidemark.zip")

@@ -8,8 +8,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 BACKLOG = 500
 TIMEOUT_SECONDS = 600
@@ -137,13 +138,29 @@ class _Timeout(StatefulProcessor):
 
 
 class _HoldBack(StatefulProcessor):
-    """Releases a row once ``size`` later rows of its key have arrived, and all at the row of kind ``end``."""
+    """Releases a row once ``size`` later rows of its key have arrived, and all at the row of kind ``end``.
 
-    def __init__(self, size: int):
-        self._size = size
+    With ``seconds`` a key that stays silent that long in event time releases what it holds as well.
+    """
+
+    def __init__(self, size: int, seconds: int | None = None):
+        self._size, self._ms = size, None if seconds is None else seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
         self._rows = handle.getListState("rows", "ts timestamp, seq bigint, message string")
+        if self._ms is not None:
+            self._due = handle.getValueState("due", "ms bigint")
+
+    def _wait(self, held: list[tuple]) -> None:
+        """Have the timer follow the newest row that is held."""
+        if self._due.exists():
+            self._handle.deleteTimer(self._due.get()[0])
+            self._due.clear()
+        if held:
+            due = int(max(r[0] for r in held).timestamp() * 1000) + self._ms
+            self._handle.registerTimer(due)
+            self._due.update((due,))
 
     def handleInputRows(self, key, rows, timerValues):
         held = [tuple(r) for r in self._rows.get()]
@@ -153,10 +170,59 @@ class _HoldBack(StatefulProcessor):
         ready, held = (held[: -self._size], held[-self._size :]) if self._size and not ends else (held, [])
         # a list in state is never empty
         self._rows.put(held) if held else self._rows.clear()
+        if self._ms is not None:
+            self._wait(held)
         if ready:
-            out = pd.DataFrame(ready, columns=["ts", "seq", "message"])
-            out.insert(0, "task_id", key[0])
-            yield out
+            yield self._out(key, ready)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        held = [tuple(r) for r in self._rows.get()]
+        self._rows.clear()
+        self._due.clear()
+        if held:
+            yield self._out(key, held)
+
+    @staticmethod
+    def _out(key, rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["ts", "seq", "message"])
+        out.insert(0, "task_id", key[0])
+        return out
+
+    def close(self) -> None:
+        pass
+
+
+class _Snapshot(StatefulProcessor):
+    """What a new reader of a job needs: its status and its last rows, for every job with new events."""
+
+    def __init__(self, size: int):
+        self._size = size
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._rows = handle.getListState("rows", "ts timestamp, seq bigint, message string")
+        self._status = handle.getValueState("status", "status string, stopping boolean, progress int, stage string, error string, events bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        status, stopping, progress, stage, error, events = self._status.get() if self._status.exists() else (PENDING, False, 0, "idle", None, 0)
+        new = _in_order(rows)
+        for r in new.itertuples():
+            before, events = status, events + 1
+            if r.kind == "progress" and status == RUNNING:
+                progress, stage = max(progress, min(99, int(r.progress))), r.stage
+            status, stopping = next_status(status, stopping, r.kind)
+            if before == RUNNING and status == COMPLETED:
+                progress, stage = 100, "done"
+            if before == RUNNING and status == FAILED:
+                error = r.message
+        self._status.update((status, stopping, progress, stage, error, events))
+        kept = [tuple(r) for r in self._rows.get()] + [(r.ts, int(r.seq), r.message) for r in new.itertuples()]
+        kept = sorted(kept, key=lambda r: (r[0], r[1]))[-self._size :]
+        self._rows.put(kept)
+        out = pd.DataFrame(kept, columns=["ts", "seq", "message"]).assign(part="row", status=None, progress=None, stage=None, error=None, events=None)
+        last = pd.DataFrame([(*kept[-1][:2], None, "status", status, progress, stage, error, events)], columns=["ts", "seq", "message", "part", "status", "progress", "stage", "error", "events"])
+        both = pd.concat([out.astype(object), last.astype(object)], ignore_index=True)
+        both.insert(0, "task_id", key[0])
+        yield both.astype({"ts": "datetime64[ns]", "seq": "int64", "progress": "Int32", "events": "Int64"})
 
     def close(self) -> None:
         pass
@@ -189,6 +255,46 @@ def silence_timeouts(events: DataFrame, seconds: int = TIMEOUT_SECONDS, delay: s
     return _apply(marked, _Timeout(seconds), "task_id string, last timestamp, status string", "Append", "EventTime")
 
 
-def hold_back(events: DataFrame, size: int) -> DataFrame:
-    """Events in order, each after ``size`` later ones of its key; a row of kind ``end`` releases what is held."""
-    return _apply(events, _HoldBack(size), "task_id string, ts timestamp, seq bigint, message string", "Append")
+def hold_back(events: DataFrame, size: int, seconds: int | None = None, delay: str = "0 seconds") -> DataFrame:
+    """Events in order, each after ``size`` later ones of its key; a row of kind ``end`` releases what is held.
+
+    ``seconds`` of silence of a key in event time release it too; without it no timer is set.
+    """
+    schema = "task_id string, ts timestamp, seq bigint, message string"
+    if seconds is None:
+        return _apply(events, _HoldBack(size), schema, "Append")
+    return _apply(events.withWatermark("ts", delay), _HoldBack(size, seconds), schema, "Append", "EventTime")
+
+
+SNAPSHOT_SCHEMA = "task_id string, ts timestamp, seq bigint, message string, part string, status string, progress int, stage string, error string, events bigint"
+
+
+def snapshots(events: DataFrame, size: int = BACKLOG) -> DataFrame:
+    """Status and last ``size`` rows of each job that got new events, as rows of two kinds (``part``)."""
+    return _apply(events, _Snapshot(size), SNAPSHOT_SCHEMA, "Update")
+
+
+def publish_snapshots(events: DataFrame, folder: str, checkpoint: str, size: int = BACKLOG) -> StreamingQuery:
+    """Keep ``folder`` so that ``read_snapshot`` gives every job's status and last rows after the last whole batch.
+
+    A batch writes the jobs it changed, both kinds of rows in one table of its own number, and marks itself whole as
+    its last step.  A batch that is repeated after a restart replaces what it had written, and one that was cut off is
+    not seen.
+    """
+
+    def write(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").partitionBy("part").parquet(f"{folder}/rows/batch={number}")
+        df.sparkSession.range(1).coalesce(1).write.mode("overwrite").parquet(f"{folder}/whole/batch={number}")
+
+    made = snapshots(events, size).writeStream.foreachBatch(write).outputMode("update")
+    return made.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_snapshot(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Status and last rows of every job: ``(task_id, status, progress, stage, error, events)``, ``(task_id, ts, seq, message)``."""
+    whole = spark.read.parquet(f"{folder}/whole").select("batch").distinct()
+    rows = spark.read.schema(f"{SNAPSHOT_SCHEMA}, batch bigint").parquet(f"{folder}/rows").join(whole, "batch", "left_semi")
+    newest = rows.groupBy("task_id").agg(F.max("batch").alias("batch"))
+    rows = rows.join(newest, ["task_id", "batch"])
+    status = rows.filter("part = 'status'").select("task_id", "status", "progress", "stage", "error", "events")
+    return status, rows.filter("part = 'row'").select("task_id", "ts", "seq", "message")
