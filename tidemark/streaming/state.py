@@ -116,22 +116,22 @@ class _Timeout(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._last = handle.getValueState("last", "ms bigint")
+        self._last = handle.getValueState("last", "us bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        newest = max(int(frame["ts"].max().timestamp() * 1000) for frame in rows)
+        newest = max(round(frame["ts"].max().timestamp() * 1_000_000) for frame in rows)
         if self._last.exists():
             before = self._last.get()[0]
             newest = max(newest, before)
-            self._handle.deleteTimer(before + self._ms)
+            self._handle.deleteTimer(before // 1000 + self._ms)
         self._last.update((newest,))
-        self._handle.registerTimer(newest + self._ms)
+        self._handle.registerTimer(newest // 1000 + self._ms)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         last = self._last.get()[0]
         self._last.clear()
-        yield pd.DataFrame({"task_id": [key[0]], "last": [pd.Timestamp(last, unit="ms")], "status": ["timed_out"]})
+        yield pd.DataFrame({"task_id": [key[0]], "last": [pd.Timestamp(last, unit="us")], "status": ["timed_out"]})
 
     def close(self) -> None:
         pass
