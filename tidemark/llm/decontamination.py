@@ -26,8 +26,8 @@ RADIUS, BLOCKS, BLOCK_BITS = 11, 4, 16
 LEAST, SIZE, STRIDE, AROUND = 0.75, 5, 3, 3
 #: Items looked up at a time; a larger benchmark is taken in blocks of so many.
 MOST_ITEMS = 5_000
-#: Words worked on at a time.
-CHUNK = 1 << 14
+#: Words worked on at a time, and a number that every stride divides.
+CHUNK, STRIDES = 1 << 14, 6
 _UPPER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -51,10 +51,12 @@ def similarity(a: Counter, b: Counter) -> float:
 
 def signed_bits(ids: np.ndarray, words: list[bytes], kind) -> np.ndarray:
     """Running sums of the weighed bits of the words; wrapping around does no harm to differences."""
-    bits = np.unpackbits(mixed(ids).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1).astype(kind)
-    weight = np.minimum(np.fromiter(map(len, words), np.int64, len(words)), 12).astype(kind)
+    # bits are spread out once for each different word
+    own, first, where = np.unique(ids, return_index=True, return_inverse=True)
+    bits = np.unpackbits(mixed(own).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1).astype(kind)
+    weight = np.fromiter((min(len(words[i]), 12) for i in first.tolist()), kind, len(first))
     total = np.zeros((len(words) + 1, 64), kind)
-    np.cumsum((2 * bits - 1) * weight[:, None], axis=0, dtype=kind, out=total[1:])
+    np.cumsum(((2 * bits - 1) * weight[:, None])[where], axis=0, dtype=kind, out=total[1:])
     return total
 
 
@@ -62,6 +64,11 @@ def fingerprints(total: np.ndarray, size: int, at: np.ndarray) -> np.ndarray:
     return np.packbits(total[at + size] - total[at] > 0, axis=1).view("<u8").ravel()
 
 
+def grid_fingerprints(total: np.ndarray, size: int, stride: int) -> np.ndarray:
+    """Fingerprints of the windows at every ``stride`` places from the first on."""
+    return np.packbits(total[size::stride] - total[: len(total) - size : stride] > 0, axis=1).view("<u8").ravel()
+
+
 def near_blocks(radius: int) -> np.ndarray:
     """All block values of at most ``radius`` set bits."""
     return np.asarray([sum(1 << b for b in c) for k in range(radius + 1) for c in combinations(range(BLOCK_BITS), k)], np.uint16)
@@ -129,9 +136,9 @@ class Items:
             out.append(table)
         return out
 
-    def candidates(self, total: np.ndarray, size: int, at: np.ndarray) -> list[tuple[int, int]]:
-        """(place, item of the group) of all windows within the radius of an item."""
-        own, out = fingerprints(total, size, at), []
+    def candidates(self, own: np.ndarray, size: int, at: np.ndarray) -> list[tuple[int, int]]:
+        """(place, item of the group) of all windows, by fingerprint and place, within the radius of an item."""
+        out = []
         blocks = own.view("<u2").reshape(-1, BLOCKS)
         for k, table in enumerate(self.tables[size]):
             hit = table[0][blocks[:, 0]]
@@ -154,6 +161,8 @@ class Items:
             # long texts are cut with an overlap that holds every window
             for at in range(0, max(1, len(words)), CHUNK):
                 part = words[at : at + CHUNK + 2 * self.longest]
+                # places of all strides are places of the whole batch if every part starts at one
+                part += [b""] * (-len(part) % STRIDES)
                 batch.append((d, at, part))
                 held += len(part)
                 if held >= CHUNK:
@@ -166,10 +175,12 @@ class Items:
         words = [w for _, _, part in batch for w in part]
         if not words or not self.groups:
             return
-        ends = np.cumsum([len(part) for _, _, part in batch])
-        end = np.repeat(ends, [len(part) for _, _, part in batch])
-        begin = end - np.repeat([len(part) for _, _, part in batch], [len(part) for _, _, part in batch])
-        ids, every = self.names.of(words), np.arange(len(words))
+        lengths = np.asarray([len(part) for _, _, part in batch])
+        # a word is never empty, so what was added behind a part does not count
+        starts, own = np.cumsum(lengths) - lengths, np.asarray([len(part) - part[-STRIDES:].count(b"") for _, _, part in batch])
+        ends = starts + own
+        end, begin = np.repeat(ends, lengths), np.repeat(starts, lengths)
+        ids = self.names.of(words)
         total = signed_bits(ids, words, self.kind)
 
         def verify(item: int, shingles: Counter, place: int, n: int) -> None:
@@ -186,11 +197,17 @@ class Items:
         for size, group in self.groups.items():
             # every few places of a text, and its last window
             stride = max(1, min(STRIDE, size // 6))
-            at = every[(((every - begin) % stride == 0) | (every + size == end)) & (every + size <= end)]
+            if len(words) < size:
+                continue
+            at = np.arange(0, len(words) + 1 - size, stride)
+            inside = at + size <= end[at]
+            last = (ends - size)[(own >= size) & ((own - size) % stride != 0)]
+            prints = np.concatenate([grid_fingerprints(total, size, stride)[inside], fingerprints(total, size, last)])
+            at = np.concatenate([at[inside], last])
             if not len(at):
                 continue
             tried: dict[tuple[int, int], int] = {}
-            for place, i in self.candidates(total, size, at):
+            for place, i in self.candidates(prints, size, at):
                 _, _, n, cut = group[i]
                 lo, hi = int(begin[place]), int(end[place])
                 for p in range(place - cut - AROUND, place - cut + AROUND + 1):
