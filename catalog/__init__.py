@@ -1,6 +1,6 @@
 """Registered queries: each runs an operator over the given tables."""
 
-from catalog import events, intervals, rows, segments, streams, texts
+from catalog import events, intervals, records, rows, segments, streams, texts
 from catalog.base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "events", "intervals", "rows", "segments", "streams", "texts"]
+__all__ = ["QUERIES", "SQL", "events", "intervals", "records", "rows", "segments", "streams", "texts"]

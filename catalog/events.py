@@ -369,3 +369,18 @@ def note_inverse(spark, folder):
 
     e = events(spark, folder)
     return e.select("event_id", N.pitch_from_name(N.pitch_name((F.col("event_id") % 120).cast("double"))).alias("back"), F.round(N.semitone("value"), 6).alias("semitone"))
+
+
+@query(f"""WITH {INDEXED}, d AS (SELECT user_id, us // {24 * HOUR} AS day, list(event_id ORDER BY idx) AS ids, list(value ORDER BY idx) AS vs, count(*) AS n FROM ix GROUP BY 1, 2),
+  m AS (SELECT *, max(n) OVER (PARTITION BY user_id) AS w FROM d)
+SELECT user_id, CAST(day AS BIGINT) AS day, array_to_string(list_resize(ids, w, -1), ',') AS ids, round(list_sum(vs), 6) AS total, CAST(w AS INTEGER) AS width, CAST(n AS INTEGER) AS length, CAST(n AS BIGINT) AS real FROM m""")
+def padded_days(spark, folder):
+    """Days of a user as rows of one length."""
+    day = F.floor(F.col("us") / (24 * HOUR)).alias("day")
+    days = indexed(spark, folder).groupBy("user_id", day).agg(F.sort_array(F.collect_list(F.struct("idx", "event_id", "value"))).alias("l"))
+    days = days.select("user_id", "day", F.col("l.event_id").alias("ids"), F.col("l.value").alias("vs"))
+    out = R.pad_to_longest(days, U, {"ids": -1, "vs": 0.0})
+    return out.select(
+        "user_id", "day", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), F.round(A.array_total("vs"), 6).alias("total"),
+        F.size("mask").alias("width"), "length", F.aggregate("mask", F.lit(0).cast("bigint"), lambda s, x: s + x).alias("real"),
+    )

@@ -195,13 +195,30 @@ def insert_free(spark, folder):
     return V.insert_free(new, old, ["cust"], "id", ("a", "b"), 60.0)[0].select("id")
 
 
-@query()
+#: Lexical rows left to right: the row before counts with its repaired end.
+@query(f"""WITH RECURSIVE {ORDERS}, al AS (SELECT *, a + id * 1e-9::DOUBLE AS pl, label = '5-LOW' AS filler FROM od),
+  lk AS (SELECT *, greatest(0, b - a) AS d, row_number() OVER w AS k, row_number() OVER (PARTITION BY cust ORDER BY greatest(0, b - a), pl) AS rk, count(*) OVER (PARTITION BY cust) AS n,
+    greatest(0, lead(b) OVER w - lead(a) OVER w) AS nd, lead(a) OVER w AS ns FROM al WHERE NOT filler WINDOW w AS (PARTITION BY cust ORDER BY pl)),
+  rp AS (SELECT cust, k, id, pl, a, b AS e, FALSE AS fixed FROM lk WHERE k = 1
+    UNION ALL SELECT cust, k, id, pl, a, CASE WHEN fixed THEN ns ELSE b END, fixed FROM (
+      SELECT l.cust, l.k, l.id, l.pl, l.a, l.b, l.ns, coalesce(l.n >= 3 AND l.rk <= greatest(3, floor(l.n * 0.15::DOUBLE + 0.999999::DOUBLE)) AND least(greatest(0, r.e - r.a), l.nd) > 0
+        AND l.d < least(greatest(0, r.e - r.a), l.nd) * 0.6::DOUBLE AND l.ns > l.b, FALSE) AS fixed FROM rp r JOIN lk l ON l.cust = r.cust AND l.k = r.k + 1)),
+  ou AS (SELECT al.id, al.a, coalesce(rp.e, al.b) AS b, al.filler, last_value(rp.fixed IGNORE NULLS) OVER (PARTITION BY al.cust ORDER BY al.pl) AS covered FROM al LEFT JOIN rp ON rp.id = al.id)
+SELECT id, a, b FROM ou WHERE NOT (filler AND coalesce(covered, FALSE))""")
 def repair_short(spark, folder):
     o = order_spans(spark, folder).withColumn("at", F.col("a") + F.col("id") * 1e-9)
     return V.repair_short(o, ["cust"], "at", "a", "b", "label", stop=("5-LOW",)).select("id", "a", "b")
 
 
-@query()
+#: Rows left to right with the time up to which the timeline is told.
+@query(f"""WITH RECURSIVE {ORDERS}, nu AS (SELECT *, a + id * 1e-9::DOUBLE AS pl, CASE WHEN label IN ('1-URGENT', '2-HIGH') THEN a + (b - a) / 4 END AS v FROM od),
+  rw AS (SELECT *, row_number() OVER w AS k, lead(v) OVER w AS nv, count(v) OVER w AS ordinal FROM nu WINDOW w AS (PARTITION BY cust ORDER BY pl)),
+  st AS (SELECT cust, CAST(0 AS BIGINT) AS k, 0.0::DOUBLE AS told, 0.0::DOUBLE AS before FROM (SELECT DISTINCT cust FROM rw)
+    UNION ALL SELECT r.cust, r.k, CASE WHEN r.v IS NULL THEN greatest(told, r.b) ELSE coalesce(r.nv, r.b) END, told FROM st JOIN rw r ON r.cust = st.cust AND r.k = st.k + 1),
+  x AS (SELECT r.*, before, coalesce(nv, b) AS stop FROM rw r JOIN st USING (cust, k))
+SELECT cust, 0::INTEGER AS part, b - before AS duration, 0::INTEGER AS voiced, '' AS label, ordinal FROM x WHERE v IS NULL AND b > before
+UNION ALL SELECT cust, 0, v - before, 0, '', ordinal FROM x WHERE v > before + 0.005
+UNION ALL SELECT cust, 1, greatest(0, stop - greatest(v, before)), 1, label, ordinal FROM x WHERE v IS NOT NULL""")
 def anchor_spans(spark, folder):
     o = order_spans(spark, folder).withColumn("at", F.col("a") + F.col("id") * 1e-9)
     o = o.withColumn("nucleus", F.when(F.col("label").isin("1-URGENT", "2-HIGH"), F.col("a") + (F.col("b") - F.col("a")) / 4))

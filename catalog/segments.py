@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog.base import EVENTS, events, query
 from catalog.events import INDEXED, indexed
 from tidemark.operators import segments as S
+from tidemark.operators.scoring import split_segments
 from tidemark.plans import segmentation as P
 from tidemark.scan import Scan, with_blocks
 
@@ -78,22 +79,52 @@ def silence_segments(spark, folder):
     return P.silence_plan(voices(spark, folder), VOICE, "pos", "v", RATE, **MS)
 
 
-@query()
+FRAMES = f"""{INDEXED}, nf AS (SELECT user_id, max(idx) + 1 AS n FROM ix GROUP BY 1), ff AS (SELECT user_id, n, unnest(generate_series(0, n // 2)) AS frame FROM nf),
+  fr AS (SELECT ff.user_id, n, frame, sqrt(coalesce(sum((value / 500) * (value / 500)), 0) / 8) AS rms FROM ff LEFT JOIN ix ON ix.user_id = ff.user_id AND ix.idx + 4 >= frame * 2 AND ix.idx + 4 < frame * 2 + 8 GROUP BY 1, 2, 3)"""
+
+
+#: From each frame its cut, two to six seconds on: the last frame below the limit, else the quietest.
+@query(f"""WITH RECURSIVE {FRAMES}, db AS (SELECT user_id, n, frame, 20 * log10(greatest(rms, 1e-10)) AS db FROM fr),
+  cu AS (SELECT f.user_id, f.n, f.frame, coalesce(max(w.frame) FILTER (w.db < -22), arg_min(w.frame, (w.db, w.frame)), least(f.frame + 12, f.n // 2 + 1)) AS cut
+    FROM db f LEFT JOIN db w ON w.user_id = f.user_id AND w.frame >= least(f.frame + 4, f.n // 2) AND w.frame < least(f.frame + 12, f.n // 2 + 1) WHERE f.frame / 2 + 6 < f.n / 4 GROUP BY 1, 2, 3),
+  ch AS (SELECT user_id, n, frame, cut FROM cu WHERE frame = 0 UNION ALL SELECT c.user_id, c.n, c.frame, c.cut FROM ch JOIN cu c ON c.user_id = ch.user_id AND c.frame = ch.cut)
+SELECT user_id, CAST(frame * 2 AS BIGINT) AS "start", CAST(cut * 2 AS BIGINT) AS "end" FROM ch UNION ALL SELECT user_id, CAST(max(cut) * 2 AS BIGINT), CAST(any_value(n) AS BIGINT) FROM ch GROUP BY 1
+UNION ALL SELECT user_id, 0, CAST(n AS BIGINT) FROM nf WHERE n / 4 <= 6""")
 def windowed_cut(spark, folder):
     frames = S.hopping_rms(samples(spark, folder), U, "pos", "v", 8, 2)
     return S.windowed_cuts(frames, U, RATE, 2, 2.0, 6.0, limit_db=-22.0)
 
 
-@query()
+#: From each frame its cut: the middle of the longest quiet run in the window, else the quietest frame.
+@query(f"""WITH RECURSIVE {FRAMES}, db AS (SELECT user_id, n, frame, rms > 0.1 AS voiced, 20 * log10(greatest(rms, 1e-10)) AS db FROM fr),
+  wi AS (SELECT f.user_id, f.n, f.frame, w.frame AS x, w.db, w.voiced FROM db f LEFT JOIN db w ON w.user_id = f.user_id AND w.frame >= least(f.frame + 4, f.n // 2) AND w.frame < least(f.frame + 12, f.n // 2 + 1) WHERE f.frame / 2 + 6 < f.n / 4),
+  un AS (SELECT user_id, frame, x, x - row_number() OVER (PARTITION BY user_id, frame ORDER BY x) AS g FROM wi WHERE NOT voiced),
+  ru AS (SELECT user_id, frame, min(x) AS a, count(*) AS l FROM un GROUP BY user_id, frame, g),
+  lo AS (SELECT user_id, frame, a + l // 2 AS middle FROM ru QUALIFY row_number() OVER (PARTITION BY user_id, frame ORDER BY l DESC, a) = 1),
+  qu AS (SELECT user_id, n, frame, coalesce(arg_min(x, (db, x)), least(frame + 12, n // 2 + 1)) AS quiet FROM wi GROUP BY 1, 2, 3),
+  cu AS (SELECT q.user_id, n, q.frame, coalesce(middle, quiet) AS cut FROM qu q LEFT JOIN lo USING (user_id, frame)),
+  ch AS (SELECT user_id, n, frame, cut FROM cu WHERE frame = 0 UNION ALL SELECT c.user_id, c.n, c.frame, c.cut FROM ch JOIN cu c ON c.user_id = ch.user_id AND c.frame = ch.cut)
+SELECT user_id, CAST(frame * 2 AS BIGINT) AS "start", CAST(cut * 2 AS BIGINT) AS "end" FROM ch UNION ALL SELECT user_id, CAST(max(cut) * 2 AS BIGINT), CAST(any_value(n) AS BIGINT) FROM ch GROUP BY 1
+UNION ALL SELECT user_id, 0, CAST(n AS BIGINT) FROM nf WHERE n / 4 <= 6""")
 def unvoiced_cut(spark, folder):
     frames = S.hopping_rms(samples(spark, folder), U, "pos", "v", 8, 2)
     return S.windowed_cuts(frames.withColumn("voiced", F.col("rms") > 0.1), U, RATE, 2, 2.0, 6.0, voiced="voiced")
 
 
-@query()
+#: Passes over the pieces: a short piece takes in the next one, a very short last one goes back, until a pass changes nothing.
+@query(f"""WITH RECURSIVE {silences_sql(1, 4, 2, "(0, 10 ** (-22 / 20.0::DOUBLE), 16)")},
+  sr AS (SELECT voice, list({{'a': "start", 'b': "end"}} ORDER BY "start", "end") AS src FROM pc GROUP BY 1),
+  mg AS (SELECT voice, src, 2 AS k, src[1:1] AS o, FALSE AS done FROM sr
+    UNION ALL SELECT voice, CASE WHEN k <= len(src) THEN src ELSE t END, CASE WHEN k <= len(src) THEN k + 1 ELSE 2 END,
+      CASE WHEN k > len(src) THEN (CASE WHEN again THEN t[1:1] ELSE t END)
+        WHEN (o[-1].b - o[-1].a) / 4.0 < 4 AND (greatest(o[-1].b, src[k].b) - o[-1].a) / 4.0 <= 9 THEN list_append(o[1:len(o) - 1], {{'a': o[-1].a, 'b': greatest(o[-1].b, src[k].b)}})
+        ELSE list_append(o, src[k]) END, k > len(src) AND NOT again
+    FROM (SELECT *, len(list_filter([(x.b - x.a) / 4.0 for x in t], lambda d: d < 4)) > 0 AND len(t) < len(src) AS again FROM (
+      SELECT *, CASE WHEN len(o) >= 2 AND (o[-1].b - o[-1].a) / 4.0 < 2 AND (o[-1].b - o[-2].a) / 4.0 <= 9 THEN list_append(o[1:len(o) - 2], {{'a': o[-2].a, 'b': o[-1].b}}) ELSE o END AS t FROM mg WHERE NOT done)))
+SELECT voice, CAST(x.a AS BIGINT) AS "start", CAST(x.b AS BIGINT) AS "end" FROM (SELECT voice, unnest(o) AS x FROM mg WHERE done)""")
 def short_merge(spark, folder):
-    cut = P.silence_plan(samples(spark, folder), U, "pos", "v", RATE, **MS)
-    return S.merge_short(cut, U, RATE, 4.0, 9.0)
+    cut = P.silence_plan(voices(spark, folder), VOICE, "pos", "v", RATE, **MS)
+    return S.merge_short(cut, VOICE, RATE, 4.0, 9.0)
 
 
 GRID = ", ".join(f"({5 * k + j}, 10 ** ({t} / 20.0::DOUBLE), {round(100 * m / 1000 / 2)})" for k, t in enumerate(P.GRID_THRESHOLDS) for j, m in enumerate(P.GRID_MIN_LENGTHS_MS))
@@ -120,3 +151,23 @@ def segmentation_score(spark, folder):
     seg = ix.groupBy("user_id", F.floor(F.col("pos") / 20).alias("seg")).agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"))
     lengths = ix.groupBy("user_id").agg((F.max("pos") + 1).alias("samples"))
     return S.segmentation_score(seg, lengths, U, RATE, 4.0, 4.5).withColumn("score", F.round("score", 6))
+
+
+def loud_runs(values):
+    """Small splitter: runs of values from 0.08 on."""
+    pieces, start = [], None
+    for i, v in enumerate([*values, 0.0]):
+        if v >= 0.08 and start is None:
+            start = i
+        elif v < 0.08 and start is not None:
+            pieces.append((start, i))
+            start = None
+    return pieces
+
+
+@query(f"""WITH {VOICES}, r AS (SELECT voice, pos, pos - row_number() OVER (PARTITION BY voice ORDER BY pos) AS g FROM vx WHERE v >= 0.08)
+SELECT voice, CAST(min(pos) AS BIGINT) AS "start", CAST(max(pos) + 1 AS BIGINT) AS "end", min(pos) / 4.0::DOUBLE AS "offset" FROM r GROUP BY voice, g""")
+def split_in_blocks(spark, folder):
+    """A splitter that is never given more than 40 samples of a series and one more on both sides."""
+    whole = voices(spark, folder).withColumn("segment", F.lit(0).cast("bigint"))
+    return split_segments(whole, VOICE, "segment", "pos", "v", RATE, loud_runs, block=40, reach=1)

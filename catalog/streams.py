@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.base import EVENTS, HOUR, query, table
+from catalog.events import SEGMENT_COLUMNS
+from catalog.events import _segments as segments_cte
 from tidemark.session import checkpoint_dir
-from tidemark.streaming import state, windows
+from tidemark.sources.files import content_key
+from tidemark.streaming import ingest, state, windows
 
 SLICES = 4
 # user of the rows that close a stream, and how long after the last event they come
@@ -193,3 +196,27 @@ def stream_log_lines(spark, folder):
     stream = spark.readStream.schema("doc_id bigint, text string").parquet(f"{folder}/documents.parque[t]")
     lines = _finish(windows.log_lines(stream, "text"), base, "append")
     return lines.groupBy("doc_id", "level").agg(F.count(F.lit(1)).alias("lines"), F.max("percent").alias("top_percent"))
+
+
+@query(f"WITH {segments_cte(12 * HOUR, 48)} SELECT CAST(user_id AS VARCHAR) AS task_id, CAST(seg_id AS BIGINT) AS seg_id, {SEGMENT_COLUMNS} FROM s GROUP BY ALL")
+def stream_segments(spark, folder):
+    """Segments by gap and cap of live series, equal to those of the whole table."""
+    stream, base = _feed(spark, folder)
+    rows = _events_only(stream).select(F.col("user_id").cast("string").alias("task_id"), "ts", F.col("event_id").alias("seq"), "value")
+    out = _finish(state.live_segments(rows, 12 * 3600, 48), base, "append").filter(F.col("task_id") != str(CLOSING))
+    us, v = F.unix_micros("ts"), F.col("value")
+    return out.groupBy("task_id", "seg_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min(us).alias("start_us"), F.max(us).alias("end_us"), F.round(F.sqrt(F.avg(v * v)), 6).alias("energy")
+    )
+
+
+@query("""SELECT md5(text) AS md5, min(CAST(doc_id AS VARCHAR)) AS path, min(CAST(doc_id AS VARCHAR)) || '_' || substr(md5(text), 1, 8) AS output_key FROM documents GROUP BY md5(text)""")
+def stream_ingest(spark, folder):
+    """Documents as incoming files, each content once; a second stream with a state of its own finds nothing new."""
+    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    texts = spark.readStream.schema("doc_id bigint, text string").parquet(f"{folder}/documents.parque[t]")
+    key = content_key(F.col("doc_id").cast("string"), F.col("text").cast("binary"))
+    files = texts.select(F.col("doc_id").cast("string").alias("path"), key["md5"].alias("md5"), key["output_key"].alias("output_key"))
+    for run in range(2):
+        ingest.ingest_new(files, lambda df: df.select("md5", "path", "output_key"), f"{base}/manifest", f"{base}/rows", f"{base}/check-{run}").awaitTermination()
+    return spark.read.schema("md5 string, path string, output_key string").parquet(f"{base}/rows").select("md5", "path", "output_key")

@@ -1,8 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.scoring import batched_scores, split_segments
-from tidemark.operators.series import despike, event_rows, interpolate_linear, padded_chunks
+from tidemark.operators.series import despike, event_rows, interpolate_linear, pad_to_longest, padded_chunks
 from tidemark.plans.batch import plan_inputs, record_results, run_summary
 from tidemark.plans.consensus import consensus_timeline, rebuild_increasing
 from tidemark.plans.curves import pitch_curve
@@ -102,6 +104,29 @@ def test_scoring(spark):
     assert sorted((r.start, r.end) for r in split_segments(s, ["s"], "seg", "at", "v", 10.0, halves).collect()) == [(100, 103), (103, 106)]
 
 
+def test_split_in_blocks(spark):
+    rng = random.Random(7)
+
+    def runs(v):
+        edges = [i for i in range(len(v) + 1) if (i < len(v) and v[i] > 0) != (i > 0 and v[i - 1] > 0)]
+        return list(zip(edges[::2], edges[1::2]))
+
+    lengths = {(1, 0): 1, (1, 100): 60, (2, 0): 7, (2, 50): 200}
+    rows = [(s, seg, i, float(seg == 50 and 20 < i < 150 or rng.random() < 0.6)) for (s, seg), n in lengths.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "s int, seg bigint, at bigint, v double")
+    whole = sorted(map(tuple, split_segments(df, ["s"], "seg", "at", "v", 10.0, runs).collect()))
+    for block in (1, 8, 60):
+        assert sorted(map(tuple, split_segments(df, ["s"], "seg", "at", "v", 10.0, runs, block, 1).collect())) == whole
+
+
+def test_pad_to_longest(spark):
+    rows = [(1, [1, 2, 3], ["a", "b", "c"], "x"), (1, [4], ["d"], "y"), (1, None, None, "z"), (2, [], [], "w"), (None, [5, 6], ["e", "f"], "v"), (None, [7], ["g"], "u")]
+    df = spark.createDataFrame(rows, "g int, ids array<int>, names array<string>, k string")
+    got = {r.k: (r.ids, r.names, r.length, r.mask) for r in pad_to_longest(df, ["g"], {"ids": -1, "names": "-"}).collect()}
+    assert got["x"] == ([1, 2, 3], ["a", "b", "c"], 3, [1, 1, 1]) and got["y"] == ([4, -1, -1], ["d", "-", "-"], 1, [1, 0, 0])
+    assert got["z"] == ([-1] * 3, ["-"] * 3, 0, [0, 0, 0]) and got["w"] == ([], [], 0, []) and got["u"] == ([7, -1], ["g", "-"], 1, [1, 0])
+
+
 def test_batch_plan(spark):
     files = spark.createDataFrame([("/a.wav", "a.wav", "a", b"1"), ("/b.wav", "b.wav", "b", b"2")], "path string, name string, stem string, content binary")
     manifest = spark.createDataFrame([], "md5 string, output_key string, source_name string, source_path string, chunks int, labs int, seq bigint")

@@ -166,3 +166,25 @@ def test_snapshot_after_a_restart(spark):
     assert whole == parts
     assert whole[0] == [("a", "running", 40, "cut", None, 3), ("b", "pending", 0, "idle", None, 1), ("c", "failed", 0, "idle", "boom", 2)]
     assert whole[1] == [("a", 1, "p40"), ("a", 2, "p30"), ("b", 0, "b0"), ("c", 2, ""), ("c", 3, "boom")]
+
+
+def test_live_segments(spark):
+    schema = "task_id string, ts timestamp, seq bigint, value double"
+    at = lambda k, s, v=1.0: (k, f"2024-01-01 00:{s // 60:02d}:{s % 60:02d}", s, v)
+    batches = [
+        [at("a", 0), at("a", 5), at("a", 9), at("b", 3)], [at("a", 30), at("a", 31), at("b", 40)],
+        # late, but not behind the watermark
+        [at("a", 34), at("a", 25), at("b", 41)], [at("z", 3000)], [at("z", 3001)],
+    ]
+
+    def live(s):
+        return state.live_segments(s, 10, 3, "20 seconds")
+
+    got = {(r.task_id, r.seq): (r.seg_id, r.row_in_seg) for r in run(spark, live, batches, schema) if r.task_id != "z"}
+    want = {}
+    for k in "ab":
+        seconds, last, seg, row = sorted({r[2] for b in batches for r in b if r[0] == k}), None, -1, 0
+        for s in seconds:
+            seg, row = (seg + 1, 0) if last is None or s - last >= 10 or row == 2 else (seg, row + 1)
+            want[k, s], last = (seg, row), s
+    assert got == want

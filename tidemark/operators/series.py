@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.fold import Fold, Settling
+from tidemark.functions.arrays import pad
 from tidemark.functions.grid import _c
-from tidemark.scan import ROWS_PER_BLOCK, Scan, block_limit, with_blocks
+from tidemark.scan import ROWS_PER_BLOCK, Scan, block_limit, null_safe_left, with_blocks
 
 
 def moving_upper_median(
@@ -184,3 +185,28 @@ def shared_cost(df: DataFrame, batch: Sequence[str], cost: str, rows_per_block:
 def geometric_confidence(x) -> Column:
     """Cube root of the geometric mean of probabilities."""
     return F.exp(F.avg(F.log(_c(x) + 1e-6)) / 3)
+
+
+def pad_to_longest(
+    df: DataFrame, group: Sequence[str], arrays: Mapping[str, object], length: str = "length", mask: str = "mask"
+) -> DataFrame:
+    """Arrays of the rows of each group padded on the right to the longest row of the group.
+
+    ``arrays`` names parallel array columns and what they are padded with.  Adds
+    the ``length`` before and a ``mask`` of 1 for real elements; a null array is
+    an empty one.  The longest length is one number per group, joined back, so
+    arrays are moved once at most.
+    """
+    first = next(iter(arrays))
+    sized = df.withColumn(length, F.coalesce(F.size(first), F.lit(0)))
+    sized = sized.withColumn(length, F.greatest(F.col(length), F.lit(0)))
+    longest = sized.groupBy(*group).agg(F.max(length).alias("_longest"))
+    rows = null_safe_left(sized, longest, group)
+    types = dict(df.dtypes)
+    none = {c: F.array().cast(types[c]) for c in arrays}
+    padded = {c: pad(F.coalesce(F.col(c), none[c]), F.col("_longest"), fill) for c, fill in arrays.items()}
+    places = F.when(F.col("_longest") > 0, F.sequence(F.lit(1), F.col("_longest"))).otherwise(F.array().cast("array<int>"))
+    return rows.select(
+        *[padded[c].cast(types[c]).alias(c) if c in arrays else F.col(c) for c in df.columns], length,
+        F.transform(places, lambda i: (i <= F.col(length)).cast("int")).alias(mask),
+    )

@@ -228,6 +228,62 @@ class _Snapshot(StatefulProcessor):
         pass
 
 
+class _OpenSegment(StatefulProcessor):
+    """Numbers segments of a live series: a new one on a gap, or after ``cap`` rows.
+
+    Rows wait until the watermark has passed them, so late ones still find their place; of what is behind it only the
+    last time and the open segment are kept.
+    """
+
+    def __init__(self, gap_us: int, cap: int):
+        self._gap, self._cap = gap_us, cap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._waiting = handle.getListState("waiting", "us bigint, seq bigint, value double")
+        self._open = handle.getValueState("open", "us bigint, segment bigint, row int")
+        self._due = handle.getValueState("due", "ms bigint")
+
+    def _wait(self, rows: list[tuple]) -> None:
+        """Wake up when the watermark passes the first waiting row."""
+        due = min(r[0] for r in rows) // 1000 + 1
+        if self._due.exists():
+            if self._due.get()[0] == due:
+                return
+            self._handle.deleteTimer(self._due.get()[0])
+        self._handle.registerTimer(due)
+        self._due.update((due,))
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = [(round(r.ts.timestamp() * 1_000_000), int(r.seq), float(r.value)) for r in _in_order(rows).itertuples()]
+        waiting = [tuple(r) for r in self._waiting.get()] + new
+        self._waiting.put(waiting)
+        self._wait(waiting)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(tuple(r) for r in self._waiting.get())
+        ready, later = [r for r in waiting if r[0] <= passed], [r for r in waiting if r[0] > passed]
+        self._due.clear()
+        self._waiting.put(later) if later else self._waiting.clear()
+        if later:
+            self._wait(later)
+        last, segment, row = self._open.get() if self._open.exists() else (None, -1, 0)
+        out = []
+        for us, seq, value in ready:
+            fresh = last is None or us - last >= self._gap or row + 1 >= self._cap
+            segment, row = (segment + 1, 0) if fresh else (segment, row + 1)
+            last = us
+            out.append((key[0], pd.Timestamp(us, unit="us"), seq, value, segment, row))
+        if out:
+            self._open.update((last, segment, row))
+            yield pd.DataFrame(out, columns=["task_id", "ts", "seq", "value", "seg_id", "row_in_seg"]).astype({"row_in_seg": "int32"})
+
+    def close(self) -> None:
+        pass
+
+
 def _apply(events: DataFrame, processor: StatefulProcessor, schema: str, mode: str, time_mode: str = "None") -> DataFrame:
     return events.groupBy("task_id").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode=time_mode
@@ -266,6 +322,15 @@ def hold_back(events: DataFrame, size: int, seconds: int | None = None, delay: s
     return _apply(events.withWatermark("ts", delay), _HoldBack(size, seconds), schema, "Append", "EventTime")
 
 
+def live_segments(events: DataFrame, gap_seconds: float, cap: int, delay: str = "0 seconds") -> DataFrame:
+    """Segments of live series ``(task_id, ts, seq, value)``, as ``gap_or_cap_segments`` numbers those of a table.
+
+    Adds ``seg_id`` and ``row_in_seg``; a row comes out once the watermark has passed it.
+    """
+    schema = "task_id string, ts timestamp, seq bigint, value double, seg_id bigint, row_in_seg int"
+    return _apply(events.withWatermark("ts", delay), _OpenSegment(round(gap_seconds * 1_000_000), cap), schema, "Append", "EventTime")
+
+
 SNAPSHOT_SCHEMA = "task_id string, ts timestamp, seq bigint, message string, part string, status string, progress int, stage string, error string, events bigint"
 
 
