@@ -215,6 +215,7 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
         raise ValueError("two sets have one name; give the names another seed")
     reps = reps.select(F.col("s1").alias("node"), "rep")
     sound = rows.where("key IS NOT NULL")
+    repeated = not nodes.where("key IS NOT NULL").groupBy("key").count().where("count > 1").isEmpty()
 
     # columns that may be very large are dealt to several tasks by node, and what each found is put together
     table = incidence(sound.select("text"), sketch, size)
@@ -232,7 +233,9 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     def sets(wanted: DataFrame) -> DataFrame:
         """Whole sets of some nodes."""
         texts = sound.join(wanted.distinct().join(reps, "node").select("node", F.col("rep").alias("key")), "key")
-        return written(whole_sets(texts, size).dropDuplicates(["node"]))
+        found = whole_sets(texts, size)
+        # only rows of one id can give a node twice
+        return written(found.dropDuplicates(["node"]) if repeated else found)
 
     # in large columns each node against a few leaders, again and again with other leaders for the nodes that are left
     large = written(shared.where(F.col("c") >= LARGE).select("gram", "node", "n"))
