@@ -140,6 +140,50 @@ def path(a: dict, b: dict, costs: Costs, most: int = BLOCK_SIDE * BLOCK_SIDE) ->
     return np.concatenate([lead if rows[0] else np.zeros(len(lead), np.int64), rows]), np.concatenate([lead if columns[0] else np.zeros(len(lead), np.int64), columns])
 
 
+def short_steps(left: list[np.ndarray], right: list[np.ndarray], cells: int = 1 << 18) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Steps of the whole paths of many short pairs of codes under ``EDITS``: number, left and right places, -1 for a gap.
+
+    Pairs of about one size are worked together, a row of all their tables at a time.
+    """
+    n, m = (np.array([len(x) for x in side], np.int64) for side in (left, right))
+    order = np.lexsort((m, n))
+    at = 0
+    while at < len(order):
+        few = order[at : at + max(1, cells // int((n[order[at]] + 1) * (m.max() + 1)))]
+        at += len(few)
+        high, wide, count = int(n[few].max()), int(m[few].max()), len(few)
+        a, b = np.full((high, count), -1, np.int64), np.full((count, wide), -1, np.int64)
+        for k, p in enumerate(few):
+            a[: n[p], k], b[k, : m[p]] = left[p], right[p]
+        run = np.arange(wide + 1)
+        row = np.broadcast_to(run, (count, wide + 1))
+        taken = np.empty((high, count, wide), np.uint8)
+        for i in range(high):
+            diagonal, above = row[:, :-1] + (b != a[i][:, None]), row[:, 1:] + 1
+            best = np.concatenate([np.full((count, 1), i + 1), np.minimum(diagonal, above)], axis=1)
+            row = np.minimum.accumulate(best - run, axis=1) + run
+            inner = row[:, 1:]
+            taken[i] = np.where(inner == diagonal, DIAGONAL, np.where(inner == above, UP, LEFT))
+        i, j, each = n[few], m[few], np.arange(count)
+        steps = []
+        while True:
+            open_ = (i > 0) | (j > 0)
+            if not open_.any():
+                break
+            step = np.where(j == 0, UP, LEFT)
+            inside = np.flatnonzero((i > 0) & (j > 0))
+            step[inside] = taken[i[inside] - 1, each[inside], j[inside] - 1]
+            down, across = open_ & (step != LEFT), open_ & (step != UP)
+            i, j = i - down, j - across
+            steps.append((open_, np.where(down, i, -1), np.where(across, j, -1)))
+        # a path's steps come last first, and those of a shorter one end sooner
+        lengths = sum((s[0] for s in steps), np.zeros(count, np.int64))
+        x, y = (np.array([s[side] for s in reversed(steps)]).reshape(len(steps), count).T for side in (1, 2))
+        for k, p in enumerate(few):
+            begin = len(steps) - int(lengths[k])
+            yield int(p), x[k, begin:], y[k, begin:]
+
+
 def codes(*lists: Sequence) -> list[np.ndarray]:
     """Numbers that are equal where the values are."""
     flat = pd.factorize(np.concatenate([np.asarray(x, dtype=object) for x in lists]), use_na_sentinel=False)[0] if any(map(len, lists)) else np.zeros(0, np.int64)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.arrays import difference_count
 from tidemark.functions.text import letter_tokens, tokens_for
 from tidemark.operators.lookup import keyed_join
-from tidemark.operators.match import best_windows, match_status, matched_tokens
+from tidemark.operators.match import aligned_tokens, best_windows, match_status, matched_tokens, passage_places
 from tidemark.session import stage
 
 
@@ -49,7 +49,19 @@ def match_pairs(pairs: DataFrame, keys: Sequence[str], threshold: int = 5, windo
     """
     best = stage(best_windows(pairs, keys, windows=windows))
     full = matched_tokens(best, pairs, keys).join(pairs.select(*keys, "input"), list(keys))
-    return full.withColumn("differences", difference_count("input", "matched")).withColumn(
+    return _judged(full, threshold)
+
+
+def match_corpus(passages: DataFrame, documents: DataFrame, passage: str, document: str, threshold: int = 5) -> DataFrame:
+    """As ``match_pairs``, for all pairs of a passage and a document that has a window on it; both hold ``tokens``."""
+    places = passage_places(passages, documents, passage, document)
+    rows = places.join(passages.select(passage, F.col("tokens").alias("input")), passage)
+    full = aligned_tokens(rows, [passage, document, "input"], "input", "window", "window")
+    return _judged(full, threshold)
+
+
+def _judged(matches: DataFrame, threshold: int) -> DataFrame:
+    return matches.withColumn("differences", difference_count("input", "matched")).withColumn(
         "status", match_status("matched", "input", threshold)
     )
 
