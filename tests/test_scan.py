@@ -50,3 +50,26 @@ def test_exact_median(spark):
     got = {r.k: r.m for r in exact_median(counts, ["k"], "v", "n", "m", rows_per_block=4).collect()}
     want = {k: statistics.median([v for kk, v in rows if kk == k]) for k in {r[0] for r in rows}}
     assert got == want
+
+
+def test_small_series_share_calls(spark):
+    from tidemark.chain import map_series
+    from tidemark.operators import segments as S
+
+    # series around the size of a batch, NULL keys and keys that a float would not hold
+    rows = [(None if k == 3 else (1 << 60) + k, i, float(i * k)) for k in range(40) for i in range(1 + 60 * (k % 7))]
+    df = spark.createDataFrame(rows, "k bigint, i bigint, v double").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        out = map_series(df, ["k"], "i", lambda pdf: pdf.tail(1).assign(n=len(pdf), total=pdf["v"].sum()), "k bigint, n bigint, total double")
+        got = sorted((r.k is None, r.k, r.n, r.total) for r in out.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for k, _, v in rows:
+        n, total = want.get(k, (0, 0.0))
+        want[k] = n + 1, total + v
+    assert got == sorted((k is None, k, *x) for k, x in want.items())
+    frames = df.filter("k is not null").select("k", F.col("i").alias("frame"), (F.col("v") + 1).alias("rms"), F.lit(400).alias("samples"))
+    cut = S.windowed_cuts(frames, ["k"], 4, 1, 2.0, 6.0, limit_db=-22.0)
+    assert "FlatMapGroups" not in cut._jdf.queryExecution().toString()

@@ -9,12 +9,15 @@ actual entry of each, and the blocks mark their rows independently.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tidemark.scan import BLOCK, null_safe_left
 from tidemark.session import stage
@@ -35,6 +38,51 @@ def call_bucket(run: str) -> Column:
     return F.floor(F.col(run) / RUNS_PER_CALL)
 
 
+def map_series(
+    df: DataFrame, series: Sequence[str], order: str, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str | StructType
+) -> DataFrame:
+    """``fn`` on the rows of each series, as grouped ``applyInPandas``, without a call of Spark's for every small series.
+
+    Series come sorted through the tasks and are cut where a new one begins; a task holds a batch and the largest series.
+    """
+    kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    target, names = to_arrow_schema(kind), df.columns
+    rows = df.withColumn("_row", F.row_number().over(Window.partitionBy(*series).orderBy(order)))
+
+    def work(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(parts)
+        at = [*np.flatnonzero(table["_row"].to_numpy() == 1).tolist(), len(table)]
+        table = table.select(names)
+        # with NULLs among them numbers and flags get other types, so such columns are turned series by series
+        mixed = any((pa.types.is_integer(f.type) or pa.types.is_boolean(f.type)) and table[f.name].null_count for f in table.schema if f.name != BLOCK)
+        whole = None if mixed else table.to_pandas()
+        found = []
+        for a, b in zip(at, at[1:]):
+            out = fn(table.slice(a, b - a).to_pandas() if mixed else whole.iloc[a:b])
+            if len(out):
+                found.append(pa.Table.from_pandas(out, target, preserve_index=False) if mixed else out)
+        if found:
+            both = pa.concat_tables(found) if mixed else pa.Table.from_pandas(pd.concat(found), target, preserve_index=False)
+            yield from both.to_batches(max_chunksize=10_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            starts = np.flatnonzero(batch.column("_row").to_numpy(zero_copy_only=False) == 1)
+            if len(starts):
+                last = int(starts[-1])
+                ready = [*held, batch.slice(0, last)]
+                if sum(map(len, ready)):
+                    yield from work(ready)
+                held = []
+                batch = batch.slice(last)
+            held.append(batch)
+        if sum(map(len, held)):
+            yield from work(held)
+
+    return rows.mapInArrow(run, kind)
+
+
 def _followers(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
     pdf = pdf.sort_values("_pos", kind="stable", ignore_index=True)
     at = pdf["_pos"].to_numpy()
@@ -123,4 +171,4 @@ def greedy_chain(
         nodes = null_safe_left(nodes, entries, groups).select(
             *df.columns, "_pos", "_jump", F.coalesce("_block_enter", "_enter").alias("_enter")
         )
-    return nodes.groupBy(*groups).applyInPandas(_mark, nodes.schema).select(*df.columns)
+    return map_series(nodes, groups, "_pos", _mark, nodes.schema).select(*df.columns)

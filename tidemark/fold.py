@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.chain import call_bucket
+from tidemark.chain import call_bucket, map_series
 from tidemark.scan import BLOCK, ROWS_PER_BLOCK, null_safe_left, with_blocks
 from tidemark.session import stage
 
@@ -217,14 +217,18 @@ class Fold:
             pdf[name] = np.asarray(out, float)
             return pdf.drop(columns="_entry") if blocked else pdf
 
-        call = [*keys[:-1], call_bucket(number)] if numbered else keys
+        call = [*keys[:-1], "_call"] if numbered else keys
+
+        def dealt(df: DataFrame) -> DataFrame:
+            return df.withColumn("_call", call_bucket(number)) if numbered else df
+
         if not blocked:
-            return df.groupBy(*call).applyInPandas(fold, f"{df.schema.simpleString()[7:-1]},`{name}`:double")
+            return map_series(dealt(df), call, order[0], fold, f"{df.schema.simpleString()[7:-1]},`{name}`:double")
         rows = stage(rows)
         entries = self._entries(rows.filter(F.col(BLOCK).isNotNull()).select(*dict.fromkeys([*keys, BLOCK, *order, fresh, *columns])))
         entered = null_safe_left(rows, entries, [*keys, BLOCK])
         own = F.when(F.col(BLOCK).isNotNull(), F.col(number))
-        folded = entered.groupBy(*call, own, BLOCK).applyInPandas(fold, f"{rows.schema.simpleString()[7:-1]},`{name}`:double")
+        folded = map_series(dealt(entered).withColumn("_own", own), [*call, "_own", BLOCK], order[0], fold, f"{rows.schema.simpleString()[7:-1]},`{name}`:double")
         return folded if BLOCK in df.columns else folded.drop(BLOCK)
 
     def _entries(self, large: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.chain import greedy_chain
+from tidemark.chain import greedy_chain, map_series
 from tidemark.functions.grid import _c
 from tidemark.scan import BLOCK, ROWS_PER_BLOCK, Scan, block_limit, salted_join, with_blocks
 
@@ -320,7 +320,7 @@ def windowed_cuts(
 
     types = dict(table.dtypes)
     shape = ", ".join(f"{c} {types[c]}" for c in [*keys, "frame", "samples"]) + ", _cut bigint"
-    nodes = table.groupBy(*keys, "_part").applyInPandas(follow, shape).withColumn("_zero", F.lit(0))
+    nodes = map_series(table, [*keys, "_part"], "frame", follow, shape).withColumn("_zero", F.lit(0))
     checked = with_blocks(frames.select(*keys, "frame"), keys, "frame", rows_per_block)
     nodes = with_blocks(nodes, keys, "frame", block_limit(checked, rows_per_block))
     chosen = greedy_chain(nodes, keys, "frame", "_cut", "_zero", span=float(ahead))
@@ -389,7 +389,7 @@ def merge_short(
         return out.assign(start=begin[heads], end=end[np.array([*heads[1:], len(end)]) - 1])[[*keys, "start", "end"]]
 
     shape = rows.select(*keys, "start", "end").schema
-    return rows.groupBy(*keys, "_run").applyInPandas(settle, shape)
+    return map_series(rows, [*keys, "_run"], "start", settle, shape)
 
 
 def length_statistics(segments: DataFrame, series: Sequence[str], rate: float) -> DataFrame:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.chain import call_bucket, run_slices
+from tidemark.chain import call_bucket, map_series, run_slices
 from tidemark.fold import Fold, Ride
 from tidemark.functions import grid as G
 from tidemark.operators.islands import gap_or_cap_segments, tied_phrases
@@ -230,7 +230,7 @@ def snap_phrases(
     shape = ", ".join(f"{c} {types[c]}" for c in [*keys, "seg_id", "_i"])
     shape += ", _s array<bigint>, _e array<bigint>, _costs array<double>"
     small = rows.select(*keys, "seg_id", "_i", "_on", "_off", (F.coalesce(F.col(label), F.lit("")) == "-").cast("int").alias("_tie"))
-    ways = stage(small.groupBy(*keys, call_bucket("seg_id")).applyInPandas(decode, shape))
+    ways = stage(map_series(small.withColumn("_call", call_bucket("seg_id")), [*keys, "_call"], "_i", decode, shape))
     heads = ways.groupBy(*keys, "seg_id").agg(F.first("_costs").alias("_costs"))
     heads = with_blocks(heads.withColumn("_n", F.col("seg_id") + 1), keys, "_n", block_limit(rows, rows_per_block))
 
@@ -407,7 +407,7 @@ def snap_prior(
 
     types = dict(small.dtypes)
     shape = ", ".join(f"{c} {types[c]}" for c in [*keys, "_i"]) + ", _start bigint, _end bigint"
-    placed = small.groupBy(*keys, call_bucket("seg_id")).applyInPandas(decode, shape)
+    placed = map_series(small.withColumn("_call", call_bucket("seg_id")), [*keys, "_call"], "_i", decode, shape)
     limit = block_limit(rows, rows_per_block)
     placed = placed if limit is None else stage(placed)
     fixed = repair_overlaps(placed, keys, "_i", "_start", "_end", step, limit)

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.chain import map_series
 from tidemark.scan import BLOCK
 from tidemark.session import stage
 
@@ -70,10 +71,10 @@ def cheapest_states(
         return pdf
 
     if BLOCK not in df.columns:
-        return df.groupBy(*keys).applyInPandas(solve, schema)
+        return map_series(df, keys, order, solve, schema)
 
     df = stage(df)
-    plain = df.filter(F.col(BLOCK).isNull()).groupBy(*keys).applyInPandas(solve, schema)
+    plain = map_series(df.filter(F.col(BLOCK).isNull()), keys, order, solve, schema)
     large = df.filter(F.col(BLOCK).isNotNull())
     groups = [*keys, BLOCK]
     types = dict(df.dtypes)
