@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.base import EVENTS, HOUR, query, table
@@ -15,6 +15,8 @@ from tidemark.sources.files import content_key
 from tidemark.streaming import ingest, state, windows
 
 SLICES = 4
+# rows of a file; a slice of a larger table is several files, written and read side by side
+ROWS_PER_FILE = 500_000
 # user of the rows that close a stream, and how long after the last event they come
 CLOSING, AFTER = -1, ("400 days", "401 days")
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -24,6 +26,8 @@ FEED = "event_id bigint, ts timestamp, user_id bigint, event_type string, value
 def _feed(spark: SparkSession, folder: str, stop_after: int | None = None) -> tuple[DataFrame, str]:
     """The events table as a stream of one batch per slice, and a shared folder for its checkpoint and result.
 
+    Every slice has the same number of files, as that many make a batch.
+
     Two late rows at the end move the watermark, so that all windows of the table are closed, and one row of type
     ``end`` per user tells that no more will come.  With ``stop_after`` the slices from that number on wait aside until
     ``_resume``.
@@ -33,36 +37,51 @@ def _feed(spark: SparkSession, folder: str, stop_after: int | None = None) -> tu
     rows = table(spark, folder, "events").withColumn("ts", ts)
     # written slice by slice, as a file stream reads files in the order they were written
     us = F.unix_micros("ts")
-    low, high = rows.agg(F.min(us), F.max(us)).first()
+    low, high, count = rows.agg(F.min(us), F.max(us), F.count(F.lit(1))).first()
+    files = max(1, -(-count // (SLICES * ROWS_PER_FILE)))
     place = F.least(F.lit(SLICES - 1), F.floor((us - low) * SLICES / (high - low + 1)))
     names = rows.columns
 
     def slice_of(k: int) -> str:
         return f"{base}/{'feed' if stop_after is None or k < stop_after else 'later'}/slice={k}"
 
+    def closing(at: Column) -> DataFrame:
+        """A row for each file of a slice, of the user whose rows close the stream."""
+        one = spark.range(files).select(F.col("id").cast("int").alias("_file"), at.alias("ts"), F.lit(CLOSING).cast("bigint").alias("user_id"), F.lit(-1).cast("bigint").alias("event_id"), F.lit("close").alias("event_type"), F.lit(0.0).alias("value"), F.lit("").alias("props"))
+        return one.select(*names, "_file")
+
+    def put(k: int, part: DataFrame) -> None:
+        if files == 1:
+            part.select(*names).coalesce(1).write.parquet(slice_of(k))
+            return
+        # a file without rows would not be written, so each has a row that closes
+        dealt = part.select(*names, F.pmod(F.xxhash64("user_id", "event_id"), F.lit(files)).cast("int").alias("_file"))
+        dealt.unionByName(closing(start)).repartitionById(files, "_file").select(*names).write.parquet(slice_of(k))
+
+    start = F.timestamp_micros(F.lit(low))
     for k in range(SLICES):
-        rows.filter(place == k).coalesce(1).write.parquet(slice_of(k))
+        put(k, rows.filter(place == k))
     ends = rows.groupBy("user_id").agg(F.max("ts").alias("ts")).withColumns({"event_id": F.lit(-1).cast("bigint"), "event_type": F.lit("end"), "value": F.lit(0.0), "props": F.lit("")})
-    ends.select(*names).coalesce(1).write.parquet(slice_of(SLICES))
-    last = spark.range(1).select(F.timestamp_micros(F.lit(high)).alias("ts"))
+    put(SLICES, ends)
     for k, after in enumerate(AFTER):
-        late = last.select((F.col("ts") + F.expr(f"interval {after}")).alias("ts"), F.lit(CLOSING).cast("bigint").alias("user_id"), F.lit(-1).cast("bigint").alias("event_id"), F.lit("close").alias("event_type"), F.lit(0.0).alias("value"), F.lit("").alias("props"))
-        late.select(*names).coalesce(1).write.parquet(slice_of(SLICES + 1 + k))
-    return _stream(spark, base), base
+        late = closing(F.timestamp_micros(F.lit(high)) + F.expr(f"interval {after}"))
+        late.repartitionById(files, "_file").select(*names).write.parquet(slice_of(SLICES + 1 + k))
+    return _stream(spark, base, files), base
 
 
-def _stream(spark: SparkSession, base: str) -> DataFrame:
-    return spark.readStream.schema(FEED).option("maxFilesPerTrigger", 1).parquet(f"{base}/feed/slice=*")
+def _stream(spark: SparkSession, base: str, files: int) -> DataFrame:
+    return spark.readStream.schema(FEED).option("maxFilesPerTrigger", files).parquet(f"{base}/feed/slice=*")
 
 
 def _resume(spark: SparkSession, base: str) -> DataFrame:
     """The stream once more, with the slices that waited."""
     path = spark._jvm.org.apache.hadoop.fs.Path
-    files = path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    store = path(base).getFileSystem(spark._jsc.hadoopConfiguration())
     for k in range(SLICES + 1 + len(AFTER)):
-        if files.exists(path(f"{base}/later/slice={k}")):
-            files.rename(path(f"{base}/later/slice={k}"), path(f"{base}/feed/slice={k}"))
-    return _stream(spark, base)
+        if store.exists(path(f"{base}/later/slice={k}")):
+            store.rename(path(f"{base}/later/slice={k}"), path(f"{base}/feed/slice={k}"))
+    files = len(spark.read.parquet(f"{base}/feed/slice=0").inputFiles())
+    return _stream(spark, base, files)
 
 
 def _events_only(stream: DataFrame) -> DataFrame:

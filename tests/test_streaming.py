@@ -188,3 +188,29 @@ def test_live_segments(spark):
             seg, row = (seg + 1, 0) if last is None or s - last >= 10 or row == 2 else (seg, row + 1)
             want[k, s], last = (seg, row), s
     assert got == want
+
+
+def test_silence_within_a_batch(spark):
+    batches = [[ev("a", 0, "log"), ev("a", 300, "log")], [ev("b", 900, "log")], [ev("b", 901, "log")]]
+
+    def silent(s):
+        return state.silence_timeouts(s, 100)
+
+    # whether two rows come in one batch or in two, the silence between them is reported
+    assert sorted(r.last.minute * 60 + r.last.second for r in run(spark, silent, batches) if r.task_id == "a") == [0, 300]
+
+
+def test_slices_of_several_files(spark, monkeypatch):
+    from catalog import QUERIES, streams
+
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setattr(streams, "ROWS_PER_FILE", 60)
+    stream, base = streams._feed(spark, folder)
+    sizes = {k: len(spark.read.parquet(f"{base}/feed/slice={k}").inputFiles()) for k in range(streams.SLICES + 1 + len(streams.AFTER))}
+    rows = spark.read.parquet(f"{folder}/events.parquet").count()
+    assert set(sizes.values()) == {-(-rows // (streams.SLICES * 60))} and sizes[0] > 1
+    fed = spark.read.schema(streams.FEED).parquet(f"{base}/feed/slice=*").filter(f"user_id != {streams.CLOSING}")
+    assert fed.filter("event_type != 'end'").count() == rows
+    got = {tuple(r) for r in QUERIES["stream_snapshot"](spark, folder).collect()}
+    monkeypatch.undo()
+    assert got == {tuple(r) for r in QUERIES["stream_snapshot"](spark, folder).collect()}

@@ -1,14 +1,14 @@
 """Keyed state: job lifecycle, progress, backlog, time-outs and hold-back.
 
-State per key is bounded: one record, or a list of fixed length.
+State per key is bounded: one record, or a list of fixed length.  All that is kept of a key is one value, lists as its
+arrays, so a key costs one read and one write a batch.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -19,9 +19,13 @@ LIFECYCLE_SCHEMA = "task_id string, status string, progress int, stage string, e
 PENDING, RUNNING, COMPLETED, FAILED, CANCELLED = "pending", "running", "completed", "failed", "cancelled"
 
 
-def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    frames = list(rows)
-    return pd.concat(frames, ignore_index=True).sort_values(["ts", "seq"], kind="stable", ignore_index=True)
+# Last rows of a key, as they are kept: one array a column.
+HELD = "us array<bigint>, seq array<bigint>, message array<string>"
+
+
+def _in_order(rows: Iterator[Row]) -> list[Row]:
+    """Rows ``(task_id, us, seq, ...)`` by time; one without a time comes last."""
+    return sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[2]))
 
 
 def next_status(status: str, stopping: bool, kind: str) -> tuple[str, bool]:
@@ -42,27 +46,28 @@ def next_status(status: str, stopping: bool, kind: str) -> tuple[str, bool]:
 class _Lifecycle(StatefulProcessor):
     """Follows ``create, start, stop, progress, done, error, interrupt`` events of a job."""
 
+    COLUMNS = ("kind", "progress", "stage", "message")
+    _row = Row("task_id", "status", "progress", "stage", "error", "us")
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._state = handle.getValueState("job", "status string, stopping boolean, progress int, stage string, error string")
 
     def handleInputRows(self, key, rows, timerValues):
-        known = self._state.get() if self._state.exists() else (PENDING, False, 0, "idle", None)
-        status, stopping, progress, stage, error = known
+        status, stopping, progress, stage, error = self._state.get() or (PENDING, False, 0, "idle", None)
         out = []
-        for r in _in_order(rows).itertuples():
+        for _, us, _, kind, new_progress, new_stage, message, *_ in _in_order(rows):
             before = (status, progress, stage)
-            if r.kind == "progress" and status == RUNNING:
-                progress, stage = int(r.progress), r.stage
-            status, stopping = next_status(status, stopping, r.kind)
+            if kind == "progress" and status == RUNNING:
+                progress, stage = int(new_progress), new_stage
+            status, stopping = next_status(status, stopping, kind)
             if status == COMPLETED and before[0] == RUNNING:
                 progress, stage = 100, "done"
             if status == FAILED and before[0] == RUNNING:
-                error = r.message
-            if (status, progress, stage) != before or r.kind == "create":
-                out.append((key[0], status, progress, stage, error, r.ts))
+                error = message
+            if (status, progress, stage) != before or kind == "create":
+                out.append(self._row(key[0], status, progress, stage, error, us))
         self._state.update((status, stopping, progress, stage, error))
-        if out:
-            yield pd.DataFrame(out, columns=["task_id", "status", "progress", "stage", "error", "ts"])
+        return iter(out)
 
     def close(self) -> None:
         pass
@@ -71,16 +76,21 @@ class _Lifecycle(StatefulProcessor):
 class _Progress(StatefulProcessor):
     """Largest progress so far, at most 99 until the job is done."""
 
+    COLUMNS = ("kind", "progress")
+    _row = Row("task_id", "progress")
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._best = handle.getValueState("best", "progress int")
 
     def handleInputRows(self, key, rows, timerValues):
-        best = self._best.get()[0] if self._best.exists() else 0
-        top = max(int(frame["progress"].max()) for frame in rows)
-        done = any((frame["kind"] == "complete").any() for frame in rows if "kind" in frame)
-        best = max(best, 100 if done else min(99, top))
+        known = self._best.get()
+        best, done = known[0] if known else 0, False
+        for _, _, _, kind, progress, *_ in rows:
+            done = done or kind == "complete"
+            best = max(best, min(99, best if progress is None else int(progress)))
+        best = 100 if done else best
         self._best.update((best,))
-        yield pd.DataFrame({"task_id": [key[0]], "progress": [best]})
+        yield self._row(key[0], best)
 
     def close(self) -> None:
         pass
@@ -89,52 +99,32 @@ class _Progress(StatefulProcessor):
 class _Backlog(StatefulProcessor):
     """The last events of a key, replayed whenever new ones arrive."""
 
+    COLUMNS = ("message",)
+    _row = Row("task_id", "us", "seq", "message")
+
     def __init__(self, size: int):
         self._size = size
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._rows = handle.getListState("rows", "ts timestamp, seq bigint, message string")
+        self._rows = handle.getValueState("rows", HELD)
 
     def handleInputRows(self, key, rows, timerValues):
-        kept = [tuple(r) for r in self._rows.get()]
-        kept += [(r.ts, int(r.seq), r.message) for r in _in_order(rows).itertuples()]
+        kept = _held(self._rows.get()) + [(r[1], r[2], r[3]) for r in _in_order(rows)]
         kept = sorted(kept, key=lambda r: (r[0], r[1]))[-self._size :]
-        self._rows.put(kept)
-        out = pd.DataFrame(kept, columns=["ts", "seq", "message"])
-        out.insert(0, "task_id", key[0])
-        yield out
+        self._rows.update(_arrays(kept))
+        yield self._row(key[0], *_arrays(kept))
 
     def close(self) -> None:
         pass
 
 
-class _Timeout(StatefulProcessor):
-    """Reports a key that stays silent for too long in event time."""
-
-    def __init__(self, seconds: int):
-        self._ms = seconds * 1000
+def _held(known: tuple | None) -> list[tuple]:
+    """The rows of a value whose first parts are the arrays of ``HELD``."""
+    return list(zip(*known[:3])) if known else []
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._last = handle.getValueState("last", "us bigint")
-
-    def handleInputRows(self, key, rows, timerValues):
-        newest = max(round(frame["ts"].max().timestamp() * 1_000_000) for frame in rows)
-        if self._last.exists():
-            before = self._last.get()[0]
-            newest = max(newest, before)
-            self._handle.deleteTimer(before // 1000 + self._ms)
-        self._last.update((newest,))
-        self._handle.registerTimer(newest // 1000 + self._ms)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        last = self._last.get()[0]
-        self._last.clear()
-        yield pd.DataFrame({"task_id": [key[0]], "last": [pd.Timestamp(last, unit="us")], "status": ["timed_out"]})
 
-    def close(self) -> None:
-        pass
+def _arrays(rows: Sequence[tuple], columns: int = 3) -> tuple[list, ...]:
+    return tuple([list(c) for c in zip(*rows)] or [[] for _ in range(columns)])
 
 
 class _HoldBack(StatefulProcessor):
@@ -143,50 +133,46 @@ class _HoldBack(StatefulProcessor):
     With ``seconds`` a key that stays silent that long in event time releases what it holds as well.
     """
 
+    COLUMNS = ("message", "kind")
+    _row = Row("task_id", "us", "seq", "message")
+
     def __init__(self, size: int, seconds: int | None = None):
         self._size, self._ms = size, None if seconds is None else seconds * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._rows = handle.getListState("rows", "ts timestamp, seq bigint, message string")
-        if self._ms is not None:
-            self._due = handle.getValueState("due", "ms bigint")
-
-    def _wait(self, held: list[tuple]) -> None:
-        """Have the timer follow the newest row that is held."""
-        if self._due.exists():
-            self._handle.deleteTimer(self._due.get()[0])
-            self._due.clear()
-        if held:
-            due = int(max(r[0] for r in held).timestamp() * 1000) + self._ms
-            self._handle.registerTimer(due)
-            self._due.update((due,))
+        self._rows = handle.getValueState("rows", f"{HELD}, timer bigint")
+
+    def _keep(self, held: list[tuple], timer: int | None) -> None:
+        """Store what is held; one timer is set while there is any, no later than the newest row is due."""
+        if held and self._ms is not None and timer is None:
+            timer = self._due(held)
+            self._handle.registerTimer(timer)
+        if held or timer is not None:
+            self._rows.update((*_arrays(held), timer))
+        else:
+            self._rows.clear()
+
+    def _due(self, held: list[tuple]) -> int:
+        return max(r[0] for r in held) // 1000 + self._ms
 
     def handleInputRows(self, key, rows, timerValues):
-        held = [tuple(r) for r in self._rows.get()]
-        new = _in_order(rows)
-        ends = "kind" in new and bool((new["kind"] == "end").any())
-        held += [(r.ts, int(r.seq), r.message) for r in new.itertuples() if getattr(r, "kind", None) != "end"]
+        known = self._rows.get()
+        held, new = _held(known), _in_order(rows)
+        ends = any(r[4] == "end" for r in new)
+        held += [(r[1], r[2], r[3]) for r in new if r[4] != "end"]
         ready, held = (held[: -self._size], held[-self._size :]) if self._size and not ends else (held, [])
-        # a list in state is never empty
-        self._rows.put(held) if held else self._rows.clear()
-        if self._ms is not None:
-            self._wait(held)
+        self._keep(held, known[3] if known else None)
         if ready:
-            yield self._out(key, ready)
+            yield self._row(key[0], *_arrays(ready))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        held = [tuple(r) for r in self._rows.get()]
-        self._rows.clear()
-        self._due.clear()
-        if held:
-            yield self._out(key, held)
-
-    @staticmethod
-    def _out(key, rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["ts", "seq", "message"])
-        out.insert(0, "task_id", key[0])
-        return out
+        held = _held(self._rows.get())
+        # newer rows have come since the timer was set: it follows them now
+        ready, held = ([], held) if held and self._due(held) > timerValues.getCurrentWatermarkInMs() else (held, [])
+        self._keep(held, None)
+        if ready:
+            yield self._row(key[0], *_arrays(ready))
 
     def close(self) -> None:
         pass
@@ -195,34 +181,32 @@ class _HoldBack(StatefulProcessor):
 class _Snapshot(StatefulProcessor):
     """What a new reader of a job needs: its status and its last rows, for every job with new events."""
 
+    COLUMNS = ("kind", "progress", "stage", "message")
+    _row = Row("task_id", "us", "seq", "message", "status", "progress", "stage", "error", "events")
+
     def __init__(self, size: int):
         self._size = size
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._rows = handle.getListState("rows", "ts timestamp, seq bigint, message string")
-        self._status = handle.getValueState("status", "status string, stopping boolean, progress int, stage string, error string, events bigint")
+        self._job = handle.getValueState("job", f"{HELD}, status string, stopping boolean, progress int, stage string, error string, events bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        status, stopping, progress, stage, error, events = self._status.get() if self._status.exists() else (PENDING, False, 0, "idle", None, 0)
-        new = _in_order(rows)
-        for r in new.itertuples():
+        known = self._job.get()
+        status, stopping, progress, stage, error, events = known[3:] if known else (PENDING, False, 0, "idle", None, 0)
+        kept = _held(known)
+        for _, us, seq, kind, new_progress, new_stage, message, *_ in _in_order(rows):
             before, events = status, events + 1
-            if r.kind == "progress" and status == RUNNING:
-                progress, stage = max(progress, min(99, int(r.progress))), r.stage
-            status, stopping = next_status(status, stopping, r.kind)
+            if kind == "progress" and status == RUNNING:
+                progress, stage = max(progress, min(99, int(new_progress))), new_stage
+            status, stopping = next_status(status, stopping, kind)
             if before == RUNNING and status == COMPLETED:
                 progress, stage = 100, "done"
             if before == RUNNING and status == FAILED:
-                error = r.message
-        self._status.update((status, stopping, progress, stage, error, events))
-        kept = [tuple(r) for r in self._rows.get()] + [(r.ts, int(r.seq), r.message) for r in new.itertuples()]
+                error = message
+            kept.append((us, seq, message))
         kept = sorted(kept, key=lambda r: (r[0], r[1]))[-self._size :]
-        self._rows.put(kept)
-        out = pd.DataFrame(kept, columns=["ts", "seq", "message"]).assign(part="row", status=None, progress=None, stage=None, error=None, events=None)
-        last = pd.DataFrame([(*kept[-1][:2], None, "status", status, progress, stage, error, events)], columns=["ts", "seq", "message", "part", "status", "progress", "stage", "error", "events"])
-        both = pd.concat([out.astype(object), last.astype(object)], ignore_index=True)
-        both.insert(0, "task_id", key[0])
-        yield both.astype({"ts": "datetime64[ns]", "seq": "int64", "progress": "Int32", "events": "Int64"})
+        self._job.update((*_arrays(kept), status, stopping, progress, stage, error, events))
+        yield self._row(key[0], *_arrays(kept), status, progress, stage, error, events)
 
     def close(self) -> None:
         pass
@@ -235,64 +219,80 @@ class _OpenSegment(StatefulProcessor):
     last time and the open segment are kept.
     """
 
+    COLUMNS = ("value",)
+    _row = Row("task_id", "us", "seq", "value", "seg_id", "row_in_seg")
+
     def __init__(self, gap_us: int, cap: int):
         self._gap, self._cap = gap_us, cap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._waiting = handle.getListState("waiting", "us bigint, seq bigint, value double")
-        self._open = handle.getValueState("open", "us bigint, segment bigint, row int")
-        self._due = handle.getValueState("due", "ms bigint")
+        self._series = handle.getValueState(
+            "series", "us array<bigint>, seq array<bigint>, value array<double>, timer bigint, last bigint, segment bigint, row int"
+        )
 
-    def _wait(self, rows: list[tuple]) -> None:
+    def _timer(self, waiting: list[tuple], timer: int | None) -> int | None:
         """Wake up when the watermark passes the first waiting row."""
-        due = min(r[0] for r in rows) // 1000 + 1
-        if self._due.exists():
-            if self._due.get()[0] == due:
-                return
-            self._handle.deleteTimer(self._due.get()[0])
-        self._handle.registerTimer(due)
-        self._due.update((due,))
+        due = min(r[0] for r in waiting) // 1000 + 1 if waiting else None
+        if due != timer:
+            if timer is not None:
+                self._handle.deleteTimer(timer)
+            if due is not None:
+                self._handle.registerTimer(due)
+        return due
 
     def handleInputRows(self, key, rows, timerValues):
-        new = [(round(r.ts.timestamp() * 1_000_000), int(r.seq), float(r.value)) for r in _in_order(rows).itertuples()]
-        waiting = [tuple(r) for r in self._waiting.get()] + new
-        self._waiting.put(waiting)
-        self._wait(waiting)
+        known = self._series.get()
+        waiting = _held(known) + [(r[1], r[2], float(r[3])) for r in rows]
+        timer, opened = (known[3], known[4:]) if known else (None, (None, -1, 0))
+        self._series.update((*_arrays(waiting), self._timer(waiting, timer), *opened))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(tuple(r) for r in self._waiting.get())
+        known = self._series.get()
+        waiting = sorted(_held(known))
         ready, later = [r for r in waiting if r[0] <= passed], [r for r in waiting if r[0] > passed]
-        self._due.clear()
-        self._waiting.put(later) if later else self._waiting.clear()
-        if later:
-            self._wait(later)
-        last, segment, row = self._open.get() if self._open.exists() else (None, -1, 0)
+        last, segment, row = known[4:]
         out = []
         for us, seq, value in ready:
             fresh = last is None or us - last >= self._gap or row + 1 >= self._cap
             segment, row = (segment + 1, 0) if fresh else (segment, row + 1)
             last = us
-            out.append((key[0], pd.Timestamp(us, unit="us"), seq, value, segment, row))
+            out.append((us, seq, value, segment, row))
+        # the timer that woke this up is spent
+        self._series.update((*_arrays(later), self._timer(later, None), last, segment, row))
         if out:
-            self._open.update((last, segment, row))
-            yield pd.DataFrame(out, columns=["task_id", "ts", "seq", "value", "seg_id", "row_in_seg"]).astype({"row_in_seg": "int32"})
+            yield self._row(key[0], *_arrays(out, 5))
 
     def close(self) -> None:
         pass
 
 
-def _apply(events: DataFrame, processor: StatefulProcessor, schema: str, mode: str, time_mode: str = "None") -> DataFrame:
-    return events.groupBy("task_id").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode=time_mode
+def _apply(events: DataFrame, processor: StatefulProcessor, schema: str, mode: str, delay: str | None = None) -> DataFrame:
+    """Run ``processor`` on rows ``(task_id, us, seq, its COLUMNS)``; times go in and out as microseconds.
+
+    The rows of a key may come out as one row of arrays, which ``_unpacked`` takes apart.  With ``delay`` there are timers in event time.
+    """
+    wanted = [F.col(c) if c in events.columns else F.lit(None).cast("string").alias(c) for c in processor.COLUMNS]
+    rows = events if delay is None else events.withWatermark("ts", delay)
+    # the operator finds the watermark by its column
+    rows = rows.select("task_id", F.unix_micros("ts").alias("us"), "seq", *wanted, *([] if delay is None else ["ts"]))
+    return rows.groupBy("task_id").transformWithState(
+        statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode="None" if delay is None else "EventTime"
     )
 
 
+def _unpacked(rows: DataFrame, *columns: str) -> DataFrame:
+    """A row for each place of the arrays ``us`` and ``columns``."""
+    out = rows.select("task_id", F.inline(F.arrays_zip("us", *columns)))
+    return out.select("task_id", F.timestamp_micros("us").alias("ts"), *columns)
+
+
 def job_lifecycle(events: DataFrame) -> DataFrame:
     """State changes of jobs from ``(task_id, ts, seq, kind, progress, stage, message)``."""
-    return _apply(events, _Lifecycle(), LIFECYCLE_SCHEMA, "Append")
+    out = _apply(events, _Lifecycle(), LIFECYCLE_SCHEMA.replace("ts timestamp", "us bigint"), "Append")
+    return out.select("task_id", "status", "progress", "stage", "error", F.timestamp_micros("us").alias("ts"))
 
 
 def monotone_progress(events: DataFrame) -> DataFrame:
@@ -302,13 +302,13 @@ def monotone_progress(events: DataFrame) -> DataFrame:
 
 def backlog(events: DataFrame, size: int = BACKLOG) -> DataFrame:
     """The last ``size`` events of each key that got new ones."""
-    return _apply(events, _Backlog(size), "task_id string, ts timestamp, seq bigint, message string", "Update")
+    return _unpacked(_apply(events, _Backlog(size), f"task_id string, {HELD}", "Update"), "seq", "message")
 
 
 def silence_timeouts(events: DataFrame, seconds: int = TIMEOUT_SECONDS, delay: str = "0 seconds") -> DataFrame:
-    """A row for every key without events for ``seconds`` of event time."""
-    marked = events.withWatermark("ts", delay)
-    return _apply(marked, _Timeout(seconds), "task_id string, last timestamp, status string", "Append", "EventTime")
+    """A row for every time a key is without events for ``seconds`` of event time: a session that has ended."""
+    sessions = events.withWatermark("ts", delay).groupBy("task_id", F.session_window("ts", f"{seconds} seconds"))
+    return sessions.agg(F.max("ts").alias("last")).select("task_id", "last", F.lit("timed_out").alias("status"))
 
 
 def hold_back(events: DataFrame, size: int, seconds: int | None = None, delay: str = "0 seconds") -> DataFrame:
@@ -316,10 +316,8 @@ def hold_back(events: DataFrame, size: int, seconds: int | None = None, delay: s
 
     ``seconds`` of silence of a key in event time release it too; without it no timer is set.
     """
-    schema = "task_id string, ts timestamp, seq bigint, message string"
-    if seconds is None:
-        return _apply(events, _HoldBack(size), schema, "Append")
-    return _apply(events.withWatermark("ts", delay), _HoldBack(size, seconds), schema, "Append", "EventTime")
+    out = _apply(events, _HoldBack(size, seconds), f"task_id string, {HELD}", "Append", None if seconds is None else delay)
+    return _unpacked(out, "seq", "message")
 
 
 def live_segments(events: DataFrame, gap_seconds: float, cap: int, delay: str = "0 seconds") -> DataFrame:
@@ -327,8 +325,9 @@ def live_segments(events: DataFrame, gap_seconds: float, cap: int, delay: str =
 
     Adds ``seg_id`` and ``row_in_seg``; a row comes out once the watermark has passed it.
     """
-    schema = "task_id string, ts timestamp, seq bigint, value double, seg_id bigint, row_in_seg int"
-    return _apply(events.withWatermark("ts", delay), _OpenSegment(round(gap_seconds * 1_000_000), cap), schema, "Append", "EventTime")
+    schema = "task_id string, us array<bigint>, seq array<bigint>, value array<double>, seg_id array<bigint>, row_in_seg array<int>"
+    out = _apply(events, _OpenSegment(round(gap_seconds * 1_000_000), cap), schema, "Append", delay)
+    return _unpacked(out, "seq", "value", "seg_id", "row_in_seg")
 
 
 SNAPSHOT_SCHEMA = "task_id string, ts timestamp, seq bigint, message string, part string, status string, progress int, stage string, error string, events bigint"
@@ -336,7 +335,16 @@ SNAPSHOT_SCHEMA = "task_id string, ts timestamp, seq bigint, message string, par
 
 def snapshots(events: DataFrame, size: int = BACKLOG) -> DataFrame:
     """Status and last ``size`` rows of each job that got new events, as rows of two kinds (``part``)."""
-    return _apply(events, _Snapshot(size), SNAPSHOT_SCHEMA, "Update")
+    job = {"status": "string", "progress": "int", "stage": "string", "error": "string", "events": "bigint"}
+    jobs = _apply(events, _Snapshot(size), f"task_id string, {HELD}, " + ", ".join(f"{c} {t}" for c, t in job.items()), "Update")
+
+    def line(us: Column, seq: Column, message: Column, part: str, of: list[Column]) -> Column:
+        return F.struct(F.timestamp_micros(us).alias("ts"), seq.alias("seq"), message.alias("message"), F.lit(part).alias("part"), *of)
+
+    empty = [F.lit(None).cast(t).alias(c) for c, t in job.items()]
+    rows = F.transform(F.arrays_zip("us", "seq", "message"), lambda r: line(r["us"], r["seq"], r["message"], "row", empty))
+    status = line(F.element_at("us", -1), F.element_at("seq", -1), F.lit(None).cast("string"), "status", [F.col(c) for c in job])
+    return jobs.select("task_id", F.inline(F.concat(rows, F.array(status))))
 
 
 def publish_snapshots(events: DataFrame, folder: str, checkpoint: str, size: int = BACKLOG) -> StreamingQuery:
