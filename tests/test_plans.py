@@ -139,3 +139,14 @@ def test_batch_plan(spark):
     assert [r.stem for r in again.collect()] == ["b"]
     got = {r.measure: r.n for r in run_summary(files, again, results).collect()}
     assert got == {"files": 2, "skipped": 1, "failed": 1, "chunks": 4, "labs": 2}
+
+
+def test_places_come_with_their_tokens(spark):
+    from tidemark.operators.match import best_windows
+
+    rows = [(1, list("bcd"), list("abcde")), (2, list("xyz"), list("abcde")), (3, list("bcx"), list("aabcda")), (4, list("ab"), None)]
+    pairs = spark.createDataFrame(rows, "k int, input array<string>, reference array<string>")
+    got = {r.k: r for r in best_windows(pairs, ["k"], cut=True).collect()}
+    assert got[1].window == list("bcd") and got[1].exact and got[2].window == [] and got[4].window == []
+    for k, heard, reference in rows:
+        assert got[k].input == heard and got[k].window == ((reference or [])[got[k].start : got[k].end] if got[k].start >= 0 else [])

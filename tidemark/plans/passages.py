@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.arrays import difference_count
-from tidemark.functions.text import letter_tokens, tokens_for
+from tidemark.functions.text import group_key, letter_tokens, tokens_for
 from tidemark.operators.lookup import keyed_join
 from tidemark.operators.match import aligned_tokens, best_windows, match_status, matched_tokens, passage_places
 from tidemark.session import stage
@@ -73,12 +73,15 @@ def match_by_name(
 
     Returns the matches per input and the keys without a reference.
     """
-    refs = prepare_corpus(references, "text", language).select(
-        "song", F.col("tokens").alias("reference"), F.col("text_tokens").alias("text")
-    )
     heard = prepare_corpus(inputs, "text", language).select("name", F.col("tokens").alias("input"))
-    pairs, missing = keyed_join(heard.filter(F.size("input") > 0), refs, "name", "song")
-    return match_pairs(pairs, ["name"], threshold), missing
+    heard = heard.filter(F.size("input") > 0)
+    # texts nobody asks for are not cut into tokens
+    wanted = heard.select(group_key("name").alias("song"))
+    refs = prepare_corpus(references.join(wanted, "song", "left_semi"), "text", language).select("song", F.col("tokens").alias("reference"))
+    pairs, missing = keyed_join(heard, refs, "name", "song")
+    # a place comes with its tokens, so that the references are read once
+    best = best_windows(pairs, ["name"], cut=True)
+    return _judged(aligned_tokens(best, ["name", "input"], "input", "window", "window"), threshold), missing
 
 
 def match_summary(matches: DataFrame) -> DataFrame:
