@@ -150,3 +150,14 @@ def test_places_come_with_their_tokens(spark):
     assert got[1].window == list("bcd") and got[1].exact and got[2].window == [] and got[4].window == []
     for k, heard, reference in rows:
         assert got[k].input == heard and got[k].window == ((reference or [])[got[k].start : got[k].end] if got[k].start >= 0 else [])
+
+
+def test_scores_without_the_text(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None), (3, "c")], "i int, t string").coalesce(1)
+
+    def words(batch):
+        return [None if t is None else len(t.split()) for t in batch]
+
+    out = batched_scores(df, "t", words, "int", 2, keep=["i"])
+    assert out.columns == ["i", "score", "error"]
+    assert [tuple(r) for r in out.orderBy("i").collect()] == [(1, 2, None), (2, None, None), (3, 1, None)]

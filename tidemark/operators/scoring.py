@@ -5,27 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from tidemark.scan import Scan, null_safe_left, with_blocks
 from tidemark.session import stage
 
 
 def batched_scores(
-    df: DataFrame, column: str, scorer: Callable[[list], list], result_type: str, batch_size: int = 16, name: str = "score"
+    df: DataFrame, column: str, scorer: Callable[[list], list], result_type: str, batch_size: int = 16, name: str = "score",
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Score a column in batches of ``batch_size``; a failed batch gives NULLs and its error.
 
-    Rows keep their order; ``scorer`` is pickled once per task.
+    Rows keep their order; ``scorer`` is pickled once per task.  Of the columns those of ``keep`` come back, all without
+    it.  Only the values of one batch are Python objects at a time.
     """
-    schema = df.schema.simpleString()[7:-1] + f",{name}:{result_type},error:string"
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            scores, errors = [], []
-            for at in range(0, len(frame), batch_size):
-                part = frame[column].iloc[at : at + batch_size].tolist()
+    kept = df.columns if keep is None else list(keep)
+    kind = to_arrow_type(StructType.fromDDL(f"score {result_type}")[0].dataType)
+    schema = StructType([df.schema[c] for c in kept]).add(name, StructType.fromDDL(f"score {result_type}")[0].dataType).add("error", "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            values, scores, errors = rows.column(column), [], []
+            for at in range(0, len(rows), batch_size):
+                part = values.slice(at, batch_size).to_pylist()
                 try:
                     found, error = list(scorer(part)), None
                     if len(found) != len(part):
@@ -34,9 +41,10 @@ def batched_scores(
                     found, error = [None] * len(part), f"{type(problem).__name__}: {problem}"
                 scores += found
                 errors += [error] * len(part)
-            yield frame.assign(**{name: pd.Series(scores, index=frame.index, dtype="object"), "error": errors})
+            scored = pa.array(pd.Series(scores, dtype="object"), kind, from_pandas=True)
+            yield pa.record_batch([*[rows.column(c) for c in kept], scored, pa.array(errors, pa.string())], [*kept, name, "error"])
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def split_segments(
