@@ -136,3 +136,13 @@ def test_anchored_runs(spark):
     for n in (2, 100):
         got = I.anchored_runs(df, ["s"], "a", "b", "v", "w", ["i"], rows_per_block=n).collect()
         assert sorted((r.a, r.b, r.v, r.w) for r in got) == [(0.0, 2.0, 60.0, "la"), (2.0, 4.0, 60.12, "-"), (4.5, 5.0, 60.15, "-"), (5.0, 6.0, 60.15, "di")]
+
+
+def test_degenerate_places_of_arrays(spark):
+    from tidemark.operators.islands import degenerate_places
+
+    rows = [(1, ["a"] * 15), (2, ["a", "b", "c", "d"] * 4 + ["a", "b"] * 10), (3, list("abcdefghijklmnopqrst")), (4, None)]
+    got = {r.k: r.p for r in spark.createDataFrame(rows, "k int, l array<string>").select("k", degenerate_places("l").alias("p")).collect()}
+    for k, l in rows:
+        l = l or []
+        assert got[k] == [i for i in range(16, len(l) + 1) if len(set(l[i - 15 : i])) <= 3]

@@ -179,6 +179,16 @@ def degenerate_rows(
     )
 
 
+def degenerate_places(tokens: str, window: int = 15, max_distinct: int = 3) -> Column:
+    """Row numbers, from 1, that ``degenerate_rows`` gives for a sequence held as an array; for sequences that fit one row.
+
+    ``tokens`` must be a column that is there already, as it is looked at for every place.
+    """
+    n = F.size(tokens)
+    places = F.when(n > window, F.sequence(F.lit(window + 1), n)).otherwise(F.array().cast("array<int>"))
+    return F.filter(places, lambda r: F.size(F.array_distinct(F.slice(tokens, r - window + 1, window))) <= max_distinct)
+
+
 def running_boundaries(
     df: DataFrame, series: Sequence[str], order: Sequence[str], duration: str, rows_per_block: int = ROWS_PER_BLOCK
 ) -> DataFrame:
