@@ -47,6 +47,38 @@ def test_pitch_curve(spark):
     assert xs[0] == 30 and xs == sorted(set(xs)) and min(b - a for a, b in zip(xs, xs[1:])) == 5
 
 
+def test_pitch_curve_counts_rows_once(spark, monkeypatch):
+    from tidemark import scan
+
+    track = spark.createDataFrame([(1, f, 60.0 + f % 3) for f in range(40)], "s int, frame bigint, pitch double")
+    notes = spark.createDataFrame([(1, 0, 0.0, 1.0, 60.0), (1, 1, 1.0, 2.0, 60.0)], "s int, idx int, onset double, offset double, note_pitch double")
+    whole = sorted(map(tuple, pitch_curve(track, notes, ["s"], 0.05, 120.0, 1.0).collect()))
+    assert whole == sorted(map(tuple, pitch_curve(track, notes, ["s"], 0.05, 120.0, 1.0, rows_per_block=26).collect()))
+    counted, stage = [], scan.stage
+    monkeypatch.setattr(scan, "stage", lambda df: counted.append(1) or stage(df))
+    curve = pitch_curve(track, notes, ["s"], 0.05, 120.0, 1.0)
+    plan = curve._jdf.queryExecution().optimizedPlan().toString()
+    assert len(counted) == 1 and "collect_list" not in plan
+
+
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_despike_by_hand(spark, batch):
+    rng = random.Random(8)
+    rows = [(s, i, float(rng.choice([0, 10, 40, 300, 301]))) for s, n in enumerate([1, 2, 3, 60, 200]) for i in range(n)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {(r.s, r.i): r.smoothed for r in despike(spark.createDataFrame(rows, "s int, i int, v double"), ["s"], ["i"], "v").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {(s, i): v for s, i, v in rows}
+    for s, i, v in rows:
+        if (s, i - 1) in want and (s, i + 1) in want:
+            off = v - (want[s, i - 1] + want[s, i + 1]) / 2
+            want[s, i] = round(v - off * 0.7) if abs(off) > 75 else v
+    assert got == want
+
+
 def test_despike_and_fill(spark):
     df = spark.createDataFrame([(1, i, v) for i, v in enumerate([0, 200, 0, 0, 300, 0])], "s int, i int, v int")
     got = [r.smoothed for r in sorted(despike(df, ["s"], ["i"], "v").collect(), key=lambda r: r.i)]

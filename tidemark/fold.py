@@ -15,12 +15,13 @@ Two kinds of folds have small summaries:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.chain import call_bucket, map_series
@@ -114,7 +115,9 @@ class Ride:
 class Settling:
     """A state that never falls as the one before rises; entries run together.
 
-    States stay within one of the least and the greatest value of all columns of a series.
+    States stay within one of the least and the greatest value of all columns of a series.  A kind may have
+    ``all_states(state, starts, *columns)``, the states after all rows of an array entered with ``state``; its columns are
+    doubles and its flag is never null.
     """
 
     def fresh(self, *row) -> float:
@@ -222,6 +225,20 @@ class Fold:
         def dealt(df: DataFrame) -> DataFrame:
             return df.withColumn("_call", call_bucket(number)) if numbered else df
 
+        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            state = np.nan
+            for batch in batches:
+                seen = dict(zip(batch.schema.names, batch.columns))
+                starts = seen.pop("_first").to_numpy(zero_copy_only=False) | seen[fresh].to_numpy(zero_copy_only=False)
+                found = kind.all_states(state, starts, *[seen[c].to_numpy(zero_copy_only=False) for c in columns])
+                if len(found):
+                    state = float(found[-1])
+                yield pa.record_batch([*seen.values(), pa.array(found)], [*seen, name])
+
+        if not blocked and hasattr(kind, "all_states"):
+            # series come sorted through the tasks, as the scans before left them
+            first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1
+            return df.withColumn("_first", first).mapInArrow(stream, f"{df.schema.simpleString()[7:-1]},`{name}`:double")
         if not blocked:
             return map_series(dealt(df), call, order[0], fold, f"{df.schema.simpleString()[7:-1]},`{name}`:double")
         rows = stage(rows)

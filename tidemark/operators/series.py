@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.fold import Fold, Settling
 from tidemark.functions.arrays import pad
 from tidemark.functions.grid import _c
-from tidemark.scan import ROWS_PER_BLOCK, Scan, block_limit, null_safe_left, with_blocks
+from tidemark.scan import BLOCK, ROWS_PER_BLOCK, Scan, block_limit, null_safe_left, with_blocks
 
 
 def moving_upper_median(
@@ -20,9 +20,11 @@ def moving_upper_median(
 ) -> DataFrame:
     """Upper median over ``radius`` rows to both sides, fewer at the ends."""
     rows = with_blocks(df, series, order[0], rows_per_block)
-    rows = Scan(rows, series, order).history("_h", value, radius).future("_f", value, radius).columns()
-    window = F.array_sort(F.concat("_h", F.array(F.col(value)), "_f"))
-    middle = F.get(window, F.floor(F.size(window) / 2).cast("int"))
+    # nulls count as the greatest values
+    item = F.struct(F.col(value).isNull().alias("none"), F.col(value).alias("v"))
+    rows = Scan(rows, series, order).history("_h", item, radius).future("_f", item, radius).columns()
+    window = F.concat("_h", F.array(item), "_f")
+    middle = F.get(F.sort_array(window), F.floor(F.size(window) / 2).cast("int")).getField("v")
     return rows.select(*df.columns, middle.alias(name))
 
 
@@ -58,6 +60,23 @@ class _Despike(Settling):
         off = value - (state + right) / 2.0
         return float(np.rint(value - off * self.blend)) if abs(off) > self.limit else value
 
+    def all_states(self, state, starts, value, right):
+        before = np.concatenate([[state], value[:-1]])
+        # a row keeps its value where it is near its neighbours and the row before kept its own
+        far = np.flatnonzero((np.abs(value - (before + right) / 2.0) > self.limit) & ~starts)
+        out, done = value.copy(), 0
+        for at in far.tolist():
+            if at < done:
+                continue
+            last, done = (state if at == 0 else float(out[at - 1])), at
+            while done < len(out) and not starts[done]:
+                own = float(value[done])
+                last = out[done] = self.next(last, own, float(right[done]))
+                done += 1
+                if last == own:
+                    break
+        return out
+
     def together(self, states, value, right):
         off = value - (states + right) / 2.0
         return np.where(np.abs(off) > self.limit, np.rint(value - off * self.blend), value)
@@ -67,8 +86,9 @@ def fill_short_gaps(
     df: DataFrame, series: Sequence[str], x: str, y: str, step: int = 5, max_steps: int = 12,
     rows_per_block: int = ROWS_PER_BLOCK,
 ) -> DataFrame:
-    """Fill gaps of up to ``max_steps`` missing grid points linearly: ``(series, x, y)``."""
-    rows = with_blocks(df.select(*series, x, y), series, x, rows_per_block)
+    """Fill gaps of up to ``max_steps`` missing grid points linearly: ``(series, x, y)``; blocks given stay."""
+    known = [BLOCK] if BLOCK in df.columns else []
+    rows = with_blocks(df.select(*series, x, y, *known), series, x, rows_per_block)
     rows = Scan(rows, series, [x]).lead("_x", x).lead("_y", y).columns()
     missing = F.greatest(F.lit(0), F.floor((F.col("_x") - F.col(x)) / step) - 1).cast("int")
     missing = F.when(missing.between(1, max_steps), missing).otherwise(F.lit(0))
@@ -79,6 +99,7 @@ def fill_short_gaps(
         *series,
         (F.col(x) + F.col("_k") * step).alias(x),
         F.when(F.col("_k") == 0, F.col(y)).otherwise(filled.cast("bigint")).alias(y),
+        *known,
     )
 
 

@@ -11,11 +11,11 @@ from tidemark.functions import grid as G
 from tidemark.functions.pitch import cents
 from tidemark.operators.intervals import away_from_edges, points_in_intervals
 from tidemark.operators.series import despike, fill_short_gaps, moving_upper_median
-from tidemark.scan import ROWS_PER_BLOCK
+from tidemark.scan import ROWS_PER_BLOCK, block_limit, with_blocks
 from tidemark.session import stage
 
-# Fixed value: distance of curve points in ticks.
-CURVE_STEP = 5
+# Distance of curve points in ticks, and missing points that are filled.
+CURVE_STEP, MOST_STEPS = 5, 12
 
 
 def pitch_curve(
@@ -38,7 +38,10 @@ def pitch_curve(
     )
     run = [*keys, "idx"]
     single = stage(hit.groupBy(*run, "x").agg(F.max_by("y", "frame").alias("y")))
-    filled = fill_short_gaps(single, run, "x", "y", CURVE_STEP, rows_per_block=rows_per_block)
-    calm = moving_upper_median(filled, run, ["x"], "y", name="_y", rows_per_block=rows_per_block)
-    smooth = despike(calm.select(*run, "x", "_y"), run, ["x"], "_y", name="_z")
+    # rows are counted once, before gaps are filled; the blocks bound what filling makes of them
+    single = with_blocks(single, run, "x", max(1, rows_per_block // (MOST_STEPS + 1)))
+    limit = block_limit(single, rows_per_block)
+    filled = fill_short_gaps(single, run, "x", "y", CURVE_STEP, MOST_STEPS, rows_per_block=limit)
+    calm = moving_upper_median(filled, run, ["x"], "y", name="_y", rows_per_block=limit)
+    smooth = despike(calm.drop("y"), run, ["x"], "_y", name="_z", rows_per_block=limit)
     return smooth.groupBy(*keys, "x").agg(F.max_by("_z", "idx").alias("y"))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
-from operator import and_
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +28,8 @@ from tidemark.session import stage
 
 BLOCK = "_block"
 ROWS_PER_BLOCK = 500_000
+#: Rows to one side that are taken one by one.
+FEW_ROWS = 4
 
 
 def with_blocks(
@@ -157,9 +159,10 @@ class Scan:
         ahead = Window.partitionBy(*keys).orderBy(*self._order)
         back = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in self._order])
         whole = Window.partitionBy(*keys)
-        local = self._df.select(
-            "*", *[self._local(s, ahead, back, whole).alias(f"_l{i}") for i, s in enumerate(self._steps)]
-        )
+        # one column a step, so that sorted rows hold its value once
+        rows = self._df.select("*", *[F.struct(s.value.alias("v")).alias(f"_v{i}") for i, s in enumerate(self._steps) if s.kind in ("history", "future")])
+        local = rows.select("*", *[self._local(s, ahead, back, whole, F.col(f"_v{i}")).alias(f"_l{i}") for i, s in enumerate(self._steps)])
+        local = local.select(*kept, *[self._present(s, F.col(f"_l{i}")).alias(f"_l{i}") for i, s in enumerate(self._steps)])
         if not blocked:
             return local.select(
                 *kept,
@@ -190,7 +193,7 @@ class Scan:
         )
 
     @staticmethod
-    def _local(step: _Step, ahead, back, whole) -> Column:
+    def _local(step: _Step, ahead, back, whole, held: Column) -> Column:
         so_far = ahead.rowsBetween(Window.unboundedPreceding, 0)
         v = step.value
         return {
@@ -199,8 +202,8 @@ class Scan:
             "max_before": lambda: F.max(v).over(ahead.rowsBetween(Window.unboundedPreceding, -1)),
             "lag": lambda: F.lag(F.struct(v.alias("v"))).over(ahead),
             "lead": lambda: F.lead(F.struct(v.alias("v"))).over(ahead),
-            "history": lambda: F.collect_list(F.struct(v.alias("v"))).over(ahead.rowsBetween(-step.size, -1)),
-            "future": lambda: F.collect_list(F.struct(v.alias("v"))).over(ahead.rowsBetween(1, step.size)),
+            "history": lambda: Scan._near(held, step.size, F.lag, range(step.size, 0, -1), ahead, (-step.size, -1)),
+            "future": lambda: Scan._near(held, step.size, F.lead, range(1, step.size + 1), ahead, (1, step.size)),
             "last_valid": lambda: F.last(v, ignorenulls=True).over(so_far),
             "next_valid": lambda: F.last(v, ignorenulls=True).over(
                 back.rowsBetween(Window.unboundedPreceding, 0)
@@ -209,6 +212,21 @@ class Scan:
             "maximum": lambda: F.max(v).over(whole),
         }[step.kind]()
 
+    @staticmethod
+    def _near(v: Column, size: int, shift, steps: range, over, frame: tuple[int, int]) -> Column:
+        """The values of the rows around; of a few rows one by one, as a sliding list is gathered anew for every row."""
+        if size > FEW_ROWS:
+            return F.collect_list(v).over(over.rowsBetween(*frame))
+        return F.array(*[shift(v, k).over(over) for k in steps])
+
+    @staticmethod
+    def _present(step: _Step, found: Column) -> Column:
+        """Of the values taken one by one those of rows that there are; missing ones are the first or the last."""
+        if step.kind not in ("history", "future") or step.size > FEW_ROWS:
+            return found
+        n = reduce(add, [F.get(found, k).isNotNull().cast("int") for k in range(step.size)])
+        return F.slice(found, F.lit(step.size + 1) - n if step.kind == "history" else F.lit(1), n)
+
     @staticmethod
     def _summary(step: _Step, place: Column) -> Column:
         v = step.value
@@ -256,7 +274,7 @@ class Scan:
                 both = F.concat(beyond, local) if step.kind == "history" else F.concat(local, beyond)
                 n = F.least(F.size(both), F.lit(step.size))
                 both = F.slice(both, F.size(both) - n + 1, n) if step.kind == "history" else F.slice(both, 1, n)
-            return F.transform(both, lambda x: x.getField("v"))
+            return both.getField("v")
         if carry is None:
             return local
         if step.kind == "running_sum":
