@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
+import xxhash
 
-from tidemark.llm import decontamination, ngram_join, substring_dedup
+from tidemark.llm import base, decontamination, ngram_join, substring_dedup
 
 
 def lower(t):
@@ -150,6 +152,22 @@ def test_leaks(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, _ in rows} - {i for i, _ in want}
 
 
+def test_words_are_not_remembered():
+    # names of many different words took more CPU from a memory than from the hash
+    names = base.WordIds()
+    words = [b"w%d" % k for k in range(1000)]
+    assert names.of(words).tolist() == [xxhash.xxh3_64_intdigest(w) for w in words] and not getattr(names, "__len__", int)()
+
+
+def test_candidates_of_many_items():
+    rng = np.random.default_rng(4)
+    index = decontamination.Items([(k, b" ".join(b"%d" % x for x in rng.integers(0, 40, 6))) for k in range(400)])
+    own = np.concatenate([index.prints[6], rng.integers(0, 2**63, 300, dtype=np.uint64)])
+    at = np.arange(len(own)) * 7
+    want = [(int(at[r]), int(i)) for k in range(0, len(index.prints[6]), 64) for r in range(len(own)) for i in range(k, min(k + 64, len(index.prints[6]))) if int(own[r] ^ index.prints[6][i]).bit_count() <= decontamination.RADIUS]
+    assert index.candidates(own, 6, at) == want and len(want) >= 400
+
+
 def test_cut_off_items():
     rng = random.Random(12)
     word = [f"{k}" + "".join(rng.choices("abcdefgh", k=4)) for k in range(2000)]

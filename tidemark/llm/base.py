@@ -74,23 +74,11 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-class WordIds(dict):
-    """64-bit names of words, remembered up to ``most`` words."""
-
-    def __init__(self, most: int = 100_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        if len(word) > 64:
-            return xxhash.xxh3_64_intdigest(word)
-        name = self[word] = xxhash.xxh3_64_intdigest(word)
-        return name
+class WordIds:
+    """64-bit names of words; none is remembered, as hashing a word again takes less than looking it up."""
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -54,7 +54,7 @@ def signed_bits(ids: np.ndarray, words: list[bytes], kind) -> np.ndarray:
     # bits are spread out once for each different word
     own, first, where = np.unique(ids, return_index=True, return_inverse=True)
     bits = np.unpackbits(mixed(own).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1).astype(kind)
-    weight = np.fromiter((min(len(words[i]), 12) for i in first.tolist()), kind, len(first))
+    weight = np.minimum(np.fromiter(map(len, words), np.int64, len(words))[first], 12).astype(kind)
     total = np.zeros((len(words) + 1, 64), kind)
     np.cumsum(((2 * bits - 1) * weight[:, None])[where], axis=0, dtype=kind, out=total[1:])
     return total
@@ -144,11 +144,18 @@ class Items:
             hit = table[0][blocks[:, 0]]
             for b in range(1, BLOCKS):
                 hit = hit | table[b][blocks[:, b]]
-            some = np.flatnonzero(hit)
-            bits = np.unpackbits(hit[some].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            row, item = np.divmod(np.flatnonzero(bits.ravel()), 64)
-            near = np.bitwise_count(own[some[row]] ^ self.prints[size][64 * k + item]) <= RADIUS
-            out += zip(at[some[row[near]]].tolist(), (64 * k + item[near]).tolist())
+            some, prints, near = np.flatnonzero(hit), self.prints[size], []
+            hit = hit[some]
+            # most windows have one bit or two, so the lowest bits of all go at a time
+            while len(some):
+                low = hit & (~hit + np.uint64(1))
+                item = np.bitwise_count(low - np.uint64(1)).astype(np.int64) + 64 * k
+                close = np.flatnonzero(np.bitwise_count(own[some] ^ prints[item]) <= RADIUS)
+                near += zip(some[close].tolist(), item[close].tolist())
+                hit = hit ^ low
+                more = np.flatnonzero(hit)
+                some, hit = some[more], hit[more]
+            out += [(int(at[row]), item) for row, item in sorted(near)]
         return out
 
     def matches(self, texts: list[bytes]) -> list[dict[int, tuple[float, int, int]]]:
