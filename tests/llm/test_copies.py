@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tidemark.llm import base, decontamination, ngram_join, substring_dedup
+from tidemark.llm import base, decontamination, ngram_join, substring_dedup, tables
 
 
 def lower(t):
@@ -193,3 +193,17 @@ def test_cut_off_items():
     for g, t in zip(got, texts):
         for value, start, n in g.values():
             assert 0 <= start and start + n <= len(t.split()) and value >= 0.75
+
+
+def test_steps_leave_no_files_of_exchanges(spark):
+    held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {f for f in held.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+
+    def made(store):
+        before = files()
+        rows = store(spark.range(2000).selectExpr("id % 7 AS k").groupBy("k").count())
+        return len(files() - before), rows.count()
+
+    assert made(tables.written)[0] > 0 and made(tables.apart) == (0, 7)

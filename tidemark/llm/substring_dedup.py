@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.base import WORD, WordIds, documents, factors, map_rows, mixed, query, texts_of
-from tidemark.llm.tables import written
+from tidemark.llm.tables import apart, written
 
 #: Words of a window, rounds of renaming and the widest support of an anchor in words.
 WINDOW, ROUNDS, SUPPORT = 35, 2, 10
@@ -201,9 +201,10 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, su
     parts = written(all_stretches(rows, window, rounds, support))
     # an anchor of several stretches: all alike, or of more than one kind
     held = parts.groupBy("anchor").agg(F.count("*").alias("n"), F.min("name").alias("low"), F.max("name").alias("high")).where("n > 1")
+    held = apart(held.select("anchor", (F.col("low") != F.col("high")).alias("differ")))
     # a document's id may be null, so it goes by id and hash with null as a value
-    shared = parts.join(held.select("anchor", (F.col("low") != F.col("high")).alias("differ")), "anchor")
-    shared = shared.select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), "hash", "start", "size", "anchor", "name", "differ")
+    shared = parts.join(held, "anchor")
+    shared = apart(shared.select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), "hash", "start", "size", "anchor", "name", "differ"))
     # of stretches of one name the first speaks for all of them where windows are compared
     place = F.struct("_id", "hash", "start")
     alike = shared.where("differ").groupBy("anchor", "name").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
@@ -212,7 +213,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, su
     found = named.select("_id", "hash", F.struct("start", "size", kind.alias("kind")).alias("s"))
     found = found.unionByName(shared.where("NOT differ").select("_id", "hash", F.struct("start", "size", F.lit(REPEATS).alias("kind")).alias("s")))
     lists = found.groupBy("_id", "hash").agg(F.collect_set("s").alias("found"))
-    lists = lists.select("_id", "hash", *[F.col(f"found.{c}").alias(c) for c in ("start", "size", "kind")])
+    lists = apart(lists.select("_id", "hash", *[F.col(f"found.{c}").alias(c) for c in ("start", "size", "kind")]))
     both = rows.withColumn("_id", F.coalesce("doc_id", F.lit(-1))).join(lists, ["_id", "hash"], "left")
 
     def first(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -232,7 +233,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, su
         return pa.record_batch([batch.column(0), batch.column(1), *made], ["doc_id", "hash", "n_words", "n_removed", "kept", "spans", "start", "size", "kind"])
 
     shape = OUT.replace("doc_id long", "doc_id long, hash long") + ", start array<int>, size array<int>, kind array<int>"
-    state = written(map_rows(both, ["doc_id", "hash", "text", "start", "size", "kind"], first, shape))
+    state = apart(map_rows(both, ["doc_id", "hash", "text", "start", "size", "kind"], first, shape))
     done = state.where("start IS NULL").select("doc_id", "n_words", "n_removed", "kept", "spans")
     open_ = state.where("start IS NOT NULL").select("doc_id", "hash", F.col("kept").alias("text"), "start", "size", "kind")
     made: dict[str, Reader] = {}
@@ -252,7 +253,7 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, su
 
     windows = map_rows(open_, ["doc_id", "hash", "text", "start", "size", "kind"], one_by_one, "doc_id long, hash long, name long, at int")
     again = windows.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    hits = windows.join(again, "name").select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), "hash", "at").groupBy("_id", "hash").agg(F.collect_set("at").alias("at"))
+    hits = apart(windows.join(again, "name").select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), "hash", "at").groupBy("_id", "hash").agg(F.collect_set("at").alias("at")))
 
     def last(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
