@@ -259,10 +259,12 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
     mixed = written(mixed)
     left = mixed.select("gram", *[F.col(c).alias(d) for c, d in (("node", "a"), ("n", "na"), ("root", "ra"), ("pos", "pa"))], F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     right = mixed.select("gram", *[F.col(c).alias(d) for c, d in (("node", "b"), ("n", "nb"), ("root", "rb"), ("pos", "pb"))], F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    products = left.join(right, ["gram", "block"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & compatible(F.col("na"), F.col("nb")))
-    overlap = products.groupBy("a", "b").agg(F.count("*").alias("c"), *[F.max(x).alias(x) for x in ("na", "nb", "pa", "pb")])
-    # lists have one order: all common members up to the last one found are counted, and behind it one set has no more than is left
+    # lists have one order, so a common member's places bound the overlap; every common member of a linked pair passes
     wanted = F.ceil((F.col("na") + F.col("nb")) * NUM / F.lit(NUM + DEN))
+    within = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= wanted
+    products = left.join(right, ["gram", "block"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & compatible(F.col("na"), F.col("nb")) & within)
+    overlap = products.groupBy("a", "b").agg(F.count("*").alias("c"), *[F.max(x).alias(x) for x in ("na", "nb", "pa", "pb")])
+    # all common members up to the last one found are counted, and behind it one set has no more than is left
     more = written(overlap.where(F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= wanted).select("a", "b"))
     links = links.unionByName(linked(more, sets(more.select(F.col("a").alias("node")).distinct().unionByName(more.select(F.col("b").alias("node")).distinct()))))
 
