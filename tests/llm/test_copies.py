@@ -82,6 +82,49 @@ def test_classes(spark, seed, large, often, monkeypatch):
     assert got == sorted(want, key=str)
 
 
+def test_products_of_near_copies(spark, monkeypatch):
+    # copies of one text, each with up to eight words of its own: most pairs share n-grams, but too few
+    rng, made, products = random.Random(8), [], ngram_join.products
+
+    def counted(mixed):
+        out = products(mixed)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "products", counted)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(200):
+        w = list(base)
+        for at in rng.sample(range(150), 1 + i % 8):
+            w[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(w)))
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(146)} for i, t in rows}
+    root = components(list(sets), lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]))
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == set(root.items()) and len(set(root.values())) > 1
+    assert sum(made) <= 5 * len(rows)
+
+
+def test_first_common_members_at_the_bounds(spark):
+    # sizes from 75 to 100 and all places at which sets of the least overlap can differ: no link is lost
+    rng, rows = random.Random(3), []
+    for k, more in enumerate([0, 0, 1, 3, 7, 12, 18, 25, 33, 34]):
+        for side in range(3):
+            w = [f"a{k}s{side}w{x}" for x in range(104)]
+            other = w[: len(w) - more] if side == 0 else w[more:] if side == 1 else w[more // 2 : len(w) - (more - more // 2)]
+            if k:
+                cut = max(0, (25 - more) // 10)
+                for at in rng.sample(range(len(other)), cut):
+                    other[at] = f"o{k}s{side}x{at}"
+            i = 2 * len(rows)
+            rows += [(i, " ".join(w)), (i + 1, " ".join(other))]
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    root = components(list(sets), lambda a, b: 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]))
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == set(root.items())
+
+
 def test_no_documents(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.near_duplicates(none).count() == 0

@@ -157,6 +157,43 @@ def compatible(a: Column, b: Column) -> Column:
     return F.least(a, b) * DEN >= F.greatest(a, b) * NUM
 
 
+def wanted(a: Column, b: Column) -> Column:
+    """Least overlap of linked sets of these sizes."""
+    return F.ceil((a + b) * NUM / F.lit(NUM + DEN))
+
+
+def reaches(n: Column, pos: Column, other: Column) -> Column:
+    """Whether a set can have its first common member with a linked set of size ``other`` at this place of its list."""
+    return n - pos + 1 >= wanted(n, other)
+
+
+def mixed_columns(held: DataFrame) -> DataFrame:
+    """(gram, node, n, pos, root, blocks) of the columns with several components, as far as a pair can begin there.
+
+    The smaller set of a pair (either, of one size) begins within the part that its own size gives, the larger one within
+    the part that the smallest of the column gives. ``blocks`` is the number of blocks of the column.
+    """
+    begins = reaches(F.col("n"), F.col("pos"), F.col("n"))
+    several = held.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.when(begins, F.col("n"))).alias("least"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    several = several.where("low != high AND least IS NOT NULL").select("gram", "least", "blocks")
+    return held.join(several, "gram").where(reaches(F.col("n"), F.col("pos"), F.col("least"))).drop("least")
+
+
+def products(mixed: DataFrame) -> DataFrame:
+    """(a, b, na, nb, pa, pb) for every common member of a pair of two components at which the pair can begin.
+
+    ``a`` is the smaller set. Lists have one order, so the members in front of the first common one are lost to the overlap.
+    A linked pair has its first common member here, and every further one up to the last that is here.
+    """
+    begins = reaches(F.col("n"), F.col("pos"), F.col("n"))
+    left = mixed.where(begins).select("gram", *[F.col(c).alias(d) for c, d in (("node", "a"), ("n", "na"), ("root", "ra"), ("pos", "pa"))], F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    right = mixed.select("gram", *[F.col(c).alias(d) for c, d in (("node", "b"), ("n", "nb"), ("root", "rb"), ("pos", "pb"))], F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    within = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1 >= wanted(F.col("na"), F.col("nb"))
+    rows = left.join(right, ["gram", "block"]).where(ordered & (F.col("ra") != F.col("rb")) & compatible(F.col("na"), F.col("nb")) & within)
+    return rows.select("a", "b", "na", "nb", "pa", "pb")
+
+
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets are similar enough."""
     left = sets.select(F.col("node").alias("a"), F.col("grams").alias("_ga"))
@@ -238,11 +275,13 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
         return written(found.dropDuplicates(["node"]) if repeated else found)
 
     # in large columns each node against a few leaders, again and again with other leaders for the nodes that are left
-    large = written(shared.where(F.col("c") >= LARGE).select("gram", "node", "n"))
+    large = written(shared.where(F.col("c") >= LARGE).select("gram", "node", "n", "pos"))
     pool, links, joined = sets(large.select("node")), None, None
     for turn in range(TURNS):
-        rooted = large.select("*", F.col("node").alias("root")) if joined is None else large.join(joined, "node", "left").select("gram", "node", "n", F.coalesce("root", "node").alias("root"))
-        leader = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb")))
+        rooted = large.select("*", F.col("node").alias("root")) if joined is None else large.join(joined, "node", "left").select("gram", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
+        # few rare n-grams in front of a column's are a mark of the middle of a group of near copies
+        front = F.lit(0) if turn else F.col("pos")
+        leader = F.min(F.struct(front.alias("f"), F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb")))
         per_gram = rooted.groupBy("gram").agg(leader.alias("l"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("gram", "l.b", "l.nb", "l.rb")
         met = rooted.join(per_gram, "gram").where((F.col("root") != F.col("rb")) & compatible(F.col("n"), F.col("nb"))).groupBy("node", "b").agg(F.count("*").alias("c"))
         # a node has no more leaders than columns; it is compared with those it meets most often
@@ -254,18 +293,10 @@ def near_duplicates(docs: DataFrame, size: int = 5) -> DataFrame:
 
     # columns that hold several components, multiplied in blocks
     held = shared.select("gram", "node", "n", "pos").join(joined, "node", "left").select("gram", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
-    per_gram = held.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("c")).where("low != high")
-    mixed = held.join(per_gram.select("gram", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "gram")
-    mixed = written(mixed)
-    left = mixed.select("gram", *[F.col(c).alias(d) for c, d in (("node", "a"), ("n", "na"), ("root", "ra"), ("pos", "pa"))], F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    right = mixed.select("gram", *[F.col(c).alias(d) for c, d in (("node", "b"), ("n", "nb"), ("root", "rb"), ("pos", "pb"))], F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    # lists have one order, so a common member's places bound the overlap; every common member of a linked pair passes
-    wanted = F.ceil((F.col("na") + F.col("nb")) * NUM / F.lit(NUM + DEN))
-    within = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= wanted
-    products = left.join(right, ["gram", "block"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & compatible(F.col("na"), F.col("nb")) & within)
-    overlap = products.groupBy("a", "b").agg(F.count("*").alias("c"), *[F.max(x).alias(x) for x in ("na", "nb", "pa", "pb")])
+    mixed = written(mixed_columns(held))
+    overlap = products(mixed).groupBy("a", "b").agg(F.count("*").alias("c"), *[F.max(x).alias(x) for x in ("na", "nb", "pa", "pb")])
     # all common members up to the last one found are counted, and behind it one set has no more than is left
-    more = written(overlap.where(F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= wanted).select("a", "b"))
+    more = written(overlap.where(F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= wanted(F.col("na"), F.col("nb"))).select("a", "b"))
     links = links.unionByName(linked(more, sets(more.select(F.col("a").alias("node")).distinct().unionByName(more.select(F.col("b").alias("node")).distinct()))))
 
     named = links.join(reps.select(F.col("node").alias("a"), F.col("rep").alias("ra")), "a").join(reps.select(F.col("node").alias("b"), F.col("rep").alias("rb")), "b")
