@@ -147,6 +147,44 @@ def test_windowed_cuts(spark, samples, waves, rows_per_block, by_gap):
     assert got == want
 
 
+def quiet_cut(db, limit):
+    """Last frame below the limit in a window, else its quietest one."""
+
+    def choose(a, b):
+        below = [f for f in range(a, b) if db[f] < limit]
+        return below[-1] if below else a + int(np.argmin(db[a:b]))
+
+    return choose
+
+
+@pytest.mark.parametrize("by_gap", [False, True])
+@pytest.mark.parametrize("hi", [0.12, 0.4])
+def test_cuts_move_on(samples, waves, hi, by_gap):
+    """Windows that begin at the frame they are seen from, and at times hold no other."""
+    hop, lo = 8, 0.05
+    frames = S.hopping_rms(samples, ["s"], "i", "v", 16, hop).withColumn("on", F.lit(True))
+    got = spans(S.windowed_cuts(frames, ["s"], RATE, hop, lo, hi, -200.0, "on" if by_gap else None, 40))
+    want = {}
+    for s, w in waves.items():
+        rms = np.array(loudness(np.array(w), 16, hop))
+        at, out = 0, []
+        while at * hop / RATE + hi < len(w) / RATE:
+            first, end = (int((at * hop / RATE + d) * RATE) // hop for d in (lo, hi))
+            nxt = first + int(np.argmin(rms[first:end])) if first < end else end
+            if nxt <= at:
+                nxt = at + 1 + (int(np.argmin(rms[at + 1 : end])) if at + 1 < end else 0)
+            out.append((int(at * hop / RATE * RATE), int(nxt * hop / RATE * RATE)))
+            at = nxt
+        want[s] = [*out, (int(at * hop / RATE * RATE), len(w))]
+    assert got == want
+
+
+def test_frames_beyond_the_longest_piece(samples):
+    frames = S.hopping_rms(samples, ["s"], "i", "v", 256, 64)
+    with pytest.raises(ValueError, match="no place for a cut"):
+        S.windowed_cuts(frames, ["s"], RATE, 64, 0.2, 0.5, -30.0)
+
+
 def merge_loop(parts, low, high):
     """Literal reading on (start, end) pairs in samples."""
     size = lambda p: (p[1] - p[0]) / RATE
@@ -182,6 +220,51 @@ def test_merge_short(spark, rows_per_block):
     assert spans(S.merge_short(df, ["s"], RATE, 4.0, 9.0, rows_per_block)) == want
 
 
+def tiny_loop(parts, tiny):
+    out, head = [], None
+    for a, b in parts:
+        if b - a < tiny:
+            if out:
+                out[-1] = (out[-1][0], b)
+            else:
+                head = (head[0] if head else a, b)
+        else:
+            out.append((head[0] if head else a, b))
+            head = None
+    return out if head is None else [*out, head]
+
+
+def stages_loop(w, lo, hi, silence_db, split_db, tiny, cut=True):
+    """Silence split, cuts of long segments on frames of 20 ms, merges; without ``cut`` long segments stay."""
+    p = S.silence_parameters(RATE, silence_db, 800, 200, 20, 100)
+    parts = []
+    for a, b in silence_loop(np.array(w), p):
+        if (b - a) / RATE > hi and cut:
+            db = 20 * np.log10(np.maximum(loudness(np.array(w[a:b]), 8, 2), 1e-10))
+            parts += [(a + x, a + y) for x, y in cut_loop(b - a, RATE, 2, lo, hi, quiet_cut(db, split_db))]
+        else:
+            parts.append((a, b))
+    return sorted(merge_loop(tiny_loop(parts, tiny * RATE), lo, hi))
+
+
+@pytest.mark.parametrize("lo,hi,silence_db,split_db,tiny", [(0.2, 0.5, -40.0, -30.0, 0.35), (0.2, 0.5, -40.0, -30.0, 0.1), (0.5, 1.5, -20.0, -15.0, 0.35), (2.0, 6.0, -20.0, -30.0, 0.35)])
+def test_three_stages(spark, waves, lo, hi, silence_db, split_db, tiny):
+    rng = random.Random(5)
+    series = waves | {10 + k: [round(rng.expovariate(10), 4) for _ in range(n)] for k, n in enumerate([30, 67, 75, 86, 99, 140, 400, 1500])}
+    df = spark.createDataFrame([(s, i, v) for s, w in series.items() for i, v in enumerate(w)], "s int, i bigint, v double")
+    got = spans(P.three_stage(df, ["s"], "i", "v", RATE, lo, hi, silence_db, split_db=split_db, tiny=tiny))
+    bounds = (lo, hi, silence_db, split_db, tiny)
+    assert got == {s: stages_loop(w, *bounds) for s, w in series.items()}
+    # what the cuts give reaches the result
+    assert got != {s: stages_loop(w, *bounds, cut=False) for s, w in series.items()}
+
+
+def test_hop_of_windows():
+    assert [P.window_hop(r, 8.0, 22.0) for r in (44100, 16000, 1000)] == [512, 512, 512]
+    assert P.window_hop(100, 5.2, 11.0) == 512 and P.window_hop(16000, 5.0, 5.0, True) == 512
+    assert P.window_hop(100, 0.2, 0.5) == 2 and P.window_hop(100, 6.0, 8.0) == 2 and P.window_hop(100, 0.01, 0.01) == 1
+
+
 def test_methods(spark, samples, waves):
     whole = P.segment_series(samples, ["s"], "i", "v", RATE, "default")
     assert set(spans(whole)) == set(waves)

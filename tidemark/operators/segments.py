@@ -287,10 +287,15 @@ def windowed_cuts(
     ``frames`` holds ``frame``, ``rms`` and ``samples``; a series not longer than
     ``max_len`` is one piece.  With ``voiced`` the cut goes to the middle of the longest run
     of false frames in the window, else to the last frame below ``limit_db``;
-    both fall back to the quietest frame.  Returns ``(series, start, end)`` in
-    samples.  The cut that follows a frame depends on the frames of one window
-    only, so frames are worked in blocks that see one window ahead.
+    both fall back to the quietest frame.  A cut lies after the frame it follows:
+    where the rule gives that frame itself, it is put to the rest of the window,
+    and where no frame is left, the next one is the cut.  Returns
+    ``(series, start, end)`` in samples.  The cut that follows a frame depends on
+    the frames of one window only, so frames are worked in blocks that see one
+    window ahead.
     """
+    if hop / rate > max_len:
+        raise ValueError(f"frames {hop} samples apart leave no place for a cut within {max_len} seconds")
     keys = list(series)
     ahead = ceil(max_len * rate / hop) + 2
     block = max(rows_per_block // 4, ahead)
@@ -311,9 +316,14 @@ def windowed_cuts(
         now = at * hop / rate
         lo = (np.floor((now + min_len) * rate) // hop).astype(np.int64).clip(0, count - 1)
         hi = (np.floor((now + max_len) * rate) // hop).astype(np.int64).clip(0, count)
-        going = (now + max_len < total) & (at < (pdf["_part"].iat[0] + 1) * block)
-        at, lo, hi = at[going], lo[going] - base, hi[going] - base
-        cut = np.where(lo >= hi, hi, choose(pdf, lo, hi)) + base
+        going = (now + max_len < total) & ((at + 1) * hop < n) & (at < (pdf["_part"].iat[0] + 1) * block)
+        at, lo, hi = at[going] - base, lo[going] - base, hi[going] - base
+        cut = np.where(lo >= hi, hi, choose(pdf, lo, hi))
+        stuck = np.flatnonzero(cut <= at)
+        if len(stuck):
+            rest, end = at[stuck] + 1, hi[stuck]
+            cut[stuck] = np.where(rest >= end, rest, choose(pdf, rest, end))
+        cut = cut + base
         out = pdf.loc[going, [*keys, "frame", "samples"]].copy()
         out["_cut"] = cut
         return out

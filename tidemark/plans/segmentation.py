@@ -32,6 +32,18 @@ def silence_plan(
     )
 
 
+def window_hop(rate: int, min_len: float, max_len: float, by_flags: bool = False) -> int:
+    """Samples from frame to frame when long segments are cut: ``HOP``, or fewer where its frames are too far apart.
+
+    With ``HOP`` a window that holds no frame after the one it is seen from leaves nothing to choose (by flags, a window
+    beyond one hop is then cut at its end).  Frames are then those of the silence split, none longer than a window.
+    """
+    low, high = int(min_len * rate), int(max_len * rate)
+    if high // HOP > max(low // HOP, 1) or (by_flags and low >= HOP):
+        return HOP
+    return min(HOP, S.silence_parameters(rate)["hop"], (high - low) // (FRAME_LENGTH // HOP) or max(1, high))
+
+
 def three_stage(
     samples: DataFrame, series: Sequence[str], pos: str, value: str, rate: int, min_len: float = 8.0, max_len: float = 22.0,
     silence_db: float = -40.0, min_silence_ms: int = 800, split_db: float = -30.0, tiny: float = TINY,
@@ -51,14 +63,14 @@ def three_stage(
     long = (F.col("end") - F.col("start")) / rate > max_len
     part = [*keys, "start"]
     inside = S.segment_samples(samples, stripped.filter(long), keys, pos, width=max(1, int(max_len * rate)))
-    frame_length = HOP * 4 if voiced is not None else FRAME_LENGTH
-    frames = S.hopping_rms(inside, part, "_at", value, frame_length, HOP)
+    hop = window_hop(rate, min_len, max_len, voiced is not None)
+    frames = S.hopping_rms(inside, part, "_at", value, FRAME_LENGTH // HOP * hop, hop)
     if voiced is not None:
-        time = F.col("frame") * (HOP / rate) + F.col("start") / rate
+        time = F.col("frame") * (hop / rate) + F.col("start") / rate
         frames = S.nearest_flags(frames, voiced, keys, time, voiced_step, "index", "voiced")
     frames = stage(frames)
     cuts = S.windowed_cuts(
-        frames.withColumnRenamed("start", "_segment"), [*keys, "_segment"], rate, HOP, min_len, max_len,
+        frames.withColumnRenamed("start", "_segment"), [*keys, "_segment"], rate, hop, min_len, max_len,
         limit_db=split_db, voiced="voiced" if voiced is not None else None, rows_per_block=rows_per_block,
     ).select(*keys, (F.col("_segment") + F.col("start")).alias("start"), (F.col("_segment") + F.col("end")).alias("end"))
     pieces = stage(stripped.filter(~long).select(*keys, "start", "end").unionByName(cuts))
