@@ -47,11 +47,11 @@ def map_series(
     """
     kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     target, names = to_arrow_schema(kind), df.columns
-    rows = df.withColumn("_row", F.row_number().over(Window.partitionBy(*series).orderBy(order)))
+    rows = df.withColumn("_nth", F.row_number().over(Window.partitionBy(*series).orderBy(order)))
 
     def work(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(parts)
-        at = [*np.flatnonzero(table["_row"].to_numpy() == 1).tolist(), len(table)]
+        at = [*np.flatnonzero(table["_nth"].to_numpy() == 1).tolist(), len(table)]
         table = table.select(names)
         # with NULLs among them numbers and flags get other types, so such columns are turned series by series
         mixed = any((pa.types.is_integer(f.type) or pa.types.is_boolean(f.type)) and table[f.name].null_count for f in table.schema if f.name != BLOCK)
@@ -68,7 +68,7 @@ def map_series(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            starts = np.flatnonzero(batch.column("_row").to_numpy(zero_copy_only=False) == 1)
+            starts = np.flatnonzero(batch.column("_nth").to_numpy(zero_copy_only=False) == 1)
             if len(starts):
                 last = int(starts[-1])
                 ready = [*held, batch.slice(0, last)]
